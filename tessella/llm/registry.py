@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .outliers import op1_quality_outliers
+from .simhash import op6_simhash_neardup
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {}
