@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
 from .simhash import op6_simhash_neardup
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op7_source_mixing": op7_source_mixing,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_source_mixing": mixing.ORACLE,
+}
