@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, urlrules
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
 from .simhash import op6_simhash_neardup
+from .urlrules import op2_url_filter
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
+    "op2_url_filter": op2_url_filter,
     "op7_source_mixing": op7_source_mixing,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
+    "op2_url_filter": urlrules.oracle(),
     "op7_source_mixing": mixing.ORACLE,
 }
