@@ -6,12 +6,14 @@ from . import mixing, urlrules
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
 from .simhash import op6_simhash_neardup
+from .toxicity import op5_toxicity
 from .urlrules import op2_url_filter
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
     "op2_url_filter": op2_url_filter,
     "op7_source_mixing": op7_source_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
