@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing, urlrules
+from .kneserney import op9_quality_classifier
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
 from .simhash import op6_simhash_neardup
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op7_source_mixing": op7_source_mixing,
     "op5_toxicity": op5_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
