@@ -6,6 +6,7 @@ from . import mixing, urlrules
 from .kneserney import op9_quality_classifier
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
+from .packing import op8_packing
 from .simhash import op6_simhash_neardup
 from .toxicity import op5_toxicity
 from .urlrules import op2_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op5_toxicity": op5_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
+    "op8_packing": op8_packing,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
