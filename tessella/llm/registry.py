@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, urlrules
+from . import mixing, urlrules, warc
 from .kneserney import op9_quality_classifier
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
@@ -10,6 +10,7 @@ from .packing import op8_packing
 from .simhash import op6_simhash_neardup
 from .toxicity import op5_toxicity
 from .urlrules import op2_url_filter
+from .warc import op10_warc
 
 QUERIES = {
     "op1_quality_outliers": op1_quality_outliers,
@@ -18,9 +19,11 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
     "op8_packing": op8_packing,
+    "op10_warc": op10_warc,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
+    "op10_warc": warc.ORACLE,
     "op2_url_filter": urlrules.oracle(),
     "op7_source_mixing": mixing.ORACLE,
 }
