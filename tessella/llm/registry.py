@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import mixing, urlrules, warc
+from . import covertree, mixing, urlrules, warc
+from .covertree import op4_cover_tree_topk
 from .kneserney import op9_quality_classifier
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
@@ -20,9 +21,11 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op8_packing": op8_packing,
     "op10_warc": op10_warc,
+    "op4_cover_tree_topk": op4_cover_tree_topk,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
+    "op4_cover_tree_topk": covertree.ORACLE,
     "op10_warc": warc.ORACLE,
     "op2_url_filter": urlrules.oracle(),
     "op7_source_mixing": mixing.ORACLE,
