@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import covertree, mixing, urlrules, warc
 from .covertree import op4_cover_tree_topk
+from .htmltext import op3_html_suffix_array
 from .kneserney import op9_quality_classifier
 from .mixing import op7_source_mixing
 from .outliers import op1_quality_outliers
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op10_warc": op10_warc,
     "op4_cover_tree_topk": op4_cover_tree_topk,
+    "op3_html_suffix_array": op3_html_suffix_array,
     "op6_simhash_neardup": op6_simhash_neardup,
 }
 ORACLES: dict[str, str] = {
