@@ -56,14 +56,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n - shingle + 1, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """doc_id, the long columns named by more, and fp (the 64 bits as a long) of every row."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = np.array([fingerprint(x, shingle) for x in texts(b.column(1))], np.uint64).view(np.int64)
-        return pa.record_batch([b.column(0).cast(pa.int64()), pa.array(fp)], names=["doc_id", "fp"])
+        fp = np.array([fingerprint(x, shingle) for x in texts(b.column(0))], np.uint64).view(np.int64)
+        return pa.record_batch([*b.columns[1:], pa.array(fp)], names=[*b.schema.names[1:], "fp"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select("text", F.col("doc_id").cast("long"), *more), run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
 def masks(groups: int) -> list[int]:
@@ -139,17 +139,37 @@ def links(fps: DataFrame, groups: int | None = None, hot: int = HOT) -> DataFram
     return spread.mapInArrow(run, "u long, v long")
 
 
+def classes(of_docs: DataFrame) -> DataFrame:
+    """fp, root: every distinct fingerprint and the smallest one it is linked to, directly or not."""
+    fps = cut(of_docs.select("fp").distinct(), "distinct")
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    return cut(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable through links of fingerprints): one row a document."""
     of_docs = cut(fingerprints(docs, shingle), "fingerprints")
-    fps = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(fps))
-    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
+    roots = classes(of_docs)
+    least = of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(roots.join(smallest, "root").select("fp", "component_id"), "named")
     return of_docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each component: that with the smallest doc_id (null last)."""
+    row = F.xxhash64(*docs.columns)
+    of_docs = cut(fingerprints(docs.withColumn("tessella_row", row), shingle, "tessella_row"), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("tessella_row").alias("row"))
+    first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(classes(of_docs), "fp")
+    kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
+    keyed = docs.withColumn("tessella_row", row)
+    out = keyed.join(kept.select(F.col("doc_id").alias("tessella_id"), "row"), F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_row") == F.col("row")), "left_semi")
+    if not of_docs.groupBy("doc_id", "tessella_row").count().where("count > 1").isEmpty():  # rows that repeat in all columns
+        out = out.dropDuplicates(["doc_id", "tessella_row"])
+    return out.select(*docs.columns)
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
