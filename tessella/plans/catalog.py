@@ -1,10 +1,427 @@
-"""Every registered query of the reference's operators, and the SQL that an independent engine runs for it."""
+"""Every registered query of the reference's operators on the driver's tables, and the SQL that an independent engine runs for it.
+
+Surrogates: a study is a user and a day of `events`, its labels are event types, a reader is the parity of the event id,
+prob is value / 100 up to 1. Report sentences are `lineitem` rows citing `l_partkey`; known evidence are small parts.
+Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import rules, text, vocab
+from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+WORDS = ("view", "click", "purchase")
+CRITICAL = ("error", "purchase")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _r(c, n: int = 6) -> Column:
+    return F.round(c, n)
+
+
+def _z(c) -> Column:
+    """Rounded, without a negative zero."""
+    return F.when(_r(c) == 0, F.lit(0.0)).otherwise(_r(c))
+
+
+def readings(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    return e.select(
+        F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("study_id"), F.col("event_type").alias("label"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("reader"),
+        F.least(F.col("value") / 100e0, F.lit(1e0)).alias("prob"), F.col("event_id").cast("string").alias("image_ref"), F.col("event_id").alias("ord"),
+    )
+
+
+_READ = """r AS (SELECT user_id || '-' || CAST(CAST(ts AS DATE) AS VARCHAR) AS study_id, event_type AS label, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS reader,
+  least(value / 100e0, 1e0) AS prob, CAST(event_id AS VARCHAR) AS image_ref, event_id AS ord FROM events)"""
+_MATCH = f"""{_READ}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id, label, reader ORDER BY ord DESC) AS k FROM r) WHERE k = 1),
+m AS (SELECT coalesce(x.study_id, y.study_id) AS study_id, coalesce(x.label, y.label) AS label, x.prob AS a_prob, y.prob AS b_prob
+  FROM (SELECT * FROM l WHERE reader = 'a') x FULL JOIN (SELECT * FROM l WHERE reader = 'b') y ON x.study_id = y.study_id AND x.label = y.label),
+g AS (SELECT *, CASE WHEN a_prob IS NULL OR b_prob IS NULL THEN CASE WHEN coalesce(a_prob, b_prob) >= 0.5 THEN 'unique' ELSE 'agree' END
+  WHEN (a_prob >= 0.5) <> (b_prob >= 0.5) THEN 'presence' WHEN a_prob >= 0.5 AND abs(a_prob - b_prob) >= 0.3e0 THEN 'magnitude' ELSE 'agree' END AS kind,
+  label IN ('view', 'click', 'purchase') AS in_vocabulary FROM m)"""
+_KAPPA = """CASE WHEN {n} = 0 OR ({a} * 1e0 / {n}) * ({b} * 1e0 / {n}) + (1 - {a} * 1e0 / {n}) * (1 - {b} * 1e0 / {n}) >= 1 - 1e-9 THEN 1e0
+  ELSE ({s} * 1e0 / {n} - (({a} * 1e0 / {n}) * ({b} * 1e0 / {n}) + (1 - {a} * 1e0 / {n}) * (1 - {b} * 1e0 / {n}))) / (1 - (({a} * 1e0 / {n}) * ({b} * 1e0 / {n}) + (1 - {a} * 1e0 / {n}) * (1 - {b} * 1e0 / {n}))) END"""
+
+
+def _counts(where: str, x: str) -> str:
+    f = f"FILTER (WHERE {where}"
+    return f"count(*) {f}) AS n{x}, count(*) {f} AND coalesce(a_prob >= 0.5, false)) AS a{x}, count(*) {f} AND coalesce(b_prob >= 0.5, false)) AS b{x}, count(*) {f} AND coalesce(a_prob >= 0.5, false) = coalesce(b_prob >= 0.5, false)) AS s{x}"
+
+
+def _kappa(x: str) -> str:
+    return _KAPPA.format(n=f"n{x}", a=f"a{x}", b=f"b{x}", s=f"s{x}")
+
+
+@query(f"WITH {_MATCH}, k AS (SELECT study_id, {_counts('true', 'w')} FROM m GROUP BY 1) SELECT study_id, nw AS n_labels, round({_kappa('w')}, 6) + 0e0 AS kappa FROM k")
+def reader_agreement_kappa(spark, d):
+    return agreement.kappa(agreement.matched(readings(spark, d))).select("study_id", "n_labels", _z("kappa").alias("kappa"))
+
+
+def _merged(spark, d):
+    return agreement.merge(readings(spark, d), vocabulary=WORDS)
+
+
+@query(f"WITH {_MATCH} SELECT kind, in_vocabulary, count(*) AS n, count(DISTINCT study_id) AS studies FROM g GROUP BY ALL")
+def reader_disagreement_kinds(spark, d):
+    return _merged(spark, d).groupBy("kind", "in_vocabulary").agg(F.count("*").alias("n"), F.count_distinct("study_id").alias("studies"))
+
+
+@query(f"""WITH {_MATCH} SELECT study_id, label, CASE WHEN b_prob IS NULL OR a_prob >= b_prob THEN a_prob ELSE b_prob END AS prob,
+  CASE WHEN b_prob IS NULL OR a_prob >= b_prob THEN 'a' ELSE 'b' END AS source FROM g WHERE kind = 'agree'""")
+def merged_findings(spark, d):
+    return _merged(spark, d).where("kind = 'agree'").select("study_id", "label", "prob", "source")
+
+
+@query(f"WITH {_MATCH}, k AS (SELECT study_id, {_counts('in_vocabulary', 'n')}, {_counts('true', 'w')} FROM g GROUP BY 1) SELECT study_id, nn AS n_narrow, nw AS n_wide, round({_kappa('n')}, 6) + 0e0 AS narrow, round({_kappa('w')}, 6) + 0e0 AS wide FROM k")
+def kappa_narrow_wide(spark, d):
+    return agreement.agreement(agreement.matched(readings(spark, d)), vocabulary=WORDS).select("study_id", "n_narrow", "n_wide", _z("narrow").alias("narrow"), _z("wide").alias("wide"))
+
+
+@query(f"WITH {_READ} SELECT study_id, label, prob, image_ref FROM (SELECT *, row_number() OVER (PARTITION BY study_id, label ORDER BY prob DESC, ord) AS k FROM r) WHERE k = 1")
+def study_max_argmax(spark, d):
+    return findings.argmax_by_label(readings(spark, d), ["study_id", "label"])
+
+
+@query(f"""WITH {_READ}, h AS (SELECT *, row_number() OVER (PARTITION BY study_id, label ORDER BY prob DESC, ord) AS k FROM r WHERE prob >= 0.3 AND label IN ('error', 'purchase')),
+  n AS (SELECT study_id, label, count(DISTINCT reader) AS n FROM h GROUP BY ALL)
+  SELECT h.study_id, h.label, prob, CASE WHEN n > 1 THEN 'both' ELSE reader END AS source, image_ref FROM h JOIN n ON h.study_id = n.study_id AND h.label = n.label WHERE k = 1""")
+def critical_triage(spark, d):
+    return findings.triage(readings(spark, d).withColumnRenamed("reader", "source"), labels=CRITICAL)
+
+
+@query(f"""WITH {_READ}, o AS (SELECT *, row_number() OVER (PARTITION BY study_id, label ORDER BY prob DESC, ord) AS k FROM r),
+  t AS (SELECT study_id, label, prob, ord, CAST(row_number() OVER (PARTITION BY study_id ORDER BY prob DESC, ord) AS INTEGER) AS rank FROM o WHERE k = 1) SELECT * FROM t WHERE rank <= 3""")
+def finding_dedup_cap(spark, d):
+    return findings.dedup_and_cap(readings(spark, d), 3, F.lower(F.trim("label"))).select("study_id", "label", "prob", "ord", "rank")
+
+
+def _disputes(spark, d):
+    m = _merged(spark, d).where("kind <> 'agree'")
+    return m.select(F.element_at(F.split("study_id", "-"), 1).alias("study_id"), F.concat_ws("/", "study_id", "label").alias("ord"), "label", "kind", "in_vocabulary", "a_prob", "b_prob")
+
+
+_DISPUTE = f"""{_MATCH}, q AS (SELECT split_part(study_id, '-', 1) AS study_id, study_id || '/' || label AS ord, label, kind, in_vocabulary, a_prob, b_prob FROM g WHERE kind <> 'agree')"""
+
+
+@query(f"""WITH {_DISPUTE} SELECT study_id, ord, kind, CAST(row_number() OVER w AS INTEGER) AS position, row_number() OVER w <= 12 AS funded FROM q
+  WINDOW w AS (PARTITION BY study_id ORDER BY NOT in_vocabulary, kind = 'unique', ord)""")
+def arbiter_budget_order(spark, d):
+    return findings.budget(_disputes(spark, d)).select("study_id", "ord", "kind", "position", "funded")
+
+
+@query(f"""WITH {_DISPUTE} SELECT ord, kind, CASE WHEN kind = 'unique' THEN 'UNCERTAIN' WHEN kind = 'magnitude' THEN 'CONFIRM' WHEN coalesce(greatest(a_prob, b_prob), 0) >= 0.6 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM q""")
+def offline_arbiter_verdict(spark, d):
+    return _disputes(spark, d).select("ord", "kind", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")).alias("verdict"))
+
+
+@query(f"""WITH {_READ}, p AS (SELECT * FROM (VALUES ('view', 0.7e0), ('error', 0.8e0), ('click', NULL), ('purchase', 0.2e0)) v(label, t))
+  SELECT r.label, CASE WHEN r.label IN ('error', 'purchase') THEN least(coalesce(t, 0.5e0), 0.5e0) ELSE coalesce(t, 0.5e0) END AS threshold, t IS NOT NULL AS calibrated,
+  count(*) AS n, count(*) FILTER (WHERE prob >= CASE WHEN r.label IN ('error', 'purchase') THEN least(coalesce(t, 0.5e0), 0.5e0) ELSE coalesce(t, 0.5e0) END) AS positive FROM r LEFT JOIN p ON r.label = p.label GROUP BY ALL""")
+def calibrated_threshold_join(spark, d):
+    points = spark.createDataFrame([("view", 0.7), ("error", 0.8), ("click", None), ("purchase", 0.2)], "label string, threshold double")
+    rows = findings.with_thresholds(readings(spark, d), points, 0.5, CRITICAL)
+    return rows.groupBy("label", "threshold", "calibrated").agg(F.count("*").alias("n"), F.count_if(F.col("prob") >= F.col("threshold")).alias("positive"))
+
+
+_NAMES = ("Pleural_Effusion", "pleural effusion.", "RIB FRACTURE", "Fractures, Bone", "lung opacity", "unknown thing")
+
+
+@query(f"""WITH w AS (SELECT event_id, [{", ".join(f"'{n}'" for n in _NAMES)}][1 + event_id % {len(_NAMES)}] AS raw FROM events),
+  k AS (SELECT event_id, raw, regexp_replace(lower(raw), '[\\s_\\-.,;:!?''"()/]+', '', 'g') AS key FROM w)
+  SELECT raw, v.label, count(*) AS n FROM k LEFT JOIN (VALUES {", ".join(f"('{k}', '{x}')" for k, x in text.LOOKUP.items())}) v(key, label) ON k.key = v.key GROUP BY ALL""")
+def alias_canonical_join(spark, d):
+    raw = F.get(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES)).cast("int"))
+    return _t(spark, d, "events").select(raw.alias("raw"), text.canonical(raw, ascii_only=True).alias("label")).groupBy("raw", "label").agg(F.count("*").alias("n"))
+
+
+def _cited(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("evidence_id"))
+
+
+def _known(spark, d):
+    return _t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("evidence_id"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, 'dangling' AS reason, list_sort(list(DISTINCT l_partkey)) AS dangling FROM lineitem
+  WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40) GROUP BY ALL""")
+def evidence_violations(spark, d):
+    return evidence.violations(_cited(spark, d), _known(spark, d), ["l_orderkey", "l_linenumber"])
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN p_partkey IS NULL THEN 0 ELSE 1 END) AS ok FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON l_partkey = p_partkey GROUP BY 1, 2)
+  SELECT l_orderkey, count(*) AS claims, CAST(sum(ok) AS BIGINT) AS supported, round(sum(ok) * 1e0 / count(*), 6) AS coverage FROM s GROUP BY 1""")
+def evidence_coverage(spark, d):
+    return evidence.coverage(_cited(spark, d), _known(spark, d), "l_orderkey", ["l_linenumber"]).withColumn("coverage", _r("coverage"))
+
+
+@query("""SELECT l_suppkey, list_sort(list_distinct(list(l_partkey) FILTER (WHERE p_partkey IS NOT NULL))) AS cited FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON l_partkey = p_partkey
+  GROUP BY 1 HAVING count(p_partkey) > 0""")
+def citation_filter_distinct(spark, d):
+    hit = _t(spark, d, "lineitem").join(_known(spark, d), F.col("l_partkey") == F.col("evidence_id"), "left_semi")
+    return hit.groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("cited"))
+
+
+@query("SELECT conv_id, list_sort(list_filter(['user', 'assistant', 'system'], lambda x: NOT list_contains(list(DISTINCT role), x))) AS missing FROM conversations GROUP BY 1")
+def missing_sections(spark, d):
+    return evidence.missing_sections(_t(spark, d, "conversations"), ("user", "assistant", "system"), "conv_id", "role")
+
+
+@query(f"""WITH {_MATCH} SELECT study_id, label, a_prob, b_prob, kind, CASE WHEN kind = 'agree' THEN NULL WHEN kind = 'unique' THEN 'UNCERTAIN' WHEN kind = 'magnitude' THEN 'CONFIRM' WHEN coalesce(greatest(a_prob, b_prob), 0) >= 0.6 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM g""")
+def dual_read_view(spark, d):
+    m = _merged(spark, d)
+    return m.select("study_id", "label", "a_prob", "b_prob", "kind", F.when(F.col("kind") != "agree", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob"))).alias("verdict"))
+
+
+@query("""WITH t AS (SELECT conv_id, string_agg(sha256(text), '|' ORDER BY turn, text) AS notes, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)
+  SELECT doc_id, quality, coalesce(n, 0) AS n_notes, sha256(coalesce(notes, '')) AS notes FROM labels LEFT JOIN t ON doc_id = conv_id""")
+def describer_notes(spark, d):
+    told = _t(spark, d, "conversations").where("role = 'assistant'").select(F.col("conv_id").cast("string").alias("study_id"), F.lit("note").alias("label"), "text", F.struct("turn", "text").alias("ord"))
+    found = _t(spark, d, "labels").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("study_id"), F.lit("note").alias("label"), "quality", F.array().cast("array<string>").alias("notes"))
+    out = agreement.describe(found, told)
+    return out.select("doc_id", "quality", F.size("notes").cast("long").alias("n_notes"), F.sha2(F.array_join(F.transform("notes", lambda x: F.sha2(x, 256)), "|"), 256).alias("notes"))
+
+
+@query("""SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE contains(lower(CAST(doc_id AS VARCHAR)), 'license') OR contains(lower(coalesce(text, '')), 'license') OR contains(lower(coalesce(source, '')), 'license')
+  ORDER BY doc_id IN (10, 20, 30) DESC, doc_id LIMIT 20""")
+def study_search_page(spark, d):
+    docs = _t(spark, d, "documents")
+    found = docs.where(search.matches(" License ", F.col("doc_id"), [F.col("text"), F.col("source")])).select("doc_id", "source")
+    return search.page(found, [F.col("doc_id").isin(10, 20, 30).desc(), F.col("doc_id")], 20)
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_run_per_study(spark, d):
+    # a maximum of structs: no sort, partial aggregation
+    return _t(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+
+
+@query("SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS VARCHAR)[1:10] AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+def run_newest_first(spark, d):
+    return _t(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").cast("string").alias("day"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def run_point_lookup(spark, d):
+    orders = _t(spark, d, "orders")
+    return orders.join(F.broadcast(orders.agg(F.max("o_orderkey").alias("o_orderkey"))), "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]+', '[redacted-email]', 'g'), '\b\d{13,19}\b', '[redacted-number]', 'g')) AS clean FROM documents""")
+def redact_text(spark, d):
+    c = F.col("text")
+    for pattern, to in rules.REDACTIONS[1:3]:  # those that an engine without lookaround can check; redact_all runs all four
+        c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("clean"))
+
+
+@query()
+def redact_all(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("clean"), (text.redact(F.col("text")) != F.col("text")).alias("changed"))
+
+
+@query()
+def scrub_text(spark, d):
+    now, fired = text.scrub(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", fired.alias("fired"), F.sha2(F.col("text"), 256).alias("before"), F.sha2(now, 256).alias("after"))
+
+
+_RE2 = [(p.replace("(?i)", ""), c) for p, c in rules.ATTACKS]
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS s FROM conversations)
+  SELECT conv_id, turn, CASE {" ".join(f"WHEN regexp_matches(s, '{p}', 'i') THEN '{c}'" for p, c in _RE2)} ELSE '' END AS category FROM t""")
+def detect_injection_category(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.injection_category(F.col("text"), nfkc=False).alias("category"))
+
+
+_ASCII_RED = [(k, p) for k, p in rules.REDLINES if p.isascii() and "(?!" not in p]
+
+
+@query(f"""SELECT doc_id, {", ".join(f"CAST({' + '.join(f"len(regexp_extract_all(text, '(?i){p}'))" for k2, p in _ASCII_RED if k2 == k)} AS INTEGER) AS {k}" for k in ("diagnostic", "exclusion", "treatment"))} FROM documents""")
+def redline_counts(spark, d):
+    found = _t(spark, d, "documents").select("doc_id", text.redlines(F.col("text")).alias("r"))
+    return found.select("doc_id", *(F.size(F.filter("r", lambda x, k=k: x["kind"] == k)).alias(k) for k in ("diagnostic", "exclusion", "treatment")))
+
+
+@query()
+def neutral_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.neutral(F.col("text")), 256).alias("clean"))
+
+
+@query("""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: NOT contains(x, 'the') AND x <> '') AS w, contains(text, 'the') AS has FROM documents)
+  SELECT doc_id, CAST(len(w) AS INTEGER) AS kept, has FROM w""")
+def marked_word_drop(spark, d):
+    words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: ~w.contains("the") & (w != ""))
+    return _t(spark, d, "documents").select("doc_id", F.size(words).alias("kept"), F.contains(F.col("text"), F.lit("the")).alias("has"))
+
+
+@query()
+def xxxx_token_drop(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.drop_marked(F.col("text"), "the"), 256).alias("clean"))
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(text, '[.;,\n。；，]+'), lambda x: trim(regexp_replace(x, '^\\s*(?:\\d+[.)]|[-•])\\s*', ''), ' ')), lambda x: x <> '')) AS INTEGER) AS n FROM documents""")
+def clause_segments(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(text.segments(F.col("text"))).alias("n"))
+
+
+@query("""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]*the [^.!?]*')) AS s FROM documents), l AS (SELECT doc_id, lower(s) AS s FROM s)
+  SELECT doc_id, CASE WHEN contains(substr(s, 1, strpos(s, 'the ') - 1) || ' ', 'no ') OR contains(substr(s, 1, strpos(s, 'the ') - 1) || ' ', 'without') THEN 'negated' ELSE 'affirmed' END AS class, count(*) AS n FROM l GROUP BY ALL""")
+def keyword_negation_class(spark, d):
+    s = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([^.!?]*the [^.!?]*)"), F.lit(1))).alias("s"))
+    kind = text.mention_class(F.col("s"), F.lit("the "))
+    return s.select("doc_id", F.when(kind == "negated", "negated").otherwise("affirmed").alias("class")).groupBy("doc_id", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT conv_id, turn, CASE {" ".join(f"WHEN contains(lower(trim(text)), '{w.replace(chr(39), chr(39) * 2)}') THEN {p}e0" for w, p in sorted(((w, p) for p, ws in vocab.CONFIDENCE.items() for w in ws), key=lambda x: -len(x[0])))} ELSE 0.3e0 END AS p FROM conversations""")
+def confidence_bucket(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.confidence(F.col("text")).alias("p"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_extract(spark, d):
+    return _t(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS paragraphs FROM pages""")
+def html_text_scan(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<p>"), F.lit(0))).alias("paragraphs"))
+
+
+@query("SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '' GROUP BY 1")
+def payload_leak_scan(spark, d):
+    truths = _t(spark, d, "benchmark").select("item_id", F.col("text").alias("value"))
+    hits = retrieval.contains_join(_t(spark, d, "documents").select("doc_id", "text"), "text", truths, "value")
+    return hits.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+_F64 = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_F64} AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.e, d.e), 6) AS sim FROM v q JOIN v d ON q.vec_id % 100 = 0)
+  SELECT query_id, doc_id, sim, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+def vector_topk(spark, d):
+    v = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    docs = v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("d"), F.col("vec_id").alias("ord"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
+    pairs = retrieval.blocked(docs, asked, None).withColumn("sim", _r(retrieval.dot(F.col("q"), F.col("d"))))
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("query_id", "doc_id", "sim", "rank")
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), b AS (SELECT item_id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) AS bucket, count(*) * 1e0 AS n FROM w GROUP BY ALL)
+  SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM b""")
+def hash_embed(spark, d):
+    return retrieval.hashed_words(_t(spark, d, "benchmark"), "item_id", "text").withColumn("weight", _r("weight"))
+
+
+def _scored(spark, d):
+    return _t(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("score"), (F.col("label") < 3).alias("positive"))
+
+
+@query("""WITH s AS (SELECT round(CAST(embedding[1] AS DOUBLE), 1) AS score, label < 3 AS positive FROM embeddings), r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS r FROM s)
+  SELECT round((sum(r) FILTER (WHERE positive) - count(*) FILTER (WHERE positive) * (count(*) FILTER (WHERE positive) + 1) / 2e0) / (count(*) FILTER (WHERE positive) * count(*) FILTER (WHERE NOT positive)), 6) AS auc FROM r""")
+def auc_rank_sum(spark, d):
+    return calibrate.auc(_scored(spark, d).withColumn("score", _r("score", 1)), []).select(_r("auc").alias("auc"))
+
+
+def _qualities(spark, d):
+    return _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id").select("lang", F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("positive"))
+
+
+_Q = "q AS (SELECT lang, CAST(n_chars AS DOUBLE) AS score, quality = 1 AS positive FROM labels JOIN documents USING (doc_id))"
+
+
+@query(f"WITH {_Q}, n AS (SELECT lang, list_sort(list(score)) AS s FROM q WHERE NOT positive GROUP BY 1) SELECT lang, s[1 + CAST(least(len(s) - 1, round_even(0.9e0 * len(s), 0)) AS BIGINT)] AS threshold FROM n")
+def threshold_at_specificity(spark, d):
+    return calibrate.threshold_at_specificity(_qualities(spark, d).where("NOT positive"), ["lang"], 0.9)
+
+
+@query(f"WITH {_Q}, n AS (SELECT lang, list_sort(list(score)) AS s FROM q WHERE positive GROUP BY 1) SELECT lang, s[1 + CAST(greatest(0, round_even((1 - 0.9e0) * len(s), 0) - 1) AS BIGINT)] AS threshold FROM n")
+def threshold_at_sensitivity(spark, d):
+    return calibrate.threshold_at_sensitivity(_qualities(spark, d).where("positive"), ["lang"], 0.9)
+
+
+@query(f"""WITH {_Q}, n AS (SELECT lang, list_sort(list(score)) AS s FROM q WHERE NOT positive GROUP BY 1), t AS (SELECT lang, s[1 + CAST(least(len(s) - 1, round_even(0.9e0 * len(s), 0)) AS BIGINT)] AS threshold FROM n)
+  SELECT lang, threshold, round(avg(CASE WHEN NOT positive THEN CASE WHEN score < threshold THEN 1e0 ELSE 0e0 END END), 4) AS specificity, round(avg(CASE WHEN positive THEN CASE WHEN score >= threshold THEN 1e0 ELSE 0e0 END END), 4) AS sensitivity,
+  round(avg(CASE WHEN NOT positive THEN CASE WHEN score >= 0.5 THEN 1e0 ELSE 0e0 END END), 4) AS positive_rate_at_half, count(*) FILTER (WHERE positive) AS n_pos, count(*) FILTER (WHERE NOT positive) AS n_neg FROM q JOIN t USING (lang) GROUP BY 1, 2""")
+def operating_points(spark, d):
+    q = _qualities(spark, d)
+    return calibrate.rates(q, calibrate.threshold_at_specificity(q.where("NOT positive"), ["lang"], 0.9), ["lang"])
+
+
+@query("""WITH x AS (SELECT doc_id, toxic, n_chars > 1500 AS hit, lang FROM labels JOIN documents USING (doc_id))
+  SELECT lang, count(*) FILTER (WHERE toxic = 1) AS n, count(*) FILTER (WHERE toxic = 1 AND hit) AS hits, round(count(*) FILTER (WHERE toxic = 1 AND hit) * 1e0 / nullif(count(*) FILTER (WHERE toxic = 1), 0), 6) AS recall,
+  round(count(*) FILTER (WHERE toxic = 0 AND hit) * 1e0 / nullif(count(*) FILTER (WHERE toxic = 0), 0), 6) AS false_positive_rate FROM x GROUP BY GROUPING SETS ((lang), ())""")
+def gold_recall_fpr(spark, d):
+    x = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id").withColumn("hit", F.col("n_chars") > 1500)
+    pos, neg = F.col("toxic") == 1, F.col("toxic") == 0
+    of = x.rollup("lang").agg(F.count_if(pos).alias("n"), F.count_if(pos & F.col("hit")).alias("hits"), F.count_if(neg).alias("m"), F.count_if(neg & F.col("hit")).alias("f"))
+    return of.select("lang", "n", "hits", _r(F.try_divide("hits", "n")).alias("recall"), _r(F.try_divide("f", "m")).alias("false_positive_rate"))
+
+
+@query(f"""WITH {_MATCH}, c AS (SELECT count(*) AS n, bool_and(abs(coalesce(a_prob, b_prob)) <= 1) AS ok FROM m), lb AS (SELECT count(*) AS n, bool_and(quality IN (0, 1)) AS ok FROM labels), p AS (SELECT count(*) AS n, bool_and(p_size <= 40) AS ok FROM part),
+  s AS (SELECT 'bounds' AS suite, true AS hard, n, ok AND n >= 10 AS passed FROM c UNION ALL SELECT 'labels', true, n, ok AND n >= 10 FROM lb UNION ALL SELECT 'parts', true, n, ok AND n >= 10 FROM p)
+  SELECT list_sort(list(suite) FILTER (WHERE hard AND NOT passed)) AS hard_failures, bool_and(passed) FILTER (WHERE hard) AS gate_pass FROM s""")
+def gate_rollup(spark, d):
+    m = agreement.matched(readings(spark, d))
+    of = lambda rows, name, ok: gates.suite(rows, name, True, {"ok": F.bool_and(ok).cast("int")}, F.col("ok") == 1)
+    rows = of(m, "bounds", F.abs(F.coalesce("a_prob", "b_prob")) <= 1).union(of(_t(spark, d, "labels"), "labels", F.col("quality").isin(0, 1))).union(of(_t(spark, d, "part"), "parts", F.col("p_size") <= 40))
+    return gates.rollup(gates.with_least(rows, 10))
+
+
+@query("""SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) - epoch_us(min(ts)) END AS latency_us,
+  coalesce(min(ts) FILTER (WHERE event_type = 'error') < min(ts) FILTER (WHERE event_type = 'purchase'), false) AS alert_first FROM events GROUP BY 1""")
+def trace_latency_order(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("ts")))
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.max(us) - F.min(us)).alias("latency_us"), F.coalesce(first("error") < first("purchase"), F.lit(False)).alias("alert_first"))
+
+
+@query("SELECT event_type, round(avg(CASE WHEN value / 100e0 >= 0.5 THEN 1e0 ELSE 0e0 END), 6) AS positive_rate, count(*) AS n FROM events GROUP BY 1")
+def weak_label_positive_rate(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(_r(F.avg((F.col("value") / 100e0 >= 0.5).cast("double"))).alias("positive_rate"), F.count("*").alias("n"))
+
+
+@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type <> 'view'), 4) AS mean_delta, arg_max(event_type, (value, -event_id)) AS top FROM events GROUP BY 1")
+def excluding_target_mean(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(_r(F.avg(F.when(F.col("event_type") != "view", F.col("value"))), 4).alias("mean_delta"), F.max(F.struct("value", (-F.col("event_id")).alias("k"), "event_type"))["event_type"].alias("top"))
+
+
+@query(f"""WITH {_MATCH}, k AS (SELECT study_id, {_counts('true', 'w')}, count(*) FILTER (WHERE kind <> 'agree') AS dis FROM g GROUP BY 1), s AS (SELECT round(avg({_kappa('w')}), 6) AS mean_kappa, round(avg(CASE WHEN dis > 0 THEN 1e0 ELSE 0e0 END), 6) AS disagreeing_share FROM k)
+  SELECT *, CASE WHEN mean_kappa >= 0.4 AND disagreeing_share <= 0.4 THEN 'reader' ELSE 'describer' END AS decision FROM s""")
+def peer_or_describer(spark, d):
+    m = _merged(spark, d)
+    of = agreement.kappa(m).join(m.groupBy("study_id").agg(F.count_if(F.col("kind") != "agree").alias("n_disagreements")), "study_id")
+    return calibrate.keep_as_peer(of).withColumns({"mean_kappa": _r("mean_kappa"), "disagreeing_share": _r("disagreeing_share")})
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def allowlist_projection(spark, d):
+    return _t(spark, d, "events").select(*(c for c in _t(spark, d, "events").columns if c in ("event_id", "user_id", "event_type", "value")))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn, count(DISTINCT role) AS roles, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY 1")
+def trace_scores(spark, d):
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_distinct("role").alias("roles"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
