@@ -1,0 +1,67 @@
+"""Pixel statistics. Numpy only; decoding is a plug-in (Pillow, pydicom) that is imported where it is used."""
+
+from __future__ import annotations
+
+import io
+
+import numpy as np
+
+GRID, TINY = 128, 1e-6
+
+
+def resampled(a: np.ndarray, n: int = GRID) -> np.ndarray:
+    """a on an n x n grid, nearest neighbour."""
+    y, x = (np.minimum((np.arange(n) + 0.5) * s / n, s - 1).astype(int) for s in a.shape)
+    return a[np.ix_(y, x)].astype(float)
+
+
+def symmetry(a: np.ndarray) -> float:
+    """Correlation of the film with its mirror image; 0 for a flat one."""
+    g = resampled(a)
+    m = g[:, ::-1]
+    g, m = g - g.mean(), m - m.mean()
+    scale = float(np.sqrt((g**2).sum() * (m**2).sum()))
+    return float((g * m).sum() / scale) if scale > TINY else 0.0
+
+
+def windowed(a: np.ndarray, slope: float = 1.0, intercept: float = 0.0, inverted: bool = False) -> np.ndarray:
+    """Raw detector values as 8 bits between the 0.5th and 99.5th percentile."""
+    if a.ndim != 2:
+        raise ValueError("not a single film")
+    v = a.astype(float) * slope + intercept
+    low, high = np.percentile(v, [0.5, 99.5])
+    out = np.clip((v - low) / max(high - low, TINY), 0, 1)
+    return np.rint((1 - out if inverted else out) * 255).astype(np.uint8)
+
+
+def perturbed(a: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A slightly brighter, slightly noisy copy; the seed belongs to the row, not to its partition."""
+    return np.clip(a * 1.05 + np.random.default_rng(seed).normal(0, 3, a.shape), 0, 255).astype(np.uint8)
+
+
+def peak(heat: np.ndarray) -> tuple[float, float, float] | None:
+    """Centre and radius (in shares of the sides) of a positive activation map; none without activation."""
+    if heat.max() <= 0:
+        return None
+    y, x = np.unravel_index(int(heat.argmax()), heat.shape)
+    share = float((heat >= heat.max() / 2).mean())
+    return (x + 0.5) / heat.shape[1], (y + 0.5) / heat.shape[0], float(np.sqrt(share / np.pi))
+
+
+def decoded(path: str, content: bytes) -> np.ndarray:
+    if path.lower().endswith((".dcm", ".dicom")):
+        import pydicom
+
+        ds = pydicom.dcmread(io.BytesIO(content))
+        return windowed(ds.pixel_array, float(getattr(ds, "RescaleSlope", 1)), float(getattr(ds, "RescaleIntercept", 0)), ds.PhotometricInterpretation == "MONOCHROME1")
+    from PIL import Image
+
+    return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
+
+
+def describe(path: str, content: bytes, decode=None) -> tuple:
+    try:
+        a = (decode or decoded)(path, content)
+        return path, a.shape[1], a.shape[0], float(a.mean()), float(a.std()), symmetry(a), None
+    except Exception as e:  # an undecodable film is a row with its error, not a failed job
+        return path, None, None, None, None, None, f"{type(e).__name__}: {e}"
