@@ -37,6 +37,8 @@ ORDER = 5
 FOLDS = 5
 LEAST = 5
 QUANTILE, MARGIN = 0.98, 1.25
+#: Trusted ids (8 bytes each) up to which they are sent to all tasks.
+BROADCAST_IDS = 1_000_000
 #: Rows of the model in a shard, about.
 SHARD_ROWS = 1_500_000
 #: Characters are classes of 12 bits: themselves below 3,072, else one of 1,023 by remainder; 0 stands before a text.
@@ -68,6 +70,16 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], lengths
 
 
+def chunks(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about size characters together; a longer text is alone."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held > size or k == len(texts) - 1:
+            yield at, k + 1
+            at, held = k + 1, 0
+
+
 def count_grams(docs: DataFrame) -> DataFrame:
     """lang, key, n: counts of the highest order over docs (text, lang)."""
 
@@ -76,9 +88,13 @@ def count_grams(docs: DataFrame) -> DataFrame:
             langs = b.column(1).to_pylist()
             texts = b.column(0).to_pylist()
             for lang in sorted({*langs}):
-                keys, _ = grams([t for t, x in zip(texts, langs) if x == lang])
-                k, n = np.unique(keys, return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
+                own = [t for t, x in zip(texts, langs) if x == lang]
+                keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                for i, j in chunks(own):  # a chunk's counts are added to those of the batch
+                    k, n = np.unique(grams(own[i:j])[0], return_counts=True)
+                    keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
+                    counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
+                yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "key", "n"])
 
     return docs.select("text", "lang").mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
@@ -243,12 +259,9 @@ def _score_batch(texts: list, langs: list, path: str, shards: int) -> np.ndarray
     out = np.full(len(texts), np.nan)
     for lang in sorted(set(langs), key=str):
         own = [i for i, x in enumerate(langs) if x == lang]
-        at, size = 0, 0
-        for k, i in enumerate(own):  # about 4 million characters at once
-            size += len(texts[i] or "")
-            if size > 4_000_000 or k == len(own) - 1:
-                out[own[at : k + 1]] = perplexities([texts[j] or "" for j in own[at : k + 1]], lang, path, shards)
-                at, size = k + 1, 0
+        mine = [texts[i] or "" for i in own]
+        for i, j in chunks(mine):
+            out[own[i:j]] = perplexities(mine[i:j], lang, path, shards)
     return out
 
 
@@ -267,6 +280,9 @@ class Classifier:
 def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Classifier:
     """Counts, model and thresholds from the documents that labels mark with quality 1."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    good = cut(good, "good")
+    if good.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
+        good = F.broadcast(good)
     trusted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null").join(good, "doc_id", "left_semi")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
     path, shards = write_shards(cut(model(trusted.where(fold != 0)), "rows"))
