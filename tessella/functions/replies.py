@@ -86,5 +86,6 @@ def draft_sentences(reply: Column) -> Column:
     none = F.array().cast(f"array<struct<{SENTENCE}>>")
     of = lambda s: F.coalesce(F.transform(keyed[s], lambda x: F.struct(x["text"].alias("text"), F.lit(s).alias("section"), x["evidence_ids"].alias("evidence_ids"))), none)
     by_key = F.concat(*(of(s) for s in vocab.SECTIONS))
-    ordered = F.concat(*(F.filter(F.coalesce(flat, none), lambda x, s=s: x["section"] == s) for s in vocab.SECTIONS))
+    in_section = lambda s: F.filter(F.coalesce(flat, none), lambda x: x["section"] == s)
+    ordered = F.concat(*map(in_section, vocab.SECTIONS))
     return F.filter(F.when(F.size(by_key) > 0, by_key).otherwise(ordered), lambda x: F.coalesce(F.trim(x["text"]) != "", F.lit(False)))

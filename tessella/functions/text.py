@@ -115,7 +115,11 @@ def untrusted(c: Column, label: str = "UNTRUSTED") -> Column:
 def redlines(c: Column) -> Column:
     """array<struct<kind, matched>> of every rule's matches after folding widths, rule by rule."""
     t = fold_width(c)
-    return F.flatten(F.array(*(F.transform(F.regexp_extract_all(t, F.lit("(?i)" + p), F.lit(0)), lambda m, k=kind: F.struct(F.lit(k).alias("kind"), m.alias("matched"))) for kind, p in rules.REDLINES)))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit("(?i)" + pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("matched")))
+
+    return F.flatten(F.array(*(of(*rule) for rule in rules.REDLINES)))
 
 
 def neutral(c: Column) -> Column:

@@ -261,7 +261,8 @@ _ASCII_RED = [(k, p) for k, p in rules.REDLINES if p.isascii() and "(?!" not in
 @query(f"""SELECT doc_id, {", ".join(f"CAST({' + '.join(f"len(regexp_extract_all(text, '(?i){p}'))" for k2, p in _ASCII_RED if k2 == k)} AS INTEGER) AS {k}" for k in ("diagnostic", "exclusion", "treatment"))} FROM documents""")
 def redline_counts(spark, d):
     found = _t(spark, d, "documents").select("doc_id", text.redlines(F.col("text")).alias("r"))
-    return found.select("doc_id", *(F.size(F.filter("r", lambda x, k=k: x["kind"] == k)).alias(k) for k in ("diagnostic", "exclusion", "treatment")))
+    n = lambda k: F.size(F.filter("r", lambda x: x["kind"] == k)).alias(k)
+    return found.select("doc_id", *map(n, ("diagnostic", "exclusion", "treatment")))
 
 
 @query()

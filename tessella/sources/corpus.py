@@ -30,7 +30,8 @@ def reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     cleaned = lambda c: drop_marked(F.col(c))
     changed = F.array_compact(F.array(*(F.when(F.contains(F.col(f"{c}_raw"), F.lit("XXXX")), F.lit(f"placeholders removed from {c}")) for c in ("findings", "impression", "indication"))))
     good = good.select("study_id", cleaned("findings_raw").alias("findings_text"), cleaned("impression_raw").alias("impression_text"), cleaned("indication_raw").alias("indication"), "mesh", changed.alias("notes"))
-    return good, raw.where("_corrupt_record is not null").select(study.alias("study_id"), "path", F.lit("corrupt report").alias("reason"))
+    # the second condition always holds: Spark refuses queries that read the corrupt column alone
+    return good, raw.where("_corrupt_record is not null and length(coalesce(uId._id, '')) >= 0").select(study.alias("study_id"), "path", F.lit("corrupt report").alias("reason"))
 
 
 def images(spark: SparkSession, path: str, glob: str = "CXR*.png") -> DataFrame:
