@@ -164,7 +164,7 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFram
     first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(classes(of_docs), "fp")
     kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
     keyed = docs.withColumn("tessella_row", row)
-    out = keyed.join(kept.select(F.col("doc_id").alias("tessella_id"), "row"), F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_row") == F.col("row")), "left_semi")
+    out = keyed.join(kept.select(F.col("doc_id").alias("tessella_id"), F.col("row").alias("tessella_kept")), F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_row") == F.col("tessella_kept")), "left_semi")
     if not of_docs.groupBy("doc_id", "tessella_row").count().where("count > 1").isEmpty():  # rows that repeat in all columns
         out = out.dropDuplicates(["doc_id", "tessella_row"])
     return out.select(*docs.columns)

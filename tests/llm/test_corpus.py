@@ -196,7 +196,7 @@ def test_packing(spark):
             assert o == at
             at += n
         assert at <= 2048
-    assert len(seqs) == math.ceil(sum(r["length"] for r in got) / 2048)
+    assert len(seqs) == 7  # four full ones; 1501, 905, 701 and three of 301 don't fit in two
     one = next(r for r in got if r["doc_id"] == 1)
     e = packing.Encoder(packing.tokenizer_path())
     assert one["ids_crc32"] == zlib.crc32(np.array([*e.whole.encode("word", add_special_tokens=False).ids, 0], "<u4").tobytes())
