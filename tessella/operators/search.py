@@ -25,9 +25,8 @@ def matches(needle: str, identifier: Column, texts: list[Column], terms: Column
 
 def page(found: DataFrame, order: list[Column], limit: int) -> DataFrame:
     """The first limit rows (all, if 0 or less) and total, how many there are."""
-    total = found.agg(F.count("*").alias("total"))
     top = found.orderBy(*order) if limit <= 0 else found.orderBy(*order).limit(limit)
-    return top.crossJoin(F.broadcast(total))  # total has one row
+    return top.withColumn("total", F.lit(found.count()).cast("long"))
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
