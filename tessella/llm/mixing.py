@@ -101,7 +101,7 @@ def located(docs: DataFrame, sources: DataFrame) -> DataFrame:
     of = of.select(F.col("idx").alias("i"), F.col("bucket").alias("b"), (F.sum("n").over(Window.partitionBy("idx").orderBy("bucket")) - F.col("n")).alias("ahead"))
     within = Window.partitionBy("idx", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     docs = docs.withColumn("within", F.sum("size").over(within) - F.col("size"))
-    return docs.join(of, (F.col("idx") == F.col("i")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("ahead") + F.col("within")).drop("i", "b", "bucket", "ahead", "within")
+    return docs.join(of.hint("merge"), (F.col("idx") == F.col("i")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("ahead") + F.col("within")).drop("i", "b", "bucket", "ahead", "within")
 
 
 def _spans(docs: DataFrame, block: int) -> DataFrame:
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sources = cut(plan_sources(own, block), "sources")
     at = located(own, sources)
     times = placements(sources).groupBy("idx", "block").agg(F.count("*").alias("times"))
-    taken = _spans(at, block).join(times, ["idx", "block"], "left").groupBy("idx", "start", "doc_id", "size", "source_size", "target").agg(F.sum((F.col("to") - F.col("from")) * F.coalesce("times", F.lit(0))).alias("taken"))
+    taken = _spans(at, block).join(times.hint("merge"), ["idx", "block"], "left").groupBy("idx", "start", "doc_id", "size", "source_size", "target").agg(F.sum((F.col("to") - F.col("from")) * F.coalesce("times", F.lit(0))).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     none = own.where("size = 0").join(sources.select(F.col("source").alias("s"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s")))
     return taken.select(*out).union(none.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
@@ -128,14 +128,14 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     key = F.xxhash64(*docs.columns)
     own = cut(sized(docs, key.alias("key")), "sized")
     sources = cut(plan_sources(own, block), "sources")
-    spans = _spans(located(own, sources), block).join(placements(sources).select("idx", "block", "epoch"), ["idx", "block"])
+    spans = _spans(located(own, sources), block).join(placements(sources).select("idx", "block", "epoch").hint("merge"), ["idx", "block"])
     parts = spans.groupBy("doc_id", "key", "idx", "start", "epoch", "size").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("ranges"), F.sum(F.col("to") - F.col("from")).alias("n"))
-    parts = parts.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.when(F.col("n") < F.col("size"), F.col("ranges")).alias("_ranges"))
-    keyed = docs.withColumn("_own", key).dropDuplicates(["doc_id", "_own"])
-    both = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    parts = parts.select(F.col("doc_id").alias("tessella_id"), F.col("key").alias("tessella_key"), F.when(F.col("n") < F.col("size"), F.col("ranges")).alias("tessella_ranges"))
+    keyed = docs.withColumn("tessella_own", key).dropDuplicates(["doc_id", "tessella_own"])
+    both = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_own") == F.col("tessella_key")))
     words = F.split(F.trim(F.regexp_replace("text", GAP, " ")), " ")
-    some = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
-    both = both.withColumn("text", F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(some))
+    some = F.array_join(F.flatten(F.transform("tessella_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    both = both.withColumn("text", F.when(F.col("tessella_ranges").isNull(), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast("long"))
     return both.select(*docs.columns)
