@@ -29,6 +29,8 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 MIN_GROUP = 60
 STEPS = 3
+#: Groups (about 300 bytes each) whose parameters are sent to all tasks.
+BROADCAST_GROUPS = 50_000
 #: Squared Mahalanobis distance beyond which a vector is rejected. The vectors have heavier tails than a normal
 #: distribution, so the cut lies far beyond its 0.999 quantile (20.5 with five components).
 CUT = 150.0
@@ -142,6 +144,11 @@ def _diagonal(centre: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
     return pd.Series([one(*x) for x in zip(centre, low, high)])
 
 
+def _sent(params: DataFrame):
+    """How a table of a row a group is joined: sent to all tasks up to BROADCAST_GROUPS groups, shuffled beyond."""
+    return F.broadcast if params.count() <= BROADCAST_GROUPS else lambda df: df
+
+
 def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
     """A row for each group of keys (no nulls) with its parameters p: centre, then upper triangle of the inverse scatter."""
     rows = counted.select(*keys, *(x.alias(f"x{i}") for i, x in enumerate(vector())))
@@ -150,10 +157,11 @@ def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
     first = rows.groupBy(*keys).agg(F.array(*_moments(F.lit(True))).alias("s"), *(q.alias(f"q{i}") for i, q in enumerate(quartiles))).where(F.col("s")[0] >= MIN_GROUP)
     at = lambda k: F.array(*(F.col(f"q{i}")[k] for i in range(DIM)))
     params = cut(first.select(*keys, _diagonal(at(1), at(0), at(2)).alias("p0"), _plain("s").alias("p1")), "mcd")
+    sent = _sent(params)
     for _ in range(steps):
-        near = rows.join(params, keys).withColumns({"d0": _distance("p0"), "d1": _distance("p1")})
+        near = rows.join(sent(params), keys).withColumns({"d0": _distance("p0"), "d1": _distance("p1")})
         half = near.groupBy(*keys).agg(*(F.percentile_approx(f"d{k}", F.lit(0.5), 1000).alias(f"h{k}") for k in (0, 1)))
-        nearest = near.join(half, keys)
+        nearest = near.join(sent(half), keys)
         sums = nearest.groupBy(*keys).agg(*(F.array(*_moments(F.col(f"d{k}") <= F.col(f"h{k}"))).alias(f"s{k}") for k in (0, 1)))
         params = cut(sums.select(*keys, *(_params(f"s{k}").alias(f"p{k}") for k in (0, 1)), *(_logdet(f"s{k}").alias(f"l{k}") for k in (0, 1))), "mcd")
     return params.select(*keys, F.when(F.col("l0") <= F.col("l1"), F.col("p0")).otherwise(F.col("p1")).alias("p"))
@@ -166,7 +174,7 @@ def quality_outliers(docs: DataFrame, cut_at: float = CUT) -> DataFrame:
     keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source"))}).fillna("", ["k_lang", "k_source"])
     keys = ["k_lang", "k_source"]
     params = mcd(keyed.where(~F.col("base_failed")), keys)
-    judged = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())}).join(params, keys, "left").withColumn("distance", _distance("p"))
+    judged = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())}).join(_sent(params)(params), keys, "left").withColumn("distance", _distance("p"))
     return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut_at)).alias("kept"))
 
 
