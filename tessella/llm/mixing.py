@@ -134,7 +134,8 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     keyed = docs.withColumn("tessella_own", key).dropDuplicates(["doc_id", "tessella_own"])
     both = keyed.join(parts, F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_own") == F.col("tessella_key")))
     words = F.split(F.trim(F.regexp_replace("text", GAP, " ")), " ")
-    some = F.array_join(F.flatten(F.transform("tessella_ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    taken = lambda w: F.array_join(F.flatten(F.transform("tessella_ranges", lambda r: F.slice(w, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    some = F.get(F.transform(F.array(words), taken), F.lit(0))  # bound to a variable, the words are split once, not once a range
     both = both.withColumn("text", F.when(F.col("tessella_ranges").isNull(), F.col("text")).otherwise(some))
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.length("text").cast("long"))
