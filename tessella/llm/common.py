@@ -48,13 +48,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices, so that no more than these rows are Python objects at a time."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """One output batch for each input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
+        for b in slices(batches):
+            yield fn(b)
 
     return df.mapInArrow(run, schema)
 
@@ -74,6 +80,16 @@ def n_words(c: Column) -> Column:
     return F.when(body == "", F.lit(0)).otherwise(F.length(body) - F.length(F.translate(body, " ", "")) + 1).cast("long")
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def take_over(name: str, clear: Callable[[], None]) -> None:
+    """Called in a Python worker by the operator that runs there: caches of other operators, left from earlier stages, go."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
+
+
 def unsigned_mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64, vectorised."""
     x = x.astype(np.uint64, copy=True)

@@ -6,7 +6,7 @@ quality 1. Counting is a sharded aggregate: each task counts its own n-grams fir
 orders get continuation counts from the types of the next higher one. Discounts are the modified ones (D1, D2, D3+ from
 counts of counts, by language and order), and a key's probability and its context's back-off weight are joined at that
 key. The finished table is written in shards by hash in the shared folder; a task that scores documents streams shard
-after shard past its n-grams, so it never holds more than one, and sums logarithms by document.
+after shard past its n-grams, holds HELD of them at most, and sums logarithms by document.
 
 Every shard is one count join for all documents of a batch: an n-gram is looked up in the shard its hash names, and
 those not found go down an order with the back-off weight of their context. Thresholds are quantiles, by language, of
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_arrow, table, unsigned_mix
+from .common import cut, fresh, map_arrow, slices, table, take_over, unsigned_mix
 
 ORDER = 5
 FOLDS = 5
@@ -39,22 +40,22 @@ LEAST = 5
 QUANTILE, MARGIN = 0.98, 1.25
 #: Trusted ids (8 bytes each) up to which they are sent to all tasks.
 BROADCAST_IDS = 1_000_000
-#: Rows of the model in a shard, about.
-SHARD_ROWS = 1_500_000
+#: Rows of the model in a shard, about, and shards that a worker holds.
+SHARD_ROWS, HELD = 1_500_000, 4
 #: Characters are classes of 12 bits: themselves below 3,072, else one of 1,023 by remainder; 0 stands before a text.
 BITS = 12
 _MASK = np.uint64((1 << BITS) - 1)
 
 
-def classes(text: str) -> np.ndarray:
-    """Class of each character; every white space is a blank, runs of them one."""
-    c = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+def classes(text: str, spaced: bool = False) -> np.ndarray:
+    """Class of each character; every white space is a blank, runs of them one (spaced: they are already)."""
+    c = np.frombuffer((text if spaced else " ".join(text.split())).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     return np.where(c < 3072, np.maximum(c, 1), 3072 + 1 + c % 1023)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the ORDER-grams that end at each character (12 bits a character, the last one lowest), and lengths of the texts."""
-    parts = [classes(t) for t in texts]
+    parts = [classes(t, spaced) for t in texts]
     lengths = np.array([len(p) for p in parts], np.int64)
     pad = np.zeros(ORDER - 1, np.uint64)
     flat = np.concatenate([y for p in parts for y in (pad, p)] or [pad])
@@ -70,13 +71,22 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], lengths
 
 
-def chunks(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about size characters together; a longer text is alone."""
+def pieces(texts: list[str], size: int = 250_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Keys of texts, about size characters at once: number of the first text, keys, lengths. A longer text comes in slices that know what stands before."""
     at, held = 0, 0
     for k, t in enumerate(texts):
         held += len(t)
-        if held > size or k == len(texts) - 1:
-            yield at, k + 1
+        if len(t) > size:
+            if k > at:
+                yield at, *grams(texts[at:k])
+            t = " ".join(t.split())
+            for a in range(0, len(t), size):
+                keys, _ = grams([t[max(0, a - ORDER + 1) : a + size]], True)
+                keys = keys[ORDER - 1 :] if a else keys
+                yield k, keys, np.array([len(keys)])
+            at, held = k + 1, 0
+        elif held > size or k == len(texts) - 1:
+            yield at, *grams(texts[at : k + 1])
             at, held = k + 1, 0
 
 
@@ -90,8 +100,8 @@ def count_grams(docs: DataFrame) -> DataFrame:
             for lang in sorted({*langs}):
                 own = [t for t, x in zip(texts, langs) if x == lang]
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                for i, j in chunks(own):  # a chunk's counts are added to those of the batch
-                    k, n = np.unique(grams(own[i:j])[0], return_counts=True)
+                for _, part, _ in pieces(own):  # a piece's counts are added to those of the batch
+                    k, n = np.unique(part, return_counts=True)
                     keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
                     counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
                 yield pa.record_batch([pa.array([lang] * len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "key", "n"])
@@ -204,25 +214,27 @@ class Shard:
         return out
 
 
-_LOADED: dict[tuple[str, int], Shard] = {}
+_LOADED: OrderedDict[tuple[str, int], Shard] = OrderedDict()
 
 
 def load(path: str, shard: int) -> Shard:
-    """A shard from the shared folder; a worker keeps the last one it read."""
+    """A shard from the shared folder; a worker keeps the last HELD it used (about 60 MB each)."""
+    take_over("kneserney", _LOADED.clear)
     if (path, shard) not in _LOADED:
         fs, base = pafs.FileSystem.from_uri(path)
-        _LOADED.clear()
+        while len(_LOADED) >= HELD:
+            _LOADED.popitem(last=False)
         found = fs.get_file_info(pafs.FileSelector(f"{base}/shard={shard}", allow_not_found=True))
         parts = [pq.read_table(f.path, filesystem=fs, columns=["h", "p", "back"], partitioning=None) for f in found if f.path.endswith(".parquet")]
         t = pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "p": pa.array([], pa.float64()), "back": pa.array([], pa.float64())})
         column = lambda c: t[c].to_numpy().astype(float)
         _LOADED[path, shard] = Shard(t["h"].to_numpy().view(np.uint64), column("p"), column("back"))
+    _LOADED.move_to_end((path, shard))
     return _LOADED[path, shard]
 
 
-def perplexities(texts: list[str], lang: str | None, path: str, shards: int) -> np.ndarray:
-    """Perplexity by character of each text under the model of its language; NaN without one, or for under two characters."""
-    keys, lengths = grams(texts)
+def log_probs(keys: np.ndarray, lang: str | None, path: str, shards: int) -> np.ndarray | None:
+    """Log probability of the last character of each key under the model of the language; none without a model."""
     code = lang_code(lang)
     logs = np.zeros(len(keys))
     open_ = np.arange(len(keys))
@@ -238,7 +250,7 @@ def perplexities(texts: list[str], lang: str | None, path: str, shards: int) ->
         return out
 
     if np.isnan(look(np.zeros(1, np.uint64), 0, "back"))[0]:
-        return np.full(len(texts), np.nan)
+        return None
     for level in range(ORDER, 0, -1):
         if not len(open_):
             break
@@ -250,18 +262,28 @@ def perplexities(texts: list[str], lang: str | None, path: str, shards: int) ->
         back = look(mine >> np.uint64(BITS), level - 1, "back")
         logs[open_] += np.where(np.isnan(back), 0.0, back)
     logs[open_] += floor
-    ends = np.cumsum(lengths)
-    sums = np.add.reduceat(np.append(logs, 0.0), np.minimum(ends - lengths, len(logs))) if len(lengths) else np.zeros(0)
-    return np.where(lengths > 1, np.exp(-sums / np.maximum(lengths, 1)), np.nan)
+    return logs
+
+
+def perplexities(texts: list[str], lang: str | None, path: str, shards: int) -> np.ndarray:
+    """Perplexity by character of each text; NaN without a model of its language, or for under two characters."""
+    sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
+    for first, keys, lengths in pieces(texts):
+        logs = log_probs(keys, lang, path, shards)
+        if logs is None:
+            return np.full(len(texts), np.nan)
+        ends = np.cumsum(lengths)
+        whole = np.concatenate([[0.0], np.cumsum(logs)])
+        sums[first : first + len(lengths)] += whole[ends] - whole[ends - lengths]
+        counts[first : first + len(lengths)] += lengths
+    return np.where(counts > 1, np.exp(-sums / np.maximum(counts, 1)), np.nan)
 
 
 def _score_batch(texts: list, langs: list, path: str, shards: int) -> np.ndarray:
     out = np.full(len(texts), np.nan)
     for lang in sorted(set(langs), key=str):
         own = [i for i, x in enumerate(langs) if x == lang]
-        mine = [texts[i] or "" for i in own]
-        for i, j in chunks(mine):
-            out[own[i:j]] = perplexities(mine[i:j], lang, path, shards)
+        out[own] = perplexities([texts[i] or "" for i in own], lang, path, shards)
     return out
 
 
@@ -312,7 +334,7 @@ def kept_only(docs: DataFrame, model_: Classifier) -> DataFrame:
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(model_.judge(b.column(text).to_pylist(), b.column(lang).to_pylist())[1]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -19,6 +19,8 @@ tables give an empty result.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import cut, map_arrow, slices, table, take_over
 
 SAMPLE = 4_000
 FEATURES = 4_000
 FOLDS = 5
 SPACE = 1 << 24
+#: Words whose features a worker remembers (about 170 bytes each).
+CACHE_WORDS = 300_000
 PENALTY, RIDGE, KEEP = 4.0, 3e-4, 0.35
 STRIP = ".,;:!?\"'()[]{}«»“”„…-–|"
 #: Terms of one line may stand for each other.
@@ -78,8 +82,9 @@ class Model:
     name: str = ""
 
     def score(self, text: str | None) -> float:
+        take_over("toxicity", _CACHE.clear)
         cache = _CACHE.setdefault(self.name, {})
-        if len(cache) > 1_500_000:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
         found: set[int] = set()
         for w in text_words(text):
@@ -163,22 +168,39 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     total = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     drawn = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     chosen = F.broadcast(drawn[0].union(drawn[1]))  # at most twice sample narrow rows
+    texts = cut(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "labelled")
+    size = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):  # the features of 500 texts at once
+            seen = {0: Counter(), 1: Counter()}
+            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen[toxic].update({f for w in text_words(text) for f in word_features(w)})
+            ids = list(seen[0].keys() | seen[1].keys())
+            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array([seen[k][f] for f in ids], pa.int64()) for k in (0, 1))], names=["f", "n0", "n1"])
+
+    # the most telling features, by how far the shares of the classes lie apart; only these reach the driver
+    counts = texts.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4")
+    n0, n1 = float(max(size.get(0, 0), 1)), float(max(size.get(1, 0), 1))
+    a, b = F.col("n1") / n1, F.col("n0") / n0
+    gain = F.abs(a - b) / F.sqrt(F.greatest(a * (1 - a), F.lit(0.0)) / n1 + F.greatest(b * (1 - b), F.lit(0.0)) / n0 + 1.0 / (n0 + n1) ** 2)
+    best = counts.withColumn("gain", F.round(gain, 9)).where("gain >= 3").orderBy(F.desc("gain"), "f").limit(FEATURES)
+    keep = {r["f"] for r in best.select("f").collect()} | {f for w in SWAP for f in word_features(w)}
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         own, other = [], []
         for text in b.column(0).to_pylist():
             words = text_words(text)
-            own.append(sorted({f for w in words for f in word_features(w)}))
+            own.append(sorted({f for w in words for f in word_features(w)} & keep))
             terms = {w for w in words if w.strip(STRIP) in SWAP}
-            other.append(sorted({f for w in words for f in word_features(SWAP[w.strip(STRIP)] if w in terms else w)}) if terms else None)
+            other.append(sorted({f for w in words for f in word_features(SWAP[w.strip(STRIP)] if w in terms else w)} & keep) if terms else None)
         kind = pa.list_(pa.int32())
         return pa.record_batch([b.column(1).cast(pa.int32()), pa.array(own, kind), pa.array(other, kind)], names=["toxic", "own", "other"])
 
-    rows = map_arrow(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), run, "toxic int, own array<int>, other array<int>").toArrow()
+    rows = map_arrow(texts, run, "toxic int, own array<int>, other array<int>").toArrow()
     array = lambda c: [np.asarray(x, np.int64) if x is not None else None for x in rows[c].to_pandas()]
-    y, own = rows["toxic"].to_numpy(), array("own")
-    order = np.lexsort(([hash(tuple(x[:50].tolist())) for x in own], y)) if len(y) else []  # the order of rows must not matter
-    swapped = array("other")
+    y, own, swapped = rows["toxic"].to_numpy(), array("own"), array("other")
+    order = sorted(range(len(y)), key=lambda k: (y[k], own[k].tolist()))  # the order of rows must not matter
     return fit([own[i] for i in order], [swapped[i] for i in order], y[order] if len(y) else y, total.get(1, 0) / max(1, sum(total.values())), penalty)
 
 
@@ -200,7 +222,7 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([model.score(x) < 0.5 for x in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
