@@ -113,8 +113,9 @@ def token_counts(pages: DataFrame, wanted: list[str]) -> dict[str, int]:
         return {}
     spark = pages.sparkSession
     tokens = pages.select(F.explode(F.array_distinct(F.split(F.translate("url", UPPER, LOWER), "[^a-z0-9]+"))).alias("token"))
+    # a row for each token of the rules, at most MAX_RULES times the few of a rule
     keep = spark.createDataFrame([(x,) for x in wanted], "token string")
-    return dict(tuple(r) for r in tokens.join(keep, "token", "left_semi").groupBy("token").count().collect())
+    return dict(tuple(r) for r in tokens.join(F.broadcast(keep), "token", "left_semi").groupBy("token").count().collect())
 
 
 class Index:
