@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import kneserney, mixing, packing, simhash, toxicity
+from tessella.llm import jaccard, kneserney, mixing, packing, toxicity
 from tessella.llm.common import fresh, table
 from tessella.plans.session import ship
 
@@ -25,7 +25,7 @@ def without_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return simhash.without_near_duplicates(docs)
+    return jaccard.without_near_duplicates(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ smallest id is unique. Extra columns are ignored; empty tables give an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -156,12 +156,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return of_docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, without all but one of each component: that with the smallest doc_id (null last)."""
+def one_of_each(docs: DataFrame, keys: Callable[[DataFrame], DataFrame], roots: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each class: that with the smallest doc_id (null last).
+
+    keys: doc_id, tessella_row and fp of every row; roots: fp and root of those.
+    """
     row = F.xxhash64(*docs.columns)
-    of_docs = cut(fingerprints(docs.withColumn("tessella_row", row), shingle, "tessella_row"), "fingerprints")
+    of_docs = cut(keys(docs.withColumn("tessella_row", row)), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("tessella_row").alias("row"))
-    first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(classes(of_docs), "fp")
+    first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(roots(of_docs), "fp")
     kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
     keyed = docs.withColumn("tessella_row", row)
     out = keyed.join(kept.select(F.col("doc_id").alias("tessella_id"), F.col("row").alias("tessella_kept")), F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_row") == F.col("tessella_kept")), "left_semi")
@@ -170,6 +173,11 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFram
     return out.select(*docs.columns)
 
 
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each component: that with the smallest doc_id (null last)."""
+    return one_of_each(docs, lambda rows: fingerprints(rows, shingle, "tessella_row"), classes)
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF, assert_same, rows_of
-from tessella.llm import covertree, kneserney, mixing, packing, simhash, warc
+from tessella.llm import covertree, jaccard, kneserney, mixing, packing, simhash, warc
 from tessella.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -127,6 +127,51 @@ def test_one_of_each_group_stays(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def five_words(t):
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def brute_jaccard(rows):
+    """Ids (sorted) and roots of the texts with five-word Jaccard of 0.8 or more."""
+    ids = sorted(rows)
+    s = [five_words(rows[k]) for k in ids]
+    near = [(a, b) for a in range(len(ids)) for b in range(a) if 5 * len(s[a]) >= 4 * len(s[b]) and 4 * len(s[a]) <= 5 * len(s[b]) and 5 * len(s[a] & s[b]) >= 4 * len(s[a] | s[b])]
+    return ids, roots(len(ids), near)
+
+
+@pytest.mark.parametrize("hot, mins", [((jaccard.HOT, jaccard.HOT_ROWS), jaccard.MINS), ((2_000, 3), 1)])
+def test_stage_keeps_one_of_each_jaccard_group(spark, monkeypatch, hot, mins):
+    monkeypatch.setattr(jaccard, "MINS", mins)
+    rng = np.random.default_rng(8)
+    common = [f"c{k}" for k in range(40)]
+    rows = {}
+    for g in range(12):
+        base = [f"v{x}" for x in rng.integers(0, 400, int(rng.integers(30, 200)))] + common
+        for edits in (0, 0, 1, 2, 3, 4, 5, 6):
+            w = list(base)
+            for at in rng.choice(len(w), edits, replace=False):
+                w[at] = f"new{rng.integers(0, 10**6)}"
+            rows[len(rows)] = " ".join(w)
+    many = [f"m{k}" for k in range(120)]
+    for k in range(80):  # one large group
+        rows[len(rows)] = " ".join(many[: 60 + k // 20] + [f"x{k}"] + many[60 + k // 20 :])
+    for t in ("", None, " ", "a b", "A  b", "a b c", "a b c d e", "a b c d e f"):
+        rows[len(rows)] = t
+    ids, want = brute_jaccard(rows)
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows.items()], DOCS)
+    assert {r["doc_id"] for r in jaccard.without_near_duplicates(docs, *hot).collect()} == {ids[r] for r in want}
+    apart = [simhash.fingerprint((rows[k] or "").encode()) ^ simhash.fingerprint((rows[ids[r]] or "").encode()) for k, r in zip(ids, want)]
+    assert sum(x.bit_count() > 4 for x in apart) > 10  # pairs that four SimHash bits don't reach
+
+
+def test_stage_against_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ids, want = brute_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})
+    assert sorted(r["doc_id"] for r in corpus_pipeline.without_copies(spark, docs, "").collect()) == sorted({ids[r] for r in want})
+    assert corpus_pipeline.without_copies(spark, docs.limit(0), "").count() == 0
+
+
 # --- 7
 
 
