@@ -10,7 +10,9 @@ half never grows; the start with the smaller one wins. A step is two partial agg
 distances, then sums), so a group of any size is never collected, and its parameters are one row that is joined back.
 
 Defined cases: null or empty text has no words and fails the base rules. Null language or source is a group of its own.
-Groups under MIN_GROUP rows have no estimate and reject nothing beyond the base rules. Repeated rows are judged one by
+Groups under MIN_GROUP rows have no estimate of their own: their rows are judged by that of their language over all
+sources, then, where the language has too few as well, by that of all rows. Only inputs under MIN_GROUP rows reject
+nothing beyond the base rules. Repeated rows are judged one by
 one and alike. Extra columns of the input are ignored. Empty tables give an empty result.
 """
 
@@ -168,15 +170,23 @@ def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
 
 
 def quality_outliers(docs: DataFrame, cut_at: float = CUT) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, distance (squared; null without an estimate), kept: one row a document."""
+    """doc_id, lang, source, the five counts, base_failed, distance, wider_distance, kept: one row a document.
+
+    Distances are squared. distance is that to the estimate of the document's group, null if it has none; wider_distance
+    then is that to the estimate of its language, or else of all rows.
+    """
     counted = cut(count_words(docs), "counts")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source"))}).fillna("", ["k_lang", "k_source"])
-    keys = ["k_lang", "k_source"]
-    params = mcd(keyed.where(~F.col("base_failed")), keys)
-    judged = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())}).join(_sent(params)(params), keys, "left").withColumn("distance", _distance("p"))
-    return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut_at)).alias("kept"))
+    keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source")), "k_all": F.lit(0)}).fillna("", ["k_lang", "k_source"])
+    passed = keyed.where(~F.col("base_failed"))
+    judged = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    for p, keys in (("p", ["k_lang", "k_source"]), ("p_lang", ["k_lang"]), ("p_all", ["k_all"])):
+        params = mcd(passed, keys).withColumnRenamed("p", p)
+        judged = judged.join(_sent(params)(params), keys, "left")
+    judged = judged.withColumn("distance", _distance("p")).withColumn("wider_distance", F.when(F.col("p").isNull(), F.coalesce(_distance("p_lang"), _distance("p_all"))))
+    far = F.coalesce("distance", "wider_distance", F.lit(0.0))
+    return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "wider_distance", (~F.col("base_failed") & (far <= cut_at)).alias("kept"))
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_outliers(table(spark, sf_dir, "documents")).drop("lang", "source")
+    return quality_outliers(table(spark, sf_dir, "documents")).drop("lang", "source", "wider_distance")

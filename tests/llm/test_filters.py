@@ -47,6 +47,17 @@ def test_outliers_go_and_clean_stays(spark):
     assert outliers.quality_outliers(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rng = np.random.default_rng(6)
+    junk = lambda: " ".join(x + "###" for x in prose(rng, 120).split())
+    rows = [(k, prose(rng, int(rng.integers(80, 300))), "en", f"s{k % 12}", 1) for k in range(120)]
+    rows += [(200 + k, prose(rng, int(rng.integers(80, 300))), ("es", None)[k % 2], f"s{k}", 1) for k in range(12)]
+    rows += [(900, junk(), "en", "s1", 1), (901, junk(), "es", "s1", 1), (902, junk(), None, None, 1)]
+    got = {r["doc_id"]: r for r in outliers.quality_outliers(spark.createDataFrame(rows, DOCS)).collect()}
+    assert {k for k, r in got.items() if not r["kept"]} == {900, 901, 902}
+    assert all(r["distance"] is None and r["wider_distance"] is not None and not r["base_failed"] for r in got.values())
+
+
 def test_mcd_is_near_the_truth_among_outliers(spark):
     rng = np.random.default_rng(5)
     rows = [(k, "en", "s", int(rng.integers(200, 220)), 0, 0, 0, 0) for k in range(300)]
