@@ -131,6 +131,36 @@ def test_repeats_go_and_unique_runs_stay(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+def test_shared_phrases_and_passages_of_articles_stay(spark):
+    rng = np.random.default_rng(4)
+    phrases = [" ".join(f"p{k}x{i}" for i in range(8)) for k in range(10)]
+    passages = [" ".join(f"q{k}x{i}" for i in range(60)) for k in range(10)]
+    foot, menu = "Copyright all rights reserved by our little company", "Home News About us and many more things"
+    want, rows = {}, []
+    for k in range(120):
+        own = " ".join(f"w{k}x{i}" for i in range(50))
+        first = f"{own} {phrases[int(rng.integers(10))]} a{k} {phrases[int(rng.integers(10))]} {own[:40].strip()}"
+        passage = passages[k % 10]  # on a tenth of the pages
+        want[k] = f"{first} {passage}" if k % 3 else "syndicated " + " ".join(f"y{k // 6}x{i}" for i in range(80))  # two pages each
+        body = f"<p>{first}</p><p>{passage}</p>" if k % 3 else f"<p>{want[k]}</p>"
+        rows.append((k, f"http://h.com/{k}", f"<body><div>{menu}</div>{body}<div>{foot}</div>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for bundle in (16, 1000):
+        assert {r["page_id"]: r["text"] for r in htmltext.extract(df, bundle=bundle).collect()} == want
+
+
+def test_counted_heads_against_brute_force():
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(1 << 63, (1 << 63) + 3, n, dtype=np.uint64) for n in (30, 25, 3, 0, 4, 40)]
+    on = rng.integers(0, 5, (6, 3))
+    want = {}
+    for s, row in zip(streams, on):
+        for h in {int(x) for x in htmltext.head_hashes(s, 4)}:
+            want[h] = want.get(h, 0) + row
+    heads, counts = htmltext.counted_heads(streams, on, 4)
+    assert len(heads) == len(want) and all((want[int(h)] == c).all() for h, c in zip(heads, counts))
+
+
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(1 << 63, (1 << 63) + 4, n, dtype=np.uint64) for n in (30, 25, 3, 0, 40)]
