@@ -255,6 +255,11 @@ def detect_injection_category(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", text.injection_category(F.col("text"), nfkc=False).alias("category"))
 
 
+@query()
+def detect_injection_category_nfkc(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", text.injection_category(F.col("text")).alias("category"))
+
+
 _ASCII_RED = [(k, p) for k, p in rules.REDLINES if p.isascii() and "(?!" not in p]
 
 
