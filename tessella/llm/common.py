@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,15 +51,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Batches in slices, so that no more than these rows are Python objects at a time."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows and about so many bytes of text, so that no more are Python objects at a time.
+
+    A longer text is a slice of its own. When the task ends, memory that its batches took goes back to the system.
+    """
+    try:
+        for b in batches:
+            weight = np.zeros(b.num_rows, np.int64)
+            for c in b.columns:
+                if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+                    weight += pc.fill_null(pc.binary_length(c), 0).to_numpy()
+            total = np.cumsum(weight)
+            at = 0
+            while at < b.num_rows:
+                end = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+                end = min(max(end, at + 1), at + rows, b.num_rows)
+                yield b.slice(at, end - at)
+                at = end
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one stage leaves would count against the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """One output batch for each input batch."""
+    """One output batch for each slice of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -65,6 +93,27 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of all columns of a row by name, nulls included: rows that differ, if only in where a null stands, have keys of their own."""
+
+    def plain(c: Column, kind) -> Column:
+        return F.to_json(F.struct(c.alias("x"))) if "map" in kind.simpleString() or "variant" in kind.simpleString() else c
+
+    columns = [plain(F.col(f"`{f.name}`"), f.dataType) for f in df.schema]
+    return F.xxhash64(*columns, F.array(*(F.col(f"`{f.name}`").isNull() for f in df.schema)))
+
+
+def free_name(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that df does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w += "_"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

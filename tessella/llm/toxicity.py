@@ -19,24 +19,22 @@ tables give an empty result.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from zlib import crc32
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, table, take_over
+from .common import cut, map_arrow, slices, table
 
 SAMPLE = 4_000
 FEATURES = 4_000
 FOLDS = 5
-SPACE = 1 << 24
-#: Words whose features a worker remembers (about 170 bytes each).
-CACHE_WORDS = 300_000
+#: Letters of a word beginning, and of the longest word that is a feature.
+BEGINNINGS, LONGEST = range(2, 7), 40
 PENALTY, RIDGE, KEEP = 4.0, 3e-4, 0.35
 STRIP = ".,;:!?\"'()[]{}«»“”„…-–|"
 #: Terms of one line may stand for each other.
@@ -62,44 +60,84 @@ IDENTITIES = (
 SWAP = {w: line[(k + 1) % len(line)] for line in IDENTITIES for k, w in enumerate(line)}
 
 
-def word_features(word: str) -> list[int]:
-    w = word.strip(STRIP)
-    if not w:
-        return []
-    return [crc32(b"=" + w.encode()) % SPACE, *(crc32(b"^" + w[:k].encode()) % SPACE for k in range(2, min(6, len(w)) + 1))]
-
-
-def text_words(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+def word_features(word: str) -> list[str]:
+    """Features of one word: itself and its beginnings."""
+    w = word.lower().strip(STRIP)
+    return [f"={w}"] * (0 < len(w) <= LONGEST) + [f"^{w[:k]}" for k in BEGINNINGS if k <= len(w)]
+
+
+class Words:
+    """The words of a column of texts: of which text and which of the different words each one is."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+        coded = pc.dictionary_encode(split.flatten())
+        self.n = len(texts)
+        self.text = np.repeat(np.arange(self.n), pc.list_value_length(split).to_numpy())
+        self.code = coded.indices.to_numpy()
+        self.words = pc.utf8_trim(coded.dictionary, STRIP)
+
+    def parts(self) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
+        """Each kind of feature: its mark, which different words have one, and their names without the mark."""
+        size = pc.utf8_length(self.words).to_numpy()
+        for mark, k in [("=", 0), *(("^", k) for k in BEGINNINGS)]:
+            has = np.flatnonzero(size >= k if k else (size > 0) & (size <= LONGEST))
+            own = self.words.take(pa.array(has))
+            yield mark, has, pc.utf8_slice_codeunits(own, 0, k) if k else own
+
+    def hits(self, names: "Names") -> np.ndarray:
+        """texts x features: which of the named features each text has."""
+        out = np.zeros((self.n, names.n + 1), bool)  # the last column takes what is not named
+        for mark, has, own in self.parts():
+            at = np.full(len(self.words), names.n, np.int64)
+            at[has] = names.place(mark, own)
+            out[self.text, at[self.code]] = True
+        return out[:, :-1]
+
+    def features(self) -> tuple[np.ndarray, pa.Array]:
+        """Every text's different features: its number, and the feature's name."""
+        texts, found = [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+        for mark, has, own in self.parts():
+            coded = pc.dictionary_encode(own)
+            at = np.full(len(self.words), -1, np.int64)
+            at[has] = coded.indices.to_numpy()
+            code = at[self.code]
+            both = np.unique((self.text * (len(coded.dictionary) + 1) + code)[code >= 0])
+            texts.append(both // (len(coded.dictionary) + 1))
+            found.append(pc.binary_join_element_wise(mark, coded.dictionary.take(pa.array(both % (len(coded.dictionary) + 1))), ""))
+        return np.concatenate(texts), pa.concat_arrays([x.cast(pa.string()) for x in found])
+
+
+class Names:
+    """Features by name, looked up a column at once."""
+
+    def __init__(self, names: list[str]):
+        self.n = len(names)
+        self.of = {m: (pa.array([x[1:] for x in names if x[0] == m], pa.string()), np.array([k for k, x in enumerate(names) if x[0] == m] + [self.n], np.int64)) for m in "=^"}
+
+    def place(self, mark: str, words: pa.Array) -> np.ndarray:
+        """Number of each feature, n for those not named."""
+        known, number = self.of[mark]
+        return number[pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy()]
 
 
 @dataclass
 class Model:
     """Weights by feature; picklable and bounded by FEATURES."""
 
-    weights: dict[int, float]
+    weights: dict[str, float]
     intercept: float
-    name: str = ""
+    names: Names = field(init=False, repr=False)
 
-    def score(self, text: str | None) -> float:
-        take_over("toxicity", _CACHE.clear)
-        cache = _CACHE.setdefault(self.name, {})
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        found: set[int] = set()
-        for w in text_words(text):
-            if (f := cache.get(w)) is None:
-                f = tuple(x for x in word_features(w) if x in self.weights)
-                if len(w) <= 40:
-                    cache[w] = f
-            if f:
-                found.update(f)
-        z = self.intercept + sum(self.weights[x] for x in sorted(found))
-        return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
+    def __post_init__(self):
+        self.names, self.vector = Names(list(self.weights)), np.array(list(self.weights.values()))
 
-
-#: Features of words seen by this worker, for one model.
-_CACHE: dict[str, dict] = {}
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Score of each text. Rounded before the sigmoid, so equal texts have equal scores wherever they stand."""
+        z = np.zeros(len(texts))
+        for a in range(0, len(texts), 250):
+            z[a : a + 250] = Words(texts.slice(a, 250)).hits(self.names) @ self.vector
+        return 1 / (1 + np.exp(-np.clip(np.round(z + self.intercept, 9), -700, 700)))
 
 
 class Rows:
@@ -117,8 +155,8 @@ class Rows:
         return np.bincount(self.cols, g[self.row], self.width)
 
 
-def fit(features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, prior: float, penalty: float = PENALTY, seed: int = 11) -> Model:
-    """features: of each text; swapped: of its counterfactual, if it has one; prior: share of label 1 where the texts were drawn."""
+def fit(names: list[str], features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, prior: float, penalty: float = PENALTY, seed: int = 11) -> Model:
+    """names: of all features, those of the identity terms too; features: numbers of each text's; swapped: of its counterfactual's, if it has one; prior: share of label 1 where the texts were drawn."""
     pos, n = int(labels.sum()), len(labels)
     base = min(max(prior, 1e-6), 1 - 1e-6)
     if not 0 < pos < n:
@@ -131,7 +169,9 @@ def fit(features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np
     seen = np.bincount(at, minlength=len(ids))
     gain = np.where(seen >= 4, np.abs(a - b) / np.sqrt(a * (1 - a) / pos + b * (1 - b) / (n - pos) + 1.0 / n**2), 0)
     best = np.sort(ids[np.argsort(-gain, kind="stable")[:FEATURES]][: int((gain >= 3).sum())])
-    terms = [np.unique(word_features(w)) for w in SWAP]
+    number = {x: k for k, x in enumerate(names)}
+    numbered = lambda w: np.unique([number[x] for x in word_features(w)])
+    terms = [numbered(w) for w in SWAP]
     vocab = np.union1d(best, np.concatenate(terms))
     place = lambda f: np.searchsorted(vocab, f[np.isin(f, vocab)])
     placed = [place(f) for f in features]
@@ -143,7 +183,7 @@ def fit(features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np
     weight /= weight.sum()
     x = Rows(placed + dropped, d)
     pairs = [(p, place(s)) for p, s in zip(placed, swapped) if s is not None]
-    pairs += [(place(np.unique(word_features(u))), place(np.unique(word_features(v)))) for u, v in SWAP.items()]
+    pairs += [(place(numbered(u)), place(numbered(v))) for u, v in SWAP.items()]
     pairs += [(place(f), np.empty(0, np.int64)) for f in terms]
     left, right = Rows([p for p, _ in pairs], d), Rows([q for _, q in pairs], d)
     w, c, m, v = np.zeros(d), 0.0, np.zeros(d + 1), np.zeros(d + 1)
@@ -158,7 +198,7 @@ def fit(features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np
     # classes weighed alike in the fit; the intercept is moved part of the way to the prior, as insults are telling
     c += 0.5 * math.log(base / (1 - base))
     kept = np.abs(w) > 1e-4
-    return Model(dict(zip(vocab[kept].tolist(), w[kept].tolist())), float(c))
+    return Model({names[k]: x for k, x in zip(vocab[kept].tolist(), w[kept].tolist())}, float(c))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
@@ -172,44 +212,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
     size = {r[0]: r[1] for r in texts.groupBy("toxic").count().collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):  # the features of 500 texts at once
-            seen = {0: Counter(), 1: Counter()}
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                seen[toxic].update({f for w in text_words(text) for f in word_features(w)})
-            ids = list(seen[0].keys() | seen[1].keys())
-            yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array([seen[k][f] for f in ids], pa.int64()) for k in (0, 1))], names=["f", "n0", "n1"])
+        for b in slices(batches, 500):
+            text, found = Words(b.column(0)).features()
+            coded = pc.dictionary_encode(found)
+            toxic = b.column(1).to_numpy()[text]
+            both = [np.bincount(coded.indices.to_numpy()[toxic == k], minlength=len(coded.dictionary)).astype(np.int64) for k in (0, 1)]
+            yield pa.record_batch([coded.dictionary, *map(pa.array, both)], names=["f", "n0", "n1"])
 
     # the most telling features, by how far the shares of the classes lie apart; only these reach the driver
-    counts = texts.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4")
+    counts = texts.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 4")
     n0, n1 = float(max(size.get(0, 0), 1)), float(max(size.get(1, 0), 1))
     a, b = F.col("n1") / n1, F.col("n0") / n0
     gain = F.abs(a - b) / F.sqrt(F.greatest(a * (1 - a), F.lit(0.0)) / n1 + F.greatest(b * (1 - b), F.lit(0.0)) / n0 + 1.0 / (n0 + n1) ** 2)
     best = counts.withColumn("gain", F.round(gain, 9)).where("gain >= 3").orderBy(F.desc("gain"), "f").limit(FEATURES)
-    keep = {r["f"] for r in best.select("f").collect()} | {f for w in SWAP for f in word_features(w)}
+    names = sorted({r["f"] for r in best.select("f").collect()} | {f for w in SWAP for f in word_features(w)})
+    lookup = Names(names)
+
+    def swap(text: str | None) -> str | None:
+        """The text with its identity terms swapped, null if it has none."""
+        words = (text or "").lower().split()
+        swapped = [SWAP.get(w.strip(STRIP), w) for w in words]
+        return " ".join(swapped) if swapped != words else None
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        own, other = [], []
-        for text in b.column(0).to_pylist():
-            words = text_words(text)
-            own.append(sorted({f for w in words for f in word_features(w)} & keep))
-            terms = {w for w in words if w.strip(STRIP) in SWAP}
-            other.append(sorted({f for w in words for f in word_features(SWAP[w.strip(STRIP)] if w in terms else w)} & keep) if terms else None)
+        lists = lambda column: [np.flatnonzero(h).tolist() for h in Words(column).hits(lookup)]
+        others = pa.array([swap(x) for x in b.column(0).to_pylist()], pa.string())
+        other = [x if has else None for x, has in zip(lists(others), others.is_valid().to_pylist())]
         kind = pa.list_(pa.int32())
-        return pa.record_batch([b.column(1).cast(pa.int32()), pa.array(own, kind), pa.array(other, kind)], names=["toxic", "own", "other"])
+        return pa.record_batch([b.column(1).cast(pa.int32()), pa.array(lists(b.column(0)), kind), pa.array(other, kind)], names=["toxic", "own", "other"])
 
     rows = map_arrow(texts, run, "toxic int, own array<int>, other array<int>").toArrow()
     array = lambda c: [np.asarray(x, np.int64) if x is not None else None for x in rows[c].to_pandas()]
     y, own, swapped = rows["toxic"].to_numpy(), array("own"), array("other")
     order = sorted(range(len(y)), key=lambda k: (y[k], own[k].tolist()))  # the order of rows must not matter
-    return fit([own[i] for i in order], [swapped[i] for i in order], y[order] if len(y) else y, total.get(1, 0) / max(1, sum(total.values())), penalty)
+    return fit(names, [own[i] for i in order], [swapped[i] for i in order], y[order] if len(y) else y, total.get(1, 0) / max(1, sum(total.values())), penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted of every row of docs."""
-    model.name = f"{hash((model.intercept, tuple(sorted(model.weights.items()))))}"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        s = np.array([model.score(x) for x in b.column(1).to_pylist()], float)
+        s = model.scores(b.column(1))
         return pa.record_batch([b.column(0).cast(pa.int64()), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double, predicted int")
@@ -217,13 +260,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not reject; null and empty texts stay unless the prior alone rejects."""
-    names = docs.columns
-    model.name = f"{hash((model.intercept, tuple(sorted(model.weights.items()))))}"
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches):
-            yield b.filter(pa.array([model.score(x) < 0.5 for x in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array(model.scores(b.column(at)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
