@@ -1,15 +1,20 @@
 """Operator 8, best-fit packing by a grouping genetic algorithm on islands with elite migration.
 
 Documents become token ids and one end id, are cut where longer than a sequence, and the pieces are packed whole. Pieces
-are dealt over shards of about SHARD pieces. Every shard is evolved by ISLANDS islands, each a group of its own on the
-cluster: a small population of packings (best fit in falling and in jittered order) evolves by grouping crossover, which
-injects a random part of one parent's well-filled bins whole into the other, removes duplicates by dissolving the bins
-they came from, and best-fits the displaced pieces. After an epoch each island's elite migrates to the next island of
-its shard and takes part in the following epoch. The best packing of a shard's islands stays. What lies in poorly filled
-bins of all shards is pooled and evolved once more, so shards don't leave a part-filled bin each.
-
-Tokenisation is exact: white space never joins tokens, so words are encoded once and kept in a bounded cache; words of
-Latin letters and simple punctuation go to the tokeniser's model directly, others through the whole tokeniser.
+are dealt over shards of about SHARD pieces. Best fit in falling order packs a shard first; where it meets the lower
+bound (sizes over capacity, rounded up) nothing can be better and the shard is done. The other shards are evolved by
+ISLANDS islands, each a group of its own on the cluster: a population of packings (the best fit and jittered orders)
+evolves by grouping crossover, which injects a random part of one parent's well-filled bins whole into the other,
+removes duplicates by dissolving the bins they came from and the emptiest one, trades displaced pieces against one or
+two placed ones where that fills a bin better, and best-fits what is left. Fitness is the number of bins, then how
+unevenly they are filled. An island stops at the bound or after PATIENCE generations without a gain. Between EPOCHS the
+elite of each island migrates to the next island of its shard. The best packing of a shard's islands stays. What lies in
+poorly filled bins of all shards is pooled and packed in the same way once more, so shards don't leave a part-filled bin
+each.
+
+Tokenisation is exact: white space never joins tokens, so the different words of a slice are encoded once and kept in a
+bounded cache; words of Latin letters within simple punctuation are taken apart column by column and their runs go to the
+tokeniser's model directly, other words through the whole tokeniser.
 
 Defined cases: null and empty texts are the end id alone. Repeated rows and null doc_ids are documents of their own.
 Extra columns are ignored. Very long texts are cut into pieces, never dropped. Ties in fill keep the first bin. Empty
@@ -19,7 +24,6 @@ tables give an empty result.
 from __future__ import annotations
 
 import math
-import re
 from array import array
 from collections.abc import Iterator
 from zlib import crc32
@@ -27,17 +31,20 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, take_over, texts
+from .common import cut, slices, table, take_over
 
 CAPACITY = 2_048
-SHARD, ISLANDS, EPOCHS = 8_192, 2, 2
-POPULATION, GENERATIONS = 3, 3
+SHARD, ISLANDS, EPOCHS = 8_192, 2, 3
+POPULATION, PATIENCE = 12, 10
 WELL, POOR = 0.98, 0.95
-#: Words, and runs of letters, whose ids a worker remembers (about 200 bytes each).
-CACHE_WORDS = 500_000
+#: Bins of so many pieces at most take part in trades of pairs: with more pieces in a bin, best fit leaves no room.
+PAIRED = 8
+#: Runs of letters or punctuation, and other words, whose ids a worker remembers twice at most (about 200 bytes each): those met lately, and those met before.
+CACHE_WORDS = 200_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,10 +53,33 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Cache:
+    """A bounded memory of two generations: what is met again moves to the younger one, the older one is dropped whole."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def all_of(self, keys: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, keys))
+        for k, x in enumerate(out):
+            if x is None:
+                key = keys[k]
+                if (x := self.old.get(key)) is None:
+                    x = self.make(key)
+                out[k] = x
+                if len(key) <= 64:
+                    self.young[key] = x
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        return out
+
+
 class Encoder:
     """Token ids of texts, as tokenizers gives them without special tokens added, by a cache of words."""
 
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    #: No ' and no <, > and |: with them, what follows matters (contractions, special tokens).
+    MARKS = r"[!-&(-/:;=?@\[\]\\^_`{}~]*"
+    PLAIN = f"^(?P<a>{MARKS})(?P<b>[a-zß-öø-ÿ]+)(?P<c>{MARKS})$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,50 +90,43 @@ class Encoder:
         rest = [b for b in range(256) if b not in printable]
         #: How byte-level models write bytes as characters.
         self.letters = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat, self.offset, self.length = array("H"), array("q"), array("i")
+        self.parts, self.words = Cache(self.part), Cache(self.word)
 
-    def part(self, s: str) -> tuple[int, ...]:
+    def part(self, s: str) -> bytes:
         """Ids of one lower-case run of letters or punctuation."""
-        if (ids := self.parts.get(s)) is None:
-            text = s if s.isascii() else "".join(self.letters[b] for b in s.encode())
-            ids = self.parts[s] = tuple(t.id for t in self.model.tokenize(text))
-        return ids
-
-    def add(self, raw: bytes) -> int:
-        word = raw.decode()
-        if len(word) <= 64 and (m := self.PLAIN.fullmatch(word)):
-            ids = self.part(m[1].lower())
-            if m[2]:
-                ids = ids + self.part(m[2])
-        else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        k = self.index[raw] = len(self.offset)
-        self.offset.append(len(self.flat))
-        self.length.append(len(ids))
-        self.flat.extend(ids)
-        return k
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (UTF-8), and where each text's begin (one more entry than texts)."""
-        if len(self.offset) > CACHE_WORDS or len(self.flat) > 8 * CACHE_WORDS:
-            self.clear()
-        if len(self.parts) > CACHE_WORDS:
-            self.parts.clear()
-        get, add = self.index.get, self.add
-        split = [t.split() for t in texts]  # bytes: at ASCII white space only
-        counts = np.array([len(w) for w in split], np.int64)
-        at = np.array([k if (k := get(w)) is not None else add(w) for ws in split for w in ws], np.int64)
-        offset, length, flat = (np.array(x, x.typecode) for x in (self.offset, self.length, self.flat))
-        own = length[at].astype(np.int64)
-        ends = np.cumsum(own)
-        ids = flat[np.repeat(offset[at] - ends + own, own) + np.arange(int(own.sum()))]
-        starts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, starts
+        text = s if s.isascii() else "".join(self.letters[b] for b in s.encode())
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def word(self, s: str) -> bytes:
+        return array("I", self.whole.encode(s, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's begin (one more entry than texts)."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = pc.list_value_length(split).to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(split.flatten())
+        if not len(coded):
+            return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        words = coded.dictionary
+        plain = pc.extract_regex(pc.utf8_lower(words), self.PLAIN)  # null for other words
+        runs = pc.dictionary_encode(pa.concat_arrays([pc.struct_field(plain, k) for k in range(3)]))
+        found = self.parts.all_of(runs.dictionary.to_pylist())
+        # each word is three runs; another word is one of its own and two empty ones
+        of = pc.fill_null(runs.indices, -1).to_numpy().reshape(3, -1).T.copy()
+        odd = np.flatnonzero(pc.is_null(plain).to_numpy(zero_copy_only=False))
+        of[odd] = len(found) + len(odd)
+        of[odd, 0] = len(found) + np.arange(len(odd))
+        found = [*found, *self.words.all_of(words.take(pa.array(odd)).to_pylist()), b""]
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        offset = np.cumsum(length) - length
+        at = coded.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(length[of].sum(1)[at])])
+        run = of[at].ravel()
+        run = run[length[run] > 0]
+        own = length[run]
+        ids = flat[np.repeat(offset[run] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -119,24 +142,17 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
-        for b in batches:
-            ids, whole = b.column(0).to_pylist(), texts(b.column(1))
-            at = 0
-            while at < len(whole):  # about 4 MB at once
-                end, size = at, 0
-                while end < len(whole) and (end == at or size + len(whole[end]) < 4_000_000):
-                    size += len(whole[end])
-                    end += 1
-                flat, starts = encoder.encode(whole[at:end])
-                out: list[tuple] = []
-                for k in range(end - at):
-                    own = np.append(flat[starts[k] : starts[k + 1]], 0).astype("<u4")
-                    for p, s in enumerate(range(0, len(own), capacity)):
-                        part = own[s : s + capacity]
-                        out.append((ids[at + k], p, s, len(part), crc32(part.tobytes()), *([part.astype(np.int64)] if with_ids else [])))
-                at = end
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out[0])])
+        for b in slices(batches, 4_000):
+            ids = b.column(0).to_pylist()
+            flat, starts = encoder.encode(b.column(1))
+            out: list[tuple] = []
+            for k, doc in enumerate(ids):
+                own = np.append(flat[starts[k] : starts[k + 1]], np.uint32(0)).astype("<u4", copy=False)
+                for p, s in enumerate(range(0, len(own), capacity)):
+                    part = own[s : s + capacity]
+                    out.append((doc, p, s, len(part), crc32(part), *([part.astype(np.int64)] if with_ids else [])))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(out[0])])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 
@@ -176,20 +192,69 @@ def fitness(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> tuple[int, fl
     return len(fill), -float(np.square(fill / capacity).sum())
 
 
+def traded(sizes: np.ndarray, bins: np.ndarray, n: int, loose: np.ndarray, capacity: int, rounds: int = 6) -> np.ndarray:
+    """Trades loose pieces (bin -1) for one or two smaller placed ones of a bin that they fill better; changes bins, gives the loose ones then."""
+    for _ in range(rounds):
+        if not len(loose):
+            break
+        loose = loose[np.argsort(sizes[loose], kind="stable")]
+        placed = np.flatnonzero(bins >= 0)
+        placed = placed[np.argsort(bins[placed], kind="stable")]
+        own, count = bins[placed], np.bincount(bins[placed], minlength=n)
+        slack = capacity - np.bincount(own, sizes[placed], n).astype(np.int64)
+        # what may leave: single pieces, and pairs of pieces of one bin; what may come: single loose pieces, and pairs of near ones
+        out_a, out_b = [placed], [np.full(len(placed), -1)]
+        for step in range(1, PAIRED):
+            same = np.flatnonzero((own[step:] == own[:-step]) & (count[own[step:]] <= PAIRED))
+            out_a.append(placed[same])
+            out_b.append(placed[same + step])
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        leaves = sizes[a] + np.where(b >= 0, sizes[b], 0)
+        few = loose if len(loose) <= 256 else loose[np.linspace(0, len(loose) - 1, 256).astype(int)]
+        i, j = np.triu_indices(len(few), 1)
+        in_a, in_b = np.concatenate([loose, few[i]]), np.concatenate([np.full(len(loose), -1), few[j]])
+        comes = sizes[in_a] + np.where(in_b >= 0, sizes[in_b], 0)
+        order = np.argsort(comes, kind="stable")
+        in_a, in_b, comes = in_a[order], in_b[order], comes[order]
+        best = np.searchsorted(comes, leaves + slack[bins[a]], "right") - 1
+        gain = np.where(best >= 0, comes[np.maximum(best, 0)] - leaves, 0)
+        used_bin, used = np.zeros(n, bool), np.zeros(len(sizes), bool)
+        gone: list[int] = []
+        top = np.flatnonzero(gain > 0)
+        top = top[np.lexsort((-gain[top], (slack[bins[a[top]]] - gain[top])))][: 8 * len(loose)]  # the fullest bins first
+        for t in top.tolist():
+            k, x, y = int(bins[a[t]]), int(in_a[best[t]]), int(in_b[best[t]])
+            if k < 0 or used_bin[k] or used[x] or y >= 0 and used[y]:
+                continue
+            used_bin[k] = used[x] = True
+            for z in (int(a[t]), int(b[t])):
+                if z >= 0:
+                    bins[z] = -1
+                    gone.append(z)
+            bins[x] = k
+            if y >= 0:
+                used[y] = True
+                bins[y] = k
+        if not gone:
+            break
+        loose = np.concatenate([loose[~used[loose]], np.array(gone, loose.dtype)])
+    return loose
+
+
 def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """a with a random half of b's well-filled bins injected whole."""
     fill = np.bincount(b, sizes)
     injected = ((fill >= WELL * capacity) & (rng.random(len(fill)) < 0.5))[b]
     if not injected.any():
-        return a.copy()
+        injected = (np.arange(len(fill)) == int(fill.argmax()))[b]
     hit = np.zeros(a.max() + 1, bool)
     hit[a[injected]] = True
     stay = ~hit[a]
-    # one bin of a is dissolved besides: the emptiest
+    # some bins of a are dissolved besides: the emptiest, and one or two at random
     rest = np.bincount(a, sizes)
     rest[hit[: len(rest)] | (rest == 0)] = np.inf
     if np.isfinite(rest).any():
-        stay &= a != int(rest.argmin())
+        stay &= ~np.isin(a, [int(rest.argmin()), *rng.choice(np.flatnonzero(np.isfinite(rest)), 2)])
     out = np.full(len(a), -1, np.int64)
     _, out[injected] = np.unique(b[injected], return_inverse=True)
     n = int(out.max()) + 1
@@ -197,36 +262,63 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rn
         _, own = np.unique(a[stay], return_inverse=True)
         out[stay] = own + n
         n = int(out.max()) + 1
+    loose = traded(sizes, out, n, np.flatnonzero(out < 0), capacity)
     placed = out >= 0
     room = (capacity - np.bincount(out[placed], sizes[placed], n)).astype(int).tolist()
-    loose = np.flatnonzero(~placed)
     best_fit(sizes, loose[np.argsort(-sizes[loose], kind="stable")], out, room, capacity)
     return out
 
 
+def bound(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins."""
+    return max(math.ceil(sizes.sum() / capacity), int((2 * sizes > capacity).sum()))
+
+
+def falling(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    return packed(sizes, np.argsort(-sizes, kind="stable"), capacity)
+
+
 def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int) -> np.ndarray:
-    """The best packing after GENERATIONS from the given packings and fresh ones."""
+    """The best packing found from the given packings and fresh ones."""
     rng = np.random.default_rng(seed)
-    people = [*seeds]
-    if not people:
-        people.append(packed(sizes, np.argsort(-sizes, kind="stable"), capacity))
-    lowest = math.ceil(sizes.sum() / capacity)
-    while len(people) < POPULATION:
-        people.append(packed(sizes, np.argsort(-sizes * (1 + 0.1 * rng.random(len(sizes))), kind="stable"), capacity))
-    for _ in range(GENERATIONS):
-        people.sort(key=lambda p: fitness(sizes, p, capacity))
-        if fitness(sizes, people[0], capacity)[0] <= lowest:
-            break
-        i, j = rng.permutation(len(people))[:2]
-        people[-1] = min((crossover(sizes, people[i], people[j], capacity, rng), crossover(sizes, people[j], people[i], capacity, rng)), key=lambda p: fitness(sizes, p, capacity))
-    return min(people, key=lambda p: fitness(sizes, p, capacity))
+    least = bound(sizes, capacity)
+    score = lambda p: fitness(sizes, p, capacity)
+    people = [(score(p), k, p) for k, p in enumerate(seeds or [falling(sizes, capacity)])]
+    while len(people) < POPULATION and min(people)[0][0] > least:
+        jitter = 0.02 + 0.3 * rng.random()
+        p = packed(sizes, np.argsort(-sizes * (1 + jitter * rng.random(len(sizes))), kind="stable"), capacity)
+        people.append((score(p), len(people), p))
+    born, still = len(people), 0
+    while still < PATIENCE and min(people)[0][0] > least:
+        people.sort()
+        i, j = (int(min(rng.integers(0, len(people), 2))) for _ in range(2))
+        before = people[0][0]
+        for x, y in ((i, j), (j, i)):
+            p = crossover(sizes, people[x][2], people[y][2], capacity, rng)
+            people.append((score(p), born, p))
+            born += 1
+        people.sort()
+        seen: set = set()  # the worst go, and twins
+        people = [x for x in people if not (x[0] in seen or seen.add(x[0]))][:POPULATION]
+        still = 0 if people[0][0] < before else still + 1
+    return min(people)[2]
 
 
 def _evolved(cut_pieces: DataFrame, shards: int, capacity: int) -> DataFrame:
     """rid, length, shard, bin, place, fill of the best packing of each shard."""
-    kind = "rid long, length long, shard long, island int, bin long"
     own = cut_pieces.select("rid", "length", F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"))
 
+    def places(of: pd.DataFrame) -> pd.DataFrame:
+        of = of.sort_values(["bin", "rid"])
+        by = of.groupby("bin")["length"]
+        return of.assign(place=by.cumsum() - of["length"], fill=by.transform("sum"))
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("rid")
+        sizes = g["length"].to_numpy()
+        bins = falling(sizes, capacity)
+        return places(g.assign(bin=bins, open=len(np.unique(bins)) > bound(sizes, capacity)))[["rid", "length", "shard", "bin", "place", "fill", "open"]]
+
     def first(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("rid")
         return g.assign(bin=evolve(g["length"].to_numpy(), [], capacity, int(g["island"].iloc[0])))[["rid", "length", "shard", "island", "bin"]]
@@ -239,17 +331,24 @@ def _evolved(cut_pieces: DataFrame, shards: int, capacity: int) -> DataFrame:
 
     def best(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["island", "rid"])
-        of = min((h for _, h in g.groupby("island")), key=lambda h: fitness(h["length"].to_numpy(), h["bin"].to_numpy(), capacity)).sort_values(["bin", "rid"])
-        by = of.groupby("bin")["length"]
-        return of.assign(place=by.cumsum() - of["length"], fill=by.transform("sum"))[["rid", "length", "shard", "bin", "place", "fill"]]
-
-    islands = own.withColumn("island", F.explode(F.array(*(F.lit(k) for k in range(ISLANDS)))))
-    now = islands.groupBy("shard", "island").applyInPandas(first, kind)
+        of = min((h for _, h in g.groupby("island")), key=lambda h: fitness(h["length"].to_numpy(), h["bin"].to_numpy(), capacity))
+        return places(of)[["rid", "length", "shard", "bin", "place", "fill"]]
+
+    found = "rid long, length long, shard long, bin long, place long, fill long"
+    # a stated number of partitions is not merged: a shard is little data and much work
+    fitted = cut(own.repartition(shards, "shard").groupBy("shard").applyInPandas(fit, found + ", open boolean"), "fitted")
+    done = fitted.where("not open").drop("open")
+    hard = fitted.where("open").select("shard").distinct().count()
+    if not hard:
+        return done
+    kind = "rid long, length long, shard long, island int, bin long"
+    islands = fitted.where("open").select("rid", "length", "shard", F.explode(F.array(*(F.lit(k) for k in range(ISLANDS)))).alias("island"))
+    now = islands.repartition(hard * ISLANDS, "shard", "island").groupBy("shard", "island").applyInPandas(first, kind)
     for _ in range(EPOCHS - 1):
         both = now.withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1))))
         both = both.withColumn("island", F.pmod(F.col("island") + F.col("guest"), F.lit(ISLANDS)).cast("int"))
-        now = both.groupBy("shard", "island").applyInPandas(later, kind)
-    return now.groupBy("shard").applyInPandas(best, "rid long, length long, shard long, bin long, place long, fill long")
+        now = both.repartition(hard * ISLANDS, "shard", "island").groupBy("shard", "island").applyInPandas(later, kind)
+    return done.union(now.groupBy("shard").applyInPandas(best, found))
 
 
 def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
