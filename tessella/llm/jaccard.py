@@ -1,24 +1,28 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: the stage of the corpus pipeline.
+"""Near-duplicates by exact Jaccard similarity of word shingles: what completes SimHash where a filter needs exact links.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. No reach of SimHash
-bits is equivalent to that, so candidates come from prefix filtering, which is exact: under one order of all shingles,
-two linked sets share one of the first n - ceil(0.8 n) + 1 shingles of either. The order puts shingles that are common in
-a sample of the texts last and those by frequency; any order is exact, this one keeps cells small.
+bits is equivalent to that, so links are found in three steps, each of which looks only at texts that the steps before
+have not brought together:
 
-A cell holds the texts that share such a shingle. Before them come cells of equal min-hashes, which find nearly all links
-at once; texts are compared there with members of other groups only, so a large group of near copies costs its size and
-not its square. Prefix cells then prove the rest: they give pairs of texts that are not in one component yet and whose
-sizes and places of the shingle allow the similarity, and each pair is checked. Cells of over HOT characters or HOT_ROWS
-rows are split into blocks, and each pair of blocks is a task's group of its own. Components come from star steps over
-the forests.
+1. fingerprints that a SimHash grid links, checked by their shingles;
+2. cells of equal min-hashes, in which texts are compared with members of other groups only, so that a large group of
+   near copies costs its size and not its square;
+3. prefix filtering, which is exact: under one order of all shingles, two linked sets share one of the first
+   n - ceil(0.8 n) + 1 shingles of either. The order puts shingles that are common in a sample of the texts last and
+   those by frequency; any order is exact, this one keeps cells small. A prefix cell gives pairs of texts that are not in
+   one component yet and whose sizes and places of the shingle allow the similarity, and each pair is checked.
+
+Cells of over HOT characters or HOT_ROWS rows are split into blocks, and each pair of blocks is a task's group of its
+own. Components come from star steps over the forests. Only texts that a step compares are sent, once a step.
 
 Defined cases: texts without words, null too, are alike. A text of under five words is one shingle. Copies meet once, as
-one row. Of a component the row with the smallest doc_id stays (null last). Sets are of 64-bit hashes.
+one row. Sets are of 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, texts, unsigned_mix
+from .common import cut, map_arrow, slices, texts, trim, unsigned_mix
 from .components import components
-from .simhash import one_of_each
 
-SHINGLE = 5
+SHINGLE, SEED = 5, 42
 #: Least similarity of linked texts, as a fraction.
 OF, PARTS = 4, 5
 #: Min-hashes of a set.
-MINS = 6
+MINS = 3
 #: Texts of the sample, sampled texts that make a shingle common, and common shingles (16 bytes each) sent to all tasks.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 250_000
 #: Characters of a cell beyond which it is split.
@@ -43,11 +46,34 @@ HOT, HOT_ROWS = 4_000_000, 4_000
 BROADCAST_KEYS = 500_000
 
 
-def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct hashes of the shingles of a whole text in UTF-8, sorted; one of its own for a text without words."""
+def hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the shingles of a whole text in UTF-8, in their order, repeats included; none without words."""
     w = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(w[i : i + shingle])) for i in range(max(1, len(w) - shingle + 1))], np.uint64))
+    n = len(w)
+    if not n:
+        return np.zeros(0, np.uint64)
+    s, digest = b" ".join(w), xxhash.xxh64_intdigest
+    if n <= shingle:
+        return np.array([digest(s, SEED)], np.uint64)
+    ends = list(accumulate((len(x) + 1 for x in w), initial=0))
+    return np.fromiter((digest(s[i : j - 1], SEED) for i, j in zip(ends, ends[shingle:])), np.uint64, n - shingle + 1)
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """SimHash of shingle hashes: the bits set in over half of them."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(h), 65_536):
+        total += np.unpackbits(h[a : a + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """A set of shingle hashes, sorted; that of a text without words holds one of its own."""
+    return np.unique(h) if len(h) else np.zeros(1, np.uint64)
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    return distinct(hashes(text, shingle))
 
 
 def linked_sizes(a: int, b: int, common: int) -> bool:
@@ -57,11 +83,13 @@ def linked_sizes(a: int, b: int, common: int) -> bool:
 
 def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set in the order of all shingles: common (sorted) ones last, by their rank."""
-    late = np.zeros(len(s), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        late = np.where(common[at] == s, rank[at] + 1, 0)
-    return s[np.lexsort((s, late))[: len(s) - -(-OF * len(s) // PARTS) + 1]]
+    size = len(s) - -(-OF * len(s) // PARTS) + 1
+    if not len(common):
+        return s[:size]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    late = common[at] == s
+    rare = s[~late]
+    return rare[:size] if len(rare) >= size else np.concatenate([rare, s[late][np.argsort(rank[at[late]])]])[:size]
 
 
 def common_shingles(keyed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +111,19 @@ CELLS = "kind byte, cell long, key long, n int, place int"
 
 
 def cells_of(keyed: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """kind (0: prefix, else the min-hash), cell, key, number of shingles, place in the prefix."""
+    """kind (0: prefix, -1: the SimHash fingerprint, else the min-hash), cell, key, number of shingles, place in the prefix."""
     seeds = unsigned_mix(np.arange(1, MINS + 1))
-    mins = np.arange(1, MINS + 1, dtype=np.int8)
+    kinds = np.array([-1, *range(1, MINS + 1)], np.int8)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (np.int8, np.uint64, np.int64, np.int32, np.int32)]
         for k, x in zip(b.column(0).to_numpy(), texts(b.column(1))):
-            s = shingles(x)
+            h = hashes(x)
+            s = distinct(h)
             first = prefix(s, common, rank)
-            m = len(first) + MINS
-            lows = np.array([unsigned_mix(s ^ seed).min() for seed in seeds], np.uint64)
-            row = np.concatenate([np.zeros(len(first), np.int8), mins]), np.concatenate([first, lows]), np.full(m, k), np.full(m, len(s), np.int32), np.concatenate([np.arange(len(first), dtype=np.int32), np.zeros(MINS, np.int32)])
+            m = len(first) + len(kinds)
+            lows = np.array([fingerprint_of(h), *(unsigned_mix(s ^ seed).min() for seed in seeds)], np.uint64)
+            row = np.concatenate([np.zeros(len(first), np.int8), kinds]), np.concatenate([first, lows]), np.full(m, k), np.full(m, len(s), np.int32), np.concatenate([np.arange(len(first), dtype=np.int32), np.zeros(len(kinds), np.int32)])
             for part, values in zip(parts, row):
                 part.append(values)
         kind, cell, key, n, place = map(np.concatenate, parts)
@@ -104,7 +133,7 @@ def cells_of(keyed: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
 
 
 def shared_cells(cells: DataFrame) -> DataFrame:
-    """The rows of cells that hold two keys or more. A cell is only streamed past, so one of any size may be in a task."""
+    """The rows of cells that hold two keys or more, and all fingerprints. A cell is only streamed past, so one of any size may be in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.RecordBatch | None = None  # the last key of the open cell, held back until its next row
@@ -123,10 +152,12 @@ def shared_cells(cells: DataFrame) -> DataFrame:
             give[0] |= held and many
             last = len(give) - 1
             many = bool(give[last] and (last > 0 or many))
+            give |= kind < 0
             yield from t.slice(0, last).filter(pa.array(give[:last])).to_batches()
             rest = t.slice(last).combine_chunks().to_batches()[0]
-        if rest is not None and many:
+        if rest is not None and (many or rest.column(0)[0].as_py() < 0):
             yield rest
+        trim()
 
     return cells.repartition("kind", "cell").sortWithinPartitions("kind", "cell", "key").mapInArrow(run, CELLS)
 
@@ -156,6 +187,7 @@ def pairs(rooted: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
                 yield from some(now[i:j, 3:])
             rest = now[start[-1] :].copy()
         yield from some(rest[:, 3:])
+        trim()
 
     return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "u long, v long").distinct()
 
@@ -219,20 +251,36 @@ def links(cells: DataFrame, needed: DataFrame, hot: int = HOT) -> DataFrame:
     return spread.mapInArrow(run, "u long, v long")
 
 
-def classes(keyed: DataFrame, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """fp, root: every distinct key of keyed (key, text) and the smallest one it is linked to, directly or not."""
-    keys = cut(keyed.select("key").distinct(), "keys")
+def classes(keyed: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame], hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """fp, root: the keys of keyed (key, text) that are linked to others, directly or not, and the smallest of those.
+
+    fingerprint_links: from the distinct fingerprints (fp) to links (u, v) among them.
+    """
     shared = cut(shared_cells(cells_of(keyed, *common_shingles(keyed, keyed.count()))), "shared")
-    asked = cut(shared.select("key").distinct(), "asked")
-    sent = F.broadcast if asked.count() <= BROADCAST_KEYS else lambda df: df
-    needed = cut(keyed.join(sent(asked), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).withColumn("size", F.length(F.coalesce("text", F.lit("")))), "needed")
-    surely = cut(links(shared.where("kind > 0").select("kind", "cell", "key"), needed, hot), "links")
-    rooted = shared.where("kind = 0").join(components(surely).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    roots = components(surely.union(cut(checked(cut(pairs(rooted, hot_rows), "pairs"), needed), "links")))
-    return cut(keys.join(roots.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias("fp"), F.coalesce("root", "key").alias("root")), "classes")
-
-
-def without_near_duplicates(docs: DataFrame, hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The rows of docs, all columns, without all but one of each component: that with the smallest doc_id (null last)."""
-    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
-    return one_of_each(docs, lambda rows: rows.select(F.col("doc_id").cast("long").alias("doc_id"), "tessella_row", key.alias("fp")), lambda _: classes(docs.select(key, "text"), hot, hot_rows))
+
+    def needed(keys: DataFrame) -> DataFrame:
+        """Texts and sizes of the keys (key, distinct), each once."""
+        sent = F.broadcast if keys.count() <= BROADCAST_KEYS else lambda df: df
+        return cut(keyed.join(sent(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).withColumn("size", F.length(F.coalesce("text", F.lit("")))), "needed")
+
+    def rooted(kinds: str, edges: DataFrame) -> DataFrame:
+        """Shared cells of these kinds that hold keys not brought together yet, with the keys' roots."""
+        roots = components(edges).withColumnRenamed("node", "key")
+        rows = cut(shared.where(kinds).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+        open_ = rows.groupBy("kind", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("kind", "cell")
+        return cut(rows.join(open_, ["kind", "cell"], "left_semi"), "open")
+
+    # 1. texts of one fingerprint meet the first of them; linked fingerprints meet by their first texts
+    of = shared.where("kind < 0").select(F.col("cell").alias("fp"), "key")
+    first = cut(of.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "first")
+    copies = of.join(first.where("first < last"), "fp").where("key > first").select(F.col("first").alias("u"), F.col("key").alias("v"))
+    met = fingerprint_links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("y")), "v")
+    pairs_ = cut(copies.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
+    edges = cut(checked(pairs_, needed(pairs_.select(F.explode(F.array("u", "v")).alias("key")).distinct())), "links")
+    # 2. min-hashes
+    cells = rooted("kind > 0", edges).select("kind", "cell", "key")
+    edges = edges.union(cut(links(cells, needed(cells.select("key").distinct()), hot), "links"))
+    # 3. prefixes
+    pairs_ = cut(pairs(rooted("kind = 0", edges), hot_rows), "pairs")
+    edges = edges.union(cut(checked(pairs_, needed(pairs_.select(F.explode(F.array("u", "v")).alias("key")).distinct())), "links"))
+    return cut(components(edges).select(F.col("node").alias("fp"), "root"), "classes")

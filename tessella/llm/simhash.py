@@ -1,16 +1,21 @@
 """Operator 6, SimHash near-duplicates by a segment-popcount embedding and a grid range join.
 
 A fingerprint of 64 bits is embedded as the bit counts of its 32 two-bit segments. The Manhattan distance of two
-embeddings never exceeds the Hamming distance of their fingerprints, so links lie within Manhattan distance 4. The
-segments are dealt into g groups: at most 4 groups can differ, so two linked fingerprints agree in all coordinates of
-some g - 4 groups. Each such choice of groups is a grid whose cells hold equal coordinates; within a cell a second
-range join on the total bit count (again a lower bound) leaves pairs that are verified exactly. g grows with the number
-of distinct fingerprints, which keeps cells small; every g is exact.
+embeddings never exceeds the Hamming distance of their fingerprints, so links lie within Manhattan distance REACH. The
+segments are dealt into g groups: at most REACH groups can differ, so two linked fingerprints agree in all coordinates
+of some g - REACH groups. Each such choice of groups is a grid whose cells hold equal coordinates. Within a cell a range
+join on the total bit count comes first, then the Manhattan distance of the embeddings (counts are kept in unary, so it
+is the number of bits in which two differ), and what passes both lower bounds is verified by the Hamming distance. g
+grows with the number of distinct fingerprints, which keeps cells small; every g is exact.
 
 Copies share a fingerprint and meet once, as one row. A cell gives a spanning forest of its links, not all pairs. Cells
 of over HOT rows are split into blocks, and each pair of blocks is a task's group of its own. Components come from
 star steps over the forests.
 
+without_near_duplicates() is the form for filtering: shingles of five words, and a link is a Jaccard similarity of 0.8
+or more. Fingerprints of such texts may differ in more bits than a grid can reach, so those that the grid links are
+checked by their shingles first, and jaccard completes the links exactly.
+
 Defined cases: null or wordless text has fingerprint zero and links like any other. A null doc_id is never a
 component's smallest id (null only if a component has no other). Repeated rows are copies. Ties do not arise: the
 smallest id is unique. Extra columns are ignored; empty tables give an empty result.
@@ -19,18 +24,21 @@ smallest id is unique. Extra columns are ignored; empty tables give an empty res
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, table, texts
+from . import jaccard
+from .common import cut, free_name, map_arrow, row_key, table, texts, trim
 from .components import components
+from .jaccard import SEED, fingerprint_of, hashes
 
-SHINGLE, SEED, REACH = 4, 42, 4
+SHINGLE, REACH = 4, 4
+#: Ways over which a component's smallest id is sent to its fingerprints, so a large one is no single task.
+SALTS = 16
 #: Rows of a cell beyond which it is split, and rows compared at once.
 HOT, BLOCK = 20_000, 1_024
 #: Distinct fingerprints up to which so many groups of segments serve.
@@ -39,21 +47,7 @@ GROUPS = ((2_000_000, 5), (50_000_000, 6), (1_000_000_000, 7), (1 << 62, 8))
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of a whole text in UTF-8, unsigned."""
-    w = text.lower().split()
-    n = len(w)
-    if not n:
-        return 0
-    s = b" ".join(w)
-    digest = xxhash.xxh64_intdigest
-    if n <= shingle:
-        return digest(s, SEED)  # the only shingle: its bits are set in all
-    ends = list(accumulate((len(x) + 1 for x in w), initial=0))
-    total = np.zeros(64, np.int64)
-    for a in range(0, n - shingle + 1, 65_536):
-        b = min(a + 65_536, n - shingle + 1)
-        h = np.array([digest(s[i : j - 1], SEED) for i, j in zip(ends[a:b], ends[a + shingle : b + shingle])], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return int(np.packbits(total * 2 > n - shingle + 1, bitorder="little").view("<u8")[0])
+    return fingerprint_of(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
@@ -66,27 +60,40 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFra
     return map_arrow(docs.select("text", F.col("doc_id").cast("long"), *more), run, ", ".join(f"{c} long" for c in ("doc_id", *more, "fp")))
 
 
-def masks(groups: int) -> list[int]:
-    """For each choice of groups - REACH groups, the bits of their segments. Segment k is in group k mod groups."""
+def masks(groups: int, reach: int = REACH) -> list[int]:
+    """For each choice of groups - reach groups, the bits of their segments. Segment k is in group k mod groups."""
     own = [sum(3 << 2 * k for k in range(g, 32, groups)) for g in range(groups)]
-    out = [sum(own[g] for g in some) for some in combinations(range(groups), groups - REACH)]
+    out = [sum(own[g] for g in some) for some in combinations(range(groups), groups - reach)]
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of the 32 segments, each in unary in its two bits (00, 01, 11)."""
+    fp, low = fp.view(np.uint64), np.uint64(0x5555555555555555)
+    other = fp >> np.uint64(1)
+    return ((fp | other) & low) | ((fp & other & low) << np.uint64(1))
+
+
+def manhattan(e: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Manhattan distance of embeddings: unary counts differ in as many bits as their difference."""
+    return np.bitwise_count(e ^ f)
+
+
 def linked(fp: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within fp (distinct): fingerprints, and the root of each that has another root."""
     bits = np.bitwise_count(fp.view(np.uint64)).astype(np.int16)
     order = np.lexsort((fp, bits))
-    fp, bits = fp[order], bits[order]
+    fp, bits, e = fp[order], bits[order], embedded(fp[order])
     label = np.arange(len(fp))
     for a in range(0, len(fp), BLOCK):
         b = min(a + BLOCK, len(fp))
         end = int(np.searchsorted(bits, bits[b - 1] + reach, "right"))  # counts further off can't be linked
         for c in range(a, end, 8 * BLOCK):
             d = min(c + 8 * BLOCK, end)
-            i, j = np.nonzero(np.bitwise_count((fp[a:b, None] ^ fp[None, c:d]).view(np.uint64)) <= reach)
+            i, j = np.nonzero(manhattan(e[a:b, None], e[None, c:d]) <= reach)
             i, j = i + a, j + c
-            i, j = i[i < j], j[i < j]
+            near = (i < j) & (np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64)) <= reach)
+            i, j = i[near], j[near]
             while len(i):
                 p, q = label[i], label[j]
                 open_ = p != q
@@ -120,9 +127,9 @@ def links(fps: DataFrame, groups: int | None = None, hot: int = HOT) -> DataFram
     """Spanning forests (u, v) of the links between the distinct fingerprints fps.fp."""
     n = fps.count()
     chosen = masks(groups or next(g for most, g in GROUPS if n <= most))
-    # bit counts of all two-bit segments at once: each field holds 0, 1 or 2
+    # bit counts of all two-bit segments at once, in unary
     other, low = F.shiftrightunsigned("fp", 1), F.lit(0x5555555555555555)
-    counts = F.col("fp").bitwiseXOR(other).bitwiseAND(low).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(other).bitwiseAND(low), 1))
+    counts = F.col("fp").bitwiseOR(other).bitwiseAND(low).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(other).bitwiseAND(low), 1))
     cells = fps.select("fp", counts.alias("e")).select("fp", F.posexplode(F.array(*(F.col("e").bitwiseAND(F.lit(m)) for m in chosen))).alias("t", "cell"))
     crowded = cells.groupBy("t", "cell").count().where(F.col("count") > hot).select("t", "cell", F.ceil(F.col("count") / hot).cast("long").alias("parts"))
     dealt = cells.join(crowded, ["t", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
@@ -134,48 +141,51 @@ def links(fps: DataFrame, groups: int | None = None, hot: int = HOT) -> DataFram
             u, v = linked(fp)
             if len(u):
                 yield pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+        trim()
 
     spread = dealt.repartition("t", "cell", "a", "b").sortWithinPartitions("t", "cell", "a", "b")
     return spread.mapInArrow(run, "u long, v long")
 
 
-def classes(of_docs: DataFrame) -> DataFrame:
-    """fp, root: every distinct fingerprint and the smallest one it is linked to, directly or not."""
-    fps = cut(of_docs.select("fp").distinct(), "distinct")
-    roots = components(links(fps)).withColumnRenamed("node", "fp")
-    return cut(fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "classes")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (smallest doc_id reachable through links of fingerprints): one row a document."""
     of_docs = cut(fingerprints(docs, shingle), "fingerprints")
-    roots = classes(of_docs)
-    least = of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
-    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(roots.join(smallest, "root").select("fp", "component_id"), "named")
-    return of_docs.join(named, "fp").select("doc_id", "fp", "component_id")
+    least = cut(of_docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = cut(components(links(least.select("fp"))).withColumnRenamed("node", "fp"), "roots")
+    smallest = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    # every linked fingerprint asks for its root's smallest id: roots are salted, so a large component is many tasks' work
+    salts = F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt")
+    asked = roots.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    named = asked.join(smallest.select("root", "component_id", salts), ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("linked"))
+    every = cut(least.join(named, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")), "named")
+    return of_docs.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, keys: Callable[[DataFrame], DataFrame], roots: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs, all columns, without all but one of each class: that with the smallest doc_id (null last).
 
-    keys: doc_id, tessella_row and fp of every row; roots: fp and root of those.
+    keys: from doc_id, text and row to doc_id, row and fp of every row; roots: fp and root of those that have another root than themselves.
+    """
+    row = row_key(docs)
+    of_docs = cut(keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
+    first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(roots(of_docs), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    own, kept_id, kept_row = free_name(docs, "own_row", "kept_id", "kept_row")
+    kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias(kept_id), F.col("first.row").alias(kept_row)), "kept")
+    out = docs.withColumn(own, row).join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_row)), "left_semi")
+    if not of_docs.groupBy("doc_id", "row").count().where("count > 1").isEmpty():  # rows that repeat in all columns
+        out = out.dropDuplicates(["doc_id", own])
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def without_near_duplicates(docs: DataFrame, hot: int = jaccard.HOT, hot_rows: int = jaccard.HOT_ROWS) -> DataFrame:
+    """The rows of docs, all columns, without all but one of each group of near-duplicates (five words, Jaccard similarity of 0.8 or more): that with the smallest doc_id (null last).
+
+    Links of the fingerprints come first, exact links of the shingles complete them. Groups are those of the exact links.
     """
-    row = F.xxhash64(*docs.columns)
-    of_docs = cut(keys(docs.withColumn("tessella_row", row)), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", F.col("tessella_row").alias("row"))
-    first = of_docs.groupBy("fp").agg(F.min(order).alias("first")).join(roots(of_docs), "fp")
-    kept = cut(first.groupBy("root").agg(F.min("first").alias("first")).select("first.*"), "kept")
-    keyed = docs.withColumn("tessella_row", row)
-    out = keyed.join(kept.select(F.col("doc_id").alias("tessella_id"), F.col("row").alias("tessella_kept")), F.col("doc_id").eqNullSafe(F.col("tessella_id")) & (F.col("tessella_row") == F.col("tessella_kept")), "left_semi")
-    if not of_docs.groupBy("doc_id", "tessella_row").count().where("count > 1").isEmpty():  # rows that repeat in all columns
-        out = out.dropDuplicates(["doc_id", "tessella_row"])
-    return out.select(*docs.columns)
-
-
-def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs, all columns, without all but one of each component: that with the smallest doc_id (null last)."""
-    return one_of_each(docs, lambda rows: fingerprints(rows, shingle, "tessella_row"), classes)
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
+    keyed = docs.select(key, "text")
+    return one_of_each(docs, lambda rows: rows.select("doc_id", "row", key.alias("fp")), lambda _: jaccard.classes(keyed, links, hot, hot_rows))
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
