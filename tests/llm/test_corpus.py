@@ -1,9 +1,12 @@
 """Operators 4, 6, 7, 8, 9, 10 and the pipeline: edge cases and brute force."""
 
+import itertools
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import SF, assert_same, rows_of
 from tessella.llm import covertree, jaccard, kneserney, mixing, packing, simhash, warc
+from tessella.llm.common import row_key
 from tessella.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,6 +114,14 @@ def test_grid_finds_every_link(spark, groups, hot):
     assert len({*zip(want, mine)}) == len(set(want)) == len(set(mine))
 
 
+def test_embedding_is_a_lower_bound():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 1 << 64, (2, 500), np.uint64)
+    counts = lambda x: np.array([[int(v) >> 2 * k & 1 | 0 for k in range(32)] for v in x]) + np.array([[int(v) >> 2 * k + 1 & 1 for k in range(32)] for v in x])
+    distance = simhash.manhattan(simhash.embedded(a), simhash.embedded(b))
+    assert (distance == np.abs(counts(a) - counts(b)).sum(1)).all() and (distance <= np.bitwise_count(a ^ b)).all()
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(100, 140)] + [(0, k) for k in range(1, 60)] + [(7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -120,9 +132,14 @@ def test_components_of_chains_and_hubs(spark):
 def test_one_of_each_group_stays(spark):
     long = " ".join(f"w{k}" for k in range(300))
     rows = [(5, long, "en", "s", 1), (3, long + " tail", "en", "s", 1), (3, long + " tail", "en", "s", 1), (None, long, "en", "s", 1), (9, "other words entirely here", "en", "s", 1), (8, None, "en", "s", 1), (7, " ", "de", None, 1)]
-    docs = spark.createDataFrame(rows, DOCS).withColumn("row", F.lit(1)).withColumn("fp", F.lit("x"))
+    docs = spark.createDataFrame(rows, DOCS)
+    for c in ("row", "fp", "key", "root", "own_row", "kept_id", "kept_row", "tessella_row", "first", "a.b"):
+        docs = docs.withColumn(c, F.lit(7))
+    docs = docs.withColumn("tags", F.create_map(F.lit("a"), F.col("doc_id")))
     out = simhash.without_near_duplicates(docs)
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 7, 9]
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [3, 7, 9] and {r["own_row"] for r in out.collect()} == {7}
+    nulls = spark.createDataFrame([(1, "a b", None, "en", 1), (1, "a b", "en", None, 1)], DOCS)  # the same values, at other places
+    assert len(simhash.without_near_duplicates(nulls).collect()) == 1 and len({r[0] for r in nulls.select(row_key(nulls)).collect()}) == 2
     assert {r["component_id"] for r in simhash.near_duplicates(docs.where("doc_id is null")).collect()} == {None}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -160,7 +177,7 @@ def test_stage_keeps_one_of_each_jaccard_group(spark, monkeypatch, hot, mins):
         rows[len(rows)] = t
     ids, want = brute_jaccard(rows)
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows.items()], DOCS)
-    assert {r["doc_id"] for r in jaccard.without_near_duplicates(docs, *hot).collect()} == {ids[r] for r in want}
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(docs, *hot).collect()} == {ids[r] for r in want}
     apart = [simhash.fingerprint((rows[k] or "").encode()) ^ simhash.fingerprint((rows[ids[r]] or "").encode()) for k, r in zip(ids, want)]
     assert sum(x.bit_count() > 4 for x in apart) > 10  # pairs that four SimHash bits don't reach
 
@@ -202,29 +219,58 @@ def test_shards_draw_all_slots_and_epochs_are_permutations(spark):
     own = mixing.sized(spark.read.parquet(f"{SF}/documents.parquet"))
     sources = mixing.plan_sources(own, 16).cache()
     placed = mixing.placements(sources, 64).collect()
-    n = sum(r["slots"] for r in sources.collect())
-    assert sorted(r["slot"] for r in placed) == list(range(n))
+    quota = {r["idx"]: r["slots"] for r in sources.collect()}
+    n = sum(quota.values())
+    assert {k: sum(r["idx"] == k for r in placed) for k in quota} == quota  # every source has its quota
     blocks = {r["idx"]: r["blocks"] for r in sources.collect()}
-    for (idx, epoch), group in __import__("itertools").groupby(sorted(placed, key=lambda r: (r["idx"], r["epoch"])), key=lambda r: (r["idx"], r["epoch"])):
+    for (idx, epoch), group in itertools.groupby(sorted(placed, key=lambda r: (r["idx"], r["epoch"])), key=lambda r: (r["idx"], r["epoch"])):
         b = [r["block"] for r in group]
         assert len(set(b)) == len(b) and max(b) < blocks[idx]
-    counts = {}
-    for r in mixing.shard_counts(sources, 64).collect():
-        counts[r["shard"]] = counts.get(r["shard"], 0) + r["n"]
-    assert all(counts[s] == min(64, n - 64 * s) for s in counts)
+        assert len(b) == blocks[idx] or epoch == quota[idx] // blocks[idx]
+    in_shard = {}
+    for r in placed:
+        in_shard[r["shard"]] = in_shard.get(r["shard"], 0) + 1
+    assert all(in_shard[s] == min(64, n - 64 * s) for s in in_shard) and len(in_shard) == math.ceil(n / 64)
+
+
+def test_shard_counts_are_multinomial(spark):
+    sources = spark.createDataFrame([(k, 20_000, 40_000 * (k + 1), 40_000 * (k * (k + 1) // 2)) for k in range(4)], "idx long, blocks long, slots long, before long")
+    total = 400_000
+    counts = np.zeros((400, 4))
+    for r in mixing.shard_counts(sources, total, 1_000).collect():
+        counts[r["shard"], r["idx"]] = r["n"]
+    assert (counts.sum(1) == 1_000).all()
+    p = np.arange(1, 5) / 10
+    assert np.abs(counts.mean(0) - 1_000 * p).max() < 4 * np.sqrt(1_000 * 0.25 / 400)
+    assert np.allclose(counts.var(0), 1_000 * p * (1 - p), rtol=0.4)  # no lattice: the variance is the multinomial one
+    assert abs(np.corrcoef(counts[:-1, 0], counts[1:, 0])[0, 1]) < 0.2
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 997])
+def test_permutations_are_one_to_one_and_mix(spark, n):
+    rows = spark.range(n).selectExpr("id AS x", f"CAST({n} AS LONG) AS n", "CAST(5 AS LONG) AS which")
+    got = [r["y"] for r in mixing.permuted(rows, "x", "n", "which", "y").orderBy("x").collect()]
+    assert sorted(got) == list(range(n))
+    if n > 900:
+        steps = np.diff(got) % n
+        assert len(set(steps)) > n / 3  # no stride
 
 
 # --- 8
 
 
-def test_tokens_are_those_of_the_tokenizer():
+def test_tokens_are_those_of_the_tokenizer(monkeypatch):
     e = packing.Encoder(packing.tokenizer_path())
-    odd = ["it's <|endoftext|> x", "ÀÉ Ünï.", "a b  \x1c c a\x0bb", "", "12,3 $%&*'", "\u200b \u200bzz", "ΑΣ ΣΑΣ.", "İi", "e\u0301 \u0301a ﬁ", "x" * 5000, "Ab,. c!? d", "中文 字 ，", "don't we'll"]
-    ids, at = e.encode([t.encode() for t in odd])
+    odd = ["it's <|endoftext|> x", "ÀÉ Ünï.", "a b  \x1c c a\x0bb", "", "12,3 $%&*'", "\u200b \u200bzz", "ΑΣ ΣΑΣ.", "İi", "e\u0301 \u0301a ﬁ", "x" * 5000, "Ab,. c!? d", "中文 字 ，", "don't we'll", "(ab)...", "'sab '", "ab&&& **", "-x-"]
+    ids, at = e.encode(pa.array([*odd, None]))
     for k, t in enumerate(odd):
         assert e.whole.encode(t, add_special_tokens=False).ids == ids[at[k] : at[k + 1]].tolist(), t
-    e.clear()
-    assert e.encode([b"again"])[0].tolist() == e.whole.encode("again", add_special_tokens=False).ids
+    monkeypatch.setattr(packing, "CACHE_WORDS", 3)  # words pass through both generations of the cache
+    few = [random.Random(k).choice(odd[0].split() + odd[-4].split() + ["again"]) for k in range(60)]
+    for k in range(0, 60, 5):
+        assert e.encode(pa.array([" ".join(few[k : k + 5])]))[0].tolist() == e.whole.encode(" ".join(few[k : k + 5]), add_special_tokens=False).ids
+    assert len(e.parts.young) + len(e.parts.old) <= 40
+    assert e.encode(pa.array(["again"]))[0].tolist() == e.whole.encode("again", add_special_tokens=False).ids
 
 
 def test_packing(spark):
@@ -258,6 +304,53 @@ def test_crossover_keeps_every_piece_and_evolution_never_worsens():
     assert packing.fitness(sizes, packing.evolve(sizes, [], 2048, 1), 2048) <= packing.fitness(sizes, bfd, 2048)
 
 
+def triplets(n, capacity, seed):
+    """Pieces of which three fill a sequence exactly: best fit wastes room, n sequences are enough."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(int(0.38 * capacity), int(0.49 * capacity)))
+        b = int(rng.integers(int(0.25 * capacity), (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [20, 40, 83])
+def test_evolution_gains_where_best_fit_wastes_room(n):
+    sizes = triplets(n, 1000, n)
+    bins = packing.evolve(sizes, [], 1000, 1)
+    used = len(np.unique(bins))
+    assert np.bincount(bins, sizes).max() <= 1000 and n <= used <= n + 2 < len(np.unique(packing.falling(sizes, 1000)))
+
+
+def test_evolution_against_all_packings_of_few_pieces():
+    def least(sizes, capacity):
+        def place(k, room):
+            if k == len(sizes):
+                return len(room)
+            options = {r: i for i, r in enumerate(room) if r >= sizes[k]}
+            return min([place(k + 1, [*room, capacity - sizes[k]])] + [place(k + 1, [*room[:i], r - sizes[k], *room[i + 1 :]]) for r, i in options.items()])
+
+        return place(0, [])
+
+    rng = np.random.default_rng(3)
+    for k in range(40):
+        sizes = rng.integers(15, 60, 8)
+        assert len(np.unique(packing.evolve(sizes, [], 100, k))) == least(sizes.tolist(), 100)
+
+
+def test_hard_shards_are_evolved_on_islands(spark):
+    sizes = triplets(40, 2048, 5)
+    rows = spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes)], "rid long, length long").selectExpr("rid", "length", "rid AS own")
+    got = packing.pack(rows).collect()
+    fill = {}
+    for r in got:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(r["own"] for r in got) == list(range(120)) and len(fill) <= 42 < len(np.unique(packing.falling(sizes, 2048)))
+    for parts in fill.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+
+
 # --- 9
 
 
@@ -381,9 +474,7 @@ def test_pipeline(spark):
         assert docs.columns == columns and after < before
         gone = before - after
         if name == "neardup":  # exactly one of each brute-force group
-            ids = sorted(before)
-            fp = [brute_fingerprint(texts[k] or "") for k in ids]
-            want = roots(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 4])
+            ids, want = brute_jaccard({k: texts[k] for k in before})
             assert after == {ids[r] for r in want}
         else:
             field, bad = ("toxic", 1) if name == "toxicity" else ("quality", 0)
@@ -392,8 +483,16 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.STAGES[3][1](spark, docs, sf).cache()
     want = sum(r["taken"] for r in mixing.mix(docs).collect())
     assert mixed.columns == columns and sum(len((r["text"] or "").split()) for r in mixed.collect()) == want
-    packed = corpus_pipeline.STAGES[4][1](spark, mixed, sf).collect()
-    e = packing.Encoder(packing.tokenizer_path())
-    ids, _ = e.encode([(r["text"] or "").encode() for r in mixed.collect()])
-    assert sum(r["length"] for r in packed) == len(ids) + mixed.count() and n
-    assert len({r["sequence_id"] for r in packed}) <= math.ceil(sum(r["length"] for r in packed) / 2048) + 2
+    assert all(set(r["text"].split()) <= set(texts[r["doc_id"]].split()) for r in mixed.collect()) and n
+    # run() gives the pieces that a plain loop over the mixed documents makes
+    whole = packing.Encoder(packing.tokenizer_path()).whole
+    plain = []
+    for r in mixed.collect():
+        ids = [*whole.encode(r["text"], add_special_tokens=False).ids, 0]
+        plain += [(r["doc_id"], k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())) for k in range(0, len(ids), 2048)]
+    ran = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in ran) == sorted(plain)
+    fill = {}
+    for r in ran:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert max(fill.values()) <= 2048 and len(fill) <= math.ceil(sum(fill.values()) / 2048) + 2
