@@ -5,17 +5,24 @@ noise and foreign text, and its n-gram types level off while tokens grow. Truste
 quality 1. Counting is a sharded aggregate: each task counts its own n-grams first, the counts meet by key, and lower
 orders get continuation counts from the types of the next higher one. Discounts are the modified ones (D1, D2, D3+ from
 counts of counts, by language and order), and a key's probability and its context's back-off weight are joined at that
-key. The finished table is written in shards by hash in the shared folder; a task that scores documents streams shard
-after shard past its n-grams, holds HELD of them at most, and sums logarithms by document.
+key.
 
-Every shard is one count join for all documents of a batch: an n-gram is looked up in the shard its hash names, and
-those not found go down an order with the back-off weight of their context. Thresholds are quantiles, by language, of
-the perplexity of trusted documents that were kept out of the counts (fold 0 of FOLDS), widened by MARGIN.
+Scoring is a join of n-grams with the sharded model. An n-gram and all that it backs off to share the two characters
+before its last one, so the model is sharded by those; unigrams and bigrams go to every shard. A task gives the different
+n-grams of each batch of documents, by shard and compressed; they are dealt over (shard, salt), a task there holds one
+shard and resolves what reaches it; and the results, a log probability for each different n-gram of a batch, are written
+by batch, where the task that scores the batch reads its own. What a task reads is bounded by its batch, not by the
+model. A batch is known by a hash of its texts; n-grams without a result (a batch cut otherwise on a second reading) are
+resolved by reading shard after shard.
+
+Thresholds are quantiles, by language, of the perplexity of trusted documents that were kept out of the counts (fold 0 of
+FOLDS). A language with fewer than LEAST of those is judged by the quantile, over all languages, of the distance to the
+language's own mean, or by the quantile over all.
 
 Defined cases: null text, empty text and text shorter than two characters have no perplexity and stay. A language
-without trusted text, or with fewer than LEAST held-out trusted documents, has no threshold and its documents stay
-(null language is a language of its own). Repeated rows count and are scored alike. Labels of unknown documents are
-ignored; an empty labels table keeps everything. Extra columns are ignored. Empty tables give an empty result.
+without trusted text has no model and its documents stay (null language is a language of its own, apart from the empty
+one). Repeated rows count and are scored alike. Labels of unknown documents are ignored; an empty labels table keeps
+everything. Extra columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -29,19 +36,25 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_arrow, slices, table, take_over, unsigned_mix
+from .common import cut, fresh, map_arrow, slices, table, take_over, trim, unsigned_mix
 
 ORDER = 5
 FOLDS = 5
 LEAST = 5
-QUANTILE, MARGIN = 0.98, 1.25
+QUANTILE = 0.99
 #: Trusted ids (8 bytes each) up to which they are sent to all tasks.
 BROADCAST_IDS = 1_000_000
-#: Rows of the model in a shard, about, and shards that a worker holds.
-SHARD_ROWS, HELD = 1_500_000, 4
+#: Rows of the model in a shard, about, and batches whose results are in one file, about.
+SHARD_ROWS, BATCHES = 1_500_000, 4
+#: Ways over which the n-grams that ask for one shard are dealt.
+SALTS = 8
+#: Slots by which a task knows n-grams that it has met (8 bytes each).
+MET = 1 << 21
 #: Characters are classes of 12 bits: themselves below 3,072, else one of 1,023 by remainder; 0 stands before a text.
 BITS = 12
 _MASK = np.uint64((1 << BITS) - 1)
@@ -94,7 +107,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, key, n: counts of the highest order over docs (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 10_000, 32_000_000):
             langs = b.column(1).to_pylist()
             texts = b.column(0).to_pylist()
             for lang in sorted({*langs}):
@@ -149,45 +162,60 @@ def model(trusted: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "level", "key").agg(F.max("p").alias("p"), F.max("back").alias("back"))
 
 
-def _hash(keys: np.ndarray, level: int, lang: int) -> np.ndarray:
-    return unsigned_mix(keys ^ np.uint64((lang << 3 | level) << 60 & (2**64 - 1)) ^ np.uint64(lang * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+def _hash(keys: np.ndarray, level: int, lang: int, back: bool = False) -> np.ndarray:
+    """Where the model keeps a key's probability, or its back-off weight."""
+    return unsigned_mix(keys ^ np.uint64((level | 8 * back) << 60) ^ np.uint64(lang * 0x9E3779B97F4A7C15 & (2**64 - 1)))
+
+
+def lang_key(c: str) -> str:
+    """A language as a key: null is none of the others."""
+    return F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(c)
 
 
-def lang_code(lang: str | None) -> int:
+def lang_code(lang: str) -> int:
     """A number of 40 bits for a language; the table's hash holds it whole."""
-    return int.from_bytes(hashlib.sha1((lang or "").encode()).digest()[:5], "big")
+    return int.from_bytes(hashlib.sha1(lang.encode()).digest()[:5], "big")
+
+
+def shard_of(pair: np.ndarray, lang: int, shards: int) -> np.ndarray:
+    """The shard of a pair of characters."""
+    return (unsigned_mix((pair & np.uint64(_pow(2 * BITS))) ^ np.uint64(lang << 24)) % np.uint64(shards)).astype(np.int32)
 
 
 def write_shards(rows: DataFrame) -> tuple[str, int]:
-    """Writes the model as files of hash, p, back, sorted by hash, a folder a shard; gives the path and how many."""
+    """Writes the model as files of hash and value, sorted by hash, a folder a shard (-1: what all shards need); gives the path and how many."""
     n = rows.count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        lang, level, key = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
-        codes = {x: lang_code(x) for x in set(lang)}
-        names = np.array(lang, object)
-        h = np.zeros(len(key), np.uint64)
-        for x, code in codes.items():
+        lang, level, key = np.array(b.column(0).to_pylist(), object), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)
+        found: list[tuple] = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0))]
+        for x in set(lang.tolist()):
+            code = lang_code(x)
             for k in range(ORDER + 1):
-                if (of := (names == x) & (level == k)).any():
-                    h[of] = _hash(key[of], k, code)
-        return pa.record_batch([pa.array((h % np.uint64(shards)).astype(np.int32)), pa.array(h.view(np.int64)), b.column(3), b.column(4)], names=["shard", "h", "p", "back"])
+                own = (lang == x) & (level == k)
+                for column, back in ((3, False), (4, True)):
+                    value = b.column(column).to_numpy(zero_copy_only=False).astype(float)
+                    at = own & ~np.isnan(value)
+                    pair = key[at] if back else key[at] >> np.uint64(BITS)
+                    small = k <= (1 if back else 2)
+                    found.append((np.full(len(pair), -1, np.int32) if small else shard_of(pair, code, shards), _hash(key[at], k, code, back), value[at]))
+        shard, h, value = map(np.concatenate, zip(*found))
+        return pa.record_batch([pa.array(shard), pa.array(h.view(np.int64)), pa.array(value)], names=["shard", "h", "value"])
 
     path = fresh(rows.sparkSession, "model")
-    hashed = map_arrow(rows.select("lang", F.col("level").cast("int"), "key", "p", "back"), run, "shard int, h long, p double, back double")
-    hashed.repartition(shards, "shard").sortWithinPartitions("shard", "h").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    hashed = map_arrow(rows.select("lang", F.col("level").cast("int"), "key", "p", "back"), run, "shard int, h long, value double")
+    hashed.repartition(shards + 1, "shard").sortWithinPartitions("shard", "h").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path, shards
 
 
 class Shard:
-    """Open-addressed table of one shard: 2 to 4 slots a row, probes vectorised."""
+    """Open-addressed table of hashes and values: 2 to 4 slots a row, probes vectorised."""
 
-    def __init__(self, h: np.ndarray, p: np.ndarray, back: np.ndarray):
+    def __init__(self, h: np.ndarray, value: np.ndarray):
         self.size = 1 << max(4, int(2 * len(h)).bit_length())
         self.at = np.full(self.size, -1, np.int32)
-        self.h = np.append(h, np.uint64(0))
-        self.p, self.back = np.append(p, np.nan), np.append(back, np.nan)
+        self.h, self.value = np.append(h, np.uint64(0)), np.append(value, np.nan)
         todo = np.arange(len(h), dtype=np.int32)
         slot = self.slot(h)
         while len(todo):
@@ -200,7 +228,7 @@ class Shard:
         return (h >> np.uint64(24)).astype(np.int64) & (self.size - 1)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash; the last, of NaNs, for those not there."""
+        """Value of each hash, NaN for those not there."""
         slot = self.slot(h)
         row = self.at[slot]
         out = np.where((row >= 0) & (self.h[row] == h), row, -1)
@@ -211,131 +239,224 @@ class Shard:
             hit = (row >= 0) & (self.h[row] == h[open_])
             out[open_[hit]] = row[hit]
             open_ = open_[(row >= 0) & ~hit]
-        return out
+        return self.value[out]
 
 
 _LOADED: OrderedDict[tuple[str, int], Shard] = OrderedDict()
 
 
 def load(path: str, shard: int) -> Shard:
-    """A shard from the shared folder; a worker keeps the last HELD it used (about 60 MB each)."""
+    """A shard from the shared folder; a worker keeps the one it used last (about 60 MB), beside what all shards need."""
     take_over("kneserney", _LOADED.clear)
     if (path, shard) not in _LOADED:
+        for key in [k for k in _LOADED if k[0] != path or (k[1] >= 0 and shard >= 0)]:
+            del _LOADED[key]
         fs, base = pafs.FileSystem.from_uri(path)
-        while len(_LOADED) >= HELD:
-            _LOADED.popitem(last=False)
         found = fs.get_file_info(pafs.FileSelector(f"{base}/shard={shard}", allow_not_found=True))
-        parts = [pq.read_table(f.path, filesystem=fs, columns=["h", "p", "back"], partitioning=None) for f in found if f.path.endswith(".parquet")]
-        t = pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "p": pa.array([], pa.float64()), "back": pa.array([], pa.float64())})
-        column = lambda c: t[c].to_numpy().astype(float)
-        _LOADED[path, shard] = Shard(t["h"].to_numpy().view(np.uint64), column("p"), column("back"))
-    _LOADED.move_to_end((path, shard))
+        parts = [pq.read_table(f.path, filesystem=fs, columns=["h", "value"], partitioning=None) for f in found if f.path.endswith(".parquet")]
+        t = pa.concat_tables(parts) if parts else pa.table({"h": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        _LOADED[path, shard] = Shard(t["h"].to_numpy().view(np.uint64), t["value"].to_numpy())
     return _LOADED[path, shard]
 
 
-def log_probs(keys: np.ndarray, lang: str | None, path: str, shards: int) -> np.ndarray | None:
-    """Log probability of the last character of each key under the model of the language; none without a model."""
+def resolve(keys: np.ndarray, lang: str, path: str, shard: int) -> np.ndarray:
+    """Log probability of the last character of each key of a shard under the model of the language; NaN without a model."""
     code = lang_code(lang)
+    all_, own = load(path, -1), load(path, shard)
     logs = np.zeros(len(keys))
+    if np.isnan(all_.find(_hash(np.zeros(1, np.uint64), 0, code, True)))[0]:
+        return np.full(len(keys), np.nan)
     open_ = np.arange(len(keys))
-    floor = -BITS * math.log(2)
-
-    def look(which: np.ndarray, level: int, want: str) -> np.ndarray:
-        h = _hash(which, level, code)
-        out = np.full(len(h), np.nan)
-        for s in range(shards):
-            own = slice(None) if shards == 1 else np.flatnonzero(h % np.uint64(shards) == s)
-            of = load(path, s)
-            out[own] = getattr(of, want)[of.find(h[own])]
-        return out
-
-    if np.isnan(look(np.zeros(1, np.uint64), 0, "back"))[0]:
-        return None
     for level in range(ORDER, 0, -1):
-        if not len(open_):
-            break
         mine = keys[open_] & np.uint64(_pow(BITS * level))
-        p = look(mine, level, "p")
+        p = (own if level > 2 else all_).find(_hash(mine, level, code))
         missing = np.isnan(p)
         logs[open_[~missing]] += p[~missing]
         open_, mine = open_[missing], mine[missing]
-        back = look(mine >> np.uint64(BITS), level - 1, "back")
+        back = (own if level > 2 else all_).find(_hash(mine >> np.uint64(BITS), level - 1, code, True))
         logs[open_] += np.where(np.isnan(back), 0.0, back)
-    logs[open_] += floor
+    logs[open_] -= BITS * math.log(2)
     return logs
 
 
-def perplexities(texts: list[str], lang: str | None, path: str, shards: int) -> np.ndarray:
-    """Perplexity by character of each text; NaN without a model of its language, or for under two characters."""
-    sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
-    for first, keys, lengths in pieces(texts):
-        logs = log_probs(keys, lang, path, shards)
-        if logs is None:
-            return np.full(len(texts), np.nan)
-        ends = np.cumsum(lengths)
-        whole = np.concatenate([[0.0], np.cumsum(logs)])
-        sums[first : first + len(lengths)] += whole[ends] - whole[ends - lengths]
-        counts[first : first + len(lengths)] += lengths
-    return np.where(counts > 1, np.exp(-sums / np.maximum(counts, 1)), np.nan)
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def batch_id(b: pa.RecordBatch, text: int, lang: int) -> int:
+    h = xxhash.xxh64()
+    for s in slices(iter([b.select([b.schema.names[text], b.schema.names[lang]])])):
+        for t, x in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
+            h.update(f"{len(t or '')} {x or ''} ".encode())
+            h.update((t or "").encode("utf-8", "surrogatepass"))
+    return h.intdigest() - (1 << 63)
 
 
-def _score_batch(texts: list, langs: list, path: str, shards: int) -> np.ndarray:
-    out = np.full(len(texts), np.nan)
-    for lang in sorted(set(langs), key=str):
-        own = [i for i, x in enumerate(langs) if x == lang]
-        out[own] = perplexities([texts[i] or "" for i in own], lang, path, shards)
-    return out
+def by_language(b: pa.RecordBatch, text: int, lang: int) -> Iterator[tuple[str, np.ndarray, list[str]]]:
+    """Language key, rows and texts of a batch, in slices."""
+    at = 0
+    for s in slices(iter([b])):
+        langs = np.array(["" if x is None else "=" + x for x in s.column(lang).to_pylist()], object)
+        texts = np.array([x or "" for x in s.column(text).to_pylist()], object)
+        for x in sorted(set(langs.tolist())):
+            own = np.flatnonzero(langs == x)
+            yield x, at + own, texts[own].tolist()
+        at += s.num_rows
 
 
 class Classifier:
     """A written model and the thresholds by language (at most one for each language of the labels)."""
 
-    def __init__(self, path: str, shards: int, thresholds: dict[str | None, float]):
+    def __init__(self, path: str, shards: int, thresholds: dict[str, float]):
         self.path, self.shards, self.thresholds = path, shards, thresholds
 
-    def judge(self, texts: list, langs: list) -> tuple[np.ndarray, np.ndarray]:
-        ppl = _score_batch(texts, [x if x is not None else "" for x in langs], self.path, self.shards)
-        limit = np.array([self.thresholds.get(x if x is not None else "", np.inf) for x in langs], float)
-        return ppl, ~(ppl > limit)
+    def resolved(self, docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[str, int]:
+        """Writes the log probabilities of the different n-grams of every batch of docs; gives the path and the number of folders."""
+        path, shards = self.path, self.shards
+        t, l = docs.columns.index(text), docs.columns.index(lang)
+
+        def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                name = batch_id(b, t, l)
+                met: dict[str, np.ndarray] = {}
+                found: dict[str, list[np.ndarray]] = {}
+                for x, _, texts in by_language(b, t, l):
+                    table_ = met.setdefault(x, np.zeros(MET, np.uint64))
+                    for _, keys, _ in pieces(texts):
+                        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (MET - 1)
+                        new = table_[slot] != keys  # key 0 is no n-gram
+                        table_[slot[new]] = keys[new]
+                        found.setdefault(x, []).append(np.unique(keys[new]))
+                rows = []
+                for x, parts in found.items():
+                    keys = np.unique(np.concatenate(parts))
+                    shard = shard_of(keys >> np.uint64(BITS), lang_code(x), shards)
+                    rows += [(name, x, int(s), packed_keys(keys[shard == s])) for s in np.unique(shard)]
+                yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.binary()))], names=["batch", "lang", "shard", "keys"])
+            trim()
+
+        def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 256):
+                logs = [resolve(unpacked_keys(raw), x, path, s).astype("<f4").tobytes() for x, s, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
+                yield pa.record_batch([*b.columns[:2], b.column(3), pa.array(logs, pa.binary())], names=["batch", "lang", "keys", "logs"])
+
+        asked = docs.mapInArrow(needs, "batch long, lang string, shard int, keys binary").withColumn("salt", F.pmod(F.col("batch"), F.lit(SALTS)))
+        dealt = asked.repartition(shards * SALTS, "shard", "salt").sortWithinPartitions("shard")
+        told = cut(dealt.drop("salt").mapInArrow(answers, "batch long, lang string, keys binary, logs binary"), "answers")
+        folders = max(1, math.ceil(told.select("batch").distinct().count() / BATCHES))
+        out = fresh(docs.sparkSession, "by-batch")
+        told.withColumn("folder", F.pmod(F.col("batch"), F.lit(folders)).cast("int")).repartition(folders, "folder").sortWithinPartitions("folder", "batch").write.partitionBy("folder").parquet(out)
+        return out, folders
+
+    def perplexities(self, b: pa.RecordBatch, text: int, lang: int, answers: tuple[str, int]) -> np.ndarray:
+        """Perplexity by character of each text of a batch; NaN without a model of its language, or for under two characters."""
+        name = batch_id(b, text, lang)
+        fs, base = pafs.FileSystem.from_uri(answers[0])
+        known: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for f in fs.get_file_info(pafs.FileSelector(f"{base}/folder={name % answers[1]}", allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                t = pq.read_table(f.path, filesystem=fs, columns=["lang", "keys", "logs"], partitioning=None, filters=[("batch", "=", name)])
+                for x, keys, logs in zip(*(t[c].to_pylist() for c in ("lang", "keys", "logs"))):
+                    known.setdefault(x, []).append((unpacked_keys(keys), np.frombuffer(logs, "<f4").astype(float)))
+        tables = {x: Shard(_hash(np.concatenate([k for k, _ in parts]), 0, 0), np.concatenate([v for _, v in parts])) for x, parts in known.items()}
+        sums, counts = np.zeros(b.num_rows), np.zeros(b.num_rows)
+        for x, rows, texts in by_language(b, text, lang):
+            own = tables.get(x)
+            for first, keys, lengths in pieces(texts):
+                logs = own.find(_hash(keys, 0, 0)) if own is not None else np.full(len(keys), np.nan)
+                missing = np.flatnonzero(np.isnan(logs))
+                if len(missing):  # no model of the language, or another batch than the one that asked
+                    logs[missing] = self.looked_up(keys[missing], x)
+                ends = np.cumsum(lengths)
+                whole = np.concatenate([[0.0], np.cumsum(logs)])
+                np.add.at(sums, rows[first : first + len(lengths)], whole[ends] - whole[ends - lengths])
+                np.add.at(counts, rows[first : first + len(lengths)], lengths)
+        return np.where(counts > 1, np.exp(-sums / np.maximum(counts, 1)), np.nan)
+
+    def looked_up(self, keys: np.ndarray, lang: str) -> np.ndarray:
+        """Log probabilities from the model itself, shard after shard."""
+        out = np.full(len(keys), np.nan)
+        code = lang_code(lang)
+        if not np.isnan(load(self.path, -1).find(_hash(np.zeros(1, np.uint64), 0, code, True)))[0]:
+            shard = shard_of(keys >> np.uint64(BITS), code, self.shards)
+            for s in np.unique(shard):
+                out[shard == s] = resolve(keys[shard == s], lang, self.path, int(s))
+        return out
+
+    def limits(self, langs: list) -> list[float | None]:
+        return [self.thresholds.get("" if x is None else "=" + x) for x in langs]
+
+    def judge(self, b: pa.RecordBatch, text: int, lang: int, answers: tuple[str, int]) -> tuple[np.ndarray, list[float | None], np.ndarray]:
+        """Perplexity, threshold and verdict of each row of a batch."""
+        ppl = self.perplexities(b, text, lang, answers)
+        limits = self.limits(b.column(lang).to_pylist())
+        return ppl, limits, ~(ppl > np.array([np.inf if x is None else x for x in limits], float))
 
 
-def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> Classifier:
+def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Classifier:
     """Counts, model and thresholds from the documents that labels mark with quality 1."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     good = cut(good, "good")
     if good.count() <= BROADCAST_IDS:  # else the texts are shuffled to the ids
         good = F.broadcast(good)
-    trusted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").where("text is not null").join(good, "doc_id", "left_semi")
+    trusted = docs.select("doc_id", "lang", "text").where("text is not null").join(good, "doc_id", "left_semi")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
-    path, shards = write_shards(cut(model(trusted.where(fold != 0)), "rows"))
+    made = Classifier(*write_shards(cut(model(trusted.where(fold != 0).select("text", lang_key("lang"))), "rows")), {})
+    held = cut(trusted.where(fold == 0).select("lang", "text"), "held")
+    answers = made.resolved(held)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([b.column(0), pa.array(_score_batch(b.column(1).to_pylist(), b.column(0).to_pylist(), path, shards))], names=["lang", "ppl"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array(made.perplexities(b, 1, 0, answers))], names=["lang", "ppl"])
+        trim()
 
-    held = map_arrow(trusted.where(fold == 0).select("lang", "text"), run, "lang string, ppl double").where(~F.isnan("ppl"))
-    limits = held.groupBy("lang").agg(F.percentile_approx("ppl", F.lit(quantile), 10_000).alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    return Classifier(path, shards, {r["lang"]: r["t"] * margin for r in limits.collect()})
+    ppl = cut(held.mapInArrow(run, "lang string, ppl double").where(~F.isnan("ppl")).select(lang_key("lang"), F.log("ppl").alias("ppl")), "ppl")
+    return Classifier(made.path, made.shards, thresholds(ppl, quantile))
+
+
+def thresholds(held: DataFrame, quantile: float) -> dict[str, float]:
+    """The threshold of each language, from logarithms of perplexities (lang, ppl) of held-out trusted documents."""
+    at = lambda c: F.percentile_approx(c, F.lit(quantile), 10_000)
+    of = {r["lang"]: r for r in held.groupBy("lang").agg(at("ppl").alias("t"), F.avg("ppl").alias("mean"), F.count("*").alias("n")).collect()}  # a row a language
+    if not of:
+        return {}
+    mean = F.create_map(*(F.lit(x) for k, r in of.items() for x in (k, r["mean"])))
+    spread = held.agg(at(F.col("ppl") - F.element_at(mean, F.col("lang"))).alias("t")).first()["t"]
+    # a billionth more, so that the document which set a threshold is not rejected by rounding
+    return {k: math.exp(r["t"] if r["n"] >= LEAST else r["mean"] + spread) * (1 + 1e-9) for k, r in of.items()}
 
 
 def classify(docs: DataFrame, model_: Classifier) -> DataFrame:
     """doc_id, lang, perplexity (null if it has none), threshold (null if its language has none), kept."""
+    docs = docs.select("doc_id", "text", "lang")
+    answers = model_.resolved(docs)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        langs = b.column(2).to_pylist()
-        ppl, kept = model_.judge(b.column(1).to_pylist(), langs)
-        limit = [model_.thresholds.get(x if x is not None else "") for x in langs]
-        return pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(ppl, from_pandas=True), pa.array(limit, pa.float64()), pa.array(kept)], names=["doc_id", "lang", "perplexity", "threshold", "kept"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ppl, limit, kept = model_.judge(b, 1, 2, answers)
+            yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(ppl, from_pandas=True), pa.array(limit, pa.float64()), pa.array(kept)], names=["doc_id", "lang", "perplexity", "threshold", "kept"])
+        trim()
 
-    return map_arrow(docs.select("doc_id", "text", "lang"), run, "doc_id long, lang string, perplexity double, threshold double, kept boolean")
+    return docs.mapInArrow(run, "doc_id long, lang string, perplexity double, threshold double, kept boolean")
 
 
 def kept_only(docs: DataFrame, model_: Classifier) -> DataFrame:
     """The rows of docs that stay, all columns."""
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
+    answers = model_.resolved(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield b.filter(pa.array(model_.judge(b.column(text).to_pylist(), b.column(lang).to_pylist())[1]))
+        for b in batches:
+            yield b.filter(pa.array(model_.judge(b, text, lang, answers)[2]))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
 

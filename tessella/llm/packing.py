@@ -39,7 +39,7 @@ from .common import cut, slices, table, take_over
 
 CAPACITY = 2_048
 SHARD, ISLANDS, EPOCHS = 8_192, 2, 3
-POPULATION, PATIENCE = 12, 10
+POPULATION, START, PATIENCE = 12, 4, 10
 WELL, POOR = 0.98, 0.95
 #: Bins of so many pieces at most take part in trades of pairs: with more pieces in a bin, best fit leaves no room.
 PAIRED = 8
@@ -284,7 +284,7 @@ def evolve(sizes: np.ndarray, seeds: list[np.ndarray], capacity: int, seed: int)
     least = bound(sizes, capacity)
     score = lambda p: fitness(sizes, p, capacity)
     people = [(score(p), k, p) for k, p in enumerate(seeds or [falling(sizes, capacity)])]
-    while len(people) < POPULATION and min(people)[0][0] > least:
+    while len(people) < START and min(people)[0][0] > least:
         jitter = 0.02 + 0.3 * rng.random()
         p = packed(sizes, np.argsort(-sizes * (1 + jitter * rng.random(len(sizes))), kind="stable"), capacity)
         people.append((score(p), len(people), p))

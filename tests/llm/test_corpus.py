@@ -396,15 +396,55 @@ def brute_model(texts, order):
 @pytest.mark.parametrize("rows", [10**6, 50])
 def test_perplexity_against_brute_force(spark, monkeypatch, rows):
     monkeypatch.setattr(kneserney, "SHARD_ROWS", rows)
+    monkeypatch.setattr(kneserney, "SALTS", 2)
     texts = ["the cat sat on the mat", "a cat and a dog", "the dog sat", "mats and cats and dogs"]
-    path, shards = kneserney.write_shards(kneserney.model(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")))
+    path, shards = kneserney.write_shards(kneserney.model(spark.createDataFrame([(t, "=en") for t in texts], "text string, lang string")))
     ppl = brute_model(texts, kneserney.ORDER)
-    asked = ["the cat sat", "zzz ###", "dog mat", "中文 the"]
-    assert kneserney.perplexities(asked, "en", path, shards) == pytest.approx([ppl(t) for t in asked], rel=1e-9)
-    assert np.isnan(kneserney.perplexities(["a b"], "xx", path, shards)).all() and np.isnan(kneserney.perplexities(["", "a"], "en", path, shards)).all()
+    asked = ["the cat sat", "zzz ###", "dog mat", "中文 the", "the cat sat"]
+    made = kneserney.Classifier(path, shards, {})
+    docs = spark.createDataFrame([(t, "en") for t in asked] + [("a b", "xx"), ("a b", None), ("", "en"), ("a", "en"), (None, "en")], "text string, lang string").coalesce(1)
+    batch = docs.toArrow().combine_chunks().to_batches()[0]
+    want = pytest.approx([ppl(t) for t in asked], rel=1e-5)
+    answers = made.resolved(docs)
+    loaded = []
+    with monkeypatch.context() as m:  # every n-gram of the batch was resolved by the join
+        m.setattr(kneserney, "load", lambda *x: loaded.append(x) or kneserney.Shard(np.zeros(0, np.uint64), np.zeros(0)))
+        got = made.perplexities(batch, 0, 1, answers)
+    assert got[: len(asked)].tolist() == want and np.isnan(got[len(asked) :]).all()
+    other = made.perplexities(batch.slice(0, 3), 0, 1, answers)  # a batch that no one asked for
+    assert other.tolist() == pytest.approx([ppl(t) for t in asked[:3]], rel=1e-9)
     assert (rows == 50) == (shards > 1)
 
 
+def test_batches_come_back_whole(spark, monkeypatch):
+    monkeypatch.setattr(kneserney, "SHARD_ROWS", 8_000)
+    monkeypatch.setattr(kneserney, "SALTS", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    many = {r["doc_id"]: r for r in kneserney.classify(docs, kneserney.train(docs, labels)).collect()}
+    monkeypatch.setattr(kneserney, "SHARD_ROWS", 10**7)
+    one = {r["doc_id"]: r for r in kneserney.classify(docs.repartition(3), kneserney.train(docs, labels)).collect()}
+    assert len(many) == len(one) == docs.count()
+    for k, r in one.items():
+        assert many[k]["kept"] == r["kept"] and (many[k]["perplexity"] is None) == (r["perplexity"] is None)
+        assert r["perplexity"] is None or many[k]["perplexity"] == pytest.approx(r["perplexity"], rel=1e-6)
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 60, 5000, np.uint64))
+    assert (kneserney.unpacked_keys(kneserney.packed_keys(keys)) == keys).all()
+
+
+def test_thresholds_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    held = {"=en": rng.normal(2, 0.2, 400), "=de": rng.normal(3, 0.1, 60), "": rng.normal(2.5, 0.1, 3)}
+    got = kneserney.thresholds(spark.createDataFrame([(k, float(x)) for k, xs in held.items() for x in xs], "lang string, ppl double"), 0.95)
+    at = lambda xs: sorted(xs)[math.ceil(0.95 * len(xs)) - 1]
+    assert got["=en"] == pytest.approx(math.exp(at(held["=en"]))) and got["=de"] == pytest.approx(math.exp(at(held["=de"])))
+    assert got[""] == pytest.approx(math.exp(held[""].mean() + at([x - xs.mean() for xs in held.values() for x in xs])))  # too few of its own
+    assert kneserney.thresholds(spark.createDataFrame([], "lang string, ppl double"), 0.95) == {}
+
+
 def test_junk_goes_and_clean_stays(spark):
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("etaoinsrhl"), 5)) for _ in range(80)]
