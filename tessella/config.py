@@ -21,6 +21,17 @@ class Settings:
     use_live_models: bool = False
     corpus_root: str = "data/corpus"
 
+    @classmethod
+    def from_file(cls, path: str, env: dict[str, str] | None = None) -> Settings:
+        """Settings of a file of NAME=value lines (# comments, quotes and an export before the name allowed); the environment wins."""
+        given = {}
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, found, value = line.strip().removeprefix("export ").partition("=")
+                if found and not name.startswith("#"):
+                    given[name.strip()] = value.strip().strip("\"'")
+        return cls.from_env({k.lower(): v for k, v in given.items()} | {k.lower(): v for k, v in (os.environ if env is None else env).items()})
+
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         given = {k.lower(): v for k, v in (os.environ if env is None else env).items()}
@@ -30,3 +41,13 @@ class Settings:
         if out.reader_b_mode not in ("reader", "describer"):
             raise ValueError(f"unknown reader_b_mode {out.reader_b_mode!r}")
         return out
+
+
+#: Fixed value: studies beyond which a run that costs money must be asked for.
+UNATTENDED = 100
+
+
+def check_run_size(studies: int, keyed: bool, confirmed: bool = False) -> None:
+    """Raises where a run with paid model calls is larger than nobody should start by accident."""
+    if keyed and studies > UNATTENDED and not confirmed:
+        raise ValueError(f"{studies} studies with a live model: more than {UNATTENDED} need a confirmation")

@@ -14,22 +14,20 @@ from . import text, vocab
 
 ITEM = "label string, confidence string, laterality string, severity string, description string, negated boolean"
 SENTENCE = "text string, section string, evidence_ids array<string>"
+# Fixed value: a fenced block.
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 
 
 def first_value(reply: str | None, openers: str = "[{", fence: bool = True) -> str | None:
-    """The fenced block if there is one (its JSON or nothing), else the first value that parses at an opener."""
+    """The first value that parses at an opener: within the fenced block if there is one, else anywhere in the reply."""
     if not reply:
         return None
-    if fence and (m := _FENCE.search(reply)):
-        try:
-            return json.dumps(json.loads(m[1].strip()), ensure_ascii=False)
-        except ValueError:
-            return None
+    inside = _FENCE.search(reply) if fence else None
+    text_ = inside[1] if inside else reply
     decoder = json.JSONDecoder()
-    for at in (i for i, c in enumerate(reply) if c in openers):
+    for at in (i for i, c in enumerate(text_) if c in openers):
         try:
-            return json.dumps(decoder.raw_decode(reply, at)[0], ensure_ascii=False)
+            return json.dumps(decoder.raw_decode(text_, at)[0], ensure_ascii=False)
         except ValueError:
             pass
     return None
@@ -46,16 +44,25 @@ def json_object(s: pd.Series) -> pd.Series:
 
 
 def items(reply: Column) -> Column:
-    """array of ITEM structs of a list, of an object's findings, or of a bare object; null if nothing parses."""
+    """array of ITEM structs of a list, of an object's findings, or of a bare object; elements that are no objects are left out; null if nothing parses."""
     value = json_value(reply)
     wrapped = F.get_json_object(value, "$.findings")
-    return F.from_json(F.coalesce(wrapped, value), f"array<struct<{ITEM}>>")
+    given = F.when(F.coalesce(wrapped, F.lit("")).startswith("["), wrapped).otherwise(value)
+    each = F.when(given.startswith("["), F.from_json(given, "array<string>")).when(given.startswith("{"), F.array(given))
+    return F.transform(F.filter(each, lambda x: F.coalesce(F.ltrim(x).startswith("{"), F.lit(False))), lambda x: F.from_json(x, ITEM))
 
 
 def findings(reply: Column) -> Column:
-    """array<struct<label, canonical, prob, negated>> of the items with a label, the negated ones left out."""
-    kept = F.filter(items(reply), lambda x: (F.trim(x["label"]) != "") & ~F.coalesce(x["negated"], F.lit(False)) & ~text.is_negated(x["label"]))
-    return F.transform(kept, lambda x: F.struct(F.trim(x["label"]).alias("raw_label"), text.canonical_relaxed(x["label"], ascii_only=True).alias("label"), score(x["confidence"]).alias("prob")))
+    """array<struct<raw_label, label, prob, notes>> of the items with a label, the negated ones left out; side and severity are notes."""
+    blank = lambda c: F.coalesce(text.trimmed(c), F.lit("")) == ""
+    kept = F.filter(items(reply), lambda x: ~blank(x["label"]) & ~F.coalesce(x["negated"], F.lit(False)) & ~text.is_negated(x["label"]))
+    note = lambda x, name: F.when(~blank(x[name]), F.concat(F.lit(f"{name}: "), text.trimmed(x[name])))
+
+    def finding(x: Column) -> Column:
+        raw = text.trimmed(x["label"])
+        return F.struct(raw.alias("raw_label"), text.canonical_relaxed(raw, ascii_only=True).alias("label"), score(x["confidence"]).alias("prob"), F.array_compact(F.array(note(x, "laterality"), note(x, "severity"))).alias("notes"))
+
+    return F.transform(kept, finding)
 
 
 def score(c: Column) -> Column:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import rules, vocab
 
@@ -17,8 +18,16 @@ FULL = "".join(map(chr, (*range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B), *range(
 HALF = "".join(chr(ord(c) - 0xFEE0) for c in FULL[:-1]) + " "
 
 
+#: Unicode classes: blanks, letters, digits and word borders of all scripts, as the rules mean them.
+UNICODE = "(?U)"
+
+
 def _sub(c: Column, pattern: str, to: str) -> Column:
-    return F.regexp_replace(c, F.lit(pattern), F.lit(to))
+    return F.regexp_replace(c, F.lit(UNICODE + pattern), F.lit(to))
+
+
+def _fits(c: Column, pattern: str) -> Column:
+    return c.rlike(UNICODE + pattern)
 
 
 def fold_width(c: Column) -> Column:
@@ -38,13 +47,13 @@ def _nfkc_casefold(s: pd.Series) -> pd.Series:
 
 def label_key_ascii(c: Column) -> Column:
     """label_key of ASCII text, without Python."""
-    return _sub(F.lower(c), "(?U)" + vocab.KEY_STRIP, "")
+    return _sub(F.lower(c), vocab.KEY_STRIP, "")
 
 
 def label_key(c: Column) -> Column:
     """NFKC, case folded, without blanks and punctuation. Python runs only for text that is not ASCII."""
     ascii_only = ~c.rlike(r"[^\x00-\x7F]")
-    return _sub(F.when(ascii_only, F.lower(c)).otherwise(_nfkc_casefold(F.when(~ascii_only, c))), "(?U)" + vocab.KEY_STRIP, "")
+    return _sub(F.when(ascii_only, F.lower(c)).otherwise(_nfkc_casefold(F.when(~ascii_only, c))), vocab.KEY_STRIP, "")
 
 
 def key_of(name: str) -> str:
@@ -62,7 +71,7 @@ def canonical(c: Column, ascii_only: bool = False) -> Column:
 
 def canonical_relaxed(c: Column, ascii_only: bool = False) -> Column:
     """canonical, else without side and severity words, else without their Chinese forms."""
-    words = F.split(F.trim(c), r"[\s\-_/,]+")
+    words = F.split(trimmed(c), UNICODE + r"[\s\-_/,]+")
     kept = F.filter(words, lambda w: (w != "") & ~F.lower(F.btrim(w, F.lit("."))).isin(*vocab.QUALIFIERS))
     fewer = F.when((F.size(kept) > 0) & (F.size(kept) != F.size(words)), F.array_join(kept, " "))
     bare = _sub(c, vocab.CJK_QUALIFIER, "")
@@ -70,7 +79,7 @@ def canonical_relaxed(c: Column, ascii_only: bool = False) -> Column:
 
 
 def is_negated(c: Column) -> Column:
-    return F.trim(c).rlike(vocab.NEGATED_LABEL)
+    return _fits(trimmed(c), vocab.NEGATED_LABEL)
 
 
 def scrub(c: Column) -> tuple[Column, Column]:
@@ -78,11 +87,16 @@ def scrub(c: Column) -> tuple[Column, Column]:
     now, fired = fold_width(c), []
     for kind, value, context in rules.IDENTIFIERS:
         pattern = f"(?<ctx>{context})(?:{value})"
-        fired.append(F.when(now.rlike(pattern), F.lit(kind)))
+        fired.append(F.when(_fits(now, pattern), F.lit(kind)))
         now = _sub(now, pattern, "${ctx}[REDACTED:" + kind + "]")
     return now, F.array_compact(F.array(*fired))
 
 
+def trimmed(c: Column) -> Column:
+    """Without blanks of any script at its ends."""
+    return _sub(c, r"^\s+|\s+$", "")
+
+
 def redact(c: Column) -> Column:
     for pattern, to in rules.REDACTIONS:
         c = _sub(c, pattern, to)
@@ -92,7 +106,7 @@ def redact(c: Column) -> Column:
 def sanitize(c: Column, nfkc: bool = True) -> Column:
     """NFKC, without zero-width characters, every run of blanks one, trimmed; null is empty."""
     t = F.translate(_nfkc(c) if nfkc else c, vocab.ZERO_WIDTH + vocab.SOFT_HYPHEN, "")
-    return F.trim(_sub(F.coalesce(t, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(_sub(F.coalesce(t, F.lit("")), r"\s+", " "))
 
 
 def injection_category(c: Column, nfkc: bool = True) -> Column:
@@ -100,7 +114,7 @@ def injection_category(c: Column, nfkc: bool = True) -> Column:
     t = sanitize(c, nfkc)
     out = F.lit("")
     for pattern, category in reversed(rules.ATTACKS):
-        out = F.when(t.rlike(pattern), F.lit(category)).otherwise(out)
+        out = F.when(_fits(t, pattern), F.lit(category)).otherwise(out)
     return out
 
 
@@ -112,14 +126,35 @@ def untrusted(c: Column, label: str = "UNTRUSTED") -> Column:
     return F.concat(F.lit(f"<{label}>"), F.translate(t, "<>", "‹›"), F.lit(f"</{label}>"))
 
 
+#: What a text must hold for any rule of committing language to match: texts without it skip all rules.
+_COMMITTING = "(?i)诊|排除|除外|建议|" + "|".join(("diagnos", "rule", "exclude", "prescrib", "start", "initiate", "administer", "treat"))
+
+
 def redlines(c: Column) -> Column:
-    """array<struct<kind, matched>> of every rule's matches after folding widths, rule by rule."""
-    t = fold_width(c)
+    """array<struct<kind, matched, start, end>> of every rule's matches after folding widths, rule by rule; overlaps are all given.
+
+    Texts are folded once, and only those that hold a word of some rule are searched by the rules. Spans come from the
+    lengths of what stands between the matches.
+    """
+    of = "array<struct<kind: string, matched: string, start: int, end: int>>"
+
+    def one(t: Column, kind: str, pattern: str) -> Column:
+        pattern = UNICODE + "(?i)" + pattern
+        found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        gaps = F.transform(F.split(t, pattern, -1), F.length)
+        upto = lambda lengths, i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda x, n: x + n)
+
+        def at(m: Column, i: Column) -> Column:
+            start = upto(gaps, i + 1) + upto(F.transform(found, F.length), i)
+            return F.struct(F.lit(kind).alias("kind"), m.alias("matched"), start.alias("start"), (start + F.length(m)).alias("end"))
+
+        return F.transform(found, at)
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit("(?i)" + pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("matched")))
+    def every(t: Column) -> Column:
+        return F.when(_fits(t, _COMMITTING), F.flatten(F.array(*(one(t, *rule) for rule in rules.REDLINES)))).otherwise(F.array().cast(of))
 
-    return F.flatten(F.array(*(of(*rule) for rule in rules.REDLINES)))
+    # bound to a variable, the folded text is one value for all rules
+    return F.get(F.transform(F.array(fold_width(c)), every), F.lit(0))
 
 
 def neutral(c: Column) -> Column:
@@ -131,34 +166,34 @@ def neutral(c: Column) -> Column:
 def has_disclaimer(c: Column) -> Column:
     """Says that a machine wrote it and that a physician must review it."""
     t = F.coalesce(fold_width(c), F.lit(""))
-    any_of = lambda of, words: F.lit(False) if not words else of.rlike("|".join(map(re.escape, words)))
-    return any_of(F.upper(t), ("AI", "人工智能", "机器")) & any_of(t, ("复核", "审核", "医师", "医生", "签发"))
+    any_of = lambda of, words: of.rlike("|".join(map(re.escape, words)))
+    return any_of(F.upper(t), vocab.MACHINE_WORDS) & any_of(t, vocab.REVIEW_WORDS)
 
 
 def drop_marked(c: Column, mark: str = "XXXX") -> Column:
     """Without whole words that hold mark, then without orphaned leading conjunctions and punctuation; others unchanged."""
-    words = F.filter(F.split(F.trim(_sub(c, r"(?U)\s+", " ")), " "), lambda w: ~w.contains(mark) & (w != ""))
+    words = F.filter(F.split(F.trim(_sub(c, r"\s+", " ")), " "), lambda w: ~w.contains(mark) & (w != ""))
     conj = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:"))).isin("and", "or", "but"))
     drop_while = lambda arr, flags: F.slice(arr, F.coalesce(F.nullif(F.array_position(flags, F.lit(False)), F.lit(0)), F.size(arr) + 1).cast("int"), F.greatest(F.size(arr), F.lit(1)))
     words = drop_while(words, conj)
     words = drop_while(words, F.transform(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]")))
-    text = F.trim(_sub(F.array_join(words, " "), r"(?U)\s+([.,;:])", "$1"))
+    text = F.trim(_sub(F.array_join(words, " "), r"\s+([.,;:])", "$1"))
     return F.when(c.contains(mark), F.when(text.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.lit(""))).otherwise(c)
 
 
 def segments(c: Column) -> Column:
     """Clauses without list markers, blank ones left out."""
     parts = F.split(F.coalesce(c, F.lit("")), "[.;,\n。；，]+")
-    return F.filter(F.transform(parts, lambda x: F.trim(_sub(x, r"^\s*(?:\d+[.)]|[-•])\s*", ""))), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: trimmed(_sub(x, r"^\s*(?:\d+[.)]|[-•])\s*", ""))), lambda x: x != "")
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, UNICODE + r"(?<=[.!?])\s+"), trimmed), lambda x: x != "")
 
 
 def confidence(c: Column) -> Column:
     """Score of a confidence phrase: the longest known phrase that it contains decides, 0.3 without one."""
-    t = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    t = F.lower(trimmed(F.coalesce(c, F.lit(""))))
     words = sorted(((w, p) for p, ws in vocab.CONFIDENCE.items() for w in ws), key=lambda x: -len(x[0]))
     out = F.lit(0.3)
     for word, p in reversed(words):
@@ -177,7 +212,7 @@ def mention_class(sentence: Column, keyword: Column) -> Column:
 
 def effusion_severity(sentence: Column) -> Column:
     low = F.lower(sentence)
-    any_of = lambda words: low.rlike(r"\b(" + "|".join(words) + r")\b")
+    any_of = lambda words: _fits(low, r"\b(" + "|".join(words) + r")\b")
     return F.when(any_of(vocab.LARGE_WORDS), "large").when(any_of(vocab.SMALL_WORDS), "small").otherwise("unspecified")
 
 
@@ -209,3 +244,47 @@ _URI = re.compile(r"data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)")
 def mask_data_uris(s: pd.Series) -> pd.Series:
     """Each embedded image becomes its type, the start of its digest and its length."""
     return s.map(lambda x: None if x is None else _URI.sub(lambda m: f"[{m[1]} sha256:{hashlib.sha256(m[2].encode()).hexdigest()[:12]} {len(m[2])}B]", x))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def string_leaves(s: pd.Series) -> pd.Series:
+    """Every string within a JSON document, in order; none where it does not parse."""
+
+    def walk(x) -> list[str]:
+        if isinstance(x, str):
+            return [x]
+        return [y for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for y in walk(v)]
+
+    def leaves(doc: str | None) -> list[str] | None:
+        if doc is None:
+            return None
+        try:
+            return walk(json.loads(doc))
+        except ValueError:
+            return []
+
+    return s.map(leaves)
+
+
+def film_reference(path: Column, content: Column) -> Column:
+    """What stands for a film in a traced prompt: its type, the start of its digest and its name; never its pixels."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    kind = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in vocab.FILM_TYPES.items() for x in pair)), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))), F.lit("image/png"))
+    digest = F.coalesce(F.substring(F.sha2(content, 256), 1, 12), F.lit("unreadable"))
+    return F.concat(F.lit("[MASKED "), kind, F.lit(" · sha256:"), digest, F.lit(" · "), name, F.lit("]"))
+
+
+def generation_input(prompt: Column, reference: Column, system: Column | None = None) -> Column:
+    """A traced request as a JSON list of messages, the film by its reference."""
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), F.when(url.isNotNull(), F.struct(url.alias("url"))).alias("image_url"))
+    none = F.lit(None).cast("string")
+    user = F.to_json(F.struct(F.lit("user").alias("role"), F.array(part("text", prompt, none), part("image_url", none, reference)).alias("content")))
+    first = F.lit(None).cast("string") if system is None else F.when(system != "", F.to_json(F.struct(F.lit("system").alias("role"), system.alias("content"))))
+    return F.concat(F.lit("["), F.concat_ws(",", first, user), F.lit("]"))
+
+
+def token_totals(prompt: Column, completion: Column, total: Column) -> Column:
+    """struct<input, output, total>: zero means unknown and is null; without a total the sum of its parts counts."""
+    known = lambda c: F.nullif(F.coalesce(c.cast("long"), F.lit(0)), F.lit(0))
+    both = F.coalesce(total.cast("long"), F.coalesce(prompt, F.lit(0)).cast("long") + F.coalesce(completion, F.lit(0)).cast("long"))
+    return F.struct(known(prompt).alias("input"), known(completion).alias("output"), known(both).alias("total"))

@@ -68,10 +68,21 @@ CLAIM_SECTIONS = ("findings", "impression", "recommendation")
 
 # Surnames, compound ones first.
 COMPOUND_SURNAMES = ("欧阳", "司马", "上官", "诸葛", "东方", "皇甫", "尉迟", "公孙", "长孙", "宇文", "慕容", "令狐", "独孤", "南宫", "万俟", "拓跋")
-SINGLE_SURNAMES = tuple(
-    "李王张刘陈杨黄赵周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文欧"
-)
+SINGLE_SURNAMES = (
+    "李", "王", "张", "刘", "陈", "杨", "黄", "赵", "周", "吴", "徐", "孙", "胡", "朱", "高", "林", "何", "郭", "马", "罗",
+    "梁", "宋", "郑", "谢", "韩", "唐", "冯", "于", "董", "萧", "程", "曹", "袁", "邓", "许", "傅", "沈", "曾", "彭", "吕",
+    "苏", "卢", "蒋", "蔡", "贾", "丁", "魏", "薛", "叶", "阎", "余", "潘", "杜", "戴", "夏", "钟", "汪", "田", "任", "姜",
+    "范", "方", "石", "姚", "谭", "廖", "邹", "熊", "金", "陆", "郝", "孔", "白", "崔", "康", "毛", "邱", "秦", "江", "史",
+    "顾", "侯", "邵", "孟", "龙", "万", "段", "雷", "钱", "汤", "尹", "黎", "易", "常", "武", "乔", "贺", "赖", "龚", "文",
+    "欧",
+)
 # Characters that vanish, and the full-width ones that fold.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
 SOFT_HYPHEN = "\u00ad"
 KEY_STRIP = r"""[\s_\-.,;:!?'"()/、，。！？；：（）]+"""
+# A disclaimer names a machine and a review.
+MACHINE_WORDS = ("AI", "人工智能", "机器")
+REVIEW_WORDS = ("复核", "审核", "医师", "医生", "签发")
+# Identifiers of a DICOM file's meta group.
+FILE_META_IDENTIFIERS = ("SourceApplicationEntityTitle", "PrivateInformationCreatorUID", "MediaStorageSOPInstanceUID", "ImplementationVersionName", "ImplementationClassUID")
+FILM_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "html": "text/html", "dcm": "application/dicom"}

@@ -9,8 +9,11 @@ from ..functions.vocab import COMPARISON
 
 
 def matched(findings: DataFrame) -> DataFrame:
-    """study_id, label, a_prob, b_prob (null where a reader did not name it), a, b: of repeated labels a reader's last one counts."""
-    last = lambda r: F.max(F.when(F.col("reader") == r, F.struct("ord", "prob", "image_ref")))
+    """study_id, label, a_prob, b_prob (null where a reader did not name it), a, b: of repeated labels a reader's last one counts.
+
+    a and b hold its prob and image_ref, and its locus where findings have one.
+    """
+    last = lambda r: F.max(F.when(F.col("reader") == r, F.struct("ord", "prob", *(c for c in ("image_ref", "locus") if c in findings.columns))))
     both = findings.groupBy("study_id", "label").agg(last("a").alias("a"), last("b").alias("b"))
     return both.select("study_id", "label", F.col("a.prob").alias("a_prob"), F.col("b.prob").alias("b_prob"), "a", "b")
 
@@ -24,12 +27,14 @@ def kind(a: Column, b: Column, threshold: Column, gap: float = 0.3, mapped: Colu
 
 
 def merge(findings: DataFrame, threshold: float = 0.5, gap: float = 0.3, vocabulary: tuple[str, ...] = COMPARISON) -> DataFrame:
-    """matched with kind, in_vocabulary and, where the readers agree, the merged prob and source (the first reader wins ties)."""
+    """matched with kind, in_vocabulary and, where the readers agree, the merged prob and its source, film and locus (the first reader wins ties)."""
     m = matched(findings)
     m = m.withColumns({"kind": kind(F.col("a_prob"), F.col("b_prob"), F.lit(threshold), gap), "in_vocabulary": F.col("label").isin(*vocabulary)})
     a_wins = F.col("b_prob").isNull() | (F.col("a_prob") >= F.col("b_prob"))
     agreed = F.col("kind") == "agree"
-    return m.withColumns({"prob": F.when(agreed, F.when(a_wins, F.col("a_prob")).otherwise(F.col("b_prob"))), "source": F.when(agreed, F.when(a_wins, "a").otherwise("b"))})
+    winner = F.when(agreed, F.when(a_wins, F.col("a")).otherwise(F.col("b")))
+    carried = {c: winner[c] for c in ("prob", "image_ref", "locus") if c == "prob" or c in findings.columns}
+    return m.withColumns({**carried, "source": F.when(agreed, F.when(a_wins, "a").otherwise("b"))})
 
 
 def kappa_of(n: Column, pos_a: Column, pos_b: Column, same: Column) -> Column:
@@ -68,3 +73,18 @@ def describe(findings: DataFrame, descriptions: DataFrame) -> DataFrame:
 def dual_view(match: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Both readers' probs, the kind of disagreement and its verdict, a row a label."""
     return match.join(verdicts.select("study_id", "label", "verdict"), ["study_id", "label"], "left")
+
+
+def measurable_kappa(kappas: DataFrame, second: DataFrame) -> DataFrame:
+    """kappas (study_id, kappa, ...) with 0 where the second reader named only labels outside the vocabulary: no agreement could be measured.
+
+    second: study_id and mapped, a row for each of its findings.
+    """
+    of = second.groupBy("study_id").agg((F.count_if("mapped") == 0).alias("_strange"))
+    return kappas.join(of, "study_id", "left").withColumn("kappa", F.when(F.coalesce("_strange", F.lit(False)), F.lit(0.0)).otherwise(F.col("kappa"))).drop("_strange")
+
+
+def both_named(match: DataFrame) -> DataFrame:
+    """study_id and the labels that both readers named, in order."""
+    both = F.when(F.col("a_prob").isNotNull() & F.col("b_prob").isNotNull(), F.col("label"))
+    return match.groupBy("study_id").agg(F.sort_array(F.collect_set(both)).alias("labels"))

@@ -36,6 +36,12 @@ def known_only(ids: Column, known: Column) -> Column:
     return F.filter(F.array_distinct(ids), lambda x: F.array_contains(known, x))
 
 
+def known_citations(cited: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and their distinct known citations, in order of the ids: known_only where the known ids are a table."""
+    hit = cited.join(known.select("evidence_id"), "evidence_id", "left_semi")
+    return hit.groupBy(*keys).agg(F.sort_array(F.collect_set("evidence_id")).alias("cited"))
+
+
 def missing_sections(sentences: DataFrame, required: tuple[str, ...] = SECTIONS, key: str = "study_id", section: str = "section") -> DataFrame:
     of = sentences.groupBy(key).agg(F.collect_set(section).alias("_have"))
     return of.select(key, F.sort_array(F.array_except(F.array(*map(F.lit, required)), "_have")).alias("missing"))

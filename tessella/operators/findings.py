@@ -68,3 +68,30 @@ def ranked_films(views: DataFrame) -> DataFrame:
     """rank of each film: frontal first, then symmetry, then name."""
     order = Window.partitionBy("study_id").orderBy(F.col("view") != "frontal", F.desc(F.round("symmetry", 6)), "path")
     return views.withColumn("rank", F.row_number().over(order))
+
+
+def valid_prob(prob: Column) -> Column:
+    """prob, which must lie between 0 and 1; null passes."""
+    return F.when(prob.isNull() | prob.between(0, 1), prob).otherwise(F.raise_error(F.concat(F.lit("prob out of range: "), prob.cast("string"))).cast("double"))
+
+
+def dropped(findings: DataFrame, most: int = 50, key: Column | None = None) -> DataFrame:
+    """n_blank, n_capped and dropped by study: what dedup_and_cap leaves out besides repeats of a label. Two aggregates, no ranking."""
+    key = F.coalesce(canonical(F.col("label")), F.lower(F.trim("label"))) if key is None else key
+    blank = F.coalesce(F.trim("label"), F.lit("")) == ""
+    by = findings.groupBy("study_id", F.when(~blank, key).alias("_key")).agg(F.count_if(blank).alias("b"), F.max(~blank).alias("_named"))
+    of = by.groupBy("study_id").agg(F.sum("b").alias("n_blank"), F.greatest(F.lit(0), F.count_if("_named") - most).alias("n_capped"))
+    return of.withColumn("dropped", F.col("n_blank") + F.col("n_capped"))
+
+
+def on_film(findings: DataFrame, displayed: DataFrame) -> DataFrame:
+    """study_id, loci (of findings on the displayed film, or with no film named) and n_elsewhere. displayed: study_id, image_path."""
+    rows = findings.where("locus is not null").join(displayed, "study_id")
+    here = (F.coalesce("image_ref", F.lit("")) == "") | (F.col("image_ref") == F.col("image_path"))
+    return rows.groupBy("study_id").agg(F.sort_array(F.collect_list(F.when(here, F.struct("label", "prob", "locus")))).alias("loci"), F.count_if(~here).alias("n_elsewhere"))
+
+
+def evidence_map(findings: DataFrame) -> DataFrame:
+    """study_id and a map from evidence id to label, prob and source; of a repeated id the last by ord counts."""
+    last = findings.groupBy("study_id", "evidence_id").agg(F.max(F.struct("ord", "label", "prob", "source")).alias("x"))
+    return last.groupBy("study_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("evidence_id", F.struct("x.label", "x.prob", "x.source").alias("value"))))).alias("evidence"))

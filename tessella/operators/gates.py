@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+from .search import allowed_tags
+
 
 def suite(rows: DataFrame, name: str, hard: bool, metrics: dict[str, Column], passed: Column, runnable: Column | None = None) -> DataFrame:
     """One row: metrics are aggregates; passed is a column of them, a null does not pass."""
@@ -22,16 +25,29 @@ def rollup(suites: DataFrame) -> DataFrame:
     return suites.agg(F.sort_array(F.collect_list(F.when(F.col("hard") & ~F.col("passed"), F.col("suite")))).alias("hard_failures"), F.coalesce(F.bool_and(F.when(F.col("hard"), F.col("passed"))), F.lit(True)).alias("gate_pass"))
 
 
-def recall_by_label(expected: DataFrame, alerts: DataFrame) -> DataFrame:
-    """label (null: all), n, hits and recall (null without cases) of expected (study_id, label) found among alerts."""
+def _met(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Cases (study_id, label) with _hit where an alert has them, and expected (true where cases do not say)."""
     found = alerts.select("study_id", "label", F.lit(True).alias("_hit")).distinct()
-    return expected.join(found, ["study_id", "label"], "left").rollup("label").agg(F.count("*").alias("n"), F.count_if("_hit").alias("hits")).withColumn("recall", F.try_divide("hits", "n"))
+    rows = cases if "expected" in cases.columns else cases.withColumn("expected", F.lit(True))
+    return rows.join(found, ["study_id", "label"], "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
 
 
-def critical_suite(expected: DataFrame, alerts: DataFrame) -> DataFrame:
-    found = alerts.select("study_id", "label", F.lit(True).alias("_hit")).distinct()
-    rows = expected.join(found, ["study_id", "label"], "left")
-    return suite(rows, "critical", True, {"recall": F.try_divide(F.count_if("_hit"), F.count("*"))}, F.col("recall") == 1.0)
+def recall_by_label(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """label (null: all), n, hits, recall and false_positive_rate (null without cases) of cases (study_id, label, and expected: whether it must alert) found among alerts."""
+    x = F.col("expected")
+    of = _met(cases, alerts).rollup("label").agg(F.count_if(x).alias("n"), F.count_if(x & F.col("_hit")).alias("hits"), F.count_if(~x).alias("_m"), F.count_if(~x & F.col("_hit")).alias("_f"))
+    return of.select("label", "n", "hits", F.try_divide("hits", "n").alias("recall"), F.try_divide("_f", "_m").alias("false_positive_rate"))
+
+
+#: Fixed value: the rate of false alerts above which the critical suite warns.
+MOST_FALSE_ALERTS = 0.35
+
+
+def critical_suite(cases: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Every expected alert must be there; a null recall does not pass. Too many false alerts only warn."""
+    x = F.col("expected")
+    rate = F.try_divide(F.count_if(~x & F.col("_hit")), F.count_if(~x))
+    return suite(_met(cases, alerts), "critical", True, {"recall": F.try_divide(F.count_if(x & F.col("_hit")), F.count_if(x)), "false_positive_rate": rate, "warns": F.coalesce(rate > MOST_FALSE_ALERTS, F.lit(False)).cast("int")}, F.col("recall") == 1.0)
 
 
 def evidence_suite(coverage_rows: DataFrame, bare: int) -> DataFrame:
@@ -49,6 +65,20 @@ def phi_suite(leaks: DataFrame) -> DataFrame:
     return suite(leaks, "phi", True, {"leaks": F.coalesce(F.sum("n"), F.lit(0))}, F.col("leaks") == 0)
 
 
+def leaks_by_kind(leaks: DataFrame) -> DataFrame:
+    """kind (null: all), how many values leaked and in how many samples. Values themselves are never given."""
+    return leaks.rollup("kind").agg(F.count("*").alias("n"), F.count_distinct("sample").alias("samples"))
+
+
+def planted_leaks(samples: DataFrame) -> DataFrame:
+    """sample and kind of each planted identifier (PHI schema) that survives scrubbing: of text in the scrubbed text, of tags among the tags that pass."""
+    now, _ = text.scrub(F.col("report_text_after"))
+    kept, _ = allowed_tags(F.col("dicom_attributes"))
+    rows = samples.select(F.col("seed").alias("sample"), now.alias("now"), F.map_values(kept).alias("tags"), F.explode("ground_truth").alias("g"))
+    lost = F.when(F.col("g.location") == "dicom", F.array_contains("tags", F.col("g.value"))).otherwise(F.contains("now", F.col("g.value")))
+    return rows.where(lost).select("sample", "g.kind")
+
+
 def robustness_suite(cases: DataFrame) -> DataFrame:
     """cases: blocked (of an injection, null for others), invariant (of an image, null for others)."""
     return suite(cases, "robustness", True, {"block_rate": F.avg(F.col("blocked").cast("double")), "invariance": F.avg(F.col("invariant").cast("double"))}, (F.col("block_rate") == 1) & (F.coalesce("invariance", F.lit(1.0)) == 1))

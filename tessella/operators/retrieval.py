@@ -26,9 +26,10 @@ def blocked(left: DataFrame, right: DataFrame, condition: Column | None, rows: i
     return spread.join(dealt, on if condition is None else on & condition).drop("_part", "_part_l")
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 3) -> DataFrame:
-    """query_id, doc_id, sim, rank: the k docs with the largest dot product of each query (a stated query set), first by ord on ties."""
-    pairs = blocked(docs, queries, None).withColumn("sim", dot(F.col("q"), F.col("d")))
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int | None = None) -> DataFrame:
+    """query_id, doc_id, sim, rank: the k docs with the largest dot product of each query (a stated query set), rounded to digits if given, first by ord on ties."""
+    sim = dot(F.col("q"), F.col("d"))
+    pairs = blocked(docs, queries, None).withColumn("sim", sim if digits is None else F.round(sim, digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
 
@@ -46,6 +47,26 @@ def hashed_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
+def _tokens(c: Column) -> Column:
+    return F.split(c, "[^0-9A-Za-z]+")
+
+
 def contains_join(texts: DataFrame, text: str, truths: DataFrame, value: str) -> DataFrame:
-    """Rows of texts and truths where the text holds the value (empty values never match)."""
-    return blocked(texts, truths.where(F.col(value) != ""), F.contains(F.col(text), F.col(value)))
+    """Rows of texts and truths where the text holds the value (empty values never match).
+
+    A value is filed under its longest inner token (what stands between two other characters is a whole token of every
+    text that holds the value), so a text meets only values that share a token with it. Values without an inner token,
+    few as a rule, are looked for in all texts.
+    """
+    words = F.filter(_tokens(F.col(value)), lambda w: w != "")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) >= 2)
+    filed = truths.where(F.col(value) != "").withColumn("_token", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
+    first = filed.where("_token is not null")
+    asked = first.select("_token").distinct()
+    spread = texts.select("*", F.explode(F.array_distinct(_tokens(F.col(text)))).alias("_token"))
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:  # tokens nobody asks for go before any shuffle
+        spread = spread.join(F.broadcast(asked), "_token", "left_semi")
+    met = spread.join(F.broadcast(first) if few and first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else first, "_token").where(F.contains(F.col(text), F.col(value))).drop("_token")
+    rest = filed.where("_token is null").drop("_token")
+    return met if rest.isEmpty() else met.unionByName(blocked(texts, rest, F.contains(F.col(text), F.col(value))))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vocab import DICOM_ALLOWED
+from ..functions.vocab import DICOM_ALLOWED, FILE_META_IDENTIFIERS
 
 #: What a stored run carries; raw texts are not among it.
 PERSISTED = ("study_id", "image_path", "deid_report", "qc", "findings", "disagreements", "kappa", "arbitration_records", "alerts", "report", "status", "notes", "trace_events", "budget_spent", "tokens_used")
@@ -24,9 +26,27 @@ def matches(needle: str, identifier: Column, texts: list[Column], terms: Column
 
 
 def page(found: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The first limit rows (all, if 0 or less) and total, how many there are."""
+    """The first limit rows (all, if 0 or less) and total, how many there are. Both are parts of one plan; nothing runs before it does."""
     top = found.orderBy(*order) if limit <= 0 else found.orderBy(*order).limit(limit)
-    return top.withColumn("total", F.lit(found.count()).cast("long"))
+    return top.join(F.broadcast(found.agg(F.count("*").alias("total"))), F.lit(True)).orderBy(*order)
+
+
+def point(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows with this key; a key that is not there raises LookupError."""
+    found = rows.where(F.col(key) == F.lit(value))
+    if found.isEmpty():
+        raise LookupError(f"no {key} {value!r}")
+    return found
+
+
+def without_prefixed(rows: DataFrame, name: str, prefixes: tuple[str, ...]) -> DataFrame:
+    """Rows whose name starts with none of prefixes (spans of routers, for one); null names stay."""
+    return rows.where(~F.coalesce(F.col(name).rlike("^(" + "|".join(map(re.escape, prefixes)) + ")"), F.lit(False)))
+
+
+def meta_identifiers(meta: Column) -> Column:
+    """Names of the identifiers of a file's meta group that are not empty, in their fixed order."""
+    return F.filter(F.array(*map(F.lit, FILE_META_IDENTIFIERS)), lambda k: F.coalesce(F.try_element_at(meta, k), F.lit("")) != "")
 
 
 def latest(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

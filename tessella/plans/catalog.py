@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text, vocab
+from ..functions import replies, rules, text, vocab
 from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
+from ..sources import store
+from . import models, studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,10 +89,24 @@ def reader_disagreement_kinds(spark, d):
     return _merged(spark, d).groupBy("kind", "in_vocabulary").agg(F.count("*").alias("n"), F.count_distinct("study_id").alias("studies"))
 
 
-@query(f"""WITH {_MATCH} SELECT study_id, label, CASE WHEN b_prob IS NULL OR a_prob >= b_prob THEN a_prob ELSE b_prob END AS prob,
-  CASE WHEN b_prob IS NULL OR a_prob >= b_prob THEN 'a' ELSE 'b' END AS source FROM g WHERE kind = 'agree'""")
+@query(f"""WITH {_MATCH}, f AS (SELECT g.*, b_prob IS NULL OR a_prob >= b_prob AS a_wins FROM g WHERE kind = 'agree')
+  SELECT f.study_id, f.label, CASE WHEN a_wins THEN a_prob ELSE b_prob END AS prob, CASE WHEN a_wins THEN 'a' ELSE 'b' END AS source, l.image_ref
+  FROM f JOIN l ON f.study_id = l.study_id AND f.label = l.label AND l.reader = CASE WHEN a_wins THEN 'a' ELSE 'b' END""")
 def merged_findings(spark, d):
-    return _merged(spark, d).where("kind = 'agree'").select("study_id", "label", "prob", "source")
+    return _merged(spark, d).where("kind = 'agree'").select("study_id", "label", "prob", "source", "image_ref")
+
+
+@query(f"""WITH {_MATCH}, k AS (SELECT study_id, {_counts("label <> 'signup'", 'w')} FROM m GROUP BY 1), b AS (SELECT study_id, count(*) FILTER (WHERE label <> 'signup') = 0 AS strange FROM r WHERE reader = 'b' GROUP BY 1)
+  SELECT k.study_id, CASE WHEN coalesce(strange, false) THEN 0e0 ELSE round({_kappa('w')}, 6) + 0e0 END AS kappa FROM k LEFT JOIN b ON k.study_id = b.study_id""")
+def kappa_second_reader_unmapped(spark, d):
+    rows = readings(spark, d).withColumn("mapped", F.col("label") != "signup")
+    k = agreement.kappa(agreement.matched(rows), universe=F.col("label") != "signup")
+    return agreement.measurable_kappa(k, rows.where("reader = 'b'")).select("study_id", _z("kappa").alias("kappa"))
+
+
+@query(f"""WITH {_MATCH} SELECT study_id, list_sort(coalesce(list(label) FILTER (WHERE a_prob IS NOT NULL AND b_prob IS NOT NULL), [])) AS labels FROM m GROUP BY 1""")
+def labels_both_named(spark, d):
+    return agreement.both_named(agreement.matched(readings(spark, d)))
 
 
 @query(f"WITH {_MATCH}, k AS (SELECT study_id, {_counts('in_vocabulary', 'n')}, {_counts('true', 'w')} FROM g GROUP BY 1) SELECT study_id, nn AS n_narrow, nw AS n_wide, round({_kappa('n')}, 6) + 0e0 AS narrow, round({_kappa('w')}, 6) + 0e0 AS wide FROM k")
@@ -178,8 +194,29 @@ def evidence_coverage(spark, d):
 @query("""SELECT l_suppkey, list_sort(list_distinct(list(l_partkey) FILTER (WHERE p_partkey IS NOT NULL))) AS cited FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON l_partkey = p_partkey
   GROUP BY 1 HAVING count(p_partkey) > 0""")
 def citation_filter_distinct(spark, d):
-    hit = _t(spark, d, "lineitem").join(_known(spark, d), F.col("l_partkey") == F.col("evidence_id"), "left_semi")
-    return hit.groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("cited"))
+    return evidence.known_citations(_t(spark, d, "lineitem").select("l_suppkey", F.col("l_partkey").alias("evidence_id")), _known(spark, d), ["l_suppkey"])
+
+
+@query("""WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS ids FROM lineitem GROUP BY 1), k AS (SELECT l_orderkey, list(DISTINCT l_partkey) AS known FROM lineitem WHERE l_quantity > 20 GROUP BY 1)
+  SELECT o.l_orderkey, list_filter([ids[i] FOR i IN range(1, len(ids) + 1) IF list_position(ids, ids[i]) = i], lambda x: list_contains(coalesce(known, []), x)) AS cited FROM o LEFT JOIN k ON o.l_orderkey = k.l_orderkey""")
+def citations_in_order(spark, d):
+    rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    of = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(rows, lambda x: x["l_partkey"]).alias("ids"), F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_partkey"))).alias("known"))
+    return of.select("l_orderkey", evidence.known_only(F.col("ids"), F.col("known")).alias("cited"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag IN ('R', 'A')) AS claims FROM lineitem GROUP BY 1""")
+def claim_sections(spark, d):
+    section = F.when(F.col("l_returnflag") == "R", "findings").when(F.col("l_returnflag") == "A", "impression").otherwise("technique")
+    return _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(evidence.is_claim(section)).alias("claims"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity <= 45 THEN l_partkey END AS id FROM lineitem),
+  s AS (SELECT l_orderkey, l_linenumber, count(id) AS n, list_sort(coalesce(list(DISTINCT id) FILTER (WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)), [])) AS dangling FROM c GROUP BY 1, 2)
+  SELECT l_orderkey, l_linenumber, CASE WHEN n = 0 THEN 'no_evidence' ELSE 'dangling' END AS reason, dangling FROM s WHERE n = 0 OR len(dangling) > 0""")
+def evidence_missing_or_dangling(spark, d):
+    cited = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") <= 45, F.col("l_partkey")).alias("evidence_id"))
+    return evidence.violations(cited, _known(spark, d), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT conv_id, list_sort(list_filter(['user', 'assistant', 'system'], lambda x: NOT list_contains(list(DISTINCT role), x))) AS missing FROM conversations GROUP BY 1")
@@ -189,8 +226,9 @@ def missing_sections(spark, d):
 
 @query(f"""WITH {_MATCH} SELECT study_id, label, a_prob, b_prob, kind, CASE WHEN kind = 'agree' THEN NULL WHEN kind = 'unique' THEN 'UNCERTAIN' WHEN kind = 'magnitude' THEN 'CONFIRM' WHEN coalesce(greatest(a_prob, b_prob), 0) >= 0.6 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM g""")
 def dual_read_view(spark, d):
-    m = _merged(spark, d)
-    return m.select("study_id", "label", "a_prob", "b_prob", "kind", F.when(F.col("kind") != "agree", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob"))).alias("verdict"))
+    m = _merged(spark, d).select("study_id", "label", "a_prob", "b_prob", "kind")
+    verdicts = m.where("kind <> 'agree'").withColumn("verdict", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")))
+    return agreement.dual_view(m, verdicts)
 
 
 @query("""WITH t AS (SELECT conv_id, string_agg(sha256(text), '|' ORDER BY turn, text) AS notes, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY 1)
@@ -210,34 +248,166 @@ def study_search_page(spark, d):
     return search.page(found, [F.col("doc_id").isin(10, 20, 30).desc(), F.col("doc_id")], 20)
 
 
-@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def _runs(spark, d):
+    o = _t(spark, d, "orders")
+    states = o.select(
+        F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_custkey").cast("string").alias("study_id"), F.col("o_orderstatus").alias("status"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("double").alias("created_at"),
+        F.array_repeat(F.lit("x"), (F.col("o_orderkey") % 3).cast("int")).alias("alerts"), F.col("o_orderpriority").alias("budget_spent"), F.lit("secret").alias("raw_text"), F.lit("secret").alias("history"),
+    )
+    return store.record(states)
+
+
+_RUN = """runs AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CAST(o_custkey AS VARCHAR) AS study_id, o_orderstatus AS status, CAST(floor(epoch(o_orderdate)) AS DOUBLE) AS created_at, CAST(o_orderkey % 3 AS INTEGER) AS alert_count, o_orderpriority AS spent FROM orders)"""
+
+
+@query(f"WITH {_RUN} SELECT study_id, created_at, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY created_at DESC, run_id DESC) AS k FROM runs) WHERE k = 1")
 def latest_run_per_study(spark, d):
-    # a maximum of structs: no sort, partial aggregation
-    return _t(spark, d, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("x")).select("user_id", "x.event_id", "x.event_type")
+    return store.newest_of_study(_runs(spark, d)).drop("payload")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def latest_event_per_user(spark, d):
+    return search.latest(_t(spark, d, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS VARCHAR)[1:10] AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
+@query(f"WITH {_RUN} SELECT run_id, study_id, status, created_at, alert_count FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 50")
 def run_newest_first(spark, d):
-    return _t(spark, d, "orders").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50).select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").cast("string").alias("day"))
+    return store.newest(_runs(spark, d), 50)
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+@query(f"WITH {_RUN} SELECT run_id, study_id, status, spent FROM runs WHERE run_id = '7'")
 def run_point_lookup(spark, d):
-    orders = _t(spark, d, "orders")
-    return orders.join(F.broadcast(orders.agg(F.max("o_orderkey").alias("o_orderkey"))), "o_orderkey").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return store.get(_runs(spark, d), "7").select("run_id", "study_id", "status", F.get_json_object("payload", "$.budget_spent").alias("spent"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(text, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9_-]+\.[a-zA-Z0-9_.-]+', '[redacted-email]', 'g'), '\b\d{13,19}\b', '[redacted-number]', 'g')) AS clean FROM documents""")
-def redact_text(spark, d):
-    c = F.col("text")
-    for pattern, to in rules.REDACTIONS[1:3]:  # those that an engine without lookaround can check; redact_all runs all four
-        c = F.regexp_replace(c, F.lit(pattern), F.lit(to))
-    return _t(spark, d, "documents").select("doc_id", F.sha2(c, 256).alias("clean"))
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 7")
+def order_point_lookup(spark, d):
+    return search.point(_t(spark, d, "orders"), "o_orderkey", 7).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-@query()
-def redact_all(spark, d):
-    return _t(spark, d, "documents").select("doc_id", F.sha2(text.redact(F.col("text")), 256).alias("clean"), (text.redact(F.col("text")) != F.col("text")).alias("changed"))
+@query(f"WITH {_RUN} SELECT run_id, list_sort(['study_id', 'status', 'alerts', 'budget_spent']) AS fields FROM runs")
+def allowlist_projection(spark, d):
+    return _runs(spark, d).select("run_id", F.sort_array(F.json_object_keys("payload")).alias("fields"))
+
+
+@query("""(SELECT doc_id, 'de' AS head FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 30) UNION ALL (SELECT doc_id, 'other' FROM documents WHERE lang <> 'de' ORDER BY doc_id LIMIT 20)""")
+def corpus_head(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", F.when(F.col("lang") == "de", "de").otherwise("other").alias("head"))
+    return calibrate.head_limited(docs, F.col("head") == "de", [F.col("doc_id")], 30, 20)
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE NOT (event_type LIKE 'sign%' OR event_type LIKE 'vi%') GROUP BY 1")
+def spans_without_prefix(spark, d):
+    return search.without_prefixed(_t(spark, d, "events"), "event_type", ("sign", "vi")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+_META = ", ".join(f"'{x}'" for x in vocab.FILE_META_IDENTIFIERS)
+
+
+@query(f"""SELECT o_orderkey, list_filter([{_META}], lambda k: (k = 'SourceApplicationEntityTitle' AND o_orderkey % 2 = 0) OR (k = 'ImplementationClassUID' AND o_orderstatus = 'F')) AS identifiers FROM orders""")
+def file_meta_identifiers(spark, d):
+    meta = F.create_map(F.lit("SourceApplicationEntityTitle"), F.when(F.col("o_orderkey") % 2 == 0, "PACS").otherwise(""), F.lit("ImplementationClassUID"), F.when(F.col("o_orderstatus") == "F", "1.2"), F.lit("TransferSyntaxUID"), F.lit("1.2.840"))
+    return _t(spark, d, "orders").select("o_orderkey", search.meta_identifiers(meta).alias("identifiers"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['Modality', 'Rows'] ELSE ['Modality'] END AS kept, CASE WHEN o_orderstatus = 'F' THEN ['PatientID', 'PatientName'] ELSE ['PatientName'] END AS gone FROM orders""")
+def dicom_tag_allowlist(spark, d):
+    some = lambda k, v, when: F.when(when, F.create_map(F.lit(k), v)).otherwise(F.create_map().cast("map<string,string>"))
+    tags = F.map_concat(F.create_map(F.lit("PatientName"), F.lit("X^Y"), F.lit("Modality"), F.lit("CR")), some("Rows", F.lit("9"), F.col("o_orderkey") % 2 == 0), some("PatientID", F.lit("1"), F.col("o_orderstatus") == "F"))
+    kept, gone = search.allowed_tags(tags)
+    return _t(spark, d, "orders").select("o_orderkey", F.sort_array(F.map_keys(kept)).alias("kept"), gone.alias("gone"))
+
+
+@query("""SELECT p_partkey, list_filter([CASE WHEN p_size * 10 < 128 THEN 'low_resolution' END, CASE WHEN p_size % 12 < 5 THEN 'low_contrast' END, CASE WHEN NOT (p_retailprice / 5 BETWEEN 15 AND 235) THEN 'exposure' END, CASE WHEN p_size / 50e0 < 0.5 THEN 'asymmetric' END], lambda x: x IS NOT NULL) AS issues,
+  NOT (p_size * 10 < 128 OR p_size % 12 < 5) AS ok FROM part""")
+def image_quality(spark, d):
+    issues, ok = search.qc_issues(F.col("p_size") * 10, F.lit(512), F.col("p_size") % 12, F.col("p_retailprice") / 5, F.col("p_size") / F.lit(50.0))
+    return _t(spark, d, "part").select("p_partkey", issues.alias("issues"), ok.alias("ok"))
+
+
+def _films(spark, d):
+    return readings(spark, d).withColumn("locus", F.when(F.col("ord") % 3 == 0, F.struct(F.col("ord").cast("double").alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.1).alias("r"))))
+
+
+@query(f"""WITH {_READ}, s AS (SELECT study_id, min(image_ref) AS image_path FROM r GROUP BY 1) SELECT r.study_id, list_sort(coalesce(list(r.label || ' ' || CAST(ord AS VARCHAR)) FILTER (WHERE image_ref = image_path), [])) AS loci, count(*) FILTER (WHERE image_ref <> image_path) AS n_elsewhere
+  FROM r JOIN s ON r.study_id = s.study_id WHERE ord % 3 = 0 GROUP BY 1""")
+def loci_on_displayed_film(spark, d):
+    rows = _films(spark, d)
+    found = findings.on_film(rows, rows.groupBy("study_id").agg(F.min("image_ref").alias("image_path")))
+    return found.select("study_id", F.sort_array(F.transform("loci", lambda x: F.concat_ws(" ", x["label"], x["locus"]["cx"].cast("long").cast("string")))).alias("loci"), "n_elsewhere")
+
+
+@query(f"""WITH {_READ}, e AS (SELECT study_id, label, arg_max(prob, ord) AS prob FROM r GROUP BY ALL) SELECT study_id, list_sort(list('cnn:' || label || ' ' || CAST(CAST(round(prob * 1000000) AS BIGINT) AS VARCHAR))) AS entries FROM e GROUP BY 1""")
+def evidence_map(spark, d):
+    rows = readings(spark, d).withColumn("source", F.lit("cnn")).withColumn("evidence_id", findings.evidence_id(F.col("source"), F.col("label"), F.lit("")))
+    entry = lambda e: F.concat_ws(" ", e["key"], F.round(e["value"]["prob"] * 1_000_000).cast("long").cast("string"))
+    return findings.evidence_map(rows).select("study_id", F.sort_array(F.transform(F.map_entries("evidence"), entry)).alias("entries"))
+
+
+@query(f"""WITH {_READ}, x AS (SELECT study_id, CASE WHEN ord % 5 = 0 THEN ' ' ELSE label END AS label FROM r), c AS (SELECT study_id, count(*) FILTER (WHERE trim(label) = '') AS n_blank, greatest(0, count(DISTINCT label) FILTER (WHERE trim(label) <> '') - 2) AS n_capped FROM x GROUP BY 1)
+  SELECT *, n_blank + n_capped AS dropped FROM c""")
+def dropped_findings(spark, d):
+    rows = readings(spark, d).withColumn("label", F.when(F.col("ord") % 5 == 0, " ").otherwise(F.col("label")))
+    return findings.dropped(rows, 2, F.lower(F.trim("label")))
+
+
+@query("SELECT event_id, least(greatest(value / 100e0, 0e0), 1e0) AS prob FROM events")
+def clamped_probs(spark, d):
+    return _t(spark, d, "events").select("event_id", findings.valid_prob(findings.clamp(F.col("value") / 100e0)).alias("prob"))
+
+
+@query("""SELECT study_id, path, CAST(row_number() OVER (PARTITION BY study_id ORDER BY view <> 'frontal', round(symmetry, 6) DESC, path) AS INTEGER) AS rank
+  FROM (SELECT CAST(l_orderkey AS VARCHAR) AS study_id, l_linenumber || '-' || l_partkey AS path, CASE WHEN l_returnflag = 'R' THEN 'lateral' ELSE 'frontal' END AS view, l_discount AS symmetry FROM lineitem)""")
+def film_rank(spark, d):
+    l = _t(spark, d, "lineitem")
+    views = l.select(F.col("l_orderkey").cast("string").alias("study_id"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("path"), F.when(F.col("l_returnflag") == "R", "lateral").otherwise("frontal").alias("view"), F.col("l_discount").alias("symmetry"))
+    return findings.ranked_films(views).select("study_id", "path", "rank")
+
+
+@query("SELECT l_orderkey, l_linenumber, nullif(CAST(l_quantity AS BIGINT) % 7, 0) AS input, nullif(CAST(l_quantity AS BIGINT) % 5, 0) AS output, nullif(CASE WHEN l_linenumber > 3 THEN CAST(l_quantity AS BIGINT) ELSE CAST(l_quantity AS BIGINT) % 7 + CAST(l_quantity AS BIGINT) % 5 END, 0) AS total FROM lineitem")
+def token_totals(spark, d):
+    q = F.col("l_quantity").cast("long")
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text.token_totals(q % 7, q % 5, F.when(F.col("l_linenumber") > 3, q)).alias("t")).select("l_orderkey", "l_linenumber", "t.input", "t.output", "t.total")
+
+
+@query("""SELECT page_id, '[MASKED text/html · sha256:' || substr(sha256(html), 1, 12) || ' · ' || page_id || '.html]' AS reference FROM pages""")
+def film_reference(spark, d):
+    pages = _t(spark, d, "pages")
+    return pages.select("page_id", text.film_reference(F.concat(F.lit("x/"), F.col("page_id").cast("string"), F.lit(".html")), F.col("html").cast("binary")).alias("reference"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 2 ELSE 1 END AS messages, sha256(text) AS prompt, '[MASKED image/png · sha256:unreadable · f.png]' AS url FROM conversations""")
+def traced_request(spark, d):
+    ref = text.film_reference(F.lit("d/f.png"), F.lit(None).cast("binary"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.from_json(text.generation_input(F.col("text"), ref, F.when(F.col("role") == "system", "be brief").otherwise("")), "array<string>").alias("m"))
+    last = lambda path: F.get_json_object(F.element_at("m", -1), path)
+    return rows.select("conv_id", "turn", F.size("m").alias("messages"), F.sha2(last("$.content[0].text"), 256).alias("prompt"), last("$.content[1].image_url.url").alias("url"))
+
+
+@query("SELECT event_id, [event_type, CAST(user_id AS VARCHAR), 'x'] AS leaves FROM events")
+def payload_string_leaves(spark, d):
+    doc = F.to_json(F.struct("event_type", F.struct(F.array(F.col("user_id").cast("string"), F.lit("x")).alias("deep"), "value").alias("inner"), "event_id"))
+    return _t(spark, d, "events").select("event_id", text.string_leaves(doc).alias("leaves"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 = 0 THEN 'specificity 0.9 only: no positives' WHEN l_linenumber % 7 * 10 < 25 THEN 'specificity 0.9: few positives (n=' || l_linenumber % 7 * 10 || ')' ELSE 'specificity 0.9 (n=' || l_linenumber % 7 * 10 || ')' END || CASE WHEN l_returnflag = 'R' THEN '; alert candidate' ELSE '' END AS rule FROM lineitem")
+def threshold_rule_text(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", calibrate.rule_text(F.col("l_linenumber") % 7 * 10, 0.9, F.col("l_returnflag") == "R").alias("rule"))
+
+
+# An engine without lookaround runs the same rules without it: the greedy runs of digits start and end where the lookarounds ask. Letters and digits of all scripts stand for Unicode word characters.
+_RED = [(p.replace(r"(?<!\d)", "").replace(r"(?!\d)", "").replace(r"[\w.+-]", r"[\p{L}\p{N}_.+-]").replace(r"[\w-]", r"[\p{L}\p{N}_-]").replace(r"[\w.-]", r"[\p{L}\p{N}_.-]"), to) for p, to in rules.REDACTIONS]
+
+
+def _chain(c: str, pairs: list[tuple[str, str]]) -> str:
+    for p, to in pairs:
+        c = f"regexp_replace({c}, '{p}', '{to}', 'g')"
+    return c
+
+
+@query(f"""SELECT doc_id, sha256({_chain("text", _RED)}) AS clean, {_chain("text", _RED)} <> text AS changed FROM documents""")
+def redact_text(spark, d):
+    return _t(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("clean"), "text").select("doc_id", F.sha2("clean", 256).alias("clean"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
 @query()
@@ -270,19 +440,23 @@ def redline_counts(spark, d):
     return found.select("doc_id", *map(n, ("diagnostic", "exclusion", "treatment")))
 
 
-@query()
+@query(f"""SELECT doc_id, sha256({_chain("text", list(rules.NEUTRAL))}) AS clean FROM documents""")
 def neutral_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(text.neutral(F.col("text")), 256).alias("clean"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: NOT contains(x, 'the') AND x <> '') AS w, contains(text, 'the') AS has FROM documents)
-  SELECT doc_id, CAST(len(w) AS INTEGER) AS kept, has FROM w""")
-def marked_word_drop(spark, d):
-    words = F.filter(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), lambda w: ~w.contains("the") & (w != ""))
-    return _t(spark, d, "documents").select("doc_id", F.size(words).alias("kept"), F.contains(F.col("text"), F.lit("the")).alias("has"))
+@query(f"""WITH t AS (SELECT doc_id, unnest([{", ".join(f"{{'k': '{k}', 'm': regexp_extract_all(text, '(?i){p}'), 'g': string_split_regex(text, '(?i){p}')}}" for k, p in rules.REDLINES if "(?!" not in p)}]) AS x FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, x.k AS kind, CAST(list_sum([len(x.g[j]) FOR j IN range(1, i + 1)]) + coalesce(list_sum([len(x.m[j]) FOR j IN range(1, i)]), 0) AS INTEGER) AS start, len(x.m[i]) AS n FROM t, unnest(range(1, len(x.m) + 1)) u(i))
+  SELECT doc_id, kind, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts, CAST(sum(start + n) AS BIGINT) AS ends FROM s GROUP BY 1, 2""")
+def redline_spans(spark, d):
+    found = _t(spark, d, "documents").select("doc_id", F.explode(text.redlines(F.col("text"))).alias("r"))
+    return found.groupBy("doc_id", "r.kind").agg(F.count("*").alias("n"), F.sum("r.start").alias("starts"), F.sum("r.end").alias("ends"))
 
 
-@query()
+@query(r"""WITH a AS (SELECT doc_id, text, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: NOT contains(x, 'the') AND x <> '') AS w FROM documents),
+  b AS (SELECT *, list_position(list_transform(w, lambda x: lower(trim(x, '.,;:')) IN ('and', 'or', 'but')), false) AS k FROM a), c AS (SELECT doc_id, text, CASE WHEN coalesce(k, 0) = 0 THEN [] ELSE w[k:] END AS w FROM b),
+  e AS (SELECT *, list_position(list_transform(w, lambda x: regexp_matches(x, '[\p{L}\p{N}]')), true) AS k FROM c), f AS (SELECT doc_id, text, trim(regexp_replace(array_to_string(CASE WHEN coalesce(k, 0) = 0 THEN [] ELSE w[k:] END, ' '), '\s+([.,;:])', '\1', 'g')) AS t FROM e)
+  SELECT doc_id, sha256(CASE WHEN NOT contains(text, 'the') THEN text WHEN regexp_matches(t, '[\p{L}\p{N}]') THEN t ELSE '' END) AS clean FROM f""")
 def xxxx_token_drop(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.sha2(text.drop_marked(F.col("text"), "the"), 256).alias("clean"))
 
@@ -330,10 +504,7 @@ _F64 = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
 def vector_topk(spark, d):
     v = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     docs = v.select(F.col("vec_id").alias("doc_id"), F.col("e").alias("d"), F.col("vec_id").alias("ord"))
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"))
-    pairs = retrieval.blocked(docs, asked, None).withColumn("sim", _r(retrieval.dot(F.col("q"), F.col("d"))))
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("query_id", "doc_id", "sim", "rank")
+    return retrieval.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), docs, 3, 6)
 
 
 @query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), b AS (SELECT item_id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) AS bucket, count(*) * 1e0 AS n FROM w GROUP BY ALL)
@@ -381,10 +552,10 @@ def operating_points(spark, d):
   SELECT lang, count(*) FILTER (WHERE toxic = 1) AS n, count(*) FILTER (WHERE toxic = 1 AND hit) AS hits, round(count(*) FILTER (WHERE toxic = 1 AND hit) * 1e0 / nullif(count(*) FILTER (WHERE toxic = 1), 0), 6) AS recall,
   round(count(*) FILTER (WHERE toxic = 0 AND hit) * 1e0 / nullif(count(*) FILTER (WHERE toxic = 0), 0), 6) AS false_positive_rate FROM x GROUP BY GROUPING SETS ((lang), ())""")
 def gold_recall_fpr(spark, d):
-    x = _t(spark, d, "labels").join(_t(spark, d, "documents").select("doc_id", "n_chars", "lang"), "doc_id").withColumn("hit", F.col("n_chars") > 1500)
-    pos, neg = F.col("toxic") == 1, F.col("toxic") == 0
-    of = x.rollup("lang").agg(F.count_if(pos).alias("n"), F.count_if(pos & F.col("hit")).alias("hits"), F.count_if(neg).alias("m"), F.count_if(neg & F.col("hit")).alias("f"))
-    return of.select("lang", "n", "hits", _r(F.try_divide("hits", "n")).alias("recall"), _r(F.try_divide("f", "m")).alias("false_positive_rate"))
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("study_id"), F.col("lang").alias("label"), "n_chars")
+    cases = _t(spark, d, "labels").select(F.col("doc_id").alias("study_id"), (F.col("toxic") == 1).alias("expected")).join(docs, "study_id")
+    of = gates.recall_by_label(cases, docs.where("n_chars > 1500"))
+    return of.select(F.col("label").alias("lang"), "n", "hits", _r("recall").alias("recall"), _r("false_positive_rate").alias("false_positive_rate"))
 
 
 @query(f"""WITH {_MATCH}, c AS (SELECT count(*) AS n, bool_and(abs(coalesce(a_prob, b_prob)) <= 1) AS ok FROM m), lb AS (SELECT count(*) AS n, bool_and(quality IN (0, 1)) AS ok FROM labels), p AS (SELECT count(*) AS n, bool_and(p_size <= 40) AS ok FROM part),
@@ -397,12 +568,12 @@ def gate_rollup(spark, d):
     return gates.rollup(gates.with_least(rows, 10))
 
 
-@query("""SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 2 THEN epoch_us(max(ts)) - epoch_us(min(ts)) END AS latency_us,
-  coalesce(min(ts) FILTER (WHERE event_type = 'error') < min(ts) FILTER (WHERE event_type = 'purchase'), false) AS alert_first FROM events GROUP BY 1""")
+@query("""SELECT CAST(user_id AS VARCHAR) AS study_id, CASE WHEN count(*) >= 2 THEN round((max(epoch_us(ts)) - min(epoch_us(ts))) / 1000e0, 1) END AS latency_ms,
+  min(ts) FILTER (WHERE event_type = 'error') < min(ts) FILTER (WHERE event_type = 'purchase') AS alert_first FROM events GROUP BY 1""")
 def trace_latency_order(spark, d):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    first = lambda k: F.min(F.when(F.col("event_type") == k, F.col("ts")))
-    return _t(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.max(us) - F.min(us)).alias("latency_us"), F.coalesce(first("error") < first("purchase"), F.lit(False)).alias("alert_first"))
+    node = F.when(F.col("event_type") == "error", "critical_triage").when(F.col("event_type") == "purchase", "report_writer").otherwise(F.col("event_type"))
+    trace = _t(spark, d, "events").select(F.col("user_id").cast("string").alias("study_id"), node.alias("node"), (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("ts"))
+    return studies.timeline(trace).withColumn("latency_ms", F.round("latency_ms", 1))
 
 
 @query("SELECT event_type, round(avg(CASE WHEN value / 100e0 >= 0.5 THEN 1e0 ELSE 0e0 END), 6) AS positive_rate, count(*) AS n FROM events GROUP BY 1")
@@ -410,9 +581,15 @@ def weak_label_positive_rate(spark, d):
     return _t(spark, d, "events").groupBy("event_type").agg(_r(F.avg((F.col("value") / 100e0 >= 0.5).cast("double"))).alias("positive_rate"), F.count("*").alias("n"))
 
 
-@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type <> 'view'), 4) AS mean_delta, arg_max(event_type, (value, -event_id)) AS top FROM events GROUP BY 1")
+@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type <> 'view'), 4) AS mean_delta FROM events GROUP BY 1")
 def excluding_target_mean(spark, d):
-    return _t(spark, d, "events").groupBy("user_id").agg(_r(F.avg(F.when(F.col("event_type") != "view", F.col("value"))), 4).alias("mean_delta"), F.max(F.struct("value", (-F.col("event_id")).alias("k"), "event_type"))["event_type"].alias("top"))
+    deltas = _t(spark, d, "events").select("user_id", F.col("event_type").alias("label"), F.col("value").alias("delta"))
+    return calibrate.mean_delta_excluding(deltas, "view", ["user_id"]).withColumn("mean_delta", _r("mean_delta", 4))
+
+
+@query("SELECT user_id, arg_max(event_type, (value, -event_id)) AS top FROM events GROUP BY 1")
+def argmax_label(spark, d):
+    return calibrate.argmax_label(_t(spark, d, "events").select("user_id", F.col("event_type").alias("label"), F.col("value").alias("score"), F.col("event_id").alias("ord")), ["user_id"])
 
 
 @query(f"""WITH {_MATCH}, k AS (SELECT study_id, {_counts('true', 'w')}, count(*) FILTER (WHERE kind <> 'agree') AS dis FROM g GROUP BY 1), s AS (SELECT round(avg({_kappa('w')}), 6) AS mean_kappa, round(avg(CASE WHEN dis > 0 THEN 1e0 ELSE 0e0 END), 6) AS disagreeing_share FROM k)
@@ -423,11 +600,107 @@ def peer_or_describer(spark, d):
     return calibrate.keep_as_peer(of).withColumns({"mean_kappa": _r("mean_kappa"), "disagreeing_share": _r("disagreeing_share")})
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events")
-def allowlist_projection(spark, d):
-    return _t(spark, d, "events").select(*(c for c in _t(spark, d, "events").columns if c in ("event_id", "user_id", "event_type", "value")))
+@query(f"""WITH {_MATCH}, k AS (SELECT study_id, {_counts('true', 'w')}, count(*) FILTER (WHERE kind <> 'agree') AS dis FROM g GROUP BY 1), a AS (SELECT study_id, count(DISTINCT label) AS n FROM r WHERE prob >= 0.3 AND label IN ('error', 'purchase') GROUP BY 1),
+  s AS (SELECT k.study_id, CAST(coalesce(n, 0) AS DOUBLE) AS alerts, CAST(least(dis, 12) AS DOUBLE) AS calls, CAST(dis AS DOUBLE) AS needs_human, CAST(dis AS DOUBLE) AS disagreements, CASE WHEN nw > 1 THEN round({_kappa('w')}, 6) + 0e0 END AS kappa FROM k LEFT JOIN a ON k.study_id = a.study_id)
+  SELECT study_id, name, value FROM (UNPIVOT s ON alerts, calls, needs_human, disagreements, kappa INTO NAME name VALUE value)""")
+def trace_scores(spark, d):
+    m = _merged(spark, d)
+    alerts = findings.triage(readings(spark, d).withColumnRenamed("reader", "source"), labels=CRITICAL).groupBy("study_id").agg(F.collect_list("label").alias("alerts"))
+    dis = m.groupBy("study_id").agg(F.collect_list(F.when(F.col("kind") != "agree", F.struct("label", F.lit(True).alias("needs_human")))).alias("findings"))
+    k = agreement.kappa(m).select("study_id", F.when(F.col("n_labels") > 1, _z("kappa")).alias("kappa"))
+    states = k.join(dis, "study_id").join(alerts, "study_id", "left")
+    states = states.select("study_id", F.coalesce("alerts", F.array().cast("array<string>")).alias("alerts"), F.least(F.size("findings"), F.lit(12)).alias("budget_spent"), "findings", F.col("findings").alias("disagreements"), "kappa")
+    return studies.scores(states)
 
 
-@query("SELECT conv_id, max(turn) AS last_turn, count(DISTINCT role) AS roles, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM conversations GROUP BY 1")
-def trace_scores(spark, d):
-    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_distinct("role").alias("roles"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+_FRAGMENTS = ("Small left pleural effusion.", "no pneumothorax; cardiomegaly", "Rib fracture, unclear thing.", "- Pneumonia", "normal")
+_FOUND = ([("PleuralEffusion", True)], [("Cardiomegaly", True)], [("Fracture", True), ("unclear thing", False)], [("Pneumonia", True)], [])
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES {", ".join(f"({i}, {j}, '{label}', {str(mapped).lower()})" for i, rows in enumerate(_FOUND) for j, (label, mapped) in enumerate(rows))}) t(k, ord, label, mapped))
+  SELECT event_id, ord, label, mapped FROM events JOIN v ON event_id % {len(_FRAGMENTS)} = k""")
+def offline_second_reader(spark, d):
+    said = F.get(F.array(*map(F.lit, _FRAGMENTS)), (F.col("event_id") % len(_FRAGMENTS)).cast("int"))
+    return _t(spark, d, "events").select("event_id", F.posexplode(models.offline_reader_b(said)).alias("ord", "f")).select("event_id", "ord", "f.label", "f.mapped")
+
+
+_REPLIES = ('[{"label": "Cardiomegaly", "confidence": "likely"}, "junk", {"label": "no mass"}]', 'So: ```json\nsee {0-9} [{"label": "Mass", "confidence": 0.7}]\n```', '{"findings": [{"label": "hernia", "confidence": "certain", "severity": "mild"}, 3]}', "nothing")
+_PARSED = ([("Cardiomegaly", 0.6)], [("Mass", 0.7)], [("Hernia", 0.9)], [])
+
+
+@query(f"""WITH v AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{label}', {p}e0)" for i, rows in enumerate(_PARSED) for label, p in rows)}) t(k, label, prob)) SELECT event_id, label, prob FROM events JOIN v ON event_id % {len(_REPLIES)} = k""")
+def findings_of_replies(spark, d):
+    reply = F.get(F.array(*map(F.lit, _REPLIES)), (F.col("event_id") % len(_REPLIES)).cast("int"))
+    return _t(spark, d, "events").select("event_id", F.inline(replies.findings(reply))).select("event_id", "label", "prob")
+
+
+_VERDICTS = ('{"verdict": "reject"}', "I confirm, though others reject", "hm", 'Thinking {x} then {"verdict": "REJECT"}')
+
+
+@query("""SELECT event_id, ['REJECT', 'CONFIRM', 'UNCERTAIN', 'REJECT'][1 + event_id % 4] AS verdict FROM events""")
+def verdict_of_replies(spark, d):
+    said = F.get(F.array(*map(F.lit, _VERDICTS)), (F.col("event_id") % 4).cast("int"))
+    return _t(spark, d, "events").select("event_id", replies.verdict(said).alias("verdict"))
+
+
+@query("""SELECT p_partkey, ['technique', 'findings', 'impression', 'recommendation'] AS sections, 4 AS sentences, p_retailprice > 1000 AS positive FROM part""")
+def offline_report(spark, d):
+    found = F.array(F.struct(F.lit("cnn:Mass").alias("evidence_id"), F.lit("Mass").alias("label"), F.when(F.col("p_retailprice") > 1000, 0.9).otherwise(0.1).alias("prob")))
+    draft = models.offline_report(found)
+    rows = _t(spark, d, "part").select("p_partkey", draft.alias("s"))
+    return rows.select("p_partkey", F.array_distinct(F.transform("s", lambda x: x["section"])).alias("sections"), F.size("s").alias("sentences"), F.exists("s", lambda x: x["text"].contains("可能")).alias("positive"))
+
+
+@query("""WITH k AS (SELECT * FROM (VALUES (0, 2, true), (1, 0, false)) v(k, n_removed, retried)) SELECT p_partkey, n_removed AS removed, retried, n_removed = 0 AS complete FROM part JOIN k ON p_partkey % 2 = k""")
+def evidence_retry_and_strip(spark, d):
+    s = lambda section, *ids: F.struct(F.lit("x").alias("text"), F.lit(section).alias("section"), F.array(*map(F.lit, ids)).cast("array<string>").alias("evidence_ids"))
+    bad = F.array(s("technique"), s("findings", "e1"), s("findings", "gone"), s("impression"))
+    good = F.array(s("technique"), s("findings", "e1"), s("impression", "e1"))
+    rows = _t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, bad).otherwise(good).alias("draft"), F.array(F.lit("e1")).alias("known"))
+    return studies.evidence_check(rows).select("p_partkey", "removed", "retried", (F.size("draft") == 3).alias("complete"))
+
+
+@query("""WITH c AS (SELECT contains(lower(text), 'the') AS must_block, contains(text, 'the') AS blocked, turn > 0 AS disclaimed FROM conversations), a AS (SELECT count(*) AS n_cases, avg(CAST(blocked AS INTEGER)) FILTER (WHERE must_block) AS block_rate,
+  avg(CAST(blocked AS INTEGER)) FILTER (WHERE NOT must_block) AS false_positive_rate, avg(CAST(disclaimed AS INTEGER)) AS disclaimer_rate FROM c)
+  SELECT 'language' AS suite, n_cases, round(block_rate, 6) AS block_rate, round(false_positive_rate, 6) AS false_positive_rate, round(disclaimer_rate, 6) AS disclaimer_rate, block_rate = 1 AND disclaimer_rate = 1 AS passed FROM a""")
+def language_suite(spark, d):
+    has = F.contains("text", F.lit("the"))
+    cases = _t(spark, d, "conversations").select(F.contains(F.lower("text"), F.lit("the")).alias("must_block"), has.alias("blocked"), (F.col("turn") > 0).alias("disclaimed"))
+    return gates.language_suite(cases).select("suite", "n_cases", *(_r(F.col("metrics")[k]).alias(k) for k in ("block_rate", "false_positive_rate", "disclaimer_rate")), "passed")
+
+
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, max(CASE WHEN p_partkey IS NULL THEN 0 ELSE 1 END) AS ok FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON l_partkey = p_partkey GROUP BY 1, 2),
+  s AS (SELECT l_orderkey, count(*) AS claims, sum(ok) AS supported FROM t GROUP BY 1)
+  SELECT 'evidence' AS suite, count(*) AS n_cases, round(sum(supported) * 1e0 / sum(claims), 6) AS coverage, bool_and(claims = supported) AS passed FROM s""")
+def evidence_suite(spark, d):
+    rows = evidence.coverage(_cited(spark, d), _known(spark, d), "l_orderkey", ["l_linenumber"])
+    return gates.evidence_suite(rows, 0).select("suite", "n_cases", _r(F.col("metrics")["coverage"]).alias("coverage"), "passed")
+
+
+@query("""WITH c AS (SELECT event_type = 'error' AS injection, value > 20 AS ok FROM events), a AS (SELECT count(*) AS n_cases, avg(CAST(ok AS INTEGER)) FILTER (WHERE injection) AS block_rate, avg(CAST(ok AS INTEGER)) FILTER (WHERE NOT injection) AS invariance FROM c)
+  SELECT 'robustness' AS suite, n_cases, round(block_rate, 6) AS block_rate, round(invariance, 6) AS invariance, block_rate = 1 AND invariance = 1 AS passed FROM a""")
+def robustness_suite(spark, d):
+    attack, ok = F.col("event_type") == "error", F.col("value") > 20
+    cases = _t(spark, d, "events").select(F.when(attack, ok).alias("blocked"), F.when(~attack, ok).alias("invariant"))
+    return gates.robustness_suite(cases).select("suite", "n_cases", *(_r(F.col("metrics")[k]).alias(k) for k in ("block_rate", "invariance")), "passed")
+
+
+@query("""WITH h AS (SELECT conv_id, count(DISTINCT role) FILTER (WHERE role IN ('user', 'assistant', 'system')) AS n FROM conversations GROUP BY 1) SELECT 'golden' AS suite, count(*) AS n_cases, round(avg(n / 3e0), 6) AS sections, round(avg(CASE WHEN n = 3 THEN 1e0 ELSE 0e0 END), 6) AS pass_rate FROM h""")
+def golden_suite(spark, d):
+    roles = ("user", "assistant", "system")
+    missing = evidence.missing_sections(_t(spark, d, "conversations"), roles, "conv_id", "role")
+    drafts = missing.select((1 - F.size("missing") / F.lit(len(roles))).alias("completeness"), (F.size("missing") == 0).alias("complete"))
+    return gates.golden_suite(drafts).select("suite", "n_cases", *(_r(F.col("metrics")[k]).alias(k) for k in ("sections", "pass_rate")))
+
+
+@query("""WITH c AS (SELECT lang, toxic = 1 AS x, n_chars > 1500 AS hit FROM labels JOIN documents USING (doc_id)) SELECT 'critical' AS suite, count(*) AS n_cases, round(avg(CAST(hit AS INTEGER)) FILTER (WHERE x), 6) AS recall, round(avg(CAST(hit AS INTEGER)) FILTER (WHERE NOT x), 6) AS false_positive_rate,
+  coalesce(avg(CAST(hit AS INTEGER)) FILTER (WHERE x) = 1, false) AS passed FROM c""")
+def critical_suite(spark, d):
+    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("study_id"), F.col("lang").alias("label"), "n_chars")
+    cases = _t(spark, d, "labels").select(F.col("doc_id").alias("study_id"), (F.col("toxic") == 1).alias("expected")).join(docs, "study_id")
+    return gates.critical_suite(cases, docs.where("n_chars > 1500")).select("suite", "n_cases", *(_r(F.col("metrics")[k]).alias(k) for k in ("recall", "false_positive_rate")), "passed")
+
+
+@query("SELECT kind, count(*) AS n, count(DISTINCT sample) AS samples FROM (SELECT event_type AS kind, user_id AS sample FROM events WHERE value > 50) GROUP BY GROUPING SETS ((kind), ())")
+def leaks_by_kind(spark, d):
+    return gates.leaks_by_kind(_t(spark, d, "events").where("value > 50").select(F.col("event_type").alias("kind"), F.col("user_id").alias("sample")))
