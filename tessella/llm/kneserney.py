@@ -49,6 +49,8 @@ LEAST = 5
 QUANTILE = 0.99
 #: Trusted ids (8 bytes each) up to which they are sent to all tasks.
 BROADCAST_IDS = 1_000_000
+#: Files of a shard.
+FILES = 8
 #: Rows of the model in a shard, about, and batches whose results are in one file, about.
 SHARD_ROWS, BATCHES = 1_500_000, 4
 #: Ways over which the n-grams that ask for one shard are dealt.
@@ -183,7 +185,7 @@ def shard_of(pair: np.ndarray, lang: int, shards: int) -> np.ndarray:
 
 
 def write_shards(rows: DataFrame) -> tuple[str, int]:
-    """Writes the model as files of hash and value, sorted by hash, a folder a shard (-1: what all shards need); gives the path and how many."""
+    """Writes the model as files of hash and value, a folder a shard (-1: what all shards need); gives the path and how many."""
     n = rows.count()
     shards = max(1, math.ceil(n / SHARD_ROWS))
 
@@ -205,7 +207,9 @@ def write_shards(rows: DataFrame) -> tuple[str, int]:
 
     path = fresh(rows.sparkSession, "model")
     hashed = map_arrow(rows.select("lang", F.col("level").cast("int"), "key", "p", "back"), run, "shard int, h long, value double")
-    hashed.repartition(shards + 1, "shard").sortWithinPartitions("shard", "h").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    # a shard is some files of one task each, so neither it nor what all shards need is a single task's work
+    part = F.pmod(F.col("h"), F.lit(FILES)).alias("part")
+    hashed.withColumn("part", part).repartition((shards + 1) * FILES, "shard", "part").drop("part").write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return path, shards
 
 
