@@ -14,7 +14,17 @@ FIRST = ("Mary", "John", "Alice", "Peter", "Nora", "Hugo")
 LAST = ("Curie", "Smith", "Keller", "Owens", "Larsen", "Brandt")
 GIVEN = ("明月", "小明", "建国", "丽华", "志强")
 FAMILY = ("欧阳", "王", "李", "张", "司马")
-SEPARATORS = ("-", "/", ".", " ")
+SEPARATORS = ("-", "/", ".", " ", "－", "／", "．")
+COUNTRY = ("", "+86 ", "+86-", "0086-", "86 ")
+LABELS = ("MRN", "mrn", "No.", "MRN: ", "MRN\u00a0", "Medical Record Number: ", "病案号：", "住院号: ")
+BLANKS = (" ", "\u00a0", "\u3000")
+
+
+def wide(s: str) -> str:
+    """s in full-width letters and digits."""
+    return "".join(chr(ord(c) + 0xFEE0) if c.isascii() and c.isalnum() else c for c in s)
+
+
 TEMPLATES = (
     "Heart size is normal.",
     "Lungs are clear. No pleural effusion.",
@@ -32,14 +42,17 @@ def sample(seed: int) -> tuple:
     r = random.Random(seed)
     pick, digits = r.choice, lambda n: "".join(r.choice("0123456789") for _ in range(n))
     before = TEMPLATES[seed % len(TEMPLATES)]
-    sep = pick(SEPARATORS)
+    sep, blank, form = pick(SEPARATORS), pick(BLANKS), pick((str, str, wide))
     western, chinese = f"{pick(FIRST)} {pick(LAST)}", pick(FAMILY) + pick(GIVEN)
     doctor = f"{pick(FIRST)} {pick(LAST)}"
-    date = f"{r.randint(1990, 2023)}{sep}{r.randint(1, 12):02d}{sep}{r.randint(1, 28):02d}"
-    mrn = pick(("MRN", "mrn", "No.")) + digits(8)
-    phone = f"1{pick('3578')}{digits(1)}{sep}{digits(4)}{sep}{digits(4)}"
+    day = [str(r.randint(1990, 2023)), f"{r.randint(1, 12):02d}", f"{r.randint(1, 28):02d}"]
+    date = form(sep.join(day if r.random() < 0.7 else day[::-1])) if r.random() < 0.8 else f"{day[0]}年{day[1]}月{day[2]}日"
+    number = digits(8)
+    label = pick(LABELS)
+    mrn = form(number)
+    phone = form(f"{pick(COUNTRY)}1{pick('3578')}{digits(1)}{sep}{digits(4)}{sep}{digits(4)}")
     national = digits(17) + pick("0123456789X")
-    text = f"Patient: {western}. 患者：{chinese}，{pick(('', 'ID '))}{mrn} {national}. {before} Comparison {date}. Contact {phone}. Reported by: {doctor}."
+    text = f"Patient:{blank}{western}. 患者：{chinese}，{label}{mrn} {national}. {before} Comparison {date}. Contact {phone}. Reported by:{blank}{doctor}."
     truth = [("name", western, "text"), ("name", chinese, "text"), ("patient_id", mrn, "text"), ("national_id", national, "text"), ("date", date, "text"), ("phone", phone, "text"), ("name", doctor, "text")]
     tags = {"PatientName": f"{pick(LAST)}^{pick(FIRST)}".upper(), "PatientID": digits(8), "PatientBirthDate": f"19{digits(2)}0{r.randint(1, 9)}1{r.randint(0, 9)}", "InstitutionName": f"{pick(LAST)} Hospital", "AccessionNumber": "ACC" + digits(8), "ReferringPhysicianName": f"{pick(FAMILY)}^{pick(GIVEN)}"}
     kinds = {"PatientName": "name", "PatientID": "patient_id", "PatientBirthDate": "birth_date", "InstitutionName": "institution", "AccessionNumber": "accession", "ReferringPhysicianName": "name"}

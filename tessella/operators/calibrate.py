@@ -17,7 +17,7 @@ def _ranked(counts: DataFrame, keys: list[str], score: str, sums: dict[str, str]
     before it, so no task holds all scores of a key.
     """
     span = counts.groupBy(*keys).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    rows = counts.join(F.broadcast(span), keys) if keys else counts.join(F.broadcast(span), F.lit(True))
+    rows = counts.join(span, keys) if keys else counts.join(F.broadcast(span), F.lit(True))
     share = F.coalesce(F.try_divide((F.col(score) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
     rows = rows.withColumn("_part", F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")).drop("_lo", "_hi")
     parts = rows.groupBy(*keys, "_part").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
@@ -28,7 +28,7 @@ def _ranked(counts: DataFrame, keys: list[str], score: str, sums: dict[str, str]
         parts = parts.withColumnRenamed(k, f"_k_{k}")
         on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     within = Window.partitionBy(*keys, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"_within_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).join(F.broadcast(parts), on)  # at most PARTS rows a key
+    rows = rows.withColumns({f"_within_{c}": F.coalesce(F.sum(c).over(within), F.lit(0)) for c in sums}).join(parts, on)  # at most PARTS rows a key
     out = rows.withColumns({name: F.col(f"_within_{c}") + F.col(f"_before_{c}") for c, name in sums.items()})
     return out.select(*keys, score, *(c for c in counts.columns if c not in (*keys, score)), *sums.values())
 
@@ -62,7 +62,7 @@ def rates(scores: DataFrame, thresholds: DataFrame, keys: list[str], score: str
     """specificity, sensitivity and positive_rate_at_half (of negatives), rounded to 4."""
     s, p, t = F.col(score), F.col(positive), F.col("threshold")
     mean = lambda which, hit: F.round(F.avg(F.when(which, hit.cast("double"))), 4)
-    return scores.join(F.broadcast(thresholds), keys).groupBy(*keys, "threshold").agg(mean(~p, s < t).alias("specificity"), mean(p, s >= t).alias("sensitivity"), mean(~p, s >= 0.5).alias("positive_rate_at_half"), F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"))
+    return scores.join(thresholds, keys).groupBy(*keys, "threshold").agg(mean(~p, s < t).alias("specificity"), mean(p, s >= t).alias("sensitivity"), mean(~p, s >= 0.5).alias("positive_rate_at_half"), F.count_if(p).alias("n_pos"), F.count_if(~p).alias("n_neg"))
 
 
 def is_normal(mesh: Column) -> Column:

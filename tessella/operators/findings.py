@@ -58,7 +58,7 @@ def offline_verdict(kind: Column, a_prob: Column, b_prob: Column) -> Column:
 
 def with_thresholds(findings: DataFrame, points: DataFrame, default: float = 0.5, critical: tuple[str, ...] = CRITICAL) -> DataFrame:
     """threshold and calibrated: the operating point of the label, else default; critical labels may only be lowered. points has a row a label."""
-    known = F.broadcast(points.where("threshold is not null").select("label", F.col("threshold").alias("_t")))
+    known = points.where("threshold is not null").select("label", F.col("threshold").alias("_t"))
     t = F.coalesce("_t", F.lit(default))
     t = F.when(F.col("label").isin(*critical), F.least(t, F.lit(default))).otherwise(t)
     return findings.join(known, "label", "left").withColumns({"threshold": t, "calibrated": F.col("_t").isNotNull()}).drop("_t")

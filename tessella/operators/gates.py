@@ -75,7 +75,7 @@ def planted_leaks(samples: DataFrame) -> DataFrame:
     now, _ = text.scrub(F.col("report_text_after"))
     kept, _ = allowed_tags(F.col("dicom_attributes"))
     rows = samples.select(F.col("seed").alias("sample"), now.alias("now"), F.map_values(kept).alias("tags"), F.explode("ground_truth").alias("g"))
-    lost = F.when(F.col("g.location") == "dicom", F.array_contains("tags", F.col("g.value"))).otherwise(F.contains("now", F.col("g.value")))
+    lost = F.when(F.col("g.location") == "dicom", F.array_contains("tags", F.col("g.value"))).otherwise(F.contains("now", F.col("g.value")) | F.contains("now", text.fold_width(F.col("g.value"))))
     return rows.where(lost).select("sample", "g.kind")
 
 

@@ -6,12 +6,15 @@ is marked nondeterministic, so a plan neither repeats nor moves it, and its outp
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import Settings
 from ..functions import text, vocab
@@ -26,21 +29,66 @@ RECOMMENDATION = "建议结合临床病史及既往影像资料进一步随诊
 DISCLAIMER = "本报告由AI生成，须经医师复核后签发。"
 
 
-def calls(client: Replies):
-    """An Arrow UDF of prompt and image path; a failing batch is tried once more, then gives nulls."""
+@dataclass(frozen=True)
+class Clients:
+    """Live clients of the three calls; one that is missing leaves its offline stand-in in place."""
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    reader: Replies | None = None
+    arbiter: Replies | None = None
+    writer: Replies | None = None
+
+
+def observed(client: Replies, note: Callable[[str, int, float, str | None], None], name: str = "model") -> Replies:
+    """The client, which tells note its name, the size of each batch, the seconds it took and the error if it failed."""
+
+    def run(prompts: list[str], paths: list[str]) -> list[str]:
+        began, error = time.perf_counter(), None
+        try:
+            return client(prompts, paths)
+        except Exception as e:
+            error = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            note(name, len(prompts), time.perf_counter() - began, error)
+
+    return run
+
+
+def calls(client: Replies, timeout: float = TIMEOUT_S):
+    """An Arrow UDF of prompt and image path to struct<reply, error>; a batch that fails or takes too long is tried once more, then its error is given."""
+
+    def once(prompts: list[str], paths: list[str]) -> list[str]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            out = list(pool.submit(client, prompts, paths).result(timeout))
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if len(out) != len(prompts):
+            raise ValueError(f"{len(out)} replies to {len(prompts)} prompts")
+        return out
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for prompts, paths in batches:
-            for left in range(RETRIES, -1, -1):
+            said, error = None, None
+            for _ in range(RETRIES + 1):
                 try:
-                    yield pd.Series(client(prompts.tolist(), paths.tolist()))
+                    said = once(prompts.tolist(), paths.tolist())
                     break
-                except Exception:
-                    if not left:
-                        yield pd.Series([None] * len(prompts))
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+            n = len(prompts)
+            yield pd.DataFrame({"reply": pd.Series(said if said is not None else [None] * n, dtype=object), "error": pd.Series([None if said is not None else error] * n, dtype=object)})
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    return F.pandas_udf(run, StructType([StructField("reply", StringType()), StructField("error", StringType())])).asNondeterministic()
+
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, StringType()).asNondeterministic()
+def answered(rows: DataFrame, client: Replies, prompt: Column, image: Column) -> DataFrame:
+    """rows with said (reply and error). It is kept before it is used, so no plan asks twice: in the folder of spark.checkpoint.dir, or in memory where that is unset."""
+    out = rows.withColumn("said", calls(client)(prompt, image))
+    if rows.sparkSession.conf.get("spark.checkpoint.dir", None) or rows.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return out.checkpoint()
+    return out.persist()
 
 
 def checked_client(settings: Settings, key: str = "", model: str = "") -> None:

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import text, vocab
-from ..operators import agreement, evidence, findings, search
+from ..functions import replies, text, vocab
+from ..operators import agreement, evidence, findings, retrieval, search
 from . import models
 
 SENT = "array<struct<text: string, section: string, evidence_ids: array<string>>>"
@@ -45,6 +45,54 @@ def second_reader(studies: DataFrame) -> DataFrame:
     return rows.select("study_id", F.lit("b").alias("reader"), F.col("ord").cast("long").alias("ord"), "f.label", "f.prob", F.lit("vlm").alias("source"), "f.raw_label", F.lit("").alias("image_ref"), "f.mapped")
 
 
+def live_reader(studies: DataFrame, client: models.Replies) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, descriptions and notes of a live second reader. Its prompt holds the indication and the history, never what the first reader found."""
+    said = models.answered(studies.select("study_id", "indication", "history", "image_path"), client, models.reader_b_prompt(F.col("indication"), F.col("history")), F.col("image_path"))
+    found = said.select("study_id", F.posexplode(replies.findings(F.col("said.reply"))).alias("ord", "f"))
+    found = found.select("study_id", F.lit("b").alias("reader"), F.col("ord").cast("long").alias("ord"), F.coalesce("f.label", "f.raw_label").alias("label"), "f.prob", F.lit("vlm").alias("source"), "f.raw_label", F.lit("").alias("image_ref"), F.col("f.label").isNotNull().alias("mapped"))
+    told = said.select("study_id", F.posexplode(replies.descriptions(F.col("said.reply"))).alias("ord", "f"))
+    told = told.select("study_id", F.col("ord").cast("long").alias("ord"), text.canonical_relaxed(F.col("f.raw_label"), ascii_only=True).alias("label"), "f.text").where("label is not null")
+    note = F.when(F.col("said.error").isNotNull(), F.concat(F.lit("second reader failed: "), F.col("said.error"))).when(replies.items(F.col("said.reply")).isNull(), F.lit("the second reader's reply did not parse"))
+    return found, told, said.select("study_id", note.alias("reader_note")).where("reader_note is not null")
+
+
+def passages(labels: DataFrame, guidelines: DataFrame, k: int = 3) -> DataFrame:
+    """label and the texts of the k guidelines (ord, text) nearest to it, by hashed words."""
+
+    def dense(rows: DataFrame, key: str) -> DataFrame:
+        sparse = retrieval.hashed_words(rows, key, "text").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
+        return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(retrieval.DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
+
+    asked = dense(labels.select("label", F.regexp_replace("label", "(?<=[a-z])(?=[A-Z])", " ").alias("text")), "label").select(F.col("label").alias("query_id"), F.col("v").alias("q"))
+    docs = dense(guidelines.select("ord", "text"), "ord").select(F.col("ord").alias("doc_id"), F.col("v").alias("d"), "ord")
+    best = retrieval.top_k(asked, docs, k).join(guidelines.select(F.col("ord").alias("doc_id"), "text"), "doc_id")
+    return best.groupBy(F.col("query_id").alias("label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("passages"))
+
+
+def live_arbiter(judged: DataFrame, client: models.Replies, guidelines: DataFrame | None, films: DataFrame) -> DataFrame:
+    """judged with the verdict of a live judge for what is funded; a call that fails is uncertain."""
+    asked = judged.where("funded")
+    none = F.array().cast("array<string>")
+    asked = asked.withColumn("passages", none) if guidelines is None else asked.join(passages(asked.select("label").distinct(), guidelines), "label", "left").withColumn("passages", F.coalesce("passages", none))
+    asked = asked.join(films.select("study_id", "image_path"), "study_id")
+    said = models.answered(asked.select("study_id", "position", "image_path", models.arbiter_prompt(asked).alias("prompt")), client, F.col("prompt"), F.col("image_path"))
+    verdict = F.when(F.col("said.error").isNotNull(), "UNCERTAIN").otherwise(replies.verdict(F.col("said.reply")))
+    return judged.join(said.select("study_id", "position", verdict.alias("verdict")), ["study_id", "position"], "left")
+
+
+def live_draft(out: DataFrame, client: models.Replies) -> DataFrame:
+    """out with the draft of a live writer where it has every section; else the offline draft stays, with a note."""
+    through = out.where(~F.col("blocked") & F.col("qc_ok"))
+    said = models.answered(through.select("study_id", "image_path", models.report_prompt(F.col("findings")).alias("prompt")), client, F.col("prompt"), F.col("image_path"))
+    wrote = replies.draft_sentences(F.col("said.reply"))
+    said = said.select("study_id", wrote.alias("wrote"), F.col("said.error").alias("error"), F.lit(True).alias("asked"))
+    complete = F.col("wrote").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, vocab.SECTIONS)), F.transform("wrote", lambda s: s["section"]))) == 0)
+    why = F.when(F.col("error").isNotNull(), F.concat(F.lit("report writer failed: "), F.col("error"))).otherwise(F.lit("the written report lacked a section"))
+    both = out.join(said, "study_id", "left").withColumn("ok", F.coalesce(complete, F.lit(False)))
+    note = F.coalesce("asked", F.lit(False)) & ~F.col("ok")
+    return both.withColumns({"notes": F.when(note, F.array_append("notes", why)).otherwise(F.col("notes")), "draft": F.when(F.col("ok"), F.col("wrote")).otherwise(F.col("draft"))}).drop("wrote", "error", "ok", "asked")
+
+
 def evidence_check(drafts: DataFrame, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
     """Drafts (draft, known) with a bounded retry: a draft with a violation is written once more, what still violates is stripped."""
     bad = lambda d: F.size(d) != F.size(evidence.checked(d, F.col("known")))
@@ -69,32 +117,54 @@ def status(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("status", F.when(F.col("blocked"), "GUARDRAIL_BLOCKED").when(~F.col("qc_ok"), "NEEDS_REPEAT").when(F.size("alerts") > 0, "CRITICAL_ESCALATED").when(F.col("held"), "HELD").when(gate, "DRAFT_READY").otherwise("HELD"))
 
 
-def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), verdicts: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """One row a study: status, alerts, kappa, disagreements, draft, disclaimer, removed, notes, budget_spent."""
+def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), verdicts: Callable[[DataFrame], Column] | None = None, clients: models.Clients = models.Clients(), guidelines: DataFrame | None = None) -> DataFrame:
+    """One row a study: status, alerts, kappa, disagreements, draft, disclaimer, removed, notes, budget_spent.
+
+    clients: live models in place of the offline stand-ins; guidelines (ord, text): what the live judge may look up.
+    """
     seen = controlled(scrubbed(intake(studies)), settings)
     through = seen.where(~F.col("blocked") & F.col("qc_ok"))  # readers only see what passes
     a = first.join(through.select("study_id"), "study_id", "left_semi").select("study_id", F.lit("a").alias("reader"), "ord", "label", "prob", F.lit("cnn").alias("source"), F.col("label").alias("raw_label"), "image_ref", text.canonical(F.col("label"), ascii_only=True).isNotNull().alias("mapped"))
-    both = a.unionByName(second_reader(through))
+    b, told, noted = second_reader(through), None, None
+    if clients.reader is not None:
+        b, told, noted = live_reader(through, clients.reader)
+    both = a.unionByName(b)
     alerts = findings.triage(both.withColumn("ord", F.col("ord") + F.when(F.col("reader") == "b", F.lit(1_000_000)).otherwise(0)), settings.critical_threshold)
     alerts = alerts.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("label", "prob", "source", "image_ref"))).alias("alerts"))
     describing = settings.reader_b_mode == "describer"
     m = agreement.merge(both.where("mapped") if not describing else both.where("mapped and reader = 'a'"), settings.report_threshold, settings.magnitude_gap)
     k = agreement.kappa(m, settings.report_threshold, F.col("in_vocabulary"))
+    if describing:  # the first reader is compared with itself
+        k = k.withColumn("kappa", F.lit(1.0))
+    else:  # a second reader that named only strange labels agreed on nothing
+        k = agreement.measurable_kappa(k, both.where("reader = 'b'"))
     strange = both.where("NOT mapped" if not describing else "false").select("study_id", "label", F.when(F.col("reader") == "a", F.col("prob")).alias("a_prob"), F.when(F.col("reader") == "b", F.col("prob")).alias("b_prob"), F.lit("unique").alias("kind"), F.lit(False).alias("in_vocabulary"), F.lit(1).alias("late"))
     disputes = m.where("kind <> 'agree'" if not describing else "false").select("study_id", "label", "a_prob", "b_prob", "kind", "in_vocabulary", F.lit(0).alias("late")).unionByName(strange).withColumn("ord", F.struct("late", "label"))
     judged = findings.budget(disputes, settings.max_judgments)
-    verdict = findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")) if verdicts is None else verdicts(judged)
-    judged = judged.withColumn("verdict", F.when(F.col("funded"), verdict).otherwise("UNARBITRATED"))
+    if clients.arbiter is not None:
+        judged = live_arbiter(judged, clients.arbiter, guidelines, through)
+    else:
+        judged = judged.withColumn("verdict", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")) if verdicts is None else verdicts(judged))
+    judged = judged.withColumn("verdict", F.when(F.col("funded"), F.col("verdict")).otherwise("UNARBITRATED"))
     settled = judged.where("verdict <> 'REJECT'").select("study_id", "label", F.coalesce(F.greatest("a_prob", "b_prob"), F.lit(0.5)).alias("prob"), F.lit("arbiter").alias("source"), (F.col("verdict") != "CONFIRM").alias("needs_human"))
     agreed = m.where("kind = 'agree'" if not describing else "true").select("study_id", "label", F.coalesce("prob", "a_prob").alias("prob"), F.when(F.coalesce("source", F.lit("a")) == "a", "cnn").otherwise("vlm").alias("source"), F.lit(False).alias("needs_human"))
     final = agreed.unionByName(settled).withColumn("ord", F.col("label"))
     final = findings.dedup_and_cap(final, settings.max_findings, F.col("label")).withColumn("evidence_id", findings.evidence_id(F.col("source"), F.col("label"), F.lit("")))
-    per = final.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("rank", "evidence_id", "label", "prob", "source", "needs_human"))).alias("findings"), F.bool_or("needs_human").alias("held"))
+    final = final.withColumn("notes", F.array().cast("array<string>"))
+    if describing:  # what the second reader says about a finding stands beside it
+        if told is None:
+            told = b.where("mapped").select("study_id", "label", F.col("raw_label").alias("text"), "ord")
+        final = agreement.describe(final, told)
+    per = final.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("rank", "evidence_id", "label", "prob", "source", "needs_human", "notes"))).alias("findings"), F.bool_or("needs_human").alias("held"))
     argued = judged.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("position", "label", "kind", "verdict", "in_vocabulary"))).alias("disagreements"), F.count_if("funded").alias("budget_spent"))
     out = seen.join(alerts, "study_id", "left").join(k.select("study_id", "kappa"), "study_id", "left").join(argued, "study_id", "left").join(per, "study_id", "left")
-    empty = F.array().cast("array<struct<rank: int, evidence_id: string, label: string, prob: double, source: string, needs_human: boolean>>")
+    empty = F.array().cast("array<struct<rank: int, evidence_id: string, label: string, prob: double, source: string, needs_human: boolean, notes: array<string>>>")
     out = out.withColumns({"findings": F.coalesce("findings", empty), "held": F.coalesce("held", F.lit(False)), "budget_spent": F.coalesce("budget_spent", F.lit(0)), "alerts": F.coalesce("alerts", F.array().cast("array<struct<label: string, prob: double, source: string, image_ref: string>>"))})
     out = out.withColumn("known", F.transform("findings", lambda f: f["evidence_id"])).withColumn("draft", models.offline_report(F.col("findings"))).withColumn("disclaimer", F.lit(models.DISCLAIMER))
+    if noted is not None:
+        out = out.join(noted, "study_id", "left").withColumn("notes", F.when(F.col("reader_note").isNotNull(), F.array_append("notes", F.col("reader_note"))).otherwise(F.col("notes"))).drop("reader_note")
+    if clients.writer is not None:
+        out = live_draft(out, clients.writer)
     return status(language_guard(evidence_check(out)))
 
 
