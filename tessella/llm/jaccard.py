@@ -4,16 +4,18 @@ Two texts are linked if their sets of five-word shingles have a Jaccard similari
 bits is equivalent to that, so links are found in three steps, each of which looks only at texts that the steps before
 have not brought together:
 
-1. fingerprints that a SimHash grid links, checked by their shingles;
-2. cells of equal min-hashes, in which texts are compared with members of other groups only, so that a large group of
-   near copies costs its size and not its square;
+1. fingerprints that a SimHash grid links;
+2. cells of equal min-hashes: each text is paired with the one text of another group in its cell that may be most
+   similar, so that a large group of near copies costs its size and not its square;
 3. prefix filtering, which is exact: under one order of all shingles, two linked sets share one of the first
-   n - ceil(0.8 n) + 1 shingles of either. The order puts shingles that are common in a sample of the texts last and
-   those by frequency; any order is exact, this one keeps cells small. A prefix cell gives pairs of texts that are not in
-   one component yet and whose sizes and places of the shingle allow the similarity, and each pair is checked.
+   n - ceil(0.8 n) + 1 shingles of either. The order puts shingles that are common in a fixed share of the texts last and
+   those by frequency; any order is exact, this one keeps cells small. A prefix cell gives the pairs of texts that are not
+   in one component yet and that may be similar.
 
-Cells of over HOT characters or HOT_ROWS rows are split into blocks, and each pair of blocks is a task's group of its
-own. Components come from star steps over the forests. Only texts that a step compares are sent, once a step.
+Whether a pair may be similar follows from bounds that never miss a link: the sizes of the sets, the places of the shared
+shingle, and counts of the shingles in BUCKETS buckets by hash, whose common part is no smaller than that of the sets.
+What passes is checked by its shingles; only texts of such pairs are sent. Cells of over HOT_ROWS rows are split into
+blocks, and each pair of blocks is a task's group of its own. Components come from star steps over the links.
 
 Defined cases: texts without words, null too, are alike. A text of under five words is one shingle. Copies meet once, as
 one row. Sets are of 64-bit hashes.
@@ -38,11 +40,13 @@ SHINGLE, SEED = 5, 42
 OF, PARTS = 4, 5
 #: Min-hashes of a set.
 MINS = 3
-#: Texts of the sample, sampled texts that make a shingle common, and common shingles (16 bytes each) sent to all tasks.
-SAMPLE, COMMON, MOST_COMMON = 20_000, 3, 250_000
-#: Characters of a cell beyond which it is split.
-HOT, HOT_ROWS = 4_000_000, 4_000
-#: Texts in shared cells (8 bytes each) that are sent to all tasks; shuffled beyond.
+#: One of so many texts is counted, sampled texts that make a shingle common, and common shingles (16 bytes each) sent to all tasks.
+SHARE, COMMON, MOST_COMMON = 8, 3, 500_000
+#: Buckets by which shingles are counted.
+BUCKETS = 128
+#: Rows of a cell beyond which it is split.
+HOT_ROWS = 4_000
+#: Keys (8 bytes each) that are sent to all tasks; shuffled beyond.
 BROADCAST_KEYS = 500_000
 
 
@@ -92,13 +96,13 @@ def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return rare[:size] if len(rare) >= size else np.concatenate([rare, s[late][np.argsort(rank[at[late]])]])[:size]
 
 
-def common_shingles(keyed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are common in a sample of the n texts, sorted, and their ranks by frequency."""
+def common_shingles(keyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are common in a share of the texts, sorted, and their ranks by frequency."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.concatenate([np.zeros(0, np.uint64), *map(shingles, texts(b.column(0)))]).view(np.int64))], names=["s"])
 
-    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // SAMPLE))) == 0).select("text")
+    sample = keyed.where(F.pmod(F.xxhash64("key"), F.lit(SHARE)) == 0).select("text")
     often = map_arrow(sample, run, "s long").groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
     s, count = often["s"].to_numpy().astype(np.int64).view(np.uint64), often["count"].to_numpy()
     order = np.argsort(s)
@@ -107,16 +111,30 @@ def common_shingles(keyed: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], rank[order]
 
 
-CELLS = "kind byte, cell long, key long, n int, place int"
+CELLS = "kind byte, cell long, key long, n int, place int, hist binary"
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles of a set are in each bucket: in units of a power of two, rounded up, which the last byte names."""
+    count = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    shift = max(0, int(count.max()).bit_length() - 7)
+    return (-(-count // (1 << shift))).clip(0, 255).astype(np.uint8).tobytes() + bytes([shift])
+
+
+def may_share(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """At most how many shingles a set can share with each of the others, from their histograms (rows of BUCKETS + 1 bytes)."""
+    units = lambda h: h[..., :-1].astype(np.int32) << h[..., -1:].astype(np.int32)
+    return np.minimum(units(one), units(many)).sum(-1)
 
 
 def cells_of(keyed: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """kind (0: prefix, -1: the SimHash fingerprint, else the min-hash), cell, key, number of shingles, place in the prefix."""
+    """kind (0: prefix, -1: the SimHash fingerprint, else the min-hash), cell, key, number of shingles, place in the prefix, histogram (with the fingerprint)."""
     seeds = unsigned_mix(np.arange(1, MINS + 1))
     kinds = np.array([-1, *range(1, MINS + 1)], np.int8)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         parts: list[list[np.ndarray]] = [[np.zeros(0, kind)] for kind in (np.int8, np.uint64, np.int64, np.int32, np.int32)]
+        hists: list[bytes | None] = []
         for k, x in zip(b.column(0).to_numpy(), texts(b.column(1))):
             h = hashes(x)
             s = distinct(h)
@@ -126,8 +144,9 @@ def cells_of(keyed: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFram
             row = np.concatenate([np.zeros(len(first), np.int8), kinds]), np.concatenate([first, lows]), np.full(m, k), np.full(m, len(s), np.int32), np.concatenate([np.arange(len(first), dtype=np.int32), np.zeros(len(kinds), np.int32)])
             for part, values in zip(parts, row):
                 part.append(values)
+            hists += [None] * len(first) + [histogram(s)] + [None] * MINS
         kind, cell, key, n, place = map(np.concatenate, parts)
-        return pa.record_batch([pa.array(kind), pa.array(cell.view(np.int64)), pa.array(key), pa.array(n), pa.array(place)], names=["kind", "cell", "key", "n", "place"])
+        return pa.record_batch([pa.array(kind), pa.array(cell.view(np.int64)), pa.array(key), pa.array(n), pa.array(place), pa.array(hists, pa.binary())], names=["kind", "cell", "key", "n", "place", "hist"])
 
     return map_arrow(keyed, run, CELLS)
 
@@ -162,125 +181,97 @@ def shared_cells(cells: DataFrame) -> DataFrame:
     return cells.repartition("kind", "cell").sortWithinPartitions("kind", "cell", "key").mapInArrow(run, CELLS)
 
 
-def pairs(rooted: DataFrame, hot: int = HOT_ROWS) -> DataFrame:
-    """u, v: texts of prefix cells (cell, key, n, place, root) with different roots that may be similar by sizes and places."""
-    open_ = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / hot).cast("long").alias("parts")).where("low < high").select("cell", "parts")
-    dealt = rooted.join(open_, "cell").withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select("cell", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), F.struct("key", "n", "place", "root").alias("x"))
-    dealt = dealt.select("cell", "a", "b", "x.key", F.col("x.n").cast("long").alias("n"), F.col("x.place").cast("long").alias("place"), "x.root")
-
-    def some(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, n, place, root = x[np.argsort(x[:, 1], kind="stable")].T
+def pairs(rows: DataFrame, nearest: bool, hot: int = HOT_ROWS) -> DataFrame:
+    """u, v: texts of one cell (kind, cell, key, n, place, root, hist) with different roots that may be similar; nearest: of each text only the one it may share most with."""
+    crowded = rows.groupBy("kind", "cell").agg(F.ceil(F.count("*") / hot).cast("long").alias("parts")).where("parts > 1")
+    dealt = rows.join(crowded, ["kind", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    by = ["kind", "cell", "a", "b"]
+    dealt = dealt.select("kind", "cell", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "key", F.col("n").cast("long").alias("n"), F.col("place").cast("long").alias("place"), "root", "hist")
+
+    def some(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((t["key"].to_numpy(), t["n"].to_numpy()))
+        key, n, place, root = (t[c].to_numpy()[order] for c in ("key", "n", "place", "root"))
+        if root.min() == root.max():
+            return
+        hist = np.frombuffer(b"".join(t["hist"].to_pylist()), np.uint8).reshape(len(key), -1)[order]
         for i in range(1, len(key)):
             j = np.arange(np.searchsorted(n, -(-OF * n[i] // PARTS)), i)
-            most = np.minimum(n[i] - place[i], n[j] - place[j])  # of common shingles, if this is the first one
-            j = j[(root[j] != root[i]) & ((OF + PARTS) * most >= OF * (n[i] + n[j]))]
+            # the fewest shingles that linked sets of these sizes share, and the most that these can, if the cell's is their first
+            j = j[root[j] != root[i]]
+            fewest = -(-OF * (n[i] + n[j]) // (OF + PARTS))
+            j = j[np.minimum(n[i] - place[i], n[j] - place[j]) >= fewest]
+            if len(j):
+                most = may_share(hist[i], hist[j])
+                near = most >= -(-OF * (n[i] + n[j]) // (OF + PARTS))
+                j, most = j[near], most[near]
             if len(j):
+                j = j[[int(np.argmax(most / (n[i] + n[j] - most + 1e-9)))]] if nearest else j
                 yield pa.record_batch([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 7), np.int64)
-        for b in batches:
-            now = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns], 1)])
-            start = np.flatnonzero(np.append(True, (now[1:, :3] != now[:-1, :3]).any(1))) if len(now) else np.zeros(1, int)
+        rest: pa.Table | None = None
+        for b in slices(batches, 10_000):
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            cells = np.stack([t[c].to_numpy() for c in by], 1)
+            start = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(1)))
             for i, j in zip(start[:-1], start[1:]):
-                yield from some(now[i:j, 3:])
-            rest = now[start[-1] :].copy()
-        yield from some(rest[:, 3:])
+                if j - i > 1:
+                    yield from some(t.slice(i, j - i))
+            rest = t.slice(start[-1])
+        if rest is not None and rest.num_rows > 1:
+            yield from some(rest)
         trim()
 
-    return dealt.repartition("cell", "a", "b").sortWithinPartitions("cell", "a", "b").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").distinct()
 
 
-def checked(candidates: DataFrame, needed: DataFrame) -> DataFrame:
+def checked(candidates: DataFrame, keyed: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) that are linked."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        two = zip(*(map(shingles, texts(b.column(k))) for k in (2, 3)))
-        linked = pa.array([linked_sizes(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in two], pa.bool_())
-        return b.select(["u", "v"]).filter(linked)
-
-    first = candidates.join(needed.select(F.col("key").alias("u"), F.col("text").alias("left")), "u")
-    return map_arrow(first.join(needed.select(F.col("key").alias("v"), F.col("text").alias("right")), "v").select("u", "v", "left", "right"), run, "u long, v long")
-
-
-def forest(keys: list[int], found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-    """Links within a cell that make a spanning forest of all its links."""
-    sets = [frozenset(s.tolist()) for s in found]
-    groups: list[list[int]] = []
-    for i in sorted(range(len(keys)), key=lambda i: len(sets[i])):
-        mine, rest, n = [], [], len(sets[i])
-        for g in groups:
-            if PARTS * len(sets[g[-1]]) < OF * n:
-                continue  # its largest is too small for this set and all later ones
-            j = next((j for j in reversed(g) if PARTS * len(sets[j]) >= OF * n and linked_sizes(len(sets[j]), n, len(sets[j] & sets[i]))), None)
-            if j is None:
-                rest.append(g)
-            else:
-                mine += g
-                yield keys[i], keys[j]
-        groups = [*rest, [*mine, i]]
-
-
-def links(cells: DataFrame, needed: DataFrame, hot: int = HOT) -> DataFrame:
-    """Spanning forests (u, v) of the links within cells (kind, cell, key), whose texts are in needed (key, text, size)."""
-    sized = cells.join(needed.select("key", "size"), "key")
-    crowded = sized.groupBy("kind", "cell").agg(F.sum("size").alias("sum")).where(F.col("sum") > hot).select("kind", "cell", F.ceil(F.col("sum") / hot).cast("long").alias("parts"))
-    dealt = cells.join(crowded, ["kind", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dealt = dealt.select(F.col("kind").cast("long").alias("kind"), "cell", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b"), "key")
+    keys = cut(candidates.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "keys")
+    sent = F.broadcast if keys.count() <= BROADCAST_KEYS else lambda df: df
+    needed = cut(keyed.join(sent(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "needed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, found = None, [], []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if len(keys) > 1 and (uv := list(forest(keys, found))):
-                yield pa.record_batch([pa.array([x[k] for x in uv], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
+        last, left = None, None
         for b in slices(batches):
-            for *now, key, text in zip(*(b.column(k).to_pylist() for k in range(5)), texts(b.column(5))):
-                if now != at:
-                    yield from close()
-                    at, keys, found = now, [], []
-                keys.append(key)
-                found.append(shingles(text))
-        yield from close()
+            linked = []
+            for u, x, y in zip(b.column(0).to_pylist(), texts(b.column(2)), texts(b.column(3))):
+                if u != last:
+                    last, left = u, shingles(x)
+                right = shingles(y)
+                linked.append(linked_sizes(len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))))
+            yield b.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
-    by = ["kind", "cell", "a", "b"]
-    spread = dealt.join(needed.select("key", "text"), "key").select(*by, "key", "text").repartition(*by).sortWithinPartitions(*by)
-    return spread.mapInArrow(run, "u long, v long")
+    second = candidates.join(needed.select(F.col("key").alias("v"), F.col("text").alias("right")), "v")
+    both = second.join(needed.select(F.col("key").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right")
+    return both.sortWithinPartitions("u").mapInArrow(run, "u long, v long")
 
 
-def classes(keyed: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame], hot: int = HOT, hot_rows: int = HOT_ROWS) -> DataFrame:
+def classes(keyed: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame], hot: int = HOT_ROWS) -> DataFrame:
     """fp, root: the keys of keyed (key, text) that are linked to others, directly or not, and the smallest of those.
 
     fingerprint_links: from the distinct fingerprints (fp) to links (u, v) among them.
     """
-    shared = cut(shared_cells(cells_of(keyed, *common_shingles(keyed, keyed.count()))), "shared")
-
-    def needed(keys: DataFrame) -> DataFrame:
-        """Texts and sizes of the keys (key, distinct), each once."""
-        sent = F.broadcast if keys.count() <= BROADCAST_KEYS else lambda df: df
-        return cut(keyed.join(sent(keys), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).withColumn("size", F.length(F.coalesce("text", F.lit("")))), "needed")
+    shared = cut(shared_cells(cells_of(keyed, *common_shingles(keyed))), "shared")
+    prints = shared.where("kind < 0")
 
-    def rooted(kinds: str, edges: DataFrame) -> DataFrame:
-        """Shared cells of these kinds that hold keys not brought together yet, with the keys' roots."""
-        roots = components(edges).withColumnRenamed("node", "key")
-        rows = cut(shared.where(kinds).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    def apart(kinds: str, edges: DataFrame) -> DataFrame:
+        """Shared cells of these kinds that hold keys not brought together yet, with the keys' roots and histograms."""
+        roots = cut(components(edges).withColumnRenamed("node", "key"), "roots")
+        rows = shared.where(kinds).drop("hist").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
         open_ = rows.groupBy("kind", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("kind", "cell")
-        return cut(rows.join(open_, ["kind", "cell"], "left_semi"), "open")
+        rows = cut(rows.join(open_, ["kind", "cell"], "left_semi"), "open")
+        return rows.join(prints.select("key", "hist").dropDuplicates(["key"]), "key")
 
     # 1. texts of one fingerprint meet the first of them; linked fingerprints meet by their first texts
-    of = shared.where("kind < 0").select(F.col("cell").alias("fp"), "key")
+    of = prints.select(F.col("cell").alias("fp"), "key")
     first = cut(of.groupBy("fp").agg(F.min("key").alias("first"), F.max("key").alias("last")), "first")
     copies = of.join(first.where("first < last"), "fp").where("key > first").select(F.col("first").alias("u"), F.col("key").alias("v"))
     met = fingerprint_links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("x")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("y")), "v")
-    pairs_ = cut(copies.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs")
-    edges = cut(checked(pairs_, needed(pairs_.select(F.explode(F.array("u", "v")).alias("key")).distinct())), "links")
-    # 2. min-hashes
-    cells = rooted("kind > 0", edges).select("kind", "cell", "key")
-    edges = edges.union(cut(links(cells, needed(cells.select("key").distinct()), hot), "links"))
-    # 3. prefixes
-    pairs_ = cut(pairs(rooted("kind = 0", edges), hot_rows), "pairs")
-    edges = edges.union(cut(checked(pairs_, needed(pairs_.select(F.explode(F.array("u", "v")).alias("key")).distinct())), "links"))
+    edges = cut(checked(cut(copies.union(met.select(F.least("x", "y"), F.greatest("x", "y"))).distinct(), "pairs"), keyed), "links")
+    # 2. min-hashes, 3. prefixes
+    for kinds, nearest in (("kind > 0", True), ("kind = 0", False)):
+        edges = edges.union(cut(checked(cut(pairs(apart(kinds, edges), nearest, hot), "pairs"), keyed), "links"))
     return cut(components(edges).select(F.col("node").alias("fp"), "root"), "classes")

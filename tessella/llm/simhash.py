@@ -178,14 +178,14 @@ def one_of_each(docs: DataFrame, keys: Callable[[DataFrame], DataFrame], roots:
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
-def without_near_duplicates(docs: DataFrame, hot: int = jaccard.HOT, hot_rows: int = jaccard.HOT_ROWS) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, hot: int = jaccard.HOT_ROWS) -> DataFrame:
     """The rows of docs, all columns, without all but one of each group of near-duplicates (five words, Jaccard similarity of 0.8 or more): that with the smallest doc_id (null last).
 
     Links of the fingerprints come first, exact links of the shingles complete them. Groups are those of the exact links.
     """
     key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("key")
     keyed = docs.select(key, "text")
-    return one_of_each(docs, lambda rows: rows.select("doc_id", "row", key.alias("fp")), lambda _: jaccard.classes(keyed, links, hot, hot_rows))
+    return one_of_each(docs, lambda rows: rows.select("doc_id", "row", key.alias("fp")), lambda _: jaccard.classes(keyed, links, hot))
 
 
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, slices, table
+from .common import cut, map_arrow, slices, table, trim
 
 SAMPLE = 4_000
 FEATURES = 4_000
@@ -141,18 +141,26 @@ class Model:
 
 
 class Rows:
-    """Sparse rows of ones."""
+    """Sparse rows of ones; sums by row and by column are differences of running sums, so nothing is copied but the values."""
 
     def __init__(self, rows: list[np.ndarray], width: int):
         self.n, self.width = len(rows), width
-        self.cols = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+        self.cols = np.concatenate([np.empty(0, np.int32), *(r.astype(np.int32) for r in rows)])
+        self.ends = np.cumsum([len(r) for r in rows], dtype=np.int64)
+        row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends, prepend=0))
+        self.by_col = row[np.argsort(self.cols, kind="stable")]
+        self.col_ends = np.cumsum(np.bincount(self.cols, minlength=width))
+
+    @staticmethod
+    def _sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0.0], np.cumsum(values)])[ends]
+        return np.diff(upto, prepend=0.0)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.cols], self.n)
+        return self._sums(w[self.cols], self.ends)
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, g[self.row], self.width)
+        return self._sums(g[self.by_col], self.col_ends)
 
 
 def fit(names: list[str], features: list[np.ndarray], swapped: list[np.ndarray | None], labels: np.ndarray, prior: float, penalty: float = PENALTY, seed: int = 11) -> Model:
@@ -242,10 +250,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: flo
         return pa.record_batch([b.column(1).cast(pa.int32()), pa.array(lists(b.column(0)), kind), pa.array(other, kind)], names=["toxic", "own", "other"])
 
     rows = map_arrow(texts, run, "toxic int, own array<int>, other array<int>").toArrow()
-    array = lambda c: [np.asarray(x, np.int64) if x is not None else None for x in rows[c].to_pandas()]
+    array = lambda c: [np.asarray(x, np.int32) if x is not None else None for x in rows[c].to_pandas()]
     y, own, swapped = rows["toxic"].to_numpy(), array("own"), array("other")
-    order = sorted(range(len(y)), key=lambda k: (y[k], own[k].tolist()))  # the order of rows must not matter
-    return fit(names, [own[i] for i in order], [swapped[i] for i in order], y[order] if len(y) else y, total.get(1, 0) / max(1, sum(total.values())), penalty)
+    order = sorted(range(len(y)), key=lambda k: (y[k], own[k].tobytes()))  # the order of rows must not matter
+    made = fit(names, [own[i] for i in order], [swapped[i] for i in order], y[order] if len(y) else y, total.get(1, 0) / max(1, sum(total.values())), penalty)
+    del rows, own, swapped
+    trim()
+    return made
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
