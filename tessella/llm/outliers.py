@@ -6,18 +6,25 @@ windows, length), each group gets a robust centre and scatter, and vectors beyon
 
 The scatter is found by concentration steps over all rows of a group, from two deterministic starts (median and MAD;
 plain mean and covariance): keep the half nearest to the current centre, re-estimate, repeat. The determinant of the
-half never grows; the start with the smaller one wins. A step is two partial aggregates (a quantile sketch of the
-distances, then sums), so a group of any size is never collected, and its parameters are one row that is joined back.
+half never grows; the start with the smaller one wins. A reweighting step then re-estimates from all rows within the
+0.975 chi-square quantile. A step is two partial aggregates (a quantile sketch of the distances, then sums), so a group
+of any size is never collected, and its parameters are one row that is joined back.
+
+The distance beyond which a vector is rejected comes from the distances of the group itself: SPREAD robust standard
+deviations (from quartiles) of their logarithm above its median. For normal vectors that is about 65, far beyond the
+0.999 chi-square quantile (20.5); where a group's distances have heavier tails, it lies further out. It never
+lies nearer than the 0.999 quantile.
 
 Defined cases: null or empty text has no words and fails the base rules. Null language or source is a group of its own.
 Groups under MIN_GROUP rows have no estimate of their own: their rows are judged by that of their language over all
-sources, then, where the language has too few as well, by that of all rows. Only inputs under MIN_GROUP rows reject
-nothing beyond the base rules. Repeated rows are judged one by
-one and alike. Extra columns of the input are ignored. Empty tables give an empty result.
+sources, then, where the language has too few as well, by that of all rows, however few those are. Repeated rows are
+judged one by one and alike. Extra columns of the input are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -33,9 +40,12 @@ MIN_GROUP = 60
 STEPS = 3
 #: Groups (about 300 bytes each) whose parameters are sent to all tasks.
 BROADCAST_GROUPS = 50_000
-#: Squared Mahalanobis distance beyond which a vector is rejected. The vectors have heavier tails than a normal
-#: distribution (short texts with one repeated line reach 40), so the cut lies far beyond its 0.999 quantile (20.5).
-CUT = 60.0
+#: Robust standard deviations of the logarithm of squared distances beyond which a vector is rejected.
+SPREAD = 4.0
+#: The least such distance: the chi-square quantile 0.999, for groups whose rows hardly differ.
+LEAST_CUT = 20.52
+#: Chi-square quantile 0.975 of 5 dimensions, and what makes the scatter within it that of a normal distribution.
+NEAR, WITHIN = 12.83, 1.055
 #: Least standard deviation of each component: what rounding and short texts alone bring about. It also keeps the
 #: scatter regular where most rows of a group hold the same value.
 FLOOR = (0.05, 0.10, 0.10, 0.12, 0.35)
@@ -130,6 +140,11 @@ def _logdet(sums: pd.Series) -> pd.Series:
     return sums.map(lambda x: _solve(np.asarray(x, float), CONSISTENCY)[1])
 
 
+@F.pandas_udf(DOUBLES)
+def _reweighted(sums: pd.Series) -> pd.Series:
+    return sums.map(lambda x: _solve(np.asarray(x, float), WITHIN)[0].tolist())
+
+
 @F.pandas_udf(DOUBLES)
 def _plain(sums: pd.Series) -> pd.Series:
     return sums.map(lambda x: _solve(np.asarray(x, float), 1.0)[0].tolist())
@@ -151,12 +166,12 @@ def _sent(params: DataFrame):
     return F.broadcast if params.count() <= BROADCAST_GROUPS else lambda df: df
 
 
-def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """A row for each group of keys (no nulls) with its parameters p: centre, then upper triangle of the inverse scatter."""
+def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS, least: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
+    """A row for each group of keys (no nulls) of least rows or more: its parameters p (centre, then upper triangle of the inverse scatter) and the squared distance cut."""
     rows = counted.select(*keys, *(x.alias(f"x{i}") for i, x in enumerate(vector())))
     xs = [f"x{i}" for i in range(DIM)]
     quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in xs]
-    first = rows.groupBy(*keys).agg(F.array(*_moments(F.lit(True))).alias("s"), *(q.alias(f"q{i}") for i, q in enumerate(quartiles))).where(F.col("s")[0] >= MIN_GROUP)
+    first = rows.groupBy(*keys).agg(F.array(*_moments(F.lit(True))).alias("s"), *(q.alias(f"q{i}") for i, q in enumerate(quartiles))).where(F.col("s")[0] >= least)
     at = lambda k: F.array(*(F.col(f"q{i}")[k] for i in range(DIM)))
     params = cut(first.select(*keys, _diagonal(at(1), at(0), at(2)).alias("p0"), _plain("s").alias("p1")), "mcd")
     sent = _sent(params)
@@ -166,27 +181,39 @@ def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
         nearest = near.join(sent(half), keys)
         sums = nearest.groupBy(*keys).agg(*(F.array(*_moments(F.col(f"d{k}") <= F.col(f"h{k}"))).alias(f"s{k}") for k in (0, 1)))
         params = cut(sums.select(*keys, *(_params(f"s{k}").alias(f"p{k}") for k in (0, 1)), *(_logdet(f"s{k}").alias(f"l{k}") for k in (0, 1))), "mcd")
-    return params.select(*keys, F.when(F.col("l0") <= F.col("l1"), F.col("p0")).otherwise(F.col("p1")).alias("p"))
+    best = params.select(*keys, F.when(F.col("l0") <= F.col("l1"), F.col("p0")).otherwise(F.col("p1")).alias("p"))
+    near = rows.join(sent(best), keys).groupBy(*keys).agg(F.array(*_moments(_distance("p") <= NEAR)).alias("s"), F.first("p").alias("p"))
+    # where fewer than half lie that near (the half's scatter was no normal one), the estimate stays as it is
+    enough = near.join(sent(first.select(*keys, F.col("s")[0].alias("n"))), keys)
+    final = cut(enough.select(*keys, F.when(F.col("s")[0] >= F.col("n") / 2, _reweighted("s")).otherwise(F.col("p")).alias("p")), "mcd")
+    quartile = F.percentile_approx(F.log(_distance("p") + 1e-9), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
+    cuts = rows.join(sent(final), keys).groupBy(*keys).agg(quartile.alias("q"))
+    cuts = cuts.select(*keys, F.greatest(F.lit(LEAST_CUT), F.exp(F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[0]) / 1.349)).alias("cut"))
+    return cut(final.join(sent(cuts), keys), "mcd")
 
 
-def quality_outliers(docs: DataFrame, cut_at: float = CUT) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, distance, wider_distance, kept: one row a document.
+def quality_outliers(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """doc_id, lang, source, the five counts, base_failed, distance, wider_distance, cut, kept: one row a document.
 
     Distances are squared. distance is that to the estimate of the document's group, null if it has none; wider_distance
     then is that to the estimate of its language, or else of all rows.
     """
-    counted = cut(count_words(docs), "counts")
+    return judged(cut(count_words(docs), "counts"), spread)
+
+
+def judged(counted: DataFrame, spread: float = SPREAD) -> DataFrame:
+    """quality_outliers of counted documents."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source")), "k_all": F.lit(0)}).fillna("", ["k_lang", "k_source"])
     passed = keyed.where(~F.col("base_failed"))
-    judged = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())})
-    for p, keys in (("p", ["k_lang", "k_source"]), ("p_lang", ["k_lang"]), ("p_all", ["k_all"])):
-        params = mcd(passed, keys).withColumnRenamed("p", p)
-        judged = judged.join(_sent(params)(params), keys, "left")
-    judged = judged.withColumn("distance", _distance("p")).withColumn("wider_distance", F.when(F.col("p").isNull(), F.coalesce(_distance("p_lang"), _distance("p_all"))))
-    far = F.coalesce("distance", "wider_distance", F.lit(0.0))
-    return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "wider_distance", (~F.col("base_failed") & (far <= cut_at)).alias("kept"))
+    rows = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    for p, keys, least in (("p", ["k_lang", "k_source"], MIN_GROUP), ("p_lang", ["k_lang"], MIN_GROUP), ("p_all", ["k_all"], 1)):
+        params = mcd(passed, keys, least=least, spread=spread).withColumnsRenamed({"p": p, "cut": f"cut_{p}"})
+        rows = rows.join(_sent(params)(params), keys, "left")
+    rows = rows.withColumn("distance", _distance("p")).withColumn("wider_distance", F.when(F.col("p").isNull(), F.coalesce(_distance("p_lang"), _distance("p_all"))))
+    far, limit = F.coalesce("distance", "wider_distance", F.lit(0.0)), F.when(F.col("p").isNotNull(), F.col("cut_p")).when(F.col("p_lang").isNotNull(), F.col("cut_p_lang")).otherwise(F.col("cut_p_all"))
+    return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "wider_distance", limit.alias("cut"), (~F.col("base_failed") & (far <= F.coalesce(limit, F.lit(math.inf)))).alias("kept"))
 
 
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_outliers(table(spark, sf_dir, "documents")).drop("lang", "source", "wider_distance")
+    return quality_outliers(table(spark, sf_dir, "documents")).drop("lang", "source", "wider_distance", "cut")
