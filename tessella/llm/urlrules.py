@@ -7,11 +7,11 @@ holds each of them as a whole token. The index files each rule under the one tha
 url's tokens fetch candidates, and only candidates run their regular expressions. Rules without such a token are
 candidates everywhere.
 
-Site rules (host, path) are filed in the same way, under the rarest token of their host; the longest that fits a url
-decides. Otherwise the pattern rules decide: block if a block pattern fits and no allow pattern does, else allow.
+Site rules (host, path) are filed in the same way, under the rarest token of their host and path; the longest that fits
+a url decides. read_rules() reads both kinds from a filter list. Otherwise the pattern rules decide: block if a block pattern fits and no allow pattern does, else allow.
 
 Token counts cover all urls but keep only tokens of the rules, so both they and the index are bounded by the rule list,
-which must fit a worker (MAX_RULES).
+which every worker holds (about 1 kB a rule).
 
 Defined cases: a null url or one without :// has empty host and path, no rule, verdict allow. Repeated rows are judged
 alike, null page_ids pass through, extra columns are ignored, empty tables give an empty result.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, map_arrow, table
 
-MAX_RULES = 500_000
 _FOLD = str.maketrans(UPPER, LOWER)
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -107,13 +107,34 @@ def literal_tokens(text: str) -> list[str]:
     return found
 
 
+def site_tokens(rule: Site) -> list[str]:
+    """Tokens that every url which the site rule fits must hold whole: those of its host, and of its path but an open last one."""
+    path = rule.path.translate(_FOLD)
+    return [*_TOKEN.findall(rule.host), *(m[0] for m in _TOKEN.finditer(path) if m.end() < len(path))]
+
+
+def read_rules(lines: Iterable[str]) -> tuple[tuple[Site, ...], tuple[Pattern, ...]]:
+    """Rules of a filter list: `@@` before a rule allows, `||host^` and `||host/path` are site rules, `!` and `[` begin comments, options after `$` are left out."""
+    sites, patterns = [], []
+    for line in map(str.strip, lines):
+        if not line or line[0] in "![" or "##" in line:
+            continue
+        verdict = "allow" if line.startswith("@@") else "block"
+        body = line.removeprefix("@@").split("$", 1)[0].translate(_FOLD)
+        if m := re.fullmatch(r"\|\|([a-z0-9.-]+)(?:\^|(/[^*^|]*))", body):
+            sites.append(Site(m[1], m[2] or "/", verdict))
+        elif body:
+            patterns.append(Pattern(body, verdict))
+    return tuple(sites), tuple(patterns)
+
+
 def token_counts(pages: DataFrame, wanted: list[str]) -> dict[str, int]:
     """In how many urls of all pages each wanted token occurs: at most one row for each token of the rules."""
     if not wanted:
         return {}
     spark = pages.sparkSession
     tokens = pages.select(F.explode(F.array_distinct(F.split(F.translate("url", UPPER, LOWER), "[^a-z0-9]+"))).alias("token"))
-    # a row for each token of the rules, at most MAX_RULES times the few of a rule
+    # a row for each token of the rules
     keep = spark.createDataFrame([(x,) for x in wanted], "token string")
     return dict(tuple(r) for r in tokens.join(F.broadcast(keep), "token", "left_semi").groupBy("token").count().collect())
 
@@ -122,13 +143,11 @@ class Index:
     """Rules by their rarest token. Picklable; regular expressions are compiled on first use."""
 
     def __init__(self, sites: tuple[Site, ...], patterns: tuple[Pattern, ...], counts: dict[str, int]):
-        if len(sites) + len(patterns) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
         self.by_token: dict[str, list] = defaultdict(list)
         self.always: list = []
         rare = lambda tokens: min(tokens, key=lambda t: (counts.get(t, 0), -len(t), t), default=None)
         for rule in (*sites, *patterns):
-            token = rare(_TOKEN.findall(rule.host)) if isinstance(rule, Site) else rare(literal_tokens(rule.text))
+            token = rare(site_tokens(rule) if isinstance(rule, Site) else literal_tokens(rule.text))
             (self.always if token is None else self.by_token[token]).append(rule)
         self.compiled: dict[str, re.Pattern] = {}
 
@@ -157,7 +176,7 @@ class Index:
 
 def filter_urls(pages: DataFrame, sites: tuple[Site, ...] = SITES, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern, candidates for every page."""
-    wanted = sorted({*(t for p in patterns for t in literal_tokens(p.text)), *(t for s in sites for t in _TOKEN.findall(s.host))})
+    wanted = sorted({*(t for p in patterns for t in literal_tokens(p.text)), *(t for s in sites for t in site_tokens(s))})
     index = Index(sites, patterns, token_counts(pages, wanted))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
