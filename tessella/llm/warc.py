@@ -38,11 +38,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, fresh, slices, table, trim
 
 LEAST = 1_000
 BLOCK_LINES = 3_000
 FILE_BYTES = 1 << 30
+#: Records that a task reads back, about.
+READS = 8_000
 SALTS, BROADCAST_ROWS = 16, 100_000
 _SAFE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DATE = "2024-01-01T00:00:00Z"
@@ -106,6 +108,7 @@ class Archive:
     """Where the WARC files, the compressed index blocks and the directory lie."""
 
     path: str
+    records: int = 0
 
     @property
     def directory(self) -> str:
@@ -116,7 +119,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
     """page_id and entry key of each page, without its html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 10_000):
             keys = [entry_key(u, i) for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             yield pa.record_batch([b.column(0), pa.array(keys, pa.string())], names=["page_id", "key"])
 
@@ -146,7 +149,7 @@ def write_archive(pages: DataFrame, block_lines: int = BLOCK_LINES, file_bytes:
         fs, base = pafs.FileSystem.from_uri(out.path)
         fs.create_dir(f"{base}/warc", recursive=True)
         sink, name, at = None, "", 0
-        for b in batches:
+        for b in slices(batches):
             keys, lines = [], []
             for page_id, url, payload, digest, size, refers_to in zip(*(c.to_pylist() for c in b.columns)):
                 if sink is None or at > file_bytes:
@@ -192,10 +195,11 @@ def write_archive(pages: DataFrame, block_lines: int = BLOCK_LINES, file_bytes:
             sink.close()
             yield pa.record_batch([pa.array(c) for c in zip(*found)], names=["first", "last", "filename", "offset", "length", "lines"])
 
-    parts = max(8, math.ceil(lines.count() / 500_000))
+    records = lines.count()
+    parts = max(8, math.ceil(records / 500_000))
     blocks = lines.repartitionByRange(parts, "key", F.xxhash64("line")).sortWithinPartitions("key", "line").mapInArrow(index, "first string, last string, filename string, offset long, length long, lines long")
     blocks.write.parquet(out.directory)
-    return out
+    return Archive(out.path, records)
 
 
 class Reader:
@@ -246,7 +250,7 @@ def read_back(archive: Archive, pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, key, rest = None, None, iter(())
-        for b in batches:
+        for b in slices(batches):
             reader = reader or Reader(archive)
             rows = []
             for page_id, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -257,9 +261,11 @@ def read_back(archive: Archive, pages: DataFrame) -> DataFrame:
                 rows.append((page_id, x["bytes"], x["digest"], x["headers"]["WARC-Type"], None if refers is None else int(refers)))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)] if rows else [pa.array([], kind) for kind in kinds], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        trim()
 
-    keys = _keyed(pages)
-    return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, RESULT)
+    # a stated number of partitions is not merged: keys are small, the records behind them are not
+    parts = max(8, math.ceil(archive.records / READS))
+    return _keyed(pages).repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(run, RESULT)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
