@@ -6,12 +6,10 @@ that the mix takes of each document (a row for each epoch of it), packing gives
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import kneserney, mixing, packing, simhash, toxicity
-from tessella.llm.common import fresh, table
+from tessella.llm.common import delete, fresh, scope, table
 from tessella.plans.session import ship
 
 
@@ -49,9 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The pieces of the final sequences. What a stage wrote for itself goes when its result is written, and that when the next one's is."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        path = fresh(spark, f"stage-{name}-{uuid.uuid4().hex[:6]}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        path = fresh(spark, f"stage-{name}")
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            delete(spark, last)
+        docs, last = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

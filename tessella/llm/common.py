@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_scopes: list[str] = []
+
+
 def fresh(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/tessella/{what}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; within a scope, one that ends with it."""
+    return "/".join([shared_dir(spark), "tessella", *_scopes[-1:], f"{what}-{uuid.uuid4().hex}"])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What operators write within it is deleted at its end, so results must be written elsewhere or used by then."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        delete(spark, f"{shared_dir(spark)}/tessella/{_scopes.pop()}")
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

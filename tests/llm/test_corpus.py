@@ -71,10 +71,30 @@ def test_blocks_of_queries_and_data_agree(spark, monkeypatch):
     v = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 64).cast("double")).alias("v"))
     whole = rows_of(covertree.top_k(v, F.col("vec_id") % 20 == 0, 5))
     monkeypatch.setattr(covertree, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(covertree, "DATA_BLOCK", 150)
+    monkeypatch.setattr(covertree, "DATA_BLOCK", 30)
+    monkeypatch.setattr(covertree, "CELL", 60)
     assert rows_of(covertree.top_k(v, F.col("vec_id") % 20 == 0, 5)) == whole
 
 
+def test_pairs_of_far_cells_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "CELL", 40)
+    monkeypatch.setattr(covertree, "QUERY_BLOCK", 5)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 40, (10, 6))
+    x = np.floor(centres[np.arange(600) // 60] + rng.normal(0, 0.5, (600, 6)))
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "vec_id long, v array<double>")
+    ready = rows.selectExpr("vec_id", "v", "size(v) AS dim", "vec_id % 20 = 0 AS query")
+    _, asked, pairs = covertree.dealt(ready, 5)
+    every = asked.select("block", "piece").distinct().count() * 64  # cells of the tree
+    assert pairs.count() < 0.3 * every
+    got = {}
+    for r in covertree.top_k(rows, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["score"], r["vec_id"])
+    for q in range(0, 600, 20):
+        want = sorted(((-float(x[q] @ x[k]), k) for k in range(600) if k != q))[:5]
+        assert [got[q][i + 1] for i in range(5)] == [(-s, k) for s, k in want]
+
+
 # --- 6
 
 
@@ -157,7 +177,7 @@ def brute_jaccard(rows):
     return ids, roots(len(ids), near)
 
 
-@pytest.mark.parametrize("hot, mins", [((jaccard.HOT, jaccard.HOT_ROWS), jaccard.MINS), ((2_000, 3), 1)])
+@pytest.mark.parametrize("hot, mins", [(jaccard.HOT_ROWS, jaccard.MINS), (3, 1)])
 def test_stage_keeps_one_of_each_jaccard_group(spark, monkeypatch, hot, mins):
     monkeypatch.setattr(jaccard, "MINS", mins)
     rng = np.random.default_rng(8)
@@ -177,11 +197,20 @@ def test_stage_keeps_one_of_each_jaccard_group(spark, monkeypatch, hot, mins):
         rows[len(rows)] = t
     ids, want = brute_jaccard(rows)
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows.items()], DOCS)
-    assert {r["doc_id"] for r in simhash.without_near_duplicates(docs, *hot).collect()} == {ids[r] for r in want}
+    assert {r["doc_id"] for r in simhash.without_near_duplicates(docs, hot).collect()} == {ids[r] for r in want}
     apart = [simhash.fingerprint((rows[k] or "").encode()) ^ simhash.fingerprint((rows[ids[r]] or "").encode()) for k, r in zip(ids, want)]
     assert sum(x.bit_count() > 4 for x in apart) > 10  # pairs that four SimHash bits don't reach
 
 
+def test_histograms_bound_what_sets_share():
+    rng = np.random.default_rng(6)
+    for size in (1, 30, 3_000, 60_000):
+        a = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size, np.uint64)]))
+        h = [np.frombuffer(jaccard.histogram(x), np.uint8) for x in (a, b)]
+        assert all(len(x) == jaccard.BUCKETS + 1 for x in h) and len(np.intersect1d(a, b)) <= jaccard.may_share(h[0], np.stack([h[1]]))[0]
+
+
 def test_stage_against_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     ids, want = brute_jaccard({r["doc_id"]: r["text"] for r in docs.collect()})

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -66,6 +67,49 @@ def test_mcd_is_near_the_truth_among_outliers(spark):
     assert p[0] == pytest.approx(np.log(5), abs=0.02) and p[1] == pytest.approx(0, abs=0.01)
 
 
+def test_mcd_against_plain_numpy(spark):
+    """The same concentration steps, reweighting and cut on one group in memory."""
+    rng = np.random.default_rng(12)
+    n = 240
+    words = rng.integers(100, 400, n)
+    rows = [(k, "en", "s", int(w), int(w * (5 + rng.normal(0, 0.3))), int(rng.integers(0, 4)), int(rng.integers(0, 2)), int(rng.integers(0, 9))) for k, w in enumerate(words)]
+    rows += [(1000 + k, "en", "s", 200, 200 * 12, 150, 6, 90) for k in range(30)]
+    counted = spark.createDataFrame(rows, outliers.COUNTS)
+    x = np.array([[r[f"x{i}"] for i in range(outliers.DIM)] for r in counted.select(*(c.alias(f"x{i}") for i, c in enumerate(outliers.vector()))).collect()])
+    upper = np.triu_indices(outliers.DIM)
+
+    def solve(own, widen):
+        m = own.mean(0)
+        s = ((own.T @ own) / len(own) - np.outer(m, m)) * widen + np.diag(np.square(outliers.FLOOR))
+        return m, np.linalg.inv(s), np.linalg.slogdet(s)[1]
+
+    far = lambda p: np.einsum("ni,ij,nj->n", x - p[0], p[1], x - p[0])
+    low, mid, high = (np.percentile(x, q, axis=0, method="inverted_cdf") for q in (25, 50, 75))
+    starts = [(mid, np.diag(1 / (np.square((high - low) / 1.349) + np.square(outliers.FLOOR))), 0), solve(x, 1.0)]
+    ends = []
+    for p in starts:
+        for _ in range(outliers.STEPS):
+            d = far(p)
+            p = solve(x[d <= np.percentile(d, 50, method="inverted_cdf")], outliers.CONSISTENCY)
+        ends.append(p)
+    best = min(ends, key=lambda p: p[2])
+    best = solve(x[far(best) <= outliers.NEAR], outliers.WITHIN)
+    q = np.log(np.percentile(far(best), (25, 50, 75), method="inverted_cdf"))
+    got = outliers.mcd(counted, ["lang", "source"]).first()
+    assert got["p"] == pytest.approx([*best[0], *best[1][upper]], rel=1e-3, abs=1e-6)
+    assert got["cut"] == pytest.approx(max(outliers.LEAST_CUT, np.exp(q[1] + outliers.SPREAD * (q[2] - q[0]) / 1.349)), rel=1e-3)
+    kept = {r["doc_id"]: r["kept"] for r in outliers.judged(counted).collect()}
+    assert not any(kept[1000 + k] for k in range(30)) and np.mean([kept[k] for k in range(n)]) > 0.99
+
+
+def test_rule_files():
+    sites, patterns = urlrules.read_rules(["! comment", "[Adblock]", "", "||Ads.example.com^", "@@||good.org/path/$image", "/banner/*.gif|", "x.com##.ad", "@@^ok^"])
+    assert sites == (urlrules.Site("ads.example.com", "/", "block"), urlrules.Site("good.org", "/path/", "allow")) and patterns == (urlrules.Pattern("/banner/*.gif|"), urlrules.Pattern("^ok^", "allow"))
+    index = urlrules.Index(urlrules.SITES, urlrules.PATTERNS, {"net": 50, "com": 60, "es": 2, "fr": 3, "en": 5, "example": 9, "www": 70})
+    where = {r.name: t for t, rules in index.by_token.items() for r in rules if isinstance(r, urlrules.Site)}
+    assert where == {"com/": "com", "example.com/en/": "en", "www.example.com/en/": "en", "net/es/": "es", "net/fr/": "fr"}
+
+
 def test_url_filter_equals_every_rule_on_every_url(spark):
     assert_same(urlrules.op2_url_filter(spark, SF), urlrules.oracle())
 
@@ -109,6 +153,19 @@ def test_main_text(body, text):
     assert " ".join(b for b, k in zip(page.blocks, page.kinds) if k == htmltext.CONTENT) == text
 
 
+@pytest.mark.parametrize("bad", ["<a ", "<a x=\"", "<p \" > ' ", "</script", "<script>", "<div><b>", "</p>", "<![CDATA[", "<!--", "&lt", "<a '\">"])
+def test_odd_pages_take_linear_time(bad):
+    began = time.perf_counter()
+    htmltext.parse("<article>x</article>" + bad * (1_000_000 // len(bad)))
+    assert time.perf_counter() - began < 20
+
+
+def test_tags_that_nothing_ends_are_text():
+    page = htmltext.parse("<p>a < b <i c")
+    assert page.blocks == ["a < b <i c"]
+    assert htmltext.parse('<p title="x > y">one</p><a href=\'>\'>two</a>').blocks == ["one", "two"]
+
+
 def test_extraction_of_all_pages(spark):
     def brute(h):
         a = h[h.index("<article>") + 9 : h.index("</article>")]
