@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import replies, rules, text, vocab
 from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
-from ..sources import store
+from ..sources import corpus, store
+from ..streaming import feed
 from . import models, studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -704,3 +705,149 @@ def critical_suite(spark, d):
 @query("SELECT kind, count(*) AS n, count(DISTINCT sample) AS samples FROM (SELECT event_type AS kind, user_id AS sample FROM events WHERE value > 50) GROUP BY GROUPING SETS ((kind), ())")
 def leaks_by_kind(spark, d):
     return gates.leaks_by_kind(_t(spark, d, "events").where("value > 50").select(F.col("event_type").alias("kind"), F.col("user_id").alias("sample")))
+
+
+_WIDE = [c for c in zip(text.FULL, text.HALF) if c[1] != " "]
+
+
+@query("SELECT doc_id, sha256(text) AS folded FROM documents")
+def width_folding(spark, d):
+    wide = F.translate("text", "".join(h for _, h in _WIDE), "".join(f for f, _ in _WIDE))
+    return _t(spark, d, "documents").select("doc_id", F.sha2(text.fold_width(F.concat(wide, F.lit("\u200b"))), 256).alias("folded"))
+
+
+@query(r"""SELECT conv_id, turn, sha256(trim(regexp_replace(coalesce(text, '') || ' x', '\s+', ' ', 'g'))) AS clean FROM conversations""")
+def sanitized_text(spark, d):
+    dirty = F.concat(F.coalesce("text", F.lit("")), F.lit(" \u200bx\u00ad \n"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.sha2(text.sanitize(dirty, nfkc=False), 256).alias("clean"))
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM conversations)
+  SELECT conv_id, turn, sha256('<UNTRUSTED>' || translate({_chain("s", [(p, "[removed]") for p, _ in rules.ATTACKS] + [(rules.VERDICT_FORCING.replace("'", "''"), "[removed]")])}, '<>', '‹›') || '</UNTRUSTED>') AS wrapped FROM t WHERE s IS NOT NULL""")
+def untrusted_text(spark, d):
+    return _t(spark, d, "conversations").where("text is not null").select("conv_id", "turn", F.sha2(text.untrusted(F.col("text")), 256).alias("wrapped"))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'made by ai' WHEN 1 THEN '机器 made, 医师 signs' WHEN 2 THEN 'ＡＩ，须复核' ELSE '复核' END AS t FROM documents) SELECT doc_id, doc_id % 4 IN (1, 2) AS ok FROM t""")
+def disclaimer_facts(spark, d):
+    said = F.get(F.array(*map(F.lit, ("made by ai", "机器 made, 医师 signs", "ＡＩ，须复核", "复核"))), (F.col("doc_id") % 4).cast("int"))
+    return _t(spark, d, "documents").select("doc_id", text.has_disclaimer(said).alias("ok"))
+
+
+_RAW = (("small left pleural effusion", "PleuralEffusion"), ("mild cardiomegaly", "Cardiomegaly"), ("left hilar mass lesion", None), ("tiny right-sided pneumothorax.", "Pneumothorax"), ("no mass", None))
+
+
+@query(f"""SELECT event_id, v.label, v.negated FROM events JOIN (VALUES {", ".join(f"({k}, {'NULL' if x is None else repr(x)}, {str(t.startswith('no ')).lower()})" for k, (t, x) in enumerate(_RAW))}) v(k, label, negated) ON event_id % {len(_RAW)} = k""")
+def relaxed_labels(spark, d):
+    raw = F.get(F.array(*(F.lit(t) for t, _ in _RAW)), (F.col("event_id") % len(_RAW)).cast("int"))
+    return _t(spark, d, "events").select("event_id", text.canonical_relaxed(raw, ascii_only=True).alias("label"), text.is_negated(raw).alias("negated"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n FROM documents""")
+def sentence_split(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n"))
+
+
+@query(f"""WITH s AS (SELECT p_partkey, lower(p_name || CASE p_partkey % 3 WHEN 0 THEN ' Large one' WHEN 1 THEN ' traces, tiny' ELSE '' END) AS s FROM part)
+  SELECT p_partkey, CASE WHEN regexp_matches(s, '\\b({"|".join(vocab.LARGE_WORDS)})\\b') THEN 'large' WHEN regexp_matches(s, '\\b({"|".join(vocab.SMALL_WORDS)})\\b') THEN 'small' ELSE 'unspecified' END AS severity FROM s""")
+def effusion_severity(spark, d):
+    tail = F.get(F.array(F.lit(" Large one"), F.lit(" traces, tiny"), F.lit("")), (F.col("p_partkey") % 3).cast("int"))
+    return _t(spark, d, "part").select("p_partkey", text.effusion_severity(F.concat("p_name", tail)).alias("severity"))
+
+
+_SAID = ("No pneumothorax. Large pleural effusion.", "Cannot exclude effusion!", "Heart is normal.")
+_MENTIONS = ((0, "pneumothorax", "negated", None), (0, "pleural effusion", "affirmed", "large"), (0, "effusion", "affirmed", "large"), (1, "effusion", "hedge", "unspecified"))
+
+
+@query(f"""SELECT event_id, v.keyword, v.classification, v.severity FROM events JOIN (VALUES {", ".join(f"({k}, '{w}', '{c}', {'NULL' if x is None else repr(x)})" for k, w, c, x in _MENTIONS)}) v(k, keyword, classification, severity) ON event_id % 3 = k""")
+def report_mentions(spark, d):
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("event_id") % 3).cast("int"))
+    return _t(spark, d, "events").select("event_id", F.inline(text.mentions(said))).select("event_id", "keyword", "classification", "severity")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN ['Cardiomegaly', 'PleuralEffusion'] WHEN 1 THEN [] ELSE ['Fracture'] END AS labels, p_partkey % 3 = 1 AS normal FROM part""")
+def weak_labels(spark, d):
+    some = lambda *x: F.array(*map(F.lit, x))
+    mesh = F.when(F.col("p_partkey") % 3 == 0, some("Cardiomegaly/mild", "Pleural Effusion/left", "Cardiomegaly")).when(F.col("p_partkey") % 3 == 1, some("normal", " Normal ")).otherwise(some("Fractures, Bone/ribs", "Spine/degenerative"))
+    return _t(spark, d, "part").select("p_partkey", text.weak_labels(mesh).alias("labels"), calibrate.is_normal(mesh).alias("normal"))
+
+
+_DRAFTS = ('{"impression": [{"text": "b", "evidence_ids": ["x"]}], "findings": [{"text": "a", "evidence_ids": []}, {"text": " "}]}', '{"sentences": [{"text": "b", "section": "impression", "evidence_ids": []}, {"text": "a", "section": "technique"}]}', '[{"text": "c", "section": "findings", "evidence_ids": ["y"]}]', "no report")
+_WROTE = ((0, 0, "findings", "a"), (0, 1, "impression", "b"), (1, 0, "technique", "a"), (1, 1, "impression", "b"), (2, 0, "findings", "c"))
+
+
+@query(f"""SELECT event_id, v.pos, v.section, v.text FROM events JOIN (VALUES {", ".join(f"({k}, {n}, '{x}', '{t}')" for k, n, x, t in _WROTE)}) v(k, pos, section, text) ON event_id % 4 = k""")
+def drafts_of_replies(spark, d):
+    reply = F.get(F.array(*map(F.lit, _DRAFTS)), (F.col("event_id") % 4).cast("int"))
+    rows = _t(spark, d, "events").select("event_id", F.posexplode(replies.draft_sentences(reply)).alias("pos", "s"))
+    return rows.select("event_id", "pos", "s.section", "s.text")
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, turn % 3 = 0 AS blocked, trim(regexp_replace(coalesce(text, '') || ' x', '\\s+', ' ', 'g')) AS s FROM conversations),
+  c AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(s, '{p}', 'i') THEN '{c}'" for p, c in _RE2)} ELSE '' END AS category FROM t) SELECT conv_id, turn, blocked, CASE WHEN category = '' THEN [] ELSE ['possible injection: ' || category] END AS notes FROM c""")
+def study_intake(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 != 0, "f.png").otherwise(" ").alias("image_path"), F.col("text").alias("indication"), F.lit("x").alias("history"))
+    return studies.intake(rows).select("conv_id", "turn", "blocked", "notes")
+
+
+@query("SELECT conv_id, turn, sha256(coalesce(text, '')) AS sha FROM conversations")
+def scrubbed_digests(spark, d):
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("indication"), F.lit("").alias("history"))
+    return studies.scrubbed(rows).select("conv_id", "turn", F.col("indication_sha").alias("sha"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'without evidence of mass' ELSE 'clear' END AS said, CASE WHEN p_partkey % 3 = 0 THEN 'AI 生成，医师复核' ELSE '本报告由AI生成，须经医师复核后签发。' END AS disclaimer FROM part""")
+def language_guard(spark, d):
+    s = F.struct(F.when(F.col("p_partkey") % 2 == 0, "rule out mass").otherwise("clear").alias("text"), F.lit("findings").alias("section"), F.array(F.lit("e")).alias("evidence_ids"))
+    rows = _t(spark, d, "part").select("p_partkey", F.array(s).alias("draft"), F.when(F.col("p_partkey") % 3 == 0, "AI 生成，医师复核").otherwise("none").alias("disclaimer"))
+    return studies.language_guard(rows).select("p_partkey", F.col("draft")[0]["text"].alias("said"), "disclaimer")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'GUARDRAIL_BLOCKED' WHEN p_partkey % 7 = 0 THEN 'NEEDS_REPEAT' WHEN p_partkey % 5 = 0 THEN 'CRITICAL_ESCALATED' WHEN p_partkey % 3 = 0 THEN 'HELD' WHEN p_partkey % 2 = 0 THEN 'DRAFT_READY' ELSE 'HELD' END AS status FROM part""")
+def study_status(spark, d):
+    k = F.col("p_partkey")
+    s = lambda t, x: F.struct(t.alias("text"), F.lit(x).alias("section"), F.array(F.lit("e")).alias("evidence_ids"))
+    draft = F.array(*(s(F.when(k % 2 == 0, "clear").otherwise("treat with x"), x) for x in vocab.SECTIONS))
+    rows = _t(spark, d, "part").select("p_partkey", draft.alias("draft"), F.lit(models.DISCLAIMER).alias("disclaimer"), (k % 11 == 0).alias("blocked"), (k % 7 != 0).alias("qc_ok"), F.when(k % 5 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("alerts"), (k % 3 == 0).alias("held"))
+    return studies.status(rows).select("p_partkey", "status")
+
+
+@query("""SELECT study_id, path FROM (SELECT study_id, path, row_number() OVER (PARTITION BY study_id ORDER BY view <> 'frontal', round(symmetry, 6) DESC, path) AS rank
+  FROM (SELECT CAST(l_orderkey AS VARCHAR) AS study_id, l_linenumber || '-' || l_partkey AS path, CASE WHEN l_returnflag = 'R' THEN 'lateral' ELSE 'frontal' END AS view, l_discount AS symmetry FROM lineitem)) WHERE rank = 1""")
+def primary_film(spark, d):
+    l = _t(spark, d, "lineitem")
+    views = l.select(F.col("l_orderkey").cast("string").alias("study_id"), F.concat_ws("-", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")).alias("path"), F.when(F.col("l_returnflag") == "R", "lateral").otherwise("frontal").alias("view"), F.col("l_discount").alias("symmetry"))
+    return studies.ranked_primary(views).select("study_id", "path")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    return feed.counts(_t(spark, d, "events"))
+
+
+@query("""SELECT event_id, 'event: node' || chr(10) || 'data: {"event_id":' || event_id || ',"node":"' || event_type || '"}' || chr(10) || chr(10) AS frame FROM events""")
+def event_frames(spark, d):
+    e = _t(spark, d, "events").select("event_id", F.col("event_type").alias("node"))
+    framed = feed.frames("node", e)
+    return framed.select(F.regexp_extract("frame", '"event_id":([0-9]+)', 1).cast("long").alias("event_id"), "frame")
+
+
+@query("""SELECT page_id, sha256('data:text/html;base64,' || to_base64(encode(html))) AS uri, sha256('x [text/html sha256:' || substr(sha256(to_base64(encode(html))), 1, 12) || ' ' || strlen(to_base64(encode(html))) || 'B] y') AS masked FROM pages WHERE html IS NOT NULL AND html <> ''""")
+def image_uris(spark, d):
+    uri = corpus.data_uri(F.lit("text/html"), F.encode("html", "UTF-8"))
+    flat = F.regexp_replace(uri, "[\r\n]", "")
+    return _t(spark, d, "pages").where("html is not null and html <> ''").select("page_id", F.sha2(flat, 256).alias("uri"), F.sha2(text.mask_data_uris(F.concat(F.lit("x "), flat, F.lit(" y"))), 256).alias("masked"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice >= l_quantity * 10 * 20 * 2 AS complete, l_linenumber % 3 <> 0 AS dicom FROM lineitem""")
+def film_completeness(spark, d):
+    path = F.get(F.array(F.lit("a.png"), F.lit("b.DCM"), F.lit("c.dicom")), F.col("l_linenumber") % 3)
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", corpus.pixels_complete(F.col("l_extendedprice"), F.col("l_quantity"), F.lit(10), F.lit(20), F.lit(16)).alias("complete"), corpus.is_dicom(path).alias("dicom"))
+
+
+@query(f"""WITH {_READ}, t AS (SELECT study_id, to_timestamp(0) AS x, count(*) AS n FROM r GROUP BY 1) SELECT study_id, 'DRAFT_READY' AS status, CAST(n AS INTEGER) AS shown FROM t""")
+def study_dashboard(spark, d):
+    rows = readings(spark, d)
+    states = rows.groupBy("study_id").agg(F.collect_list(F.struct("label", "prob")).alias("findings")).select("study_id", F.lit("DRAFT_READY").alias("status"), F.lit(False).alias("blocked"), F.array().alias("alerts"), F.array().alias("disagreements"), F.array().alias("draft"), F.lit("").alias("disclaimer"), F.lit(1.0).alias("kappa"), "findings")
+    trace = rows.select("study_id", F.col("label").alias("node"), F.col("ord").cast("double").alias("ts"))
+    return studies.dashboard(states, trace).select("study_id", "dashboard.status", F.size("dashboard.findings").alias("shown"))
