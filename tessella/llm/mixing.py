@@ -76,7 +76,8 @@ def permuted(rows: DataFrame, x: str, n: str, which: str, out: str) -> DataFrame
         return F.when(coin, other).otherwise(now)
 
     # one expression that binds each round's number: a chain of columns would be copied into itself by the optimiser
-    return rows.withColumn(out, F.aggregate(F.array(*(F.lit(k).cast("long") for k in range(ROUNDS))), start, swapped))
+    # (and never null, or a join on it would make it once more to test for null)
+    return rows.withColumn(out, F.coalesce(F.aggregate(F.array(*(F.lit(k).cast("long") for k in range(ROUNDS))), start, swapped), F.lit(-1).cast("long")))
 
 
 def sized(docs: DataFrame, *more: Column) -> DataFrame:
