@@ -6,6 +6,8 @@ import io
 
 import numpy as np
 
+from . import vocab
+
 GRID, TINY = 128, 1e-6
 
 
@@ -76,3 +78,27 @@ def describe(path: str, content: bytes, decode=None) -> tuple:
         return path, a.shape[1], a.shape[0], float(a.mean()), float(a.std()), symmetry(a), None
     except Exception as e:  # an undecodable film is a row with its error, not a failed job
         return path, None, None, None, None, None, f"{type(e).__name__}: {e}"
+
+
+def _pydicom(path: str, content: bytes) -> dict:
+    import pydicom
+
+    ds = pydicom.dcmread(io.BytesIO(content))
+    meta = {e.keyword: str(e.value) for e in getattr(ds, "file_meta", ())}
+    return {"tags": {e.keyword: str(e.value) for e in ds if e.keyword and e.keyword != "PixelData"}, "meta": meta, "pixels": ds.pixel_array}
+
+
+def dicom_film(path: str, content: bytes, read=None) -> tuple:
+    """Tags that pass, names of dropped tags and meta identifiers, notes, and the film's statistics; or the error."""
+    try:
+        film = (read or _pydicom)(path, content)
+        tags, meta = film["tags"], film.get("meta") or {}
+        lost = [k for k in vocab.FILE_META_IDENTIFIERS if meta.get(k) not in (None, "")]
+        slope, intercept = (float(tags.get(k) or d) for k, d in (("RescaleSlope", 1), ("RescaleIntercept", 0)))
+        inverted = str(tags.get("PhotometricInterpretation", "")).upper() == "MONOCHROME1"
+        a = windowed(np.asarray(film["pixels"]), slope, intercept, inverted)
+        notes = [f"rescaled by {slope:g} and {intercept:g}"] * (slope != 1 or intercept != 0) + ["inverted"] * inverted + [f"dropped file meta: {', '.join(lost)}"] * bool(lost)
+        kept = {k: str(v) for k, v in tags.items() if k in vocab.DICOM_ALLOWED}
+        return path, kept, sorted(k for k in tags if k not in kept), lost, notes, a.shape[1], a.shape[0], float(a.mean()), float(a.std()), symmetry(a), None
+    except Exception as e:
+        return path, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"

@@ -242,8 +242,15 @@ _URI = re.compile(r"data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)")
 
 @F.pandas_udf(StringType())
 def mask_data_uris(s: pd.Series) -> pd.Series:
-    """Each embedded image becomes its type, the start of its digest and its length."""
-    return s.map(lambda x: None if x is None else _URI.sub(lambda m: f"[{m[1]} sha256:{hashlib.sha256(m[2].encode()).hexdigest()[:12]} {len(m[2])}B]", x))
+    """Each embedded image becomes its type, the start of its digest and its length. A text that can't be masked is withheld."""
+
+    def mask(x: str | None) -> str | None:
+        try:
+            return None if x is None else _URI.sub(lambda m: f"[{m[1]} sha256:{hashlib.sha256(m[2].encode()).hexdigest()[:12]} {len(m[2])}B]", x)
+        except Exception:
+            return "[withheld]"
+
+    return s.map(mask)
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -125,3 +126,23 @@ def films(spark: SparkSession, path: str, decode: Callable[[str, bytes], dict] |
 
 def data_uri(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+
+
+FILM = "path string, tags map<string, string>, dropped array<string>, dropped_meta array<string>, notes array<string>, width int, height int, mean double, std double, symmetry double, error string"
+
+
+def dicom_films(spark: SparkSession, path: str, read: Callable[[str, bytes], dict] | None = None) -> DataFrame:
+    """Films of DICOM files with the tags that may pass, the names of those that may not, and what was done to the pixels.
+
+    Tags are scrubbed as the file is read. read gives tags, meta and pixels of a path and its bytes; without it pydicom
+    must be installed. A file that can't be read is a row with its error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..functions import pixels
+
+        for b in batches:
+            yield pd.DataFrame([pixels.dicom_film(p, c, read) for p, c in zip(b["path"], b["content"])], columns=[x.strip().split(" ")[0] for x in re.sub("<[^>]*>", "", FILM).split(",")])
+
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_dicom(F.col("path"))).select("path", "content")
+    return raw.mapInPandas(run, FILM)

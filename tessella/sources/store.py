@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.search import PERSISTED
+from ..operators.search import PERSISTED, without_prefixed
 
 
 def record(states: DataFrame) -> DataFrame:
@@ -97,5 +98,13 @@ def exportable(public_key: str, secret_key: str) -> bool:
     return bool(public_key and secret_key)
 
 
+def export(spans: DataFrame, public_key: str, secret_key: str, write: Callable[[DataFrame], None], routers: tuple[str, ...] = (), texts: tuple[str, ...] = ("text",)) -> bool:
+    """Hands masked spans without those of routers to write; does nothing, and says so, unless both keys are set."""
+    if not exportable(public_key, secret_key):
+        return False
+    write(masked(without_prefixed(spans, "name", routers) if routers else spans, *texts))
+    return True
+
+
 def summary(c: Column) -> Column:
     return F.from_json(c, "study_id string, status string, kappa double")

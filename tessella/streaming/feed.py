@@ -6,6 +6,7 @@ this engine's addition for the `events` feed. Results of a drained stream equal
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,22 @@ def frames(kind: str, stream: DataFrame) -> DataFrame:
     return stream.select(F.concat(F.lit(f"event: {kind}\ndata: "), F.to_json(F.struct("*")), F.lit("\n\n")).alias("frame"))
 
 
+def serve(stream: DataFrame, study_id: str, send: Callable[[str], None], checkpoint: str, order: str = "ts") -> None:
+    """Sends the frames of one study's run to a client: start, a node frame for each event in its order, complete. A run is a handful of rows."""
+    frame = lambda kind, body: f"event: {kind}\ndata: {json.dumps(body, ensure_ascii=False)}\n\n"
+    send(frame("start", {"study_id": study_id}))
+    sent = 0
+
+    def batch(df: DataFrame, n: int) -> None:
+        nonlocal sent
+        for r in frames("node", df.orderBy(order)).toLocalIterator():
+            send(r["frame"])
+            sent += 1
+
+    drain(stream.where(F.col("study_id") == study_id).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint))
+    send(frame("complete", {"study_id": study_id, "nodes": sent}))
+
+
 def alerts_first(findings: DataFrame, on_alert: Callable[[DataFrame, int], None], on_report: Callable[[DataFrame, int], None], checkpoint: str):
     """A streaming query whose batches are triaged, and handed on, before anything is reported from them."""
 

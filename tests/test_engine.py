@@ -309,3 +309,47 @@ def test_running_sums_in_parts_equal_plain_ones(spark):
     for key in ("k",):
         pos, neg = ([s for k, s, p in rows if k == key and p is want] for want in (True, False))
         assert got[key] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)))
+
+
+def test_a_run_is_served_as_frames(spark, tmp_path):
+    rows = [("s", "intake", 1.0), ("s", "report", 3.0), ("t", "intake", 1.0), ("s", "triage", 2.0)]
+    spark.createDataFrame(rows, "study_id string, node string, ts double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("study_id string, node string, ts double").parquet(str(tmp_path / "in"))
+    got = []
+    feed.serve(stream, "s", got.append, str(tmp_path / "cp"))
+    assert [x.split("\n")[0] for x in got] == ["event: start", "event: node", "event: node", "event: node", "event: complete"]
+    assert [json.loads(x.split("data: ")[1])["node"] for x in got[1:4]] == ["intake", "triage", "report"] and '"nodes": 3' in got[-1]
+
+
+def test_spans_leave_masked_or_not_at_all(spark):
+    spans = spark.createDataFrame([("route_a", "x"), ("reader", "Patient: Mary Curie data:image/png;base64,AAAA")], "name string, text string")
+    out = []
+    assert not store.export(spans, "k", "", out.append) and not out
+    assert store.export(spans, "k", "s", out.append, ("route_",))
+    rows = out[0].collect()
+    assert [r["name"] for r in rows] == ["reader"] and "Curie" not in rows[0]["text"] and "AAAA" not in rows[0]["text"] and "image/png" in rows[0]["text"]
+
+
+def test_dicom_films_are_scrubbed_as_they_are_read(spark, tmp_path):
+    for n in ("a.dcm", "b.dicom", "c.png"):
+        (tmp_path / n).write_bytes(b"x")
+
+    def read(path, content):
+        shape = (40, 30) if path.endswith(".dcm") else (2, 40, 30)
+        return {"tags": {"PatientName": "X^Y", "Modality": "CR", "RescaleSlope": "2", "PhotometricInterpretation": "MONOCHROME1"}, "meta": {"ImplementationClassUID": "1.2", "MediaStorageSOPInstanceUID": ""}, "pixels": np.arange(np.prod(shape)).reshape(shape)}
+
+    got = {r["path"].rsplit("/", 1)[1]: r for r in corpus.dicom_films(spark, str(tmp_path), read).collect()}
+    assert set(got) == {"a.dcm", "b.dicom"} and got["b.dicom"]["error"].startswith("ValueError")
+    a = got["a.dcm"]
+    assert "X^Y" not in a["tags"].values() and a["dropped"] == ["PatientName"] and a["dropped_meta"] == ["ImplementationClassUID"] and a["tags"]["Modality"] == "CR"
+    assert a["notes"] == ["rescaled by 2 and 0", "inverted", "dropped file meta: ImplementationClassUID"] and (a["width"], a["height"]) == (30, 40)
+
+
+def test_films_by_plain_arithmetic():
+    flat = pixels.windowed(np.full((8, 8), 7))
+    assert (flat == 0).all() and pixels.symmetry(flat) == 0
+    a = np.arange(1000).reshape(20, 50)
+    low, high = np.percentile(a.astype(np.float32), (0.5, 99.5))
+    assert (pixels.windowed(a) == (np.clip((a.astype(np.float32) - low) / (high - low), 0, 1) * 255).astype(np.uint8)).all()
+    g = pixels.resampled(np.full((300, 200), 9), 16)
+    assert (g == 9).all() and np.allclose(pixels._weights(50, 16).sum(1), 1)
