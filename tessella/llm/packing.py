@@ -41,6 +41,8 @@ CAPACITY = 2_048
 SHARD, ISLANDS, EPOCHS = 8_192, 2, 3
 POPULATION, START, PATIENCE = 12, 4, 10
 WELL, POOR = 0.98, 0.95
+#: Bins at most that a crossover injects: what it displaces is placed anew piece by piece.
+INJECTED = 64
 #: Bins of so many pieces at most take part in trades of pairs: with more pieces in a bin, best fit leaves no room.
 PAIRED = 8
 #: Runs of letters or punctuation, and other words, whose ids a worker remembers twice at most (about 200 bytes each): those met lately, and those met before.
@@ -79,7 +81,7 @@ class Encoder:
 
     #: No ' and no <, > and |: with them, what follows matters (contractions, special tokens).
     MARKS = r"[!-&(-/:;=?@\[\]\\^_`{}~]*"
-    PLAIN = f"^(?P<a>{MARKS})(?P<b>[a-zß-öø-ÿ]+)(?P<c>{MARKS})$"
+    PLAIN = f"^(?P<a>{MARKS})(?P<b>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<c>{MARKS})$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -108,8 +110,9 @@ class Encoder:
         if not len(coded):
             return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
         words = coded.dictionary
-        plain = pc.extract_regex(pc.utf8_lower(words), self.PLAIN)  # null for other words
-        runs = pc.dictionary_encode(pa.concat_arrays([pc.struct_field(plain, k) for k in range(3)]))
+        plain = pc.extract_regex(words, self.PLAIN)  # null for other words; lower case is one letter for one there
+        before, letters, after = (pc.struct_field(plain, k) for k in range(3))
+        runs = pc.dictionary_encode(pa.concat_arrays([before, pc.utf8_lower(letters), after]))
         found = self.parts.all_of(runs.dictionary.to_pylist())
         # each word is three runs; another word is one of its own and two empty ones
         of = pc.fill_null(runs.indices, -1).to_numpy().reshape(3, -1).T.copy()
@@ -117,16 +120,18 @@ class Encoder:
         of[odd] = len(found) + len(odd)
         of[odd, 0] = len(found) + np.arange(len(odd))
         found = [*found, *self.words.all_of(words.take(pa.array(odd)).to_pylist()), b""]
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # a slice has fewer than 2**31 tokens, so 4 bytes do for places
+        length = np.fromiter(map(len, found), np.int32, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
-        offset = np.cumsum(length) - length
+        offset = np.cumsum(length, dtype=np.int32) - length
         at = coded.indices.to_numpy()
-        ends = np.concatenate([[0], np.cumsum(length[of].sum(1)[at])])
+        ends = np.concatenate([[0], np.cumsum(length[of].sum(1, dtype=np.int32)[at], dtype=np.int64)])
         run = of[at].ravel()
         run = run[length[run] > 0]
         own = length[run]
-        ids = flat[np.repeat(offset[run] - np.cumsum(own) + own, own) + np.arange(int(own.sum()))]
-        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
+        place = np.repeat(offset[run] - np.cumsum(own, dtype=np.int32) + own, own)
+        place += np.arange(len(place), dtype=np.int32)
+        return flat[place], ends[np.concatenate([[0], np.cumsum(counts)])]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -142,7 +147,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
         if path not in _ENCODERS:
             _ENCODERS[path] = Encoder(path)
         encoder = _ENCODERS[path]
-        for b in slices(batches, 4_000):
+        for b in slices(batches, 4_000, 6_000_000):
             ids = b.column(0).to_pylist()
             flat, starts = encoder.encode(b.column(1))
             out: list[tuple] = []
@@ -242,9 +247,12 @@ def traded(sizes: np.ndarray, bins: np.ndarray, n: int, loose: np.ndarray, capac
 
 
 def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """a with a random half of b's well-filled bins injected whole."""
+    """a with a random half of b's well-filled bins, INJECTED at most, injected whole."""
     fill = np.bincount(b, sizes)
-    injected = ((fill >= WELL * capacity) & (rng.random(len(fill)) < 0.5))[b]
+    good = np.flatnonzero(fill >= WELL * capacity)
+    injected = np.zeros(len(fill), bool)
+    injected[rng.permutation(good)[: min((len(good) + 1) // 2, INJECTED)]] = True
+    injected = injected[b]
     if not injected.any():
         injected = (np.arange(len(fill)) == int(fill.argmax()))[b]
     hit = np.zeros(a.max() + 1, bool)
