@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch, so that rows with long texts don't fill a worker's memory ten thousand at a time.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8000000")
 
 
 def local_session(app: str = "tessella", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -25,8 +27,13 @@ def local_session(app: str = "tessella", cpus: int | str = "*", **conf: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Gives executors this package, once for each application, so that its functions can be unpickled by name there."""
+    """Gives executors this package, once for each application, so that its functions can be unpickled by name there.
+
+    Bounds Arrow batches by bytes as well, unless the application's configuration does.
+    """
     sc = spark.sparkContext
+    if not sc.getConf().contains(ARROW_BYTES[0]):
+        spark.conf.set(*ARROW_BYTES)
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[1]
         path = os.path.join(tempfile.mkdtemp(prefix="tessella-ship-"), "tessella.zip")
