@@ -39,6 +39,8 @@ LEAF, FANOUT = 256, 8
 QUERY_BLOCK, DATA_BLOCK = 4_096, 16_384
 #: Vectors of the sample, rows of a cell, about, and cells at most.
 SAMPLE, CELL, CELLS = 4_096, 8_192, 1_024
+#: Tasks at most in which pairs of blocks meet.
+MOST_PARTS = 20_000
 #: Of bounds, for rounding: never prunes a tie.
 SLACK = 1e-6
 
@@ -209,6 +211,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
         hit = np.isfinite(s)
         return pd.DataFrame({"query_id": np.repeat(ids, hit.sum(1)), "vec_id": i[hit], "score": s[hit]})
 
+    # a stated number of partitions is not merged: two blocks are little data and much work
+    parts = min(max(1, pairs.count()), MOST_PARTS)
+    left, right = left.repartition(parts, *by), right.repartition(parts, *by)
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(pair, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
