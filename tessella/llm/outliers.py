@@ -11,9 +11,8 @@ half never grows; the start with the smaller one wins. A reweighting step then r
 of any size is never collected, and its parameters are one row that is joined back.
 
 The distance beyond which a vector is rejected comes from the distances of the group itself: SPREAD robust standard
-deviations (from quartiles) of their logarithm above its median. For normal vectors that is about 65, far beyond the
-0.999 chi-square quantile (20.5); where a group's distances have heavier tails, it lies further out. It never
-lies nearer than the 0.999 quantile.
+deviations (from quartiles) of their logarithm above its median. For normal vectors that is about the 0.999 chi-square
+quantile (20.5), the least it can be; where a group's distances have heavier tails, it lies further out.
 
 Defined cases: null or empty text has no words and fails the base rules. Null language or source is a group of its own.
 Groups under MIN_GROUP rows have no estimate of their own: their rows are judged by that of their language over all
@@ -40,8 +39,8 @@ MIN_GROUP = 60
 STEPS = 3
 #: Groups (about 300 bytes each) whose parameters are sent to all tasks.
 BROADCAST_GROUPS = 50_000
-#: Robust standard deviations of the logarithm of squared distances beyond which a vector is rejected.
-SPREAD = 4.0
+#: Robust standard deviations of the logarithm of squared distances beyond which a vector is rejected (2.5 is customary with medians).
+SPREAD = 2.5
 #: The least such distance: the chi-square quantile 0.999, for groups whose rows hardly differ.
 LEAST_CUT = 20.52
 #: Chi-square quantile 0.975 of 5 dimensions, and what makes the scatter within it that of a normal distribution.
