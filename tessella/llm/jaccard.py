@@ -46,6 +46,8 @@ SHARE, COMMON, MOST_COMMON = 8, 3, 500_000
 BUCKETS = 128
 #: Rows of a cell beyond which it is split.
 HOT_ROWS = 4_000
+#: Ways over which the rows of a cell are dealt where they only ask whether it is open.
+SALTS = 8
 #: Keys (8 bytes each) that are sent to all tasks; shuffled beyond.
 BROADCAST_KEYS = 500_000
 
@@ -261,8 +263,10 @@ def classes(keyed: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame
         """Shared cells of these kinds that hold keys not brought together yet, with the keys' roots and histograms."""
         roots = cut(components(edges).withColumnRenamed("node", "key"), "roots")
         rows = shared.where(kinds).drop("hist").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = rows.groupBy("kind", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("kind", "cell")
-        rows = cut(rows.join(open_, ["kind", "cell"], "left_semi"), "open")
+        open_ = rows.groupBy("kind", "cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        # a cell of a large group has many rows: it is met by several tasks
+        salted = open_.select("kind", "cell", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))).alias("salt"))
+        rows = cut(rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(salted, ["kind", "cell", "salt"], "left_semi").drop("salt"), "open")
         return rows.join(prints.select("key", "hist").dropDuplicates(["key"]), "key")
 
     # 1. texts of one fingerprint meet the first of them; linked fingerprints meet by their first texts

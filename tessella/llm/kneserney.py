@@ -49,14 +49,16 @@ LEAST = 5
 QUANTILE = 0.99
 #: Trusted ids (8 bytes each) up to which they are sent to all tasks.
 BROADCAST_IDS = 1_000_000
+#: Bytes and rows of a batch whose n-grams are asked for together.
+BATCH, BATCH_ROWS = 16_000_000, 10_000
 #: Files of a shard.
 FILES = 8
 #: Rows of the model in a shard, about, and batches whose results are in one file, about.
 SHARD_ROWS, BATCHES = 1_500_000, 4
-#: Ways over which the n-grams that ask for one shard are dealt.
-SALTS = 8
-#: Slots by which a task knows n-grams that it has met (8 bytes each).
-MET = 1 << 21
+#: Ways at least over which the n-grams that ask for one shard are dealt; beyond, one for so many batches.
+SALTS, ASKING = 8, 16
+#: Slots by which a task knows n-grams of a language that it has met (8 bytes each).
+MET = 1 << 19
 #: Characters are classes of 12 bits: themselves below 3,072, else one of 1,023 by remainder; 0 stands before a text.
 BITS = 12
 _MASK = np.uint64((1 << BITS) - 1)
@@ -293,6 +295,24 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about BATCH bytes or BATCH_ROWS rows, from smaller ones: the more text, the fewer n-grams are asked for twice."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        out = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+        held.clear()
+        return out
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if held and (sum(x.nbytes for x in held) >= BATCH or sum(x.num_rows for x in held) >= BATCH_ROWS):
+            yield whole()
+    if held:
+        yield whole()
+
+
 def batch_id(b: pa.RecordBatch, text: int, lang: int) -> int:
     h = xxhash.xxh64()
     for s in slices(iter([b.select([b.schema.names[text], b.schema.names[lang]])])):
@@ -326,9 +346,7 @@ class Classifier:
         t, l = docs.columns.index(text), docs.columns.index(lang)
 
         def needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in gathered(batches):
                 name = batch_id(b, t, l)
                 met: dict[str, np.ndarray] = {}
                 found: dict[str, list[np.ndarray]] = {}
@@ -352,10 +370,12 @@ class Classifier:
                 logs = [resolve(unpacked_keys(raw), x, path, s).astype("<f4").tobytes() for x, s, raw in zip(*(b.column(k).to_pylist() for k in (1, 2, 3)))]
                 yield pa.record_batch([*b.columns[:2], b.column(3), pa.array(logs, pa.binary())], names=["batch", "lang", "keys", "logs"])
 
-        asked = docs.mapInArrow(needs, "batch long, lang string, shard int, keys binary").withColumn("salt", F.pmod(F.col("batch"), F.lit(SALTS)))
-        dealt = asked.repartition(shards * SALTS, "shard", "salt").sortWithinPartitions("shard")
-        told = cut(dealt.drop("salt").mapInArrow(answers, "batch long, lang string, keys binary, logs binary"), "answers")
-        folders = max(1, math.ceil(told.select("batch").distinct().count() / BATCHES))
+        asked = cut(docs.mapInArrow(needs, "batch long, lang string, shard int, keys binary"), "asked")
+        batches = asked.select("batch").distinct().count()
+        salts = max(SALTS, math.ceil(batches / ASKING))
+        dealt = asked.withColumn("salt", F.pmod(F.col("batch"), F.lit(salts))).repartition(shards * salts, "shard", "salt").sortWithinPartitions("shard").drop("salt")
+        told = dealt.mapInArrow(answers, "batch long, lang string, keys binary, logs binary")
+        folders = max(1, math.ceil(batches / BATCHES))
         out = fresh(docs.sparkSession, "by-batch")
         told.withColumn("folder", F.pmod(F.col("batch"), F.lit(folders)).cast("int")).repartition(folders, "folder").sortWithinPartitions("folder", "batch").write.partitionBy("folder").parquet(out)
         return out, folders
@@ -418,7 +438,7 @@ def train(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Cla
     answers = made.resolved(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             yield pa.record_batch([b.column(0), pa.array(made.perplexities(b, 1, 0, answers))], names=["lang", "ppl"])
         trim()
 
@@ -444,7 +464,7 @@ def classify(docs: DataFrame, model_: Classifier) -> DataFrame:
     answers = model_.resolved(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             ppl, limit, kept = model_.judge(b, 1, 2, answers)
             yield pa.record_batch([b.column(0).cast(pa.int64()), b.column(2), pa.array(ppl, from_pandas=True), pa.array(limit, pa.float64()), pa.array(kept)], names=["doc_id", "lang", "perplexity", "threshold", "kept"])
         trim()
@@ -458,7 +478,7 @@ def kept_only(docs: DataFrame, model_: Classifier) -> DataFrame:
     answers = model_.resolved(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in gathered(batches):
             yield b.filter(pa.array(model_.judge(b, text, lang, answers)[2]))
         trim()
 
