@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+
+from . import automaton
 
 DIM = 256
 #: Rows up to which one side of a theta join is sent to all tasks; beyond it the sides meet in blocks.
@@ -39,34 +47,119 @@ def bucket(token: Column) -> Column:
     return F.conv(F.right(F.md5(token), F.lit(2)), 16, 10).cast("int")
 
 
+#: Fixed value: words are runs of letters, digits and underscores of any script.
+WORDS = r"[\p{L}\p{N}_]+"
+
+
 def hashed_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, bucket, weight: sparse unit vectors of word counts."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"(\w+)"), F.lit(1)), lambda x: x != "")
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORDS), F.lit(0))
     counts = docs.select(key, F.explode(words).alias("_w")).groupBy(key, bucket(F.col("_w")).alias("bucket")).agg(F.count("*").cast("double").alias("n"))
     norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
-def _tokens(c: Column) -> Column:
-    return F.split(c, "[^0-9A-Za-z]+")
+#: Parts over which the postings of one bucket are dealt, so that no bucket is one task.
+SALTS = 32
 
 
-def contains_join(texts: DataFrame, text: str, truths: DataFrame, value: str) -> DataFrame:
-    """Rows of texts and truths where the text holds the value (empty values never match).
+def top_k_words(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int = 12) -> DataFrame:
+    """query_id, doc_id, sim, rank: the k docs (doc_id, ord, text; both unique) nearest to each query (query_id, text) by hashed words, first by ord on ties of sim rounded to digits.
 
-    A value is filed under its longest inner token (what stands between two other characters is a whole token of every
-    text that holds the value), so a text meets only values that share a token with it. Values without an inner token,
-    few as a rule, are looked for in all texts.
+    The docs' vectors are an inverted index: for each bucket its postings, and the largest weight among them. A query's
+    buckets are sorted by the most that they can add. What a query's first bucket adds to its docs gives a lower bound of
+    the k-th similarity; buckets from the end whose sums cannot reach it bring no candidates, so only postings of the
+    others are read, and only candidates are scored. Docs that share no bucket have similarity 0 and fill up the k.
+    """
+    index = hashed_words(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", "bucket", F.col("weight").alias("d"))
+    index = index.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    asked = hashed_words(queries.select("query_id", "text"), "query_id", "text").select("query_id", "bucket", F.col("weight").alias("q"))
+    most = index.groupBy("bucket").agg(F.max("d").alias("most"))  # 256 rows
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket")
+    bounds = asked.join(F.broadcast(most), "bucket").withColumn("bound", F.col("q") * F.col("most"))
+    bounds = bounds.withColumns({"pos": F.row_number().over(order), "tail": F.sum("bound").over(order.rowsBetween(0, Window.unboundedFollowing))})
+    spread = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = ["bucket", "salt"]
+    first = spread(bounds.where("pos = 1").select("query_id", "bucket", "q")).join(index, on).withColumn("part", F.col("q") * F.col("d"))
+    best = lambda by: Window.partitionBy(*by).orderBy(F.desc("part"))
+    # the k-th best of each part first, so no query's postings come together
+    first = first.withColumn("r", F.row_number().over(best(["query_id", "salt"]))).where(F.col("r") <= k).withColumn("r", F.row_number().over(best(["query_id"]))).where(F.col("r") == k)
+    least = first.select("query_id", F.col("part").alias("least"))
+    needed = bounds.join(least, "query_id", "left").where(F.col("tail") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
+    pairs = spread(needed.select("query_id", "bucket")).join(index.select("doc_id", *on), on).select("query_id", "doc_id").distinct()
+    scored = pairs.join(asked, "query_id").join(index.select("doc_id", "bucket", "d"), ["doc_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("d")), digits).alias("sim"))
+    some = docs.select("doc_id", "ord").orderBy("ord").limit(k)
+    zero = queries.select("query_id").join(F.broadcast(some), F.lit(True)).select("query_id", "doc_id", F.lit(0.0).alias("sim"))
+    # a doc of the filling may be scored as well: its similarity is the larger one
+    whole = scored.unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim")).join(docs.select("doc_id", "ord"), "doc_id")
+    last = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
+    return whole.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
+
+
+#: Bytes of values that are sent to all tasks; beyond it values and texts are dealt over groups that meet in pairs.
+SENT_BYTES, GROUP_BYTES = 16_000_000, 32_000_000
+_AUTOMATA: dict[str, list] = {}
+
+
+def _finders(key: str, values: list[bytes]) -> list:
+    """Automata of values, made once a worker; those of other calls go."""
+    if key not in _AUTOMATA:
+        _AUTOMATA.clear()
+        _AUTOMATA[key] = automaton.automata(values)
+    return _AUTOMATA[key]
+
+
+def _held(key: str, values: list[bytes], texts: list[bytes]) -> list[list[str]]:
+    """For each text the values that it holds."""
+    out: list[list[str]] = [[] for _ in texts]
+    for part, finder in _finders(key, values):
+        for t, k in finder.held(texts):
+            out[t].append(part[k].decode())
+    return [sorted(x) for x in out]
+
+
+def contains_join(texts: DataFrame, text: str, truths: DataFrame, value: str, sent: int = SENT_BYTES, group: int = GROUP_BYTES) -> DataFrame:
+    """Rows of texts and truths (no column in common) where the text holds the value; null and empty values never match.
+
+    All different values are looked for at once by automata (operators/automaton.py), so a text is read once whatever the
+    number, script and shape of the values, and only texts that hold one go on. Values up to sent bytes, which are
+    counted, go to all tasks; more of them are dealt over groups of about group bytes, and every group meets every group
+    of texts.
     """
-    words = F.filter(_tokens(F.col(value)), lambda w: w != "")
-    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) >= 2)
-    filed = truths.where(F.col(value) != "").withColumn("_token", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
-    first = filed.where("_token is not null")
-    asked = first.select("_token").distinct()
-    spread = texts.select("*", F.explode(F.array_distinct(_tokens(F.col(text)))).alias("_token"))
-    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if few:  # tokens nobody asks for go before any shuffle
-        spread = spread.join(F.broadcast(asked), "_token", "left_semi")
-    met = spread.join(F.broadcast(first) if few and first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else first, "_token").where(F.contains(F.col(text), F.col(value))).drop("_token")
-    rest = filed.where("_token is null").drop("_token")
-    return met if rest.isEmpty() else met.unionByName(blocked(texts, rest, F.contains(F.col(text), F.col(value))))
+    named = truths.where(F.col(value) != "")
+    distinct = named.select(F.col(value).cast("string").alias("value")).distinct()
+    size = distinct.agg(F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()[0]
+    names, whole = texts.columns, texts.where(F.col(text).isNotNull())
+    schema = StructType([*whole.schema.fields, StructField("_held", ArrayType(StringType()))])
+    at = names.index(text)
+
+    def tell(b: pa.RecordBatch | pa.Table, key: str, values: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for part in b.to_batches() if isinstance(b, pa.Table) else [b]:
+            for k in range(0, part.num_rows, 256):
+                some = part.slice(k, 256)
+                found = _held(key, values, some.column(at).cast(pa.binary()).to_pylist())
+                some = pa.RecordBatch.from_arrays([*some.columns, pa.array(found, pa.list_(pa.string()))], names=[*some.schema.names, "_held"])
+                yield some.filter(pa.array([bool(x) for x in found]))
+
+    if size <= sent:
+        given = sorted(r[0].encode() for r in distinct.toLocalIterator())
+        key, shared = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast(given)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from tell(b, key, shared.value)
+
+        hits = whole.mapInArrow(scan, schema)
+    else:
+        parts = -(-size // group)
+        slices = max(1, -(-whole.agg(F.sum(F.octet_length(text))).first()[0] // group))
+        dealt = whole.withColumn("_slice", F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in names)), F.lit(slices)).cast("int")).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        asked = distinct.withColumn("_group", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            given = right.column("value").cast(pa.binary()).to_pylist()
+            found = list(tell(left.select(names), uuid.uuid4().hex, given)) if given else []
+            return pa.Table.from_batches(found, to_arrow_schema(schema)) if found else to_arrow_schema(schema).empty_table()
+
+        hits = dealt.groupBy("_group", "_slice").cogroup(asked.groupBy("_group", "_slice")).applyInArrow(meet, schema)
+    return hits.withColumn("_value", F.explode("_held")).drop("_held").join(named, F.col("_value") == F.col(value)).drop("_value")
