@@ -2,13 +2,12 @@
 
 A live client is a function of a batch (a list of prompts, a list of image paths) to replies; it runs in an Arrow UDF that
 is marked nondeterministic, so a plan neither repeats nor moves it, and its output is written before it is used twice.
+With a ledger (plans/ledger.py) no reply is paid for twice, not even by a run that follows one that was killed.
 """
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -18,15 +17,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import Settings
 from ..functions import text, vocab
-
-Replies = Callable[[list[str], list[str]], list[str]]
-RETRIES, TIMEOUT_S = 1, 60
+from .ledger import TIMEOUT_S, Ledger, Replies, ask
 
 # Lines of the offline report writer.
 TECHNIQUE = "本检查为胸部正位（后前位）X线摄片。"
 NEGATIVE = "本次胸部X线摄片未见明显异常征象。"
 RECOMMENDATION = "建议结合临床病史及既往影像资料进一步随诊评估。"
 DISCLAIMER = "本报告由AI生成，须经医师复核后签发。"
+POSITIVE_LINE = "%s：概率约%.2f，提示阳性表现。"
+NEGATIVE_LINE = "%s：概率约%.2f，未见明确异常征象。"
+IMPRESSION = ("胸部X线摄片考虑", "、", "可能。")
 
 
 @dataclass(frozen=True)
@@ -38,53 +38,27 @@ class Clients:
     writer: Replies | None = None
 
 
-def observed(client: Replies, note: Callable[[str, int, float, str | None], None], name: str = "model") -> Replies:
-    """The client, which tells note its name, the size of each batch, the seconds it took and the error if it failed."""
-
-    def run(prompts: list[str], paths: list[str]) -> list[str]:
-        began, error = time.perf_counter(), None
-        try:
-            return client(prompts, paths)
-        except Exception as e:
-            error = f"{type(e).__name__}: {e}"
-            raise
-        finally:
-            note(name, len(prompts), time.perf_counter() - began, error)
-
-    return run
-
-
-def calls(client: Replies, timeout: float = TIMEOUT_S):
-    """An Arrow UDF of prompt and image path to struct<reply, error>; a batch that fails or takes too long is tried once more, then its error is given."""
-
-    def once(prompts: list[str], paths: list[str]) -> list[str]:
-        pool = ThreadPoolExecutor(1)
-        try:
-            out = list(pool.submit(client, prompts, paths).result(timeout))
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
-        if len(out) != len(prompts):
-            raise ValueError(f"{len(out)} replies to {len(prompts)} prompts")
-        return out
+def calls(client: Replies, timeout: float = TIMEOUT_S, size: int = 8):
+    """An Arrow UDF of prompt and image path to struct<reply, error>, in batches of size prompts; one that fails or takes over timeout seconds a prompt is tried once more, then its error is given."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for prompts, paths in batches:
-            said, error = None, None
-            for _ in range(RETRIES + 1):
-                try:
-                    said = once(prompts.tolist(), paths.tolist())
-                    break
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-            n = len(prompts)
-            yield pd.DataFrame({"reply": pd.Series(said if said is not None else [None] * n, dtype=object), "error": pd.Series([None if said is not None else error] * n, dtype=object)})
+            said, errors = [], []
+            for at in range(0, len(prompts), size):
+                some = slice(at, at + size)
+                replies, error = ask(client, prompts[some].tolist(), paths[some].tolist(), timeout)
+                said += replies
+                errors += [error] * len(replies)
+            yield pd.DataFrame({"reply": pd.Series(said, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(run, StructType([StructField("reply", StringType()), StructField("error", StringType())])).asNondeterministic()
 
 
-def answered(rows: DataFrame, client: Replies, prompt: Column, image: Column) -> DataFrame:
-    """rows with said (reply and error). It is kept before it is used, so no plan asks twice: in the folder of spark.checkpoint.dir, or in memory where that is unset."""
+def answered(rows: DataFrame, client: Replies, prompt: Column, image: Column, ledger: Ledger | None = None, name: str = "model", attempt: int = 1) -> DataFrame:
+    """rows with said (reply and error), from the ledger where there is one. Else it is kept before it is used, so no plan asks twice: in the folder of spark.checkpoint.dir, or in memory where that is unset."""
+    if ledger is not None:
+        return ledger.answered(rows, client, prompt, image, name, attempt)
     out = rows.withColumn("said", calls(client)(prompt, image))
     if rows.sparkSession.conf.get("spark.checkpoint.dir", None) or rows.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir"):
         return out.checkpoint()
@@ -112,9 +86,9 @@ def offline_report(found: Column, positive: float = 0.5) -> Column:
     none = F.array().cast("array<string>")
     ids = F.transform(found, lambda f: f["evidence_id"])
     hits = F.filter(found, lambda f: f["prob"] >= positive)
-    line = lambda f: F.when(f["prob"] >= positive, F.format_string("%s：概率约%.2f，提示阳性表现。", f["label"], f["prob"])).otherwise(F.format_string("%s：概率约%.2f，未见明确异常征象。", f["label"], f["prob"]))
-    names = F.array_join(F.array_distinct(F.transform(hits, lambda f: f["label"])), "、")
-    impression = F.when(F.size(hits) > 0, sentence(F.concat(F.lit("胸部X线摄片考虑"), names, F.lit("可能。")), "impression", F.transform(hits, lambda f: f["evidence_id"]))).otherwise(sentence(F.lit(NEGATIVE), "impression", ids))
+    line = lambda f: F.when(f["prob"] >= positive, F.format_string(POSITIVE_LINE, f["label"], f["prob"])).otherwise(F.format_string(NEGATIVE_LINE, f["label"], f["prob"]))
+    names = F.array_join(F.array_distinct(F.transform(hits, lambda f: f["label"])), IMPRESSION[1])
+    impression = F.when(F.size(hits) > 0, sentence(F.concat(F.lit(IMPRESSION[0]), names, F.lit(IMPRESSION[2])), "impression", F.transform(hits, lambda f: f["evidence_id"]))).otherwise(sentence(F.lit(NEGATIVE), "impression", ids))
     advice = F.when(F.size(ids) > 0, F.array(sentence(F.lit(RECOMMENDATION), "recommendation", ids))).otherwise(F.array().cast("array<struct<text: string, section: string, evidence_ids: array<string>>>"))
     return F.concat(F.array(sentence(F.lit(TECHNIQUE), "technique", none)), F.transform(found, lambda f: sentence(line(f), "findings", F.array(f["evidence_id"]))), F.array(impression), advice)
 

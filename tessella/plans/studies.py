@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import replies, text, vocab
 from ..operators import agreement, evidence, findings, retrieval, search
 from . import models
+from .ledger import Ledger
 
 SENT = "array<struct<text: string, section: string, evidence_ids: array<string>>>"
 
@@ -45,9 +46,9 @@ def second_reader(studies: DataFrame) -> DataFrame:
     return rows.select("study_id", F.lit("b").alias("reader"), F.col("ord").cast("long").alias("ord"), "f.label", "f.prob", F.lit("vlm").alias("source"), "f.raw_label", F.lit("").alias("image_ref"), "f.mapped")
 
 
-def live_reader(studies: DataFrame, client: models.Replies) -> tuple[DataFrame, DataFrame, DataFrame]:
+def live_reader(studies: DataFrame, client: models.Replies, ledger: Ledger | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Findings, descriptions and notes of a live second reader. Its prompt holds the indication and the history, never what the first reader found."""
-    said = models.answered(studies.select("study_id", "indication", "history", "image_path"), client, models.reader_b_prompt(F.col("indication"), F.col("history")), F.col("image_path"))
+    said = models.answered(studies.select("study_id", "indication", "history", "image_path"), client, models.reader_b_prompt(F.col("indication"), F.col("history")), F.col("image_path"), ledger, "reader")
     found = said.select("study_id", F.posexplode(replies.findings(F.col("said.reply"))).alias("ord", "f"))
     found = found.select("study_id", F.lit("b").alias("reader"), F.col("ord").cast("long").alias("ord"), F.coalesce("f.label", "f.raw_label").alias("label"), "f.prob", F.lit("vlm").alias("source"), "f.raw_label", F.lit("").alias("image_ref"), F.col("f.label").isNotNull().alias("mapped"))
     told = said.select("study_id", F.posexplode(replies.descriptions(F.col("said.reply"))).alias("ord", "f"))
@@ -56,49 +57,55 @@ def live_reader(studies: DataFrame, client: models.Replies) -> tuple[DataFrame,
     return found, told, said.select("study_id", note.alias("reader_note")).where("reader_note is not null")
 
 
-def passages(labels: DataFrame, guidelines: DataFrame, k: int = 3) -> DataFrame:
-    """label and the texts of the k guidelines (ord, text) nearest to it, by hashed words."""
+def passages(asked: DataFrame, guidelines: DataFrame, k: int = 3) -> DataFrame:
+    """label, kind and the texts of the k guidelines (ord, text) nearest to both words, by hashed words."""
+    query = asked.withColumn("query_id", F.xxhash64("label", "kind")).withColumn("text", F.concat_ws(" ", "label", "kind"))
+    docs = guidelines.select(F.col("ord").alias("doc_id"), "ord", "text")
+    best = retrieval.top_k_words(query.select("query_id", "text"), docs, k).join(docs.select("doc_id", "text"), "doc_id")
+    best = best.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("passages"))
+    return query.select("query_id", "label", "kind").join(best, "query_id").drop("query_id")
 
-    def dense(rows: DataFrame, key: str) -> DataFrame:
-        sparse = retrieval.hashed_words(rows, key, "text").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-        return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(retrieval.DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("v"))
 
-    asked = dense(labels.select("label", F.regexp_replace("label", "(?<=[a-z])(?=[A-Z])", " ").alias("text")), "label").select(F.col("label").alias("query_id"), F.col("v").alias("q"))
-    docs = dense(guidelines.select("ord", "text"), "ord").select(F.col("ord").alias("doc_id"), F.col("v").alias("d"), "ord")
-    best = retrieval.top_k(asked, docs, k).join(guidelines.select(F.col("ord").alias("doc_id"), "text"), "doc_id")
-    return best.groupBy(F.col("query_id").alias("label")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("passages"))
-
-
-def live_arbiter(judged: DataFrame, client: models.Replies, guidelines: DataFrame | None, films: DataFrame) -> DataFrame:
+def live_arbiter(judged: DataFrame, client: models.Replies, guidelines: DataFrame | None, films: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """judged with the verdict of a live judge for what is funded; a call that fails is uncertain."""
     asked = judged.where("funded")
     none = F.array().cast("array<string>")
-    asked = asked.withColumn("passages", none) if guidelines is None else asked.join(passages(asked.select("label").distinct(), guidelines), "label", "left").withColumn("passages", F.coalesce("passages", none))
+    if guidelines is None:
+        asked = asked.withColumn("passages", none)
+    else:
+        found = passages(asked.select("label", "kind").distinct(), guidelines)
+        if ledger is not None and ledger.trace is not None:
+            found = ledger.trace.watch(found, "retrieve-guidelines", F.concat_ws(" ", "label", "kind"), output_chars=F.length(F.array_join("passages", "")))
+        asked = asked.join(found, ["label", "kind"], "left").withColumn("passages", F.coalesce("passages", none))
     asked = asked.join(films.select("study_id", "image_path"), "study_id")
-    said = models.answered(asked.select("study_id", "position", "image_path", models.arbiter_prompt(asked).alias("prompt")), client, F.col("prompt"), F.col("image_path"))
+    said = models.answered(asked.select("study_id", "position", "image_path", models.arbiter_prompt(asked).alias("prompt")), client, F.col("prompt"), F.col("image_path"), ledger, "arbiter")
     verdict = F.when(F.col("said.error").isNotNull(), "UNCERTAIN").otherwise(replies.verdict(F.col("said.reply")))
     return judged.join(said.select("study_id", "position", verdict.alias("verdict")), ["study_id", "position"], "left")
 
 
-def live_draft(out: DataFrame, client: models.Replies) -> DataFrame:
-    """out with the draft of a live writer where it has every section; else the offline draft stays, with a note."""
-    through = out.where(~F.col("blocked") & F.col("qc_ok"))
-    said = models.answered(through.select("study_id", "image_path", models.report_prompt(F.col("findings")).alias("prompt")), client, F.col("prompt"), F.col("image_path"))
+def live_draft(out: DataFrame, client: models.Replies, ledger: Ledger | None = None, attempt: int = 1) -> DataFrame:
+    """out with the draft of a live writer where it has every section; else the draft stays, with a note. Rows with retried are asked in the second attempt, and fall back to the offline draft."""
+    through = out.where(~F.col("blocked") & F.col("qc_ok") & (F.lit(True) if attempt == 1 else F.col("retried")))
+    said = models.answered(through.select("study_id", "image_path", models.report_prompt(F.col("findings")).alias("prompt")), client, F.col("prompt"), F.col("image_path"), ledger, "writer", attempt)
     wrote = replies.draft_sentences(F.col("said.reply"))
     said = said.select("study_id", wrote.alias("wrote"), F.col("said.error").alias("error"), F.lit(True).alias("asked"))
     complete = F.col("wrote").isNotNull() & (F.size(F.array_except(F.array(*map(F.lit, vocab.SECTIONS)), F.transform("wrote", lambda s: s["section"]))) == 0)
     why = F.when(F.col("error").isNotNull(), F.concat(F.lit("report writer failed: "), F.col("error"))).otherwise(F.lit("the written report lacked a section"))
-    both = out.join(said, "study_id", "left").withColumn("ok", F.coalesce(complete, F.lit(False)))
-    note = F.coalesce("asked", F.lit(False)) & ~F.col("ok")
-    return both.withColumns({"notes": F.when(note, F.array_append("notes", why)).otherwise(F.col("notes")), "draft": F.when(F.col("ok"), F.col("wrote")).otherwise(F.col("draft"))}).drop("wrote", "error", "ok", "asked")
+    both = out.join(said, "study_id", "left").withColumns({"ok": F.coalesce(complete, F.lit(False)), "asked": F.coalesce("asked", F.lit(False))})
+    offline = models.offline_report(F.col("findings")) if attempt > 1 else F.col("draft")
+    draft = F.when(F.col("ok"), F.col("wrote")).when(F.col("asked"), offline).otherwise(F.col("draft"))
+    return both.withColumns({"notes": F.when(F.col("asked") & ~F.col("ok"), F.array_append("notes", why)).otherwise(F.col("notes")), "draft": draft}).drop("wrote", "error", "ok", "asked")
 
 
-def evidence_check(drafts: DataFrame, rewrite: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Drafts (draft, known) with a bounded retry: a draft with a violation is written once more, what still violates is stripped."""
+def evidence_check(drafts: DataFrame, rewrite: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Drafts (draft, known) with a bounded retry: those with a violation (retried) are written once more, what still violates is stripped.
+
+    rewrite: gives the drafts back, with new ones where retried.
+    """
     bad = lambda d: F.size(d) != F.size(evidence.checked(d, F.col("known")))
     again = drafts.withColumn("retried", bad(F.col("draft")))
     if rewrite is not None:
-        again = again.withColumn("draft", F.when(F.col("retried"), rewrite(F.col("draft"))).otherwise(F.col("draft")))
+        again = rewrite(again)
     ok = evidence.checked(F.col("draft"), F.col("known"))
     return again.withColumn("removed", F.size("draft") - F.size(ok)).withColumn("draft", ok)
 
@@ -117,17 +124,20 @@ def status(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("status", F.when(F.col("blocked"), "GUARDRAIL_BLOCKED").when(~F.col("qc_ok"), "NEEDS_REPEAT").when(F.size("alerts") > 0, "CRITICAL_ESCALATED").when(F.col("held"), "HELD").when(gate, "DRAFT_READY").otherwise("HELD"))
 
 
-def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), verdicts: Callable[[DataFrame], Column] | None = None, clients: models.Clients = models.Clients(), guidelines: DataFrame | None = None) -> DataFrame:
-    """One row a study: status, alerts, kappa, disagreements, draft, disclaimer, removed, notes, budget_spent.
+def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), verdicts: Callable[[DataFrame], Column] | None = None, clients: models.Clients = models.Clients(), guidelines: DataFrame | None = None, ledger: Ledger | None = None) -> DataFrame:
+    """One row a study: status, alerts, kappa, disagreements, draft, disclaimer, removed, retried, notes, budget_spent.
 
-    clients: live models in place of the offline stand-ins; guidelines (ord, text): what the live judge may look up.
+    clients: live models in place of the offline stand-ins; guidelines (ord, text): what the live judge may look up;
+    ledger: where replies are kept. Live settings without clients raise: they never fall back to the stand-ins.
     """
+    if settings.use_live_models and None in (clients.reader, clients.arbiter, clients.writer):
+        raise ValueError("live models are asked for, but a client is missing")
     seen = controlled(scrubbed(intake(studies)), settings)
     through = seen.where(~F.col("blocked") & F.col("qc_ok"))  # readers only see what passes
     a = first.join(through.select("study_id"), "study_id", "left_semi").select("study_id", F.lit("a").alias("reader"), "ord", "label", "prob", F.lit("cnn").alias("source"), F.col("label").alias("raw_label"), "image_ref", text.canonical(F.col("label"), ascii_only=True).isNotNull().alias("mapped"))
     b, told, noted = second_reader(through), None, None
     if clients.reader is not None:
-        b, told, noted = live_reader(through, clients.reader)
+        b, told, noted = live_reader(through, clients.reader, ledger)
     both = a.unionByName(b)
     alerts = findings.triage(both.withColumn("ord", F.col("ord") + F.when(F.col("reader") == "b", F.lit(1_000_000)).otherwise(0)), settings.critical_threshold)
     alerts = alerts.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("label", "prob", "source", "image_ref"))).alias("alerts"))
@@ -142,7 +152,7 @@ def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), v
     disputes = m.where("kind <> 'agree'" if not describing else "false").select("study_id", "label", "a_prob", "b_prob", "kind", "in_vocabulary", F.lit(0).alias("late")).unionByName(strange).withColumn("ord", F.struct("late", "label"))
     judged = findings.budget(disputes, settings.max_judgments)
     if clients.arbiter is not None:
-        judged = live_arbiter(judged, clients.arbiter, guidelines, through)
+        judged = live_arbiter(judged, clients.arbiter, guidelines, through, ledger)
     else:
         judged = judged.withColumn("verdict", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")) if verdicts is None else verdicts(judged))
     judged = judged.withColumn("verdict", F.when(F.col("funded"), F.col("verdict")).otherwise("UNARBITRATED"))
@@ -163,9 +173,13 @@ def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), v
     out = out.withColumn("known", F.transform("findings", lambda f: f["evidence_id"])).withColumn("draft", models.offline_report(F.col("findings"))).withColumn("disclaimer", F.lit(models.DISCLAIMER))
     if noted is not None:
         out = out.join(noted, "study_id", "left").withColumn("notes", F.when(F.col("reader_note").isNotNull(), F.array_append("notes", F.col("reader_note"))).otherwise(F.col("notes"))).drop("reader_note")
+    rewrite = None
     if clients.writer is not None:
-        out = live_draft(out, clients.writer)
-    return status(language_guard(evidence_check(out)))
+        out = live_draft(out, clients.writer, ledger)
+        rewrite = lambda rows: live_draft(rows, clients.writer, ledger, attempt=2)
+    # the offline writer's second draft is its first, and studies that were stopped have no writer
+    checked = evidence_check(out, rewrite).withColumn("retried", F.col("retried") & ~F.col("blocked") & F.col("qc_ok"))
+    return status(language_guard(checked))
 
 
 def timeline(trace: DataFrame) -> DataFrame:
@@ -194,6 +208,3 @@ def scores(states: DataFrame) -> DataFrame:
     wide = states.select("study_id", F.size("alerts").cast("double").alias("alerts"), F.col("budget_spent").cast("double").alias("calls"), F.size(F.filter("findings", lambda f: f["needs_human"])).cast("double").alias("needs_human"), F.coalesce(F.size("disagreements"), F.lit(0)).cast("double").alias("disagreements"), "kappa")
     return wide.unpivot(["study_id"], ["alerts", "calls", "needs_human", "disagreements", "kappa"], "name", "value").where("value is not null")
 
-
-def order_of_runs(study: str = "study_id") -> Window:
-    return Window.partitionBy(study).orderBy(F.desc("created_at"))
