@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import replies, rules, text, vocab
 from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
 from ..sources import corpus, store
-from ..streaming import feed
-from . import models, studies
+from ..streaming import channels, feed
+from . import ledger, models, session, studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -508,12 +508,44 @@ def vector_topk(spark, d):
     return retrieval.top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), docs, 3, 6)
 
 
-@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM benchmark), b AS (SELECT item_id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) AS bucket, count(*) * 1e0 AS n FROM w GROUP BY ALL)
+@query(r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM benchmark), b AS (SELECT item_id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) AS bucket, count(*) * 1e0 AS n FROM w GROUP BY ALL)
   SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM b""")
 def hash_embed(spark, d):
     return retrieval.hashed_words(_t(spark, d, "benchmark"), "item_id", "text").withColumn("weight", _r("weight"))
 
 
+@query(r"""WITH w AS (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) FROM benchmark),
+  b AS (SELECT side, id, CAST(('0x' || right(md5(w), 2)) AS INTEGER) AS bucket, count(*) * 1e0 AS n FROM w GROUP BY ALL), v AS (SELECT side, id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY side, id)) AS weight FROM b),
+  s AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.weight * d.weight), 9) AS sim FROM v q JOIN v d USING (bucket) WHERE q.side = 'q' AND d.side = 'd' GROUP BY 1, 2),
+  a AS (SELECT item_id AS query_id, documents.doc_id AS doc_id, coalesce(sim, 0) AS sim FROM benchmark CROSS JOIN documents LEFT JOIN s ON s.query_id = item_id AND s.doc_id = documents.doc_id)
+  SELECT query_id, a.doc_id, round(sim, 6) AS sim, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM a) a WHERE rank <= 5""")
+def indexed_retrieval_topk(spark, d):
+    asked = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = _t(spark, d, "documents").select("doc_id", F.col("doc_id").alias("ord"), "text")
+    return retrieval.top_k_words(asked, docs, 5, 9).withColumn("sim", _r("sim"))
+
+
+@query("SELECT conv_id, turn, CAST(length(text) AS VARCHAR) || ':' || left(text, 3) AS reply, false AS failed FROM conversations")
+def ledger_replies(spark, d):
+    """Replies of a stand-in that is asked through a ledger: each different text once."""
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    kept = ledger.Ledger(spark, session.scratch(spark, "ledger"), shards=16, batch=64)
+    said = kept.answered(rows, lambda prompts, paths: [f"{len(p)}:{p[:3]}" for p in prompts], F.col("text"), F.lit(""))
+    return said.select("conv_id", "turn", F.col("said.reply").alias("reply"), F.col("said.error").isNotNull().alias("failed"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS study_id, event_type AS channel, count(*) AS n, count(DISTINCT event_id % 3) AS writers, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id % 3, event_id)) AS items FROM events GROUP BY 1, 2""")
+def run_channels(spark, d):
+    """Events as updates of three writers to their users' channels, through the keyed state of a stream."""
+    stream = feed.events(spark, f"{d}/events.parque[t]")  # a pattern, as the table may be a file, which streams don't take
+    updates = stream.select(F.col("user_id").cast("string").alias("study_id"), F.col("event_type").alias("channel"), (F.col("event_id") % 3).cast("string").alias("writer"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("string").alias("item"))
+    at = session.scratch(spark, "channels")
+    feed.drain(channels.once_a_batch(channels.channels(updates, "3650 days"), f"{at}/out", f"{at}/checkpoint"))
+    got = spark.read.schema(channels.CHANGE).parquet(f"{at}/out").where("kind = 'appended'").withColumn("seq", F.col("seq").cast("long"))
+    items = F.transform(F.sort_array(F.collect_list(F.struct("ts", "writer", "seq", "item"))), lambda x: x["item"])
+    return got.groupBy("study_id", "channel").agg(F.count("*").alias("n"), F.count_distinct("writer").alias("writers"), F.sha2(F.array_join(items, ","), 256).alias("items"))
+
+
 def _scored(spark, d):
     return _t(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("score"), (F.col("label") < 3).alias("positive"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,16 @@ def local_session(app: str = "tessella", cpus: int | str = "*", **conf: str) ->
     return SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=base | conf).getOrCreate()
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share: that of spark.checkpoint.dir, or one of our own where that is unset (local masters only)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return f"{named.rstrip('/')}/tessella/{what}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Gives executors this package, once for each application, so that its functions can be unpickled by name there.
 
