@@ -146,6 +146,13 @@ PAGE = "<html><head><title>T</title><script>var a='</p><article>';</script></hea
         ("<article><p>unclosed <b>bold<p>next</article>", "unclosed bold next"),
         ("<article></article>", ""),
         ("<article><!-- c --><p>a<!-- d -->b<style>p{}</style></article>", "ab"),
+        ("<article><p>a<script src=//cdn/>var x=1;</script>b<script async/>y</script ><style/>p{}</style></article>", "ab"),
+        ("<article><p>a<object data=x></p><p>b</p><p>c<svg><path d='m0'><text>no</text></p><p>d</article>", "a b c d"),
+        ("<article><p>a</p><svg><g><title>no</title><p>b</p><svg/><math/>c<canvas>no</canvas><p>d<template><p>no</template></p></article>", "a b c d"),
+        ("<article><p>a<!-- x --!>b<!-->c<!--->d<!----!>e<!-- - -- -->f<noscript><img>no</noscript></article>", "abcdef"),
+        ("<article><p class='related-work'>a</p><div class='header-image'>b</div><p id=shared-memory>c</p><p class='lead comment-theory'>d</p></article>", "a b c d"),
+        ("<article>a<div class='x ad-container'>no</div><ul class='share-buttons'><li>no</ul><div id=comments_list>no</div><div class='related-posts wide'>no</div><p class='newsletter'>no</p></article>", "a"),
+        ("<div class='header-image'>no</div><article><p>a<script>if (a </script-b>) x</script>b</article>", "ab"),
     ],
 )
 def test_main_text(body, text):
@@ -153,7 +160,7 @@ def test_main_text(body, text):
     assert " ".join(b for b, k in zip(page.blocks, page.kinds) if k == htmltext.CONTENT) == text
 
 
-@pytest.mark.parametrize("bad", ["<a ", "<a x=\"", "<p \" > ' ", "</script", "<script>", "<div><b>", "</p>", "<![CDATA[", "<!--", "&lt", "<a '\">"])
+@pytest.mark.parametrize("bad", ["<a ", "<a x=\"", "<p \" > ' ", "</script", "<script>", "<div><b>", "</p>", "<![CDATA[", "<!--", "&lt", "<a '\">", "<svg>", "<svg><p>", "<object>", "<!-->", "<!--->x", "<math><b>", "<script/>", "<p class='ad x-y'>"])
 def test_odd_pages_take_linear_time(bad):
     began = time.perf_counter()
     htmltext.parse("<article>x</article>" + bad * (1_000_000 // len(bad)))
@@ -220,11 +227,12 @@ def test_counted_heads_against_brute_force():
 
 def test_suffix_array_against_brute_force():
     rng = np.random.default_rng(2)
-    streams = [rng.integers(1 << 63, (1 << 63) + 4, n, dtype=np.uint64) for n in (30, 25, 3, 0, 40)]
-    heads = [[tuple(s[i : i + 4]) for i in range(len(s) - 3)] for s in streams]
-    got = htmltext.repeated_heads(streams, np.array([1, 1, 1, 1, 2]), 4)
-    for k, h in enumerate(heads):
-        assert [bool(x) for x in got[k]] == [k == 4 or any(x in o for j, o in enumerate(heads) if j != k) for x in h]
+    for depth in (1, 2, 4, 6):
+        s = rng.integers(0, 3, 60).astype(np.uint64)
+        heads = [tuple(s[i : i + depth]) for i in range(60)]
+        array, rank = htmltext.suffix_array(s, depth)
+        assert sorted(array) == list(range(60)) and [heads[i] for i in array] == sorted(heads)
+        assert all((heads[i] == heads[j]) == (rank[i] == rank[j]) for i in range(60) for j in range(60))
 
 
 def test_toxicity(spark):
