@@ -57,16 +57,16 @@ def peak(heat: np.ndarray) -> tuple[float, float, float] | None:
     if heat.max() <= 0:
         return None
     y, x = np.unravel_index(int(heat.argmax()), heat.shape)
-    share = float((heat >= heat.max() / 2).mean())
-    return (x + 0.5) / heat.shape[1], (y + 0.5) / heat.shape[0], float(np.sqrt(share / np.pi))
+    rows, columns = np.nonzero(heat >= heat.max() / 2)
+    span = max(np.ptp(rows) + 1, np.ptp(columns) + 1) / (2 * max(heat.shape))
+    return (x + 0.5) / heat.shape[1], (y + 0.5) / heat.shape[0], float(np.clip(span, 0.0, 1.0))
 
 
 def decoded(path: str, content: bytes) -> np.ndarray:
     if path.lower().endswith((".dcm", ".dicom")):
-        import pydicom
-
-        ds = pydicom.dcmread(io.BytesIO(content))
-        return windowed(ds.pixel_array, float(getattr(ds, "RescaleSlope", 1)), float(getattr(ds, "RescaleIntercept", 0)), ds.PhotometricInterpretation == "MONOCHROME1")
+        film = _dicom(path, content)
+        tags = film["tags"]
+        return windowed(np.asarray(film["pixels"]), float(tags.get("RescaleSlope") or 1), float(tags.get("RescaleIntercept") or 0), tags.get("PhotometricInterpretation") == "MONOCHROME1")
     from PIL import Image
 
     return np.asarray(Image.open(io.BytesIO(content)).convert("L"))
@@ -80,9 +80,19 @@ def describe(path: str, content: bytes, decode=None) -> tuple:
         return path, None, None, None, None, None, f"{type(e).__name__}: {e}"
 
 
-def _pydicom(path: str, content: bytes) -> dict:
-    import pydicom
+def _dicom(path: str, content: bytes) -> dict:
+    """Tags, meta and pixels; pydicom, where it is installed, reads what our own reader does not."""
+    from ..sources import dicom
 
+    try:
+        return dicom.read(path, content)
+    except ValueError as e:
+        if "transfer syntax" not in str(e):
+            raise
+        try:
+            import pydicom
+        except ImportError:
+            raise e from None
     ds = pydicom.dcmread(io.BytesIO(content))
     meta = {e.keyword: str(e.value) for e in getattr(ds, "file_meta", ())}
     return {"tags": {e.keyword: str(e.value) for e in ds if e.keyword and e.keyword != "PixelData"}, "meta": meta, "pixels": ds.pixel_array}
@@ -91,7 +101,7 @@ def _pydicom(path: str, content: bytes) -> dict:
 def dicom_film(path: str, content: bytes, read=None) -> tuple:
     """Tags that pass, names of dropped tags and meta identifiers, notes, and the film's statistics; or the error."""
     try:
-        film = (read or _pydicom)(path, content)
+        film = (read or _dicom)(path, content)
         tags, meta = film["tags"], film.get("meta") or {}
         lost = [k for k in vocab.FILE_META_IDENTIFIERS if meta.get(k) not in (None, "")]
         slope, intercept = (float(tags.get(k) or d) for k, d in (("RescaleSlope", 1), ("RescaleIntercept", 0)))

@@ -237,7 +237,9 @@ def weak_labels(mesh: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(mesh, lambda m: canonical(F.trim(F.split(m, "/")[0]), ascii_only=True))))
 
 
-_URI = re.compile(r"data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]+)")
+#: What counts as an embedded image, and what stands for it.
+_URI = re.compile(r"data:([\w.+-]+/[\w.+-]+);base64,([A-Za-z0-9+/=]{32,})")
+_MASK = "[MASKED {} · sha256:{} · {} b64 chars]"
 
 
 @F.pandas_udf(StringType())
@@ -246,7 +248,7 @@ def mask_data_uris(s: pd.Series) -> pd.Series:
 
     def mask(x: str | None) -> str | None:
         try:
-            return None if x is None else _URI.sub(lambda m: f"[{m[1]} sha256:{hashlib.sha256(m[2].encode()).hexdigest()[:12]} {len(m[2])}B]", x)
+            return None if x is None else _URI.sub(lambda m: _MASK.format(m[1], hashlib.sha256(m[2].encode()).hexdigest()[:12], len(m[2])), x)
         except Exception:
             return "[withheld]"
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies, rules, text, vocab
 from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
-from ..sources import corpus, store
+from ..sources import archives, corpus, store
 from ..streaming import channels, feed
 from . import ledger, models, session, studies
 
@@ -546,6 +546,14 @@ def run_channels(spark, d):
     return got.groupBy("study_id", "channel").agg(F.count("*").alias("n"), F.count_distinct("writer").alias("writers"), F.sha2(F.array_join(items, ","), 256).alias("items"))
 
 
+@query("SELECT CAST(page_id AS VARCHAR) AS member, true AS complete, octet_length(encode(coalesce(html, ''))) AS size, sha256(coalesce(html, '')) AS digest FROM pages")
+def archive_members(spark, d):
+    """Every page through a compressed archive and back by the data source."""
+    at = session.scratch(spark, "archives")
+    archives.write(_t(spark, d, "pages"), at, "page_id", "html")
+    return archives.films(spark, at, "member", "size", "complete", "content").select("member", "complete", "size", F.sha2("content", 256).alias("digest"))
+
+
 def _scored(spark, d):
     return _t(spark, d, "embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("score"), (F.col("label") < 3).alias("positive"))
 
@@ -864,7 +872,7 @@ def event_frames(spark, d):
     return framed.select(F.regexp_extract("frame", '"event_id":([0-9]+)', 1).cast("long").alias("event_id"), "frame")
 
 
-@query("""SELECT page_id, sha256('data:text/html;base64,' || to_base64(encode(html))) AS uri, sha256('x [text/html sha256:' || substr(sha256(to_base64(encode(html))), 1, 12) || ' ' || strlen(to_base64(encode(html))) || 'B] y') AS masked FROM pages WHERE html IS NOT NULL AND html <> ''""")
+@query("""SELECT page_id, sha256('data:text/html;base64,' || to_base64(encode(html))) AS uri, sha256('x [MASKED text/html · sha256:' || substr(sha256(to_base64(encode(html))), 1, 12) || ' · ' || strlen(to_base64(encode(html))) || ' b64 chars] y') AS masked FROM pages WHERE html IS NOT NULL AND html <> ''""")
 def image_uris(spark, d):
     uri = corpus.data_uri(F.lit("text/html"), F.encode("html", "UTF-8"))
     flat = F.regexp_replace(uri, "[\r\n]", "")

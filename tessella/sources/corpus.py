@@ -134,9 +134,25 @@ FILM = "path string, tags map<string, string>, dropped array<string>, dropped_me
 def dicom_films(spark: SparkSession, path: str, read: Callable[[str, bytes], dict] | None = None) -> DataFrame:
     """Films of DICOM files with the tags that may pass, the names of those that may not, and what was done to the pixels.
 
-    Tags are scrubbed as the file is read. read gives tags, meta and pixels of a path and its bytes; without it pydicom
-    must be installed. A file that can't be read is a row with its error.
+    Tags are scrubbed as the file is read. read gives tags, meta and pixels of a path and its bytes; without it
+    sources/dicom.py reads plain little-endian files, and pydicom, if installed, others. A file that can't be read is a
+    row with its error. For films in archives see archived_films.
     """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_dicom(F.col("path"))).select("path", "content")
+    return scrubbed_films(raw, read)
+
+
+def archived_films(spark: SparkSession, path: str, read: Callable[[str, bytes], dict] | None = None) -> tuple[DataFrame, DataFrame]:
+    """FILM of the whole DICOM members of archives, and, apart, members and archives that are cut off, with the reason."""
+    from . import archives
+
+    members = archives.films(spark, path, "archive", "member", "complete", "content", "error")
+    at = F.concat_ws("/", "archive", "member").alias("path")
+    return scrubbed_films(members.where(F.col("complete") & is_dicom(F.col("member"))).select(at, "content"), read), members.where(~F.col("complete")).select("archive", "member", F.col("error").alias("reason"))
+
+
+def scrubbed_films(raw: DataFrame, read: Callable[[str, bytes], dict] | None = None) -> DataFrame:
+    """FILM of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from ..functions import pixels
@@ -144,5 +160,4 @@ def dicom_films(spark: SparkSession, path: str, read: Callable[[str, bytes], dic
         for b in batches:
             yield pd.DataFrame([pixels.dicom_film(p, c, read) for p, c in zip(b["path"], b["content"])], columns=[x.strip().split(" ")[0] for x in re.sub("<[^>]*>", "", FILM).split(",")])
 
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(is_dicom(F.col("path"))).select("path", "content")
     return raw.mapInPandas(run, FILM)

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -93,7 +94,9 @@ def test_redact(spark):
 
 
 def test_masked_images(spark):
-    assert one(spark, "x data:image/png;base64,AAAA y", lambda c: text.mask_data_uris(c)).startswith("x [image/png sha256:")
+    assert one(spark, f"x data:image/png;base64,{'A' * 32} y", lambda c: text.mask_data_uris(c)) == f"x [MASKED image/png · sha256:{hashlib.sha256(b'A' * 32).hexdigest()[:12]} · 32 b64 chars] y"
+    short = f"x data:image/png;base64,{'A' * 31} y"
+    assert one(spark, short, lambda c: text.mask_data_uris(c)) == short
 
 
 @pytest.mark.parametrize(
