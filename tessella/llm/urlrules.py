@@ -8,10 +8,10 @@ url's tokens fetch candidates, and only candidates run their regular expressions
 candidates everywhere.
 
 Site rules (host, path) are filed in the same way, under the rarest token of their host and path; the longest that fits
-a url decides. read_rules() reads both kinds from a filter list. Otherwise the pattern rules decide: block if a block pattern fits and no allow pattern does, else allow.
+a url decides. read_rules() reads patterns from a filter list. Otherwise the pattern rules decide: block if a block pattern fits and no allow pattern does, else allow.
 
 Token counts cover all urls but keep only tokens of the rules, so both they and the index are bounded by the rule list,
-which every worker holds (about 1 kB a rule).
+which is broadcast once (about 1 kB a rule: lists of some hundred thousand rules, not of rules that grow with the pages).
 
 Defined cases: a null url or one without :// has empty host and path, no rule, verdict allow. Repeated rows are judged
 alike, null page_ids pass through, extra columns are ignored, empty tables give an empty result.
@@ -113,19 +113,41 @@ def site_tokens(rule: Site) -> list[str]:
     return [*_TOKEN.findall(rule.host), *(m[0] for m in _TOKEN.finditer(path) if m.end() < len(path))]
 
 
-def read_rules(lines: Iterable[str]) -> tuple[tuple[Site, ...], tuple[Pattern, ...]]:
-    """Rules of a filter list: `@@` before a rule allows, `||host^` and `||host/path` are site rules, `!` and `[` begin comments, options after `$` are left out."""
-    sites, patterns = [], []
+#: Options of a rule that don't narrow what it fits here.
+PLAIN_OPTIONS = {"important", "all", "doc", "document"}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """What a filter list holds: its url rules, and how many lines of each kind were left out, as a url alone can't decide them."""
+
+    patterns: tuple[Pattern, ...]
+    skipped: dict[str, int]
+
+
+def read_rules(lines: Iterable[str]) -> Rules:
+    """Rules of a filter list, which read a url in any case. `@@` before a rule allows, `!` and `[` begin comments.
+
+    A scheme at a rule's start is left off, as patterns begin with the host. Lines are skipped and counted that hide
+    elements (`##`, `#@#` and the like), are regular expressions (`/.../`) or have options that narrow them
+    (`$third-party`, `$domain=`, types of requests).
+    """
+    patterns, skipped = [], defaultdict(int)
     for line in map(str.strip, lines):
-        if not line or line[0] in "![" or "##" in line:
+        if not line or line[0] in "![":
+            continue
+        if re.search(r"#[@?$%]*#", line):
+            skipped["element"] += 1
             continue
         verdict = "allow" if line.startswith("@@") else "block"
-        body = line.removeprefix("@@").split("$", 1)[0].translate(_FOLD)
-        if m := re.fullmatch(r"\|\|([a-z0-9.-]+)(?:\^|(/[^*^|]*))", body):
-            sites.append(Site(m[1], m[2] or "/", verdict))
-        elif body:
-            patterns.append(Pattern(body, verdict))
-    return tuple(sites), tuple(patterns)
+        body, _, options = line.removeprefix("@@").partition("$")
+        if len(body) > 1 and body[0] == body[-1] == "/" and re.search(r"[\\^$*+?()|{}\[\]]", body.strip("/")):
+            skipped["expression"] += 1
+        elif options and not {o.strip() for o in options.split(",")} <= PLAIN_OPTIONS:
+            skipped["options"] += 1
+        elif text := re.sub(r"^(\|?)[a-z*]+://", r"\1", body.translate(_FOLD)).strip():
+            patterns.append(Pattern(text, verdict))
+    return Rules(tuple(patterns), dict(skipped))
 
 
 def token_counts(pages: DataFrame, wanted: list[str]) -> dict[str, int]:
@@ -177,11 +199,11 @@ class Index:
 def filter_urls(pages: DataFrame, sites: tuple[Site, ...] = SITES, patterns: tuple[Pattern, ...] = PATTERNS) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern, candidates for every page."""
     wanted = sorted({*(t for p in patterns for t in literal_tokens(p.text)), *(t for s in sites for t in site_tokens(s))})
-    index = Index(sites, patterns, token_counts(pages, wanted))
+    index = pages.sparkSession.sparkContext.broadcast(Index(sites, patterns, token_counts(pages, wanted)))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         split = [parts(u) for u in b.column(1).to_pylist()]
-        rule, verdict, pattern, n = zip(*(index.judge(*x) for x in split))
+        rule, verdict, pattern, n = zip(*(index.value.judge(*x) for x in split))
         host, path = zip(*split)
         columns = [b.column(0).cast(pa.int64()), *(pa.array(x, pa.string()) for x in (host, path, rule, verdict, pattern)), pa.array(n, pa.int32())]
         return pa.record_batch(columns, names=["page_id", "host", "path", "rule", "verdict", "pattern", "candidates"])

@@ -103,13 +103,35 @@ def test_mcd_against_plain_numpy(spark):
 
 
 def test_rule_files():
-    sites, patterns = urlrules.read_rules(["! comment", "[Adblock]", "", "||Ads.example.com^", "@@||good.org/path/$image", "/banner/*.gif|", "x.com##.ad", "@@^ok^"])
-    assert sites == (urlrules.Site("ads.example.com", "/", "block"), urlrules.Site("good.org", "/path/", "allow")) and patterns == (urlrules.Pattern("/banner/*.gif|"), urlrules.Pattern("^ok^", "allow"))
+    lines = ["! comment", "[Adblock]", "", "||Ads.example.com^", "@@||good.org/path/$image", "/banner/*.gif|", "x.com##.ad", "ex.com#@#.ad", "y.com#?#.b", "@@^ok^", "|http://start.org/", "||x.com/Ads/", "/ad[0-9]+/", "||w.net^$third-party,important", "||v.net^$important", "/adverts/"]
+    found = urlrules.read_rules(lines)
+    block = ("||ads.example.com^", "/banner/*.gif|", "|start.org/", "||x.com/ads/", "||v.net^", "/adverts/")
+    assert {p.text for p in found.patterns if p.verdict == "block"} == {*block} and [p.text for p in found.patterns if p.verdict == "allow"] == ["^ok^"]
+    assert found.skipped == {"element": 3, "options": 2, "expression": 1}
+    listed = urlrules.Index((), found.patterns, {})
+    verdict = lambda url: listed.judge(*urlrules.parts(url))[1]
+    assert [verdict(u) for u in ("http://ads.example.com", "http://a.ads.example.com:80/x", "http://x.com/Ads/1", "https://start.org/z", "http://a.com/adverts/")] == ["block"] * 5
+    assert [verdict(u) for u in ("http://start.org.de/", "http://w.net/", "http://ads.example.community/", "http://x.com/adverts/ok/")] == ["allow"] * 4
     index = urlrules.Index(urlrules.SITES, urlrules.PATTERNS, {"net": 50, "com": 60, "es": 2, "fr": 3, "en": 5, "example": 9, "www": 70})
     where = {r.name: t for t, rules in index.by_token.items() for r in rules if isinstance(r, urlrules.Site)}
     assert where == {"com/": "com", "example.com/en/": "en", "www.example.com/en/": "en", "net/es/": "es", "net/fr/": "fr"}
 
 
+def test_thousands_of_rules_against_every_rule_on_every_url(spark):
+    rng = np.random.default_rng(7)
+    words = [f"{a}{b}" for a in ("ad", "shop", "news", "track", "img", "x") for b in range(60)]
+    pick = lambda: str(rng.choice(words))
+    lines = [f"{'@@' if rng.random() < 0.1 else ''}{rng.choice(['||{}.{}^', '/{}/{}/', '^{}^*^{}^', '|{}.{}/', '/{}-{}.', '{}={}', '||{}.org/{}', '.{}.{}|'])}".format(pick(), pick()) for _ in range(3_000)]
+    patterns = urlrules.read_rules(lines).patterns
+    rows = [(k, "http://" + "{}.{}/{}/{}-{}.{}={}".format(*(pick() for _ in range(7)))[: int(rng.integers(8, 60))]) for k in range(300)]
+    got = {r["page_id"]: (r["verdict"], r["candidates"]) for r in urlrules.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (), patterns).collect()}
+    every = [(re.compile(urlrules.regex_of(p.text), re.S), p.verdict) for p in patterns]
+    for k, url in rows:
+        fits = {v for e, v in every if e.search("".join(urlrules.parts(url)))}
+        assert got[k][0] == ("block" if "block" in fits and "allow" not in fits else "allow")
+    assert sum(n for _, n in got.values()) < 0.2 * len(patterns) * len(rows)
+
+
 def test_url_filter_equals_every_rule_on_every_url(spark):
     assert_same(urlrules.op2_url_filter(spark, SF), urlrules.oracle())
 
