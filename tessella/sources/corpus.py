@@ -77,8 +77,9 @@ def gold_cases(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.inline("cases"))
 
 
-def phi_samples(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", "true").schema(schemas.PHI).json(path)
+def phi_samples(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Samples of a JSON array, or of files with one in each line, as store.write_json leaves them."""
+    return spark.read.option("multiLine", str(not lines).lower()).schema(schemas.PHI).json(path)
 
 
 def guidelines(spark: SparkSession, path: str) -> DataFrame:

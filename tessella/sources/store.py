@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ def record(states: DataFrame) -> DataFrame:
     return states.select("run_id", "study_id", "status", "created_at", F.size("alerts").alias("alert_count"), F.to_json(F.struct(*kept)).alias("payload"))
 
 
+RUNS = "run_id string, study_id string, status string, created_at double, alert_count int, payload string"
+
+
 class MemoryStore:
     """Runs of this session, by name of a view."""
 
@@ -34,16 +38,42 @@ class MemoryStore:
 
 
 class TableStore:
-    """Runs as Parquet under path, a folder a day."""
+    """Runs as Parquet under path: a folder a day, in it one for each of SHARDS hash values of the run id, in it one for each batch.
+
+    A batch that is written again replaces its own rows, so a stream's batches may run twice. A lookup by run id reads one
+    shard, where a bloom filter on the id passes over row groups that do not hold it.
+    """
+
+    SHARDS = 16
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def append(self, states: DataFrame) -> None:
-        record(states).withColumn("day", F.to_date(F.timestamp_seconds("created_at"))).write.mode("append").partitionBy("day").parquet(self.path)
+    @classmethod
+    def shard(cls, run_id: Column) -> Column:
+        return F.pmod(F.xxhash64(run_id), F.lit(cls.SHARDS)).cast("int")
+
+    def append(self, states: DataFrame, batch: str | int | None = None) -> None:
+        """Rows of a numbered batch, or of one of its own."""
+        name = uuid.uuid4().hex if batch is None else str(batch)
+        rows = record(states).withColumns({"day": F.to_date(F.timestamp_seconds("created_at")), "shard": self.shard(F.col("run_id")), "batch": F.lit(f"b{name}")})
+        write = rows.repartition("day", "shard").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        write.option("parquet.bloom.filter.enabled#run_id", "true").option("parquet.bloom.filter.expected.ndv#run_id", "100000").partitionBy("day", "shard", "batch").parquet(self.path)
+
+    def sink(self, states: DataFrame, checkpoint: str):
+        """The streaming query, to be started, that appends a stream of states; a batch that runs again adds nothing."""
+        return states.writeStream.foreachBatch(lambda df, n: self.append(df, n)).option("checkpointLocation", checkpoint)
+
+    def _whole(self) -> DataFrame:
+        return self.spark.read.schema(f"{RUNS}, day date, shard int, batch string").parquet(self.path)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.path).drop("day")
+        return self._whole().drop("day", "shard", "batch")
+
+    def get(self, run_id: str, day: str | None = None) -> DataFrame:
+        """The run with that id: read from its shard, and of its day alone if that is given."""
+        rows = self._whole().where((F.col("shard") == self.shard(F.lit(run_id))) & (F.col("run_id") == run_id))
+        return (rows if day is None else rows.where(F.col("day") == F.to_date(F.lit(day)))).drop("day", "shard", "batch")
 
 
 def open_store(spark: SparkSession, kind: str, path: str = "") -> MemoryStore | TableStore:
@@ -105,6 +135,3 @@ def export(spans: DataFrame, public_key: str, secret_key: str, write: Callable[[
     write(masked(without_prefixed(spans, "name", routers) if routers else spans, *texts))
     return True
 
-
-def summary(c: Column) -> Column:
-    return F.from_json(c, "study_id string, status string, kappa double")
