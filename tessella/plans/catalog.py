@@ -16,7 +16,7 @@ from ..functions import replies, rules, text, vocab
 from ..operators import agreement, calibrate, evidence, findings, gates, retrieval, search
 from ..sources import archives, corpus, store
 from ..streaming import channels, feed
-from . import ledger, models, session, studies
+from . import dashboard, ledger, models, session, studies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -885,9 +885,22 @@ def film_completeness(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", corpus.pixels_complete(F.col("l_extendedprice"), F.col("l_quantity"), F.lit(10), F.lit(20), F.lit(16)).alias("complete"), corpus.is_dicom(path).alias("dicom"))
 
 
-@query(f"""WITH {_READ}, t AS (SELECT study_id, to_timestamp(0) AS x, count(*) AS n FROM r GROUP BY 1) SELECT study_id, 'DRAFT_READY' AS status, CAST(n AS INTEGER) AS shown FROM t""")
+@query(f"""WITH {_MATCH}, v AS (SELECT *, CASE WHEN kind = 'unique' THEN 'UNCERTAIN' WHEN kind = 'magnitude' THEN 'CONFIRM' WHEN coalesce(greatest(a_prob, b_prob), 0) >= 0.6 THEN 'CONFIRM' ELSE 'REJECT' END AS verdict FROM g),
+  d AS (SELECT study_id, string_agg(label || ':' || coalesce(CAST(CAST(round(a_prob * 1000000) AS BIGINT) AS VARCHAR), '-') || ':' || coalesce(CAST(CAST(round(b_prob * 1000000) AS BIGINT) AS VARCHAR), '-') || ':' || CASE WHEN kind = 'agree' THEN 'agreed' ELSE kind || '/' || verdict END, ',' ORDER BY label) AS dual FROM v GROUP BY 1),
+  t AS (SELECT study_id, CASE WHEN count(*) >= 2 THEN (max(ord) - min(ord)) * 1000e0 END AS latency_ms, arg_min(label, ord) AS first_node, count(*) FILTER (WHERE reader = 'a') AS n_a, count(DISTINCT label) AS evidence, count(DISTINCT label) FILTER (WHERE label IN ('error', 'purchase') AND prob >= 0.3) AS n_alerts FROM r GROUP BY 1)
+  SELECT study_id, CASE WHEN n_alerts > 0 THEN 'CRITICAL_ESCALATED' ELSE 'DRAFT_READY' END AS status, n_alerts > 0 AS blocked, dual, least(n_a, 1) AS loci, greatest(n_a - 1, 0) AS elsewhere, evidence, n_alerts, latency_ms, first_node FROM d JOIN t USING (study_id)""")
 def study_dashboard(spark, d):
-    rows = readings(spark, d)
-    states = rows.groupBy("study_id").agg(F.collect_list(F.struct("label", "prob")).alias("findings")).select("study_id", F.lit("DRAFT_READY").alias("status"), F.lit(False).alias("blocked"), F.array().alias("alerts"), F.array().alias("disagreements"), F.array().alias("draft"), F.lit("").alias("disclaimer"), F.lit(1.0).alias("kappa"), "findings")
+    """A study's display film is the first that the first reader saw; every reading of theirs has a locus."""
+    rows = readings(spark, d).withColumns({"locus": F.struct(F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.1).alias("r")), "mapped": F.lit(True), "source": F.lit("cnn")})
+    m = _merged(spark, d).where("kind <> 'agree'").withColumn("verdict", findings.offline_verdict(F.col("kind"), F.col("a_prob"), F.col("b_prob")))
+    argued = m.groupBy("study_id").agg(F.collect_list(F.struct(F.lit(1).alias("position"), "label", "kind", "verdict", "in_vocabulary", "a_prob", "b_prob")).alias("disagreements"))
+    alerts = findings.triage(rows, 0.3, CRITICAL).groupBy("study_id").agg(F.collect_list(F.struct("label", "prob")).alias("alerts"))
+    seen = rows.groupBy("study_id").agg(F.collect_list(F.struct(F.concat_ws(":", "source", "label").alias("evidence_id"), "label", "prob")).alias("findings"), F.min(F.when(F.col("reader") == "a", F.col("ord"))).cast("string").alias("image_path"))
+    states = seen.join(argued, "study_id", "left").join(alerts, "study_id", "left").withColumns({"status": F.when(F.col("alerts").isNotNull(), "CRITICAL_ESCALATED").otherwise("DRAFT_READY"), "kappa": F.lit(1.0), "draft": F.array(), "disclaimer": F.lit(""), "removed": F.lit(0), "budget_spent": F.lit(0)})
     trace = rows.select("study_id", F.col("label").alias("node"), F.col("ord").cast("double").alias("ts"))
-    return studies.dashboard(states, trace).select("study_id", "dashboard.status", F.size("dashboard.findings").alias("shown"))
+    out = dashboard.dashboard(states, trace, rows).select("study_id", "dashboard.*")
+    prob = lambda p: F.coalesce(F.round(p * 1_000_000).cast("long").cast("string"), F.lit("-"))
+    line = lambda x: F.concat_ws(":", x["label"], prob(x["a_prob"]), prob(x["b_prob"]), F.when(x["agreed"], "agreed").otherwise(F.concat_ws("/", x["kind"], x["verdict"])))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    return out.select("study_id", "status", "blocked", F.array_join(F.transform("dual_read.rows", line), ",").alias("dual"), F.size("image.loci").cast("long").alias("loci"), F.col("image.loci_on_other_views").cast("long").alias("elsewhere"),
+        F.size("report.evidence_map").cast("long").alias("evidence"), F.when(F.col("critical.alerts").isNull(), F.lit(0)).otherwise(size("critical.alerts")).cast("long").alias("n_alerts"), F.col("audit.latency_ms").alias("latency_ms"), F.get("critical.timeline", F.lit(0))["node"].alias("first_node"))

@@ -166,7 +166,7 @@ def run(studies: DataFrame, first: DataFrame, settings: Settings = Settings(), v
             told = b.where("mapped").select("study_id", "label", F.col("raw_label").alias("text"), "ord")
         final = agreement.describe(final, told)
     per = final.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("rank", "evidence_id", "label", "prob", "source", "needs_human", "notes"))).alias("findings"), F.bool_or("needs_human").alias("held"))
-    argued = judged.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("position", "label", "kind", "verdict", "in_vocabulary"))).alias("disagreements"), F.count_if("funded").alias("budget_spent"))
+    argued = judged.groupBy("study_id").agg(F.sort_array(F.collect_list(F.struct("position", "label", "kind", "verdict", "in_vocabulary", "a_prob", "b_prob"))).alias("disagreements"), F.count_if("funded").alias("budget_spent"))
     out = seen.join(alerts, "study_id", "left").join(k.select("study_id", "kappa"), "study_id", "left").join(argued, "study_id", "left").join(per, "study_id", "left")
     empty = F.array().cast("array<struct<rank: int, evidence_id: string, label: string, prob: double, source: string, needs_human: boolean, notes: array<string>>>")
     out = out.withColumns({"findings": F.coalesce("findings", empty), "held": F.coalesce("held", F.lit(False)), "budget_spent": F.coalesce("budget_spent", F.lit(0)), "alerts": F.coalesce("alerts", F.array().cast("array<struct<label: string, prob: double, source: string, image_ref: string>>"))})
@@ -188,11 +188,6 @@ def timeline(trace: DataFrame) -> DataFrame:
     return trace.groupBy("study_id").agg(F.when(F.count("*") >= 2, (F.max("ts") - F.min("ts")) * 1000).alias("latency_ms"), (at("critical_triage") < at("report_writer")).alias("alert_first"))
 
 
-def dashboard(states: DataFrame, trace: DataFrame) -> DataFrame:
-    """Everything a page about a study shows, as one struct."""
-    return states.join(timeline(trace), "study_id", "left").select("study_id", F.struct("status", "blocked", "alerts", "disagreements", "draft", "disclaimer", "kappa", "findings", "latency_ms", "alert_first").alias("dashboard"))
-
-
 def ranked_primary(views: DataFrame) -> DataFrame:
     return findings.ranked_films(views).where("rank = 1")
 

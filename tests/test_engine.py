@@ -10,7 +10,7 @@ from tessella import config, gate
 from tessella.config import Settings
 from tessella.functions import pixels
 from tessella.operators import agreement, calibrate, evidence, findings, gates, retrieval, search
-from tessella.plans import films, models, studies
+from tessella.plans import dashboard, films, models, studies
 from tessella.sources import corpus, store
 from tessella.streaming import feed
 
@@ -97,6 +97,23 @@ def test_pipeline_statuses(spark):
     assert studies.scores(out).where("study_id = 's1' and name = 'alerts'").first()["value"] == 1
 
 
+def test_dashboard_of_a_run(spark):
+    who, first = cases(spark)
+    states = studies.run(who, first).cache()
+    second = studies.second_reader(studies.controlled(studies.scrubbed(studies.intake(who)), Settings())).drop("source")
+    raw = first.withColumn("reader", F.lit("a")).withColumn("locus", F.struct(F.lit(0.5).alias("cx"), F.lit(0.25).alias("cy"), F.lit(0.1).alias("r"))).unionByName(second, allowMissingColumns=True)
+    trace = spark.createDataFrame([("s1", "critical_triage", 1.0), ("s1", "report_writer", 3.5), ("s3", "intake", 1.0)], "study_id string, node string, ts double")
+    pixels_of = spark.createDataFrame([("f.png", b"abc")], "path string, content binary")
+    got = {r["study_id"]: r["dashboard"] for r in dashboard.dashboard(states, trace, raw, pixels_of).collect()}
+    s1, s2, s3 = got["s1"], got["s2"], got["s3"]
+    assert len(got) == 5 and s1["status"] == "CRITICAL_ESCALATED" and s1["blocked"] and not s3["blocked"]
+    assert [(x["label"], x["a_prob"], x["b_prob"], x["agreed"]) for x in s1["dual_read"]["rows"]] == [("PleuralEffusion", 0.95, 0.9, True)]
+    assert s1["image"]["data_url"] == "data:image/png;base64,YWJj" and s1["image"]["loci"] == [] and s1["image"]["loci_on_other_views"] == 1  # the locus is on film f
+    assert s1["critical"]["alert_first"] and [e["node"] for e in s1["critical"]["timeline"]] == ["critical_triage", "report_writer"] and s1["audit"]["latency_ms"] == 2500
+    assert s3["report"]["evidence_map"]["vlm:Cardiomegaly"]["prob"] == 0.9 and s3["audit"]["notes"] == ["possible injection: instruction_override"] and s3["audit"]["latency_ms"] is None
+    assert s2["audit"]["qc"]["ok"] and s2["image"]["path"] == "" and got["s4"]["audit"]["qc"]["issues"] == ["low_resolution"]
+
+
 def test_retry_then_strip(spark):
     rows = spark.createDataFrame([([("t", "findings", ["x"]), ("u", "findings", ["y"]), ("v", "technique", [])], ["x"])], "draft array<struct<text: string, section: string, evidence_ids: array<string>>>, known array<string>")
     r = studies.evidence_check(rows).first()
