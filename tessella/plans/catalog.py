@@ -411,7 +411,27 @@ def redact_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.redact(F.col("text")).alias("clean"), "text").select("doc_id", F.sha2("clean", 256).alias("clean"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
-@query()
+def _scrub_sql(table: str, keys: str) -> str:
+    """The rules for identifiers one after the other, for an engine without lookarounds: what stands beside a value is matched and put back, twice, as two values may share it.
+
+    Left out is the one rule that looks ahead inside its value (surnames in Chinese after a label), which these tables don't meet.
+    """
+    left, right, edge = "(?<![0-9A-Za-z])", "(?![0-9A-Za-z])", "[^0-9A-Za-z]"
+    steps = [f"s0 AS (SELECT {keys}, text AS source, coalesce(text, '') AS t, '' AS f FROM {table})"]
+    for kind, value, context in rules.IDENTIFIERS:
+        inner = value.removeprefix(left).removesuffix(right)
+        if "(?=" in inner:
+            continue
+        # a bounded value after a context needs no left edge: every context ends with a blank, a colon or nothing in a word
+        before = f"({context})" if context else f"(^|{edge})" if value.startswith(left) else "()"
+        after = f"($|{edge})" if value.endswith(right) else "()"
+        pattern = f"{before}(?:{inner})".replace("'", "''") + after
+        sub = lambda t: rf"regexp_replace({t}, '{pattern}', '\1[REDACTED:{kind}]\2', 'g')"  # noqa: B023, E731
+        steps.append(f"s{len(steps)} AS (SELECT {keys}, source, {sub(sub('t'))} AS t, f || CASE WHEN regexp_matches(t, '{pattern}') THEN ',{kind}' ELSE '' END AS f FROM s{len(steps) - 1})")
+    return f"WITH {', '.join(steps)} SELECT {keys}, CASE WHEN f = '' THEN [] ELSE string_split(f[2:], ',') END AS fired, sha256(source) AS before, sha256(t) AS after FROM s{len(steps) - 1}"
+
+
+@query(_scrub_sql("conversations", "conv_id, turn"))
 def scrub_text(spark, d):
     now, fired = text.scrub(F.col("text"))
     return _t(spark, d, "conversations").select("conv_id", "turn", fired.alias("fired"), F.sha2(F.col("text"), 256).alias("before"), F.sha2(now, 256).alias("after"))
@@ -675,30 +695,42 @@ def findings_of_replies(spark, d):
     return _t(spark, d, "events").select("event_id", F.inline(replies.findings(reply))).select("event_id", "label", "prob")
 
 
-_VERDICTS = ('{"verdict": "reject"}', "I confirm, though others reject", "hm", 'Thinking {x} then {"verdict": "REJECT"}')
+_GIVEN, _FREE = ("confirm", "REJECT ", "maybe"), ("I Confirm that, though others reject it", "others (reject)", "preconfirmed, unrejected")
 
 
-@query("""SELECT event_id, ['REJECT', 'CONFIRM', 'UNCERTAIN', 'REJECT'][1 + event_id % 4] AS verdict FROM events""")
+@query(rf"""WITH r AS (SELECT conv_id, turn, upper(trim(({[*_GIVEN]})[1 + conv_id % 3])) AS given, upper(CASE WHEN turn % 3 = 1 THEN text || ' ' || ({[*_FREE]})[1 + conv_id % 3] ELSE text END) AS said FROM conversations)
+  SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND given IN ('CONFIRM', 'REJECT') THEN given WHEN regexp_matches(said, '\bCONFIRM\b') THEN 'CONFIRM' WHEN regexp_matches(said, '\bREJECT\b') THEN 'REJECT' ELSE 'UNCERTAIN' END AS verdict FROM r""")
 def verdict_of_replies(spark, d):
-    said = F.get(F.array(*map(F.lit, _VERDICTS)), (F.col("event_id") % 4).cast("int"))
-    return _t(spark, d, "events").select("event_id", replies.verdict(said).alias("verdict"))
+    """Replies made of each turn's text: an object with a verdict and the text as its reasoning, the text with a judgment after it, or the text alone."""
+    pick = lambda words: F.get(F.array(*map(F.lit, words)), (F.col("conv_id") % 3).cast("int"))
+    whole = F.concat(F.lit("Well: "), F.to_json(F.struct(pick(_GIVEN).alias("verdict"), F.col("text").alias("reasoning"))))
+    said = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.concat_ws(" ", "text", pick(_FREE))).otherwise(F.col("text"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", replies.verdict(said).alias("verdict"))
 
 
-@query("""SELECT p_partkey, ['technique', 'findings', 'impression', 'recommendation'] AS sections, 4 AS sentences, p_retailprice > 1000 AS positive FROM part""")
+@query(f"""WITH {_READ}, e AS (SELECT study_id, label, max(least(floor(prob * 100 + 1e-9), 100)) / 100e0 AS prob FROM r GROUP BY 1, 2),
+  f AS (SELECT study_id, string_agg('findings|' || label || CASE WHEN prob >= 0.5 THEN printf('{models.POSITIVE_LINE[2:]}', prob) ELSE printf('{models.NEGATIVE_LINE[2:]}', prob) END || '|cnn:' || label, chr(10) ORDER BY label) AS lines,
+    string_agg(label, '{models.IMPRESSION[1]}' ORDER BY label) FILTER (WHERE prob >= 0.5) AS named, string_agg('cnn:' || label, ',' ORDER BY label) FILTER (WHERE prob >= 0.5) AS cited, string_agg('cnn:' || label, ',' ORDER BY label) AS ids FROM e GROUP BY 1)
+  SELECT study_id, sha256('technique|{models.TECHNIQUE}|' || chr(10) || lines || chr(10) || 'impression|' || CASE WHEN named IS NULL THEN '{models.NEGATIVE}|' || ids ELSE '{models.IMPRESSION[0]}' || named || '{models.IMPRESSION[2]}|' || cited END || chr(10) || 'recommendation|{models.RECOMMENDATION}|' || ids) AS report, named IS NOT NULL AS positive FROM f""")
 def offline_report(spark, d):
-    found = F.array(F.struct(F.lit("cnn:Mass").alias("evidence_id"), F.lit("Mass").alias("label"), F.when(F.col("p_retailprice") > 1000, 0.9).otherwise(0.1).alias("prob")))
-    draft = models.offline_report(found)
-    rows = _t(spark, d, "part").select("p_partkey", draft.alias("s"))
-    return rows.select("p_partkey", F.array_distinct(F.transform("s", lambda x: x["section"])).alias("sections"), F.size("s").alias("sentences"), F.exists("s", lambda x: x["text"].contains("可能")).alias("positive"))
+    """The whole report of each study over what was read of it."""
+    best = readings(spark, d).groupBy("study_id", "label").agg((F.max(F.least(F.floor(F.col("prob") * 100 + 1e-9), F.lit(100))) / F.lit(100e0)).alias("prob"))
+    found = best.groupBy("study_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "prob"))), lambda x: F.struct(F.concat(F.lit("cnn:"), x["label"]).alias("evidence_id"), x["label"].alias("label"), x["prob"].alias("prob"))).alias("found"))
+    draft = found.select("study_id", models.offline_report(F.col("found")).alias("s"))
+    line = lambda x: F.concat_ws("|", x["section"], x["text"], F.array_join(x["evidence_ids"], ","))
+    return draft.select("study_id", F.sha2(F.array_join(F.transform("s", line), "\n"), 256).alias("report"), F.exists("s", lambda x: (x["section"] == "impression") & x["text"].contains(models.IMPRESSION[2])).alias("positive"))
 
 
-@query("""WITH k AS (SELECT * FROM (VALUES (0, 2, true), (1, 0, false)) v(k, n_removed, retried)) SELECT p_partkey, n_removed AS removed, retried, n_removed = 0 AS complete FROM part JOIN k ON p_partkey % 2 = k""")
+@query("""WITH b AS (SELECT l_orderkey, CAST(l_linenumber % 4 <> 0 AND (l_quantity > 45 OR p_partkey IS NULL) AS INTEGER) AS bad FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 40) ON l_partkey = p_partkey)
+  SELECT l_orderkey, sum(bad) AS removed, max(bad) = 1 AS retried, count(*) - sum(bad) AS left FROM b GROUP BY 1""")
 def evidence_retry_and_strip(spark, d):
-    s = lambda section, *ids: F.struct(F.lit("x").alias("text"), F.lit(section).alias("section"), F.array(*map(F.lit, ids)).cast("array<string>").alias("evidence_ids"))
-    bad = F.array(s("technique"), s("findings", "e1"), s("findings", "gone"), s("impression"))
-    good = F.array(s("technique"), s("findings", "e1"), s("impression", "e1"))
-    rows = _t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, bad).otherwise(good).alias("draft"), F.array(F.lit("e1")).alias("known"))
-    return studies.evidence_check(rows).select("p_partkey", "removed", "retried", (F.size("draft") == 3).alias("complete"))
+    """An order is a draft, its lines are sentences that cite a part, or nothing where the quantity is large; parts of a small size are known."""
+    rows = _t(spark, d, "lineitem").join(_t(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("known")), F.col("l_partkey") == F.col("known"), "left")
+    section = F.get(F.array(*map(F.lit, vocab.SECTIONS)), (F.col("l_linenumber") % 4).cast("int"))
+    cited = F.when(F.col("l_quantity") <= 45, F.array(F.col("l_partkey").cast("string"))).otherwise(F.array().cast("array<string>"))
+    sentence = F.struct(F.col("l_linenumber").cast("string").alias("text"), section.alias("section"), cited.alias("evidence_ids"))
+    drafts = rows.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(sentence)).alias("draft"), F.collect_set(F.col("known").cast("string")).alias("known"))
+    return studies.evidence_check(drafts).select("l_orderkey", F.col("removed").cast("long").alias("removed"), "retried", F.size("draft").cast("long").alias("left"))
 
 
 @query("""WITH c AS (SELECT contains(lower(text), 'the') AS must_block, contains(text, 'the') AS blocked, turn > 0 AS disclaimed FROM conversations), a AS (SELECT count(*) AS n_cases, avg(CAST(blocked AS INTEGER)) FILTER (WHERE must_block) AS block_rate,
@@ -830,17 +862,29 @@ def study_intake(spark, d):
     return studies.intake(rows).select("conv_id", "turn", "blocked", "notes")
 
 
-@query("SELECT conv_id, turn, sha256(coalesce(text, '')) AS sha FROM conversations")
+@query(_scrub_sql("documents", "doc_id"))
 def scrubbed_digests(spark, d):
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("indication"), F.lit("").alias("history"))
-    return studies.scrubbed(rows).select("conv_id", "turn", F.col("indication_sha").alias("sha"))
+    rows = _t(spark, d, "documents").select("doc_id", F.col("text").alias("indication"), F.lit("").alias("history"))
+    return studies.scrubbed(rows).select("doc_id", F.col("indication_fired").alias("fired"), F.col("indication_sha").alias("before"), F.sha2("indication", 256).alias("after"))
+
+
+_COMMITS = ("Diagnosed: mass.", "We rule out a mass", "Treat  with oxygen,", "prescribed for", "明确诊断为肺炎。建议尽快手术。", "no mass,", "Mass IS RULED OUT and", "excludes the possibility")
+
+
+def _neutral_sql(t: str) -> str:
+    for p, to in rules.NEUTRAL:
+        t = f"regexp_replace({t}, '{p}', '{to}', 'g')"
+    return t
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'without evidence of mass' ELSE 'clear' END AS said, CASE WHEN p_partkey % 3 = 0 THEN 'AI 生成，医师复核' ELSE '本报告由AI生成，须经医师复核后签发。' END AS disclaimer FROM part""")
+@query(f"""WITH c AS (SELECT conv_id, turn, ({[*_COMMITS]})[1 + (conv_id + turn) % {len(_COMMITS)}] || ' ' || coalesce(text, '') AS t, CASE WHEN turn % 3 = 0 THEN 'AI 生成，医师复核' ELSE 'none' END AS disclaimer FROM conversations)
+  SELECT conv_id, turn, sha256(CASE WHEN {" OR ".join(f"regexp_matches(t, '(?i){p}')" for _, p in rules.REDLINES if "(?!" not in p)} THEN {_neutral_sql('t')} ELSE t END) AS said, CASE WHEN turn % 3 = 0 THEN disclaimer ELSE '{models.DISCLAIMER}' END AS disclaimer FROM c""")
 def language_guard(spark, d):
-    s = F.struct(F.when(F.col("p_partkey") % 2 == 0, "rule out mass").otherwise("clear").alias("text"), F.lit("findings").alias("section"), F.array(F.lit("e")).alias("evidence_ids"))
-    rows = _t(spark, d, "part").select("p_partkey", F.array(s).alias("draft"), F.when(F.col("p_partkey") % 3 == 0, "AI 生成，医师复核").otherwise("none").alias("disclaimer"))
-    return studies.language_guard(rows).select("p_partkey", F.col("draft")[0]["text"].alias("said"), "disclaimer")
+    """Each turn's text behind words that commit, or don't. (The rule with a lookahead is left out of the SQL: its words are met by another.)"""
+    said = F.concat_ws(" ", F.get(F.array(*map(F.lit, _COMMITS)), ((F.col("conv_id") + F.col("turn")) % len(_COMMITS)).cast("int")), F.coalesce("text", F.lit("")))
+    s = F.struct(said.alias("text"), F.lit("findings").alias("section"), F.array(F.lit("e")).alias("evidence_ids"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.array(s).alias("draft"), F.when(F.col("turn") % 3 == 0, "AI 生成，医师复核").otherwise("none").alias("disclaimer"))
+    return studies.language_guard(rows).select("conv_id", "turn", F.sha2(F.col("draft")[0]["text"], 256).alias("said"), "disclaimer")
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'GUARDRAIL_BLOCKED' WHEN p_partkey % 7 = 0 THEN 'NEEDS_REPEAT' WHEN p_partkey % 5 = 0 THEN 'CRITICAL_ESCALATED' WHEN p_partkey % 3 = 0 THEN 'HELD' WHEN p_partkey % 2 = 0 THEN 'DRAFT_READY' ELSE 'HELD' END AS status FROM part""")
