@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -82,14 +83,53 @@ def is_negated(c: Column) -> Column:
     return _fits(trimmed(c), vocab.NEGATED_LABEL)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Characters that Unicode keeps for programs' own use, one for each rule for identifiers; they vanish from texts.
+_MARKS = "".join(chr(0xFDD0 + k) for k in range(len(rules.IDENTIFIERS)))
+
+
+def _need(value: str, context: str) -> str:
+    """What a text must hold for a rule to match: the rule's context, a digit, a caret, or the names of institutions that end its value."""
+    return r"\d" if r"\d" in value else context or (r"\^" if r"\^" in value else value[value.rindex("(?:") :].removesuffix("(?![0-9A-Za-z])"))
+
+
+def scrubbed(c: Column) -> Column:
+    """struct<now, fired>: the text without identifiers, and the kinds of the rules that fired, in order.
+
+    Rules with the same need (a digit, a label before a name) run only where the text meets it. A rule leaves its own mark
+    in what it puts in place of a value, and the marks tell in the end which rules fired, so each runs once.
+    """
+    groups: list[tuple[str, list[tuple[str, str]]]] = []
+    for mark, (kind, value, context) in zip(_MARKS, rules.IDENTIFIERS):
+        step = f"(?<ctx>{context})(?:{value})", "${ctx}[" + mark + f"REDACTED:{kind}]"
+        if not groups or groups[-1][0] != _need(value, context):
+            groups.append((_need(value, context), []))
+        groups[-1][1].append(step)
+
+    def run(need: str, steps: list[tuple[str, str]]) -> Callable[[Column], Column]:
+        def of(x: Column) -> Column:
+            now = x
+            for pattern, to in steps:
+                now = _sub(now, pattern, to)
+            return F.when(_fits(x, need), now).otherwise(x)
+
+        return of
+
+    now = F.translate(fold_width(c), _MARKS, "")
+    for need, steps in groups:
+        now = _bound(now, run(need, steps))
+    told = lambda x: F.array_compact(F.array(*(F.when(F.contains(x, F.lit(m)), F.lit(kind)) for m, (kind, _, _) in zip(_MARKS, rules.IDENTIFIERS))))
+    return _bound(now, lambda x: F.struct(F.translate(x, _MARKS, "").alias("now"), told(x).alias("fired")))
+
+
 def scrub(c: Column) -> tuple[Column, Column]:
-    """Text without identifiers, and the kinds of the rules that fired, in order."""
-    now, fired = fold_width(c), []
-    for kind, value, context in rules.IDENTIFIERS:
-        pattern = f"(?<ctx>{context})(?:{value})"
-        fired.append(F.when(_fits(now, pattern), F.lit(kind)))
-        now = _sub(now, pattern, "${ctx}[REDACTED:" + kind + "]")
-    return now, F.array_compact(F.array(*fired))
+    """The fields of scrubbed(); who needs both keeps the struct in a column first, so that it is computed once."""
+    both = scrubbed(c)
+    return both["now"], both["fired"]
 
 
 def trimmed(c: Column) -> Column:

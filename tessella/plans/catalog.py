@@ -433,8 +433,8 @@ def _scrub_sql(table: str, keys: str) -> str:
 
 @query(_scrub_sql("conversations", "conv_id, turn"))
 def scrub_text(spark, d):
-    now, fired = text.scrub(F.col("text"))
-    return _t(spark, d, "conversations").select("conv_id", "turn", fired.alias("fired"), F.sha2(F.col("text"), 256).alias("before"), F.sha2(now, 256).alias("after"))
+    rows = _t(spark, d, "conversations").withColumn("s", text.scrubbed(F.col("text")))
+    return rows.select("conv_id", "turn", F.col("s.fired").alias("fired"), F.sha2(F.col("text"), 256).alias("before"), F.sha2(F.col("s.now"), 256).alias("after"))
 
 
 _RE2 = [(p.replace("(?i)", ""), c) for p, c in rules.ATTACKS]

@@ -30,8 +30,8 @@ def intake(studies: DataFrame) -> DataFrame:
 
 def scrubbed(studies: DataFrame) -> DataFrame:
     for c in ("indication", "history"):
-        now, fired = text.scrub(F.coalesce(F.col(c), F.lit("")))
-        studies = studies.withColumns({f"{c}_fired": fired, f"{c}_sha": F.sha2(F.coalesce(c, F.lit("")), 256), c: now})
+        studies = studies.withColumn("_scrubbed", text.scrubbed(F.coalesce(F.col(c), F.lit(""))))
+        studies = studies.withColumns({f"{c}_fired": F.col("_scrubbed.fired"), f"{c}_sha": F.sha2(F.coalesce(c, F.lit("")), 256), c: F.col("_scrubbed.now")}).drop("_scrubbed")
     return studies
 
 
