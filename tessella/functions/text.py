@@ -123,7 +123,7 @@ def scrubbed(c: Column) -> Column:
     for need, steps in groups:
         now = _bound(now, run(need, steps))
     told = lambda x: F.array_compact(F.array(*(F.when(F.contains(x, F.lit(m)), F.lit(kind)) for m, (kind, _, _) in zip(_MARKS, rules.IDENTIFIERS))))
-    return _bound(now, lambda x: F.struct(F.translate(x, _MARKS, "").alias("now"), told(x).alias("fired")))
+    return _bound(now, lambda x: F.named_struct(F.lit("now"), F.translate(x, _MARKS, ""), F.lit("fired"), told(x)))
 
 
 def scrub(c: Column) -> tuple[Column, Column]:
