@@ -3,6 +3,7 @@
 import html
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -281,6 +282,21 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs, none).collect()} == {0} and toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_toxicity_of_all_documents_by_plain_python(spark):
+    """The query against word features and weights in a dictionary, text by text; whole texts, however long."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.op5_toxicity(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and model.weights
+    for r in rows:
+        features = {f for w in (r["text"] or "").split() for f in toxicity.word_features(w)}
+        z = sum(model.weights.get(f, 0.0) for f in features) + model.intercept
+        own = got[r["doc_id"]]
+        assert own["score"] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-7) and own["predicted"] == int(own["score"] >= 0.5)
+        assert own["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_swapping_terms_hardly_changes_scores():
     rng = np.random.default_rng(0)
     feats, swapped, y = [], [], []
