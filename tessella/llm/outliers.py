@@ -27,7 +27,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -165,30 +165,28 @@ def _sent(params: DataFrame):
     return F.broadcast if params.count() <= BROADCAST_GROUPS else lambda df: df
 
 
-def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS, least: int = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
-    """A row for each group of keys (no nulls) of least rows or more: its parameters p (centre, then upper triangle of the inverse scatter) and the squared distance cut."""
+def mcd(counted: DataFrame, keys: list[str], steps: int = STEPS, least: int | Column = MIN_GROUP, spread: float = SPREAD) -> DataFrame:
+    """A row for each group of keys (no nulls) of least rows or more (a number, or one of the keys): its parameters p (centre, then upper triangle of the inverse scatter) and the squared distance cut."""
     rows = counted.select(*keys, *(x.alias(f"x{i}") for i, x in enumerate(vector())))
     xs = [f"x{i}" for i in range(DIM)]
     quartiles = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in xs]
     first = rows.groupBy(*keys).agg(F.array(*_moments(F.lit(True))).alias("s"), *(q.alias(f"q{i}") for i, q in enumerate(quartiles))).where(F.col("s")[0] >= least)
     at = lambda k: F.array(*(F.col(f"q{i}")[k] for i in range(DIM)))
-    params = cut(first.select(*keys, _diagonal(at(1), at(0), at(2)).alias("p0"), _plain("s").alias("p1")), "mcd")
-    sent = _sent(params)
+    params = cut(first.select(*keys, F.col("s")[0].alias("n"), _diagonal(at(1), at(0), at(2)).alias("p0"), _plain("s").alias("p1")), "mcd")
+    sent = _sent(params)  # every table of parameters below has these groups
     for _ in range(steps):
         near = rows.join(sent(params), keys).withColumns({"d0": _distance("p0"), "d1": _distance("p1")})
         half = near.groupBy(*keys).agg(*(F.percentile_approx(f"d{k}", F.lit(0.5), 1000).alias(f"h{k}") for k in (0, 1)))
         nearest = near.join(sent(half), keys)
-        sums = nearest.groupBy(*keys).agg(*(F.array(*_moments(F.col(f"d{k}") <= F.col(f"h{k}"))).alias(f"s{k}") for k in (0, 1)))
-        params = cut(sums.select(*keys, *(_params(f"s{k}").alias(f"p{k}") for k in (0, 1)), *(_logdet(f"s{k}").alias(f"l{k}") for k in (0, 1))), "mcd")
-    best = params.select(*keys, F.when(F.col("l0") <= F.col("l1"), F.col("p0")).otherwise(F.col("p1")).alias("p"))
-    near = rows.join(sent(best), keys).groupBy(*keys).agg(F.array(*_moments(_distance("p") <= NEAR)).alias("s"), F.first("p").alias("p"))
+        sums = nearest.groupBy(*keys).agg(F.first("n").alias("n"), *(F.array(*_moments(F.col(f"d{k}") <= F.col(f"h{k}"))).alias(f"s{k}") for k in (0, 1)))
+        params = cut(sums.select(*keys, "n", *(_params(f"s{k}").alias(f"p{k}") for k in (0, 1)), *(_logdet(f"s{k}").alias(f"l{k}") for k in (0, 1))), "mcd")
+    best = params.select(*keys, "n", F.when(F.col("l0") <= F.col("l1"), F.col("p0")).otherwise(F.col("p1")).alias("p"))
+    near = rows.join(sent(best), keys).groupBy(*keys).agg(F.array(*_moments(_distance("p") <= NEAR)).alias("s"), F.first("p").alias("p"), F.first("n").alias("n"))
     # where fewer than half lie that near (the half's scatter was no normal one), the estimate stays as it is
-    enough = near.join(sent(first.select(*keys, F.col("s")[0].alias("n"))), keys)
-    final = cut(enough.select(*keys, F.when(F.col("s")[0] >= F.col("n") / 2, _reweighted("s")).otherwise(F.col("p")).alias("p")), "mcd")
+    final = cut(near.select(*keys, F.when(F.col("s")[0] >= F.col("n") / 2, _reweighted("s")).otherwise(F.col("p")).alias("p")), "mcd")
     quartile = F.percentile_approx(F.log(_distance("p") + 1e-9), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000)
-    cuts = rows.join(sent(final), keys).groupBy(*keys).agg(quartile.alias("q"))
-    cuts = cuts.select(*keys, F.greatest(F.lit(LEAST_CUT), F.exp(F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[0]) / 1.349)).alias("cut"))
-    return cut(final.join(sent(cuts), keys), "mcd")
+    cuts = rows.join(sent(final), keys).groupBy(*keys).agg(F.first("p").alias("p"), quartile.alias("q"))
+    return cut(cuts.select(*keys, "p", F.greatest(F.lit(LEAST_CUT), F.exp(F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[0]) / 1.349)).alias("cut")), "mcd")
 
 
 def quality_outliers(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
@@ -201,14 +199,20 @@ def quality_outliers(docs: DataFrame, spread: float = SPREAD) -> DataFrame:
 
 
 def judged(counted: DataFrame, spread: float = SPREAD) -> DataFrame:
-    """quality_outliers of counted documents."""
+    """quality_outliers of counted documents. The estimates of all three levels (all rows, a language, a group) come from one set of steps; wider ones are made only where a smaller one is missing."""
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source")), "k_all": F.lit(0)}).fillna("", ["k_lang", "k_source"])
-    passed = keyed.where(~F.col("base_failed"))
-    rows = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())})
-    for p, keys, least in (("p", ["k_lang", "k_source"], MIN_GROUP), ("p_lang", ["k_lang"], MIN_GROUP), ("p_all", ["k_all"], 1)):
-        params = mcd(passed, keys, least=least, spread=spread).withColumnsRenamed({"p": p, "cut": f"cut_{p}"})
-        rows = rows.join(_sent(params)(params), keys, "left")
+    keyed = counted.withColumns({"base_failed": base, "k_lang": F.concat(F.lit("="), F.col("lang")), "k_source": F.concat(F.lit("="), F.col("source"))}).fillna("", ["k_lang", "k_source"])
+    sizes = cut(keyed.groupBy("k_lang", "k_source").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n")), "sizes")
+    wide = sizes.groupBy("k_lang").agg(F.sum("n").alias("n"), F.min("n").alias("least")).where(F.col("least") < MIN_GROUP)
+    levels = F.array_compact(F.array(F.lit(2), F.when(F.col("wide"), F.lit(1)), F.lit(None if wide.where(F.col("n") < MIN_GROUP).isEmpty() else 0).cast("int")))
+    passed = keyed.where(~F.col("base_failed")).join(_sent(sizes)(wide.select("k_lang", F.lit(True).alias("wide"))), "k_lang", "left").withColumn("level", F.explode(levels))
+    passed = passed.withColumns({"k_lang": F.when(F.col("level") > 0, F.col("k_lang")).otherwise(""), "k_source": F.when(F.col("level") > 1, F.col("k_source")).otherwise("")})
+    params = mcd(passed, ["level", "k_lang", "k_source"], least=F.when(F.col("level") > 0, MIN_GROUP).otherwise(1), spread=spread)
+    sent = _sent(params)
+    rows = keyed.withColumns({f"x{i}": x for i, x in enumerate(vector())}).withColumn("k_all", F.lit(""))
+    for level, p, keys in ((2, "p", ["k_lang", "k_source"]), (1, "p_lang", ["k_lang"]), (0, "p_all", ["k_all"])):
+        own = params.withColumn("k_all", F.lit("")).where(F.col("level") == level).select(*keys, F.col("p").alias(p), F.col("cut").alias(f"cut_{p}"))
+        rows = rows.join(sent(own), keys, "left")
     rows = rows.withColumn("distance", _distance("p")).withColumn("wider_distance", F.when(F.col("p").isNull(), F.coalesce(_distance("p_lang"), _distance("p_all"))))
     far, limit = F.coalesce("distance", "wider_distance", F.lit(0.0)), F.when(F.col("p").isNotNull(), F.col("cut_p")).when(F.col("p_lang").isNotNull(), F.col("cut_p_lang")).otherwise(F.col("cut_p_all"))
     return rows.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "wider_distance", limit.alias("cut"), (~F.col("base_failed") & (far <= F.coalesce(limit, F.lit(math.inf)))).alias("kept"))
