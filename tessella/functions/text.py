@@ -295,24 +295,15 @@ def mask_data_uris(s: pd.Series) -> pd.Series:
     return s.map(mask)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def string_leaves(s: pd.Series) -> pd.Series:
-    """Every string within a JSON document, in order; none where it does not parse."""
-
-    def walk(x) -> list[str]:
-        if isinstance(x, str):
-            return [x]
-        return [y for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for y in walk(v)]
-
-    def leaves(doc: str | None) -> list[str] | None:
-        if doc is None:
-            return None
-        try:
-            return walk(json.loads(doc))
-        except ValueError:
-            return []
+#: A JSON string as it is written, and the colon that makes it a key.
+_JSON_STRING = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
+
 
-    return s.map(leaves)
+def string_leaves(doc: Column) -> Column:
+    """array<string>: every string value within a JSON document, in order, keys left out; of a key given twice both values; none where it does not parse; null for null."""
+    written = F.filter(F.regexp_extract_all(doc, F.lit(_JSON_STRING), 0), lambda x: ~x.endswith(":"))
+    values = F.from_json(F.concat(F.lit("["), F.array_join(written, ","), F.lit("]")), "array<string>")
+    return F.when(F.get_json_object(doc, "$").isNotNull(), values).when(doc.isNotNull(), F.array().cast("array<string>"))
 
 
 def film_reference(path: Column, content: Column) -> Column:

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 
 import pytest
@@ -160,3 +161,19 @@ def test_scrub_against_plain_python(spark):
 def test_string_leaves(spark):
     assert one(spark, '{"a": ["x", {"b": "y", "c": 3}], "d": null, "e": "z"}', lambda c: text.string_leaves(c)) == ["x", "y", "z"]
     assert one(spark, "no json", lambda c: text.string_leaves(c)) == [] and one(spark, None, lambda c: text.string_leaves(c)) is None
+
+
+def test_string_leaves_are_those_of_a_plain_walk_and_stay_in_the_jvm(spark):
+    def walk(x):
+        return [x] if isinstance(x, str) else [y for v in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for y in walk(v)]
+
+    deep = "leaf"
+    for k in range(200):
+        deep = {"k": deep} if k % 2 else [deep, k]
+    odd = ['a "quoted" word', "back\\slash", "tail\\\\", "new\nline\tand\u0001", "氣胸 é", "\U0001f600", "", ": not a key", '":', "{}", "[1,", ",", "null"]
+    docs = [deep, odd, {x: x for x in odd}, {"a": [{"b": odd}, odd], "z": {"": {"": ["x"]}}}, [], {}, [[], {}], [1, 2.5, True, None], "top", 7, {"long": "x" * 300_000, "escapes": "\n" * 50_000}]
+    written = [json.dumps(x, ensure_ascii=e, indent=i) for x in docs for e in (True, False) for i in (None, 2)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(written)], "k int, doc string").select("k", text.string_leaves(F.col("doc")).alias("leaves"))
+    assert {r["k"]: r["leaves"] for r in rows.collect()} == {k: walk(json.loads(x)) for k, x in enumerate(written)}
+    assert "Python" not in rows._jdf.queryExecution().toString()
+    assert one(spark, '{"a": "x", "a": "y"}', text.string_leaves) == ["x", "y"] and one(spark, '{"a": "x"', text.string_leaves) == [] and one(spark, "", text.string_leaves) == []
