@@ -323,6 +323,26 @@ def test_packing(spark):
     assert packing.packing(docs.limit(0)).count() == 0
 
 
+def test_packing_of_all_documents_against_the_tokenizer(spark):
+    """Every document of sf0.01: ids, cuts and digests by the tokenizer itself, sequences without gaps, as few as the tokens allow."""
+    sf = "/root/testdata/sf0.01"
+    tokenizer, want = packing.Encoder(packing.tokenizer_path()).whole, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, start in enumerate(range(0, len(ids), 2048)):
+            part = ids[start : start + 2048]
+            want[r["doc_id"], k] = (start, len(part), zlib.crc32(part.tobytes()))
+    got = packing.op8_packing(spark, sf).collect()
+    assert len(got) == len(want) and {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in got} == want
+    filled = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in filled.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert len(filled) == packing.bound(np.array([n for _, n, _ in want.values()]), 2048)
+
+
 def test_crossover_keeps_every_piece_and_evolution_never_worsens():
     rng = np.random.default_rng(7)
     sizes = rng.integers(50, 1400, 400)
