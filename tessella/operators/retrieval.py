@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from . import automaton
+from . import automaton, nearest
 
 DIM = 256
 #: Rows up to which one side of a theta join is sent to all tasks; beyond it the sides meet in blocks.
@@ -34,6 +37,11 @@ def blocked(left: DataFrame, right: DataFrame, condition: Column | None, rows: i
     return spread.join(dealt, on if condition is None else on & condition).drop("_part", "_part_l")
 
 
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
+
+
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int | None = None) -> DataFrame:
     """query_id, doc_id, sim, rank: the k docs with the largest dot product of each query (a stated query set), rounded to digits if given, first by ord on ties."""
     sim = dot(F.col("q"), F.col("d"))
@@ -59,41 +67,26 @@ def hashed_words(docs: DataFrame, key: str, text: str) -> DataFrame:
     return counts.select(key, "bucket", (F.col("n") / norm).alias("weight"))
 
 
-#: Parts over which the postings of one bucket are dealt, so that no bucket is one task.
-SALTS = 32
+def word_vectors(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The matrix of lists of words: hashed_words, zeros included. A batch hashes each of its words once."""
+    words = column.flatten().dictionary_encode()
+    of = np.array([hashlib.md5(w.encode()).digest()[-1] for w in words.dictionary.to_pylist()], np.int64)
+    at = pc.list_parent_indices(column).to_numpy().astype(np.int64) * DIM + of[words.indices.to_numpy()]
+    counts = np.bincount(at, minlength=len(column) * DIM).reshape(len(column), DIM).astype(float)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return {DIM: (np.arange(len(column)), counts / np.where(norm > 0, norm, 1.0))}
 
 
-def top_k_words(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int = 12) -> DataFrame:
+def top_k_words(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int = 12, sent: int = nearest.SENT_BYTES, group: int = nearest.GROUP_BYTES) -> DataFrame:
     """query_id, doc_id, sim, rank: the k docs (doc_id, ord, text; both unique) nearest to each query (query_id, text) by hashed words, first by ord on ties of sim rounded to digits.
 
-    The docs' vectors are an inverted index: for each bucket its postings, and the largest weight among them. A query's
-    buckets are sorted by the most that they can add. What a query's first bucket adds to its docs gives a lower bound of
-    the k-th similarity; buckets from the end whose sums cannot reach it bring no candidates, so only postings of the
-    others are read, and only candidates are scored. Docs that share no bucket have similarity 0 and fill up the k.
+    A text of some length has words in most of the DIM buckets, so postings of a bucket would hold nearly every doc. Each
+    task counts the words of its docs and multiplies their vectors with those of all queries; nothing but the best of each
+    query is shuffled. Docs that share no bucket with a query have similarity 0.
     """
-    index = hashed_words(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", "bucket", F.col("weight").alias("d"))
-    index = index.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    asked = hashed_words(queries.select("query_id", "text"), "query_id", "text").select("query_id", "bucket", F.col("weight").alias("q"))
-    most = index.groupBy("bucket").agg(F.max("d").alias("most"))  # 256 rows
-    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "bucket")
-    bounds = asked.join(F.broadcast(most), "bucket").withColumn("bound", F.col("q") * F.col("most"))
-    bounds = bounds.withColumns({"pos": F.row_number().over(order), "tail": F.sum("bound").over(order.rowsBetween(0, Window.unboundedFollowing))})
-    spread = lambda rows: rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = ["bucket", "salt"]
-    first = spread(bounds.where("pos = 1").select("query_id", "bucket", "q")).join(index, on).withColumn("part", F.col("q") * F.col("d"))
-    best = lambda by: Window.partitionBy(*by).orderBy(F.desc("part"))
-    # the k-th best of each part first, so no query's postings come together
-    first = first.withColumn("r", F.row_number().over(best(["query_id", "salt"]))).where(F.col("r") <= k).withColumn("r", F.row_number().over(best(["query_id"]))).where(F.col("r") == k)
-    least = first.select("query_id", F.col("part").alias("least"))
-    needed = bounds.join(least, "query_id", "left").where(F.col("tail") >= F.coalesce("least", F.lit(0.0)) - 1e-9)
-    pairs = spread(needed.select("query_id", "bucket")).join(index.select("doc_id", *on), on).select("query_id", "doc_id").distinct()
-    scored = pairs.join(asked, "query_id").join(index.select("doc_id", "bucket", "d"), ["doc_id", "bucket"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("q") * F.col("d")), digits).alias("sim"))
-    some = docs.select("doc_id", "ord").orderBy("ord").limit(k)
-    zero = queries.select("query_id").join(F.broadcast(some), F.lit(True)).select("query_id", "doc_id", F.lit(0.0).alias("sim"))
-    # a doc of the filling may be scored as well: its similarity is the larger one
-    whole = scored.unionByName(zero).groupBy("query_id", "doc_id").agg(F.max("sim").alias("sim")).join(docs.select("doc_id", "ord"), "doc_id")
-    last = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
-    return whole.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORDS), F.lit(0))
+    asked, read = queries.select("query_id", words.alias("q")), docs.select("doc_id", "ord", words.alias("d"))
+    return _ranked(nearest.nearest(asked, read, k, digits, word_vectors, lambda c: F.lit(DIM * 8), sent, group), k)
 
 
 #: Bytes of values that are sent to all tasks; beyond it values and texts are dealt over groups that meet in pairs.

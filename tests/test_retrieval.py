@@ -91,3 +91,16 @@ def test_indexed_retrieval_equals_dense(spark, k):
     queries = [(n, text(12)) for n in range(25)] + [(77, ""), (78, None), (79, "heart size"), (80, "气胸，左侧。")]
     got = retrieval.top_k_words(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id string, ord long, text string").repartition(3), k, 9)
     assert {(r["query_id"], r["doc_id"], r["rank"], r["sim"]) for r in got.collect()} == dense(queries, docs, k)
+
+
+@pytest.mark.parametrize("sent", [10**7, 5_000])
+def test_words_are_scored_without_pairing_postings(spark, sent):
+    rng = random.Random(3)
+    text = lambda n: " ".join(f"w{rng.randrange(3_000)}" for _ in range(n))
+    docs = [(n, n % 100, text(rng.choice((20, 400)))) for n in range(300)]
+    docs += [(1_000 + n, 1_000 + n, docs[7][2]) for n in range(30)]
+    docs = [(i, k, t) for k, (i, _, t) in enumerate(docs)]
+    queries = [(n, text(40)) for n in range(20)] + [(50, docs[7][2])]
+    got = retrieval.top_k_words(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, ord long, text string").repartition(3), 5, 9, sent, 100_000)
+    assert {(r["query_id"], r["doc_id"], r["rank"], r["sim"]) for r in got.collect()} == dense(queries, docs, 5)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
