@@ -42,12 +42,13 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
 
 
-def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int | None = None) -> DataFrame:
-    """query_id, doc_id, sim, rank: the k docs with the largest dot product of each query (a stated query set), rounded to digits if given, first by ord on ties."""
-    sim = dot(F.col("q"), F.col("d"))
-    pairs = blocked(docs, queries, None).withColumn("sim", sim if digits is None else F.round(sim, digits))
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
+def top_k(queries: DataFrame, docs: DataFrame, k: int = 3, digits: int | None = None, sent: int = nearest.SENT_BYTES, group: int = nearest.GROUP_BYTES) -> DataFrame:
+    """query_id, doc_id, sim, rank: the k docs (doc_id, ord, d) with the largest dot product of each query (query_id, q; a stated query set), rounded to digits if given, first by ord on ties.
+
+    Vectors are arrays of doubles; a product with a null, or of vectors that differ in length, is null and comes last.
+    """
+    spread = docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id")  # a row is few bytes and much work
+    return _ranked(nearest.nearest(queries, spread, k, digits, nearest.vectors, lambda c: F.size(c) * 8, sent, group), k)
 
 
 def bucket(token: Column) -> Column:

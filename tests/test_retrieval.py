@@ -4,9 +4,11 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import automaton, retrieval
+from conftest import rows_of
+from tessella.operators import automaton, nearest, retrieval
 
 
 def held(values, texts, **kw):
@@ -104,3 +106,28 @@ def test_words_are_scored_without_pairing_postings(spark, sent):
     got = retrieval.top_k_words(spark.createDataFrame(queries, "query_id long, text string"), spark.createDataFrame(docs, "doc_id long, ord long, text string").repartition(3), 5, 9, sent, 100_000)
     assert {(r["query_id"], r["doc_id"], r["rank"], r["sim"]) for r in got.collect()} == dense(queries, docs, 5)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def by_pairs(queries, docs, k, digits):
+    """Every pair through Spark's own sums and rounding."""
+    sim = retrieval.dot(F.col("q"), F.col("d"))
+    pairs = queries.crossJoin(docs).withColumn("sim", sim if digits is None else F.round(sim, digits))
+    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "doc_id", "sim", "rank")
+
+
+@pytest.mark.parametrize("digits, sent", [(6, 10**7), (2, 10**7), (2, 500), (None, 10**7), (None, 500)])
+def test_top_k_equals_every_pair(spark, monkeypatch, digits, sent):
+    monkeypatch.setattr(nearest, "DOCS", 7)
+    monkeypatch.setattr(nearest, "QUERIES", 5)
+    rng = random.Random(digits)
+    some = lambda n: [round(rng.uniform(-2, 2), rng.choice((0, 1, 2, 17))) for _ in range(n)]
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [1.0, None, 2.0], [nan, 0.0, 1.0], [inf, 1.0, 1.0], [-inf, 1.0, 0.0], [1e200, -1e200, 3.0], [-0.0, 0.0, 0.0], [1.0, 2.0], [0.0625, 0.125, 0.005], [1e11, 1e-5, 1.0]]
+    vectors = odd + [some(3) for _ in range(60)] + [[0.5, 0.25, 0.125]] * 20
+    docs = spark.createDataFrame([(f"d{n}", 200 - n, v) for n, v in enumerate(vectors)], "doc_id string, ord long, d array<double>").repartition(3)
+    queries = spark.createDataFrame([(n, v) for n, v in enumerate(odd + [some(3) for _ in range(9)] + [some(4)])], "query_id long, q array<double>")
+    for k in (1, 4, 100):
+        got = retrieval.top_k(queries, docs, k, digits, sent, 1_000)
+        assert rows_of(got.withColumn("sim", F.col("sim").cast("string"))) == rows_of(by_pairs(queries, docs, k, digits).withColumn("sim", F.col("sim").cast("string")))
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
