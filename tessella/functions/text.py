@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import operator
 import re
 import unicodedata
 from collections.abc import Callable
@@ -241,13 +243,21 @@ def confidence(c: Column) -> Column:
     return out
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def mention_class(sentence: Column, keyword: Column) -> Column:
     """negated, hedge or affirmed, by what stands before the keyword in its sentence."""
-    low = F.lower(sentence)
-    at = F.call_function("locate", keyword, low)
-    prefix = F.concat(F.substring(low, F.lit(1), at - 1), F.lit(" "))
-    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: prefix.contains(w))
-    return F.when(at == 0, "affirmed").when(has(vocab.NEGATION_TRIGGERS), "negated").when(has(vocab.HEDGE_TRIGGERS), "hedge").otherwise("affirmed")
+
+    def of(prefix: Column) -> Column:
+        has = lambda words: functools.reduce(operator.or_, (prefix.contains(w) for w in words))
+        return F.when(has(vocab.NEGATION_TRIGGERS), "negated").when(has(vocab.HEDGE_TRIGGERS), "hedge").otherwise("affirmed")
+
+    # a keyword that is not there has an empty prefix, in which nothing is found
+    before = lambda low: F.concat(F.substring(low, F.lit(1), F.call_function("locate", keyword, low) - 1), F.lit(" "))
+    return _once(_once(F.lower(sentence), before), of)
 
 
 def effusion_severity(sentence: Column) -> Column:

@@ -490,7 +490,7 @@ def clause_segments(spark, d):
 @query("""WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]*the [^.!?]*')) AS s FROM documents), l AS (SELECT doc_id, lower(s) AS s FROM s)
   SELECT doc_id, CASE WHEN contains(substr(s, 1, strpos(s, 'the ') - 1) || ' ', 'no ') OR contains(substr(s, 1, strpos(s, 'the ') - 1) || ' ', 'without') THEN 'negated' ELSE 'affirmed' END AS class, count(*) AS n FROM l GROUP BY ALL""")
 def keyword_negation_class(spark, d):
-    s = _t(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([^.!?]*the [^.!?]*)"), F.lit(1))).alias("s"))
+    s = _t(spark, d, "documents").select("doc_id", F.explode(F.filter(F.split("text", "[.!?]"), lambda s: s.contains("the "))).alias("s"))
     kind = text.mention_class(F.col("s"), F.lit("the "))
     return s.select("doc_id", F.when(kind == "negated", "negated").otherwise("affirmed").alias("class")).groupBy("doc_id", "class").agg(F.count("*").alias("n"))
 

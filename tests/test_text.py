@@ -1,6 +1,9 @@
 import hashlib
 import json
+import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,3 +180,23 @@ def test_string_leaves_are_those_of_a_plain_walk_and_stay_in_the_jvm(spark):
     assert {r["k"]: r["leaves"] for r in rows.collect()} == {k: walk(json.loads(x)) for k, x in enumerate(written)}
     assert "Python" not in rows._jdf.queryExecution().toString()
     assert one(spark, '{"a": "x", "a": "y"}', text.string_leaves) == ["x", "y"] and one(spark, '{"a": "x"', text.string_leaves) == [] and one(spark, "", text.string_leaves) == []
+
+
+def test_sentences_are_cut_in_linear_time_and_prefixes_made_once(spark, tmp_path):
+    from tessella.plans import catalog
+
+    rng = random.Random(6)
+    some = ["the ", "The ", "no ", "without ", "not seen ", "a", ". ", "!", "?", "\n", "bathe", "免费", " ", "possible "]
+    texts = ["".join(rng.choices(some, k=rng.randrange(30))) for _ in range(400)] + [None, "x" * 300_000, "no " * 60_000 + "the end", "病" * 300_000 + "the "]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = Counter()
+    for k, t in enumerate(texts):
+        for s in re.split("[.!?]", t or ""):
+            if "the " in s:
+                low = s.lower()
+                prefix = low[: low.index("the ")] + " "
+                want[k, "negated" if any(w in prefix for w in vocab.NEGATION_TRIGGERS) else "affirmed"] += 1
+    began = time.time()
+    got = {(r["doc_id"], r["class"]): r["n"] for r in catalog.QUERIES["keyword_negation_class"](spark, str(tmp_path)).collect()}
+    assert got == want and time.time() - began < 60
+    assert str(text.mention_class(F.col("s"), F.lit("the "))).count("lower") == 1
