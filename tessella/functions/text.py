@@ -215,12 +215,10 @@ def has_disclaimer(c: Column) -> Column:
 def drop_marked(c: Column, mark: str = "XXXX") -> Column:
     """Without whole words that hold mark, then without orphaned leading conjunctions and punctuation; others unchanged."""
     words = F.filter(F.split(F.trim(_sub(c, r"\s+", " ")), " "), lambda w: ~w.contains(mark) & (w != ""))
-    conj = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:"))).isin("and", "or", "but"))
-    drop_while = lambda arr, flags: F.slice(arr, F.coalesce(F.nullif(F.array_position(flags, F.lit(False)), F.lit(0)), F.size(arr) + 1).cast("int"), F.greatest(F.size(arr), F.lit(1)))
-    words = drop_while(words, conj)
-    words = drop_while(words, F.transform(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]")))
-    text = F.trim(_sub(F.array_join(words, " "), r"\s+([.,;:])", "$1"))
-    return F.when(c.contains(mark), F.when(text.rlike(r"[\p{L}\p{N}]"), text).otherwise(F.lit(""))).otherwise(c)
+    # a chain in which each step reads the one before once: words now stand one blank apart, and what is left begins with a letter or digit
+    text = F.regexp_replace(F.array_join(words, " "), r"^(?i:[.,;:]*+(?:and|or|but)[.,;:]*+(?: |\z))++", "")
+    text = F.regexp_replace(text, r"^(?:[^ \p{L}\p{N}]++(?: |\z))++", "")
+    return F.when(c.contains(mark), F.regexp_replace(text, " ([.,;:])", "$1")).otherwise(c)
 
 
 def segments(c: Column) -> Column:

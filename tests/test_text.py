@@ -182,6 +182,26 @@ def test_string_leaves_are_those_of_a_plain_walk_and_stay_in_the_jvm(spark):
     assert one(spark, '{"a": "x", "a": "y"}', text.string_leaves) == ["x", "y"] and one(spark, '{"a": "x"', text.string_leaves) == [] and one(spark, "", text.string_leaves) == []
 
 
+def old_drop(c, mark="XXXX"):
+    """Words one by one, as the rule reads."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), " "), lambda w: ~w.contains(mark) & (w != ""))
+    drop_while = lambda arr, flags: F.slice(arr, F.coalesce(F.nullif(F.array_position(flags, F.lit(False)), F.lit(0)), F.size(arr) + 1).cast("int"), F.greatest(F.size(arr), F.lit(1)))
+    words = drop_while(words, F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(".,;:"))).isin("and", "or", "but")))
+    words = drop_while(words, F.transform(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]")))
+    left = F.trim(F.regexp_replace(F.array_join(words, " "), r"(?U)\s+([.,;:])", "$1"))
+    return F.when(c.contains(mark), F.when(left.rlike(r"[\p{L}\p{N}]"), left).otherwise(F.lit(""))).otherwise(c)
+
+
+def test_dropped_words_equal_the_rule_and_each_step_runs_once(spark):
+    rng = random.Random(4)
+    some = ["XXXX", "aXXXX.", "and", "OR", ".But,", "andy", "and;or", ",", "..", "- -", "\n", " ", " ", "病", "é", "7", "x .", ";:", "\t,y", "", "-", "½", "́"]
+    texts = [" ".join(rng.choices(some, k=rng.randrange(9))) for _ in range(1_500)] + [None, "XXXX " + "and " * 50_000 + "- " * 50_000 + "end", "XXXX" + "病" * 200_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: (r["new"], r["old"]) for r in rows.select("id", text.drop_marked(F.col("t")).alias("new"), old_drop(F.col("t")).alias("old")).collect()}
+    assert {k: v for k, v in got.items() if v[0] != v[1]} == {}
+    assert str(text.drop_marked(F.col("t"))).count("filter") == 1
+
+
 def test_sentences_are_cut_in_linear_time_and_prefixes_made_once(spark, tmp_path):
     from tessella.plans import catalog
 
