@@ -1,7 +1,7 @@
 """Keyed additive state: writers of a run append to its channels, and nothing they send overwrites anything.
 
-A run's state is the list of accepted items of its channels, kept by Spark's state store, and for each writer the numbers
-it has sent (as ranges, so a writer that counts takes a few bytes). An update that comes twice, from a writer that sent it
+A run's state is the accepted items of its channels, an entry of Spark's state store for what a batch adds, and for each writer
+the numbers it has sent (as ranges, so a writer that counts takes a few bytes). An update that comes twice, from a writer that sent it
 again or from a batch that ran again, is accepted once; writers may come in any order and interleave. A run that has been
 quiet for a while of event time is closed: its channels come out whole and its state goes.
 """
@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,10 @@ _COLUMNS = [c.split(" ")[0] for c in CHANGE.split(", ")]
 
 def add_number(ranges: list[list[int]], n: int) -> bool:
     """Adds n to sorted, disjoint ranges [first, last]; false if it was there."""
-    at = bisect_right(ranges, n, key=lambda r: r[0])
+    if not ranges or n > ranges[-1][1] + 1:
+        ranges.append([n, n])
+        return True
+    at = bisect_right(ranges, n, key=itemgetter(0))
     if at and ranges[at - 1][1] >= n:
         return False
     left, right = at > 0 and ranges[at - 1][1] == n - 1, at < len(ranges) and ranges[at][0] == n + 1
@@ -41,42 +46,97 @@ def add_number(ranges: list[list[int]], n: int) -> bool:
     return True
 
 
+#: Keys over which runs are dealt, and accepted items that a call holds back before it writes them.
+BUCKETS, HELD = 1_024, 50_000
+#: Time, writer and number.
+_ORDER = itemgetter(0, 1, 2)
+
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of CHANGE, times in microseconds."""
+    values = list(zip(*rows))
+    values[6] = np.array(values[6], "datetime64[us]").astype("datetime64[ns]")
+    return pd.DataFrame(dict(zip(_COLUMNS, map(list, values[:6])), ts=values[6], item=list(values[7]), items=list(values[8])))
+
+
 class _Channels(StatefulProcessor):
+    """Runs are dealt over BUCKETS keys, as calls, batches and frames of each key cost far more than a run's few rows; each run has its own entries."""
+
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getListState("items", "channel string, writer string, seq long, ts timestamp, item string")
-        self.seen = handle.getValueState("seen", "told string")
+        self.seen = handle.getMapState("seen", "study string", "told string")
+        # one entry holds what a batch adds to a run
+        self.items = handle.getMapState("items", "study string, pack long", "packed string")
+        # runs that one timer looks at; none of them is due before it
+        self.due = handle.getMapState("due", "at long", "studies string")
+
+    def _watch(self, dues: dict[str, int]) -> None:
+        """One timer for runs with the times at which they end if nothing comes, at the first of them."""
+        if dues:
+            at = min(dues.values())
+            others = self.due.getValue((at,))
+            self.due.updateValue((at,), (json.dumps([*(json.loads(others[0]) if others else []), *dues]),))
+            self.handle.registerTimer(at)
+
+    def _put(self, told: dict[str, dict], new: dict[str, list]) -> None:
+        for study, rows in new.items():
+            self.items.updateValue((study, told[study]["packs"]), (json.dumps(rows),))
+            told[study]["packs"] += 1
+        new.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        told = json.loads(self.seen.get()[0]) if self.seen.exists() else {"sent": {}, "count": {}, "timer": None, "last": 0}
-        new = []
+        told: dict[str, dict] = {}
+        opened, touched, new, held = [], set(), {}, 0
         for b in rows:
-            for channel, writer, seq, ts, item in b.sort_values(["ts", "writer", "seq"])[["channel", "writer", "seq", "ts", "item"]].itertuples(index=False):
-                if add_number(told["sent"].setdefault(f"{channel}\x1f{writer}", []), int(seq)):
-                    place = told["count"].get(channel, 0)
-                    told["count"][channel] = place + 1
-                    told["last"] = max(told["last"], int(pd.Timestamp(ts).timestamp() * 1000))
-                    new.append((channel, place, writer, int(seq), ts, item))
-        if new:
-            self.items.appendList([(c, w, n, pd.Timestamp(t).to_pydatetime(), x) for c, _, w, n, t, x in new])
-            if told["timer"] is not None:
-                self.handle.deleteTimer(told["timer"])
-            told["timer"] = told["last"] + self.idle_ms
-            self.handle.registerTimer(told["timer"])
-            self.seen.update((json.dumps(told),))
-        yield pd.DataFrame([(key[0], "appended", c, p, w, n, t, x, None) for c, p, w, n, t, x in new], columns=_COLUMNS)
+            at, out = b["ts"].astype("datetime64[us]").astype("int64").tolist(), []
+            for row in sorted(zip(at, b["writer"].tolist(), map(int, b["seq"].tolist()), b["channel"].tolist(), b["item"].tolist(), b["study_id"].tolist()), key=_ORDER):
+                ts, writer, seq, channel, item, study = row
+                own = told.get(study)
+                if own is None:
+                    kept = self.seen.getValue((study,))
+                    own = told[study] = json.loads(kept[0]) if kept else {"sent": {}, "count": {}, "last": 0, "packs": 0}
+                    if not kept:
+                        opened.append(study)
+                if add_number(own["sent"].setdefault(f"{channel}\x1f{writer}", []), seq):
+                    place = own["count"].get(channel, 0)
+                    own["count"][channel] = place + 1
+                    own["last"] = max(own["last"], ts // 1000)
+                    touched.add(study)
+                    new.setdefault(study, []).append(row[:5])
+                    out.append((study, "appended", channel, place, writer, seq, ts, item, None))
+            held += len(out)
+            if held > HELD:
+                self._put(told, new)
+                held = 0
+            if out:
+                yield _changes(out)
+        self._put(told, new)
+        for study in touched:
+            self.seen.updateValue((study,), (json.dumps(told[study]),))
+        self._watch({s: told[s]["last"] + self.idle_ms for s in opened})
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        whole: dict[str, list] = {}
-        for channel, writer, seq, ts, item in self.items.get():
-            whole.setdefault(channel, []).append((ts, writer, seq, item))
-        self.items.clear()
-        self.seen.clear()
-        rows = [(key[0], "closed", c, len(x), None, None, max(x)[0], None, [i[3] for i in sorted(x, key=lambda i: i[:3])]) for c, x in sorted(whole.items())]
-        yield pd.DataFrame(rows, columns=_COLUMNS)
+        now, timer = timerValues.getCurrentWatermarkInMs(), (expiredTimerInfo.getExpiryTimeInMs(),)
+        later = {}
+        studies = json.loads(self.due.getValue(timer)[0])
+        self.due.removeKey(timer)
+        for study in studies:
+            own = json.loads(self.seen.getValue((study,))[0])
+            if own["last"] + self.idle_ms > now:  # updates came since
+                later[study] = own["last"] + self.idle_ms
+                continue
+            whole: dict[str, list] = {}
+            for pack in range(own["packs"]):
+                for ts, writer, seq, channel, item in json.loads(self.items.getValue((study, pack))[0]):
+                    whole.setdefault(channel, []).append((ts, writer, seq, item))
+                self.items.removeKey((study, pack))
+            self.seen.removeKey((study,))
+            ordered = {c: sorted(x, key=_ORDER) for c, x in sorted(whole.items())}
+            yield _changes([(study, "closed", c, len(x), None, None, x[-1][0], None, [i[3] for i in x]) for c, x in ordered.items()])
+        self._watch(later)
 
     def close(self) -> None:
         pass
@@ -95,7 +155,7 @@ def channels(updates: DataFrame, late: str = "10 minutes", idle_s: float = 3_600
     """
     keyed(updates.sparkSession)
     whole = updates.where(F.forall(F.array(*(F.col(c).isNull() for c in ("study_id", "channel", "writer", "seq", "ts"))), lambda x: ~x)).withWatermark("ts", late)
-    return whole.groupBy("study_id").transformWithStateInPandas(statefulProcessor=_Channels(int(idle_s * 1000)), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
+    return whole.withColumn("bucket", F.pmod(F.xxhash64("study_id"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Channels(int(idle_s * 1000)), outputStructType=CHANGE, outputMode="Append", timeMode="EventTime")
 
 
 def whole(updates: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Keyed state and joined streams: restarts, replays, late rows; equal to the batch answers."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +86,64 @@ def test_reports_before_their_alerts_are_flagged(spark, tmp_path, cut):
     got = spark.read.schema("study_id string, report_at timestamp, alert_at timestamp").parquet(str(tmp_path / "out"))
     assert sorted((r["study_id"], r["alert_at"]) for r in got.collect()) == [("b", at(30)), ("far", None), ("none", None)]
     assert got.where(F.col("study_id") == "b").first()["report_at"] == at(20)
+
+
+class Store:
+    """State of one key in dicts; counts the calls."""
+
+    def __init__(self):
+        self.maps, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, name, *_):
+        store, values = self, self.maps.setdefault(name, {})
+
+        class State:
+            def getValue(self, k):
+                store.calls += 1
+                return values.get(k)
+
+            def updateValue(self, k, v):
+                store.calls += 1
+                values[k] = v
+
+            def removeKey(self, k):
+                store.calls += 1
+                del values[k]
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Clock:
+    def __init__(self, now, at=None):
+        self.getCurrentWatermarkInMs, self.getExpiryTimeInMs = lambda: now, lambda: at
+
+
+def test_runs_share_calls_and_end_when_they_are_quiet(monkeypatch):
+    monkeypatch.setattr(channels, "HELD", 300)
+    rng, store, done, sent = random.Random(8), Store(), channels._Channels(60_000), {}
+    done.init(store)
+    rows = [(f"s{n}", rng.choice("xy"), rng.choice("ab"), rng.randrange(40), at(rng.randrange(5)), f"{n}") for n in range(1_000) for _ in range(4)]
+    frames = [pd.DataFrame(rows[k : k + 1_000], columns=["study_id", "channel", "writer", "seq", "ts", "item"]) for k in range(0, 4_000, 1_000)]
+    for s, c, w, n, t, x in rows:
+        sent.setdefault((s, c, w, n), []).append((t, x))
+    got = list(done.handleInputRows((7,), iter(frames), None))
+    assert len(got) == 4 and sum(map(len, got)) == len(sent) and store.calls <= 3 * 1_000 + 10 and len(store.timers) == 1
+    assert list(done.handleInputRows((7,), iter(frames), None)) == [] and len(store.timers) == 1
+    # half of the runs go on
+    more = pd.DataFrame([(f"s{n}", "x", "c", 1, at(30), "late") for n in range(0, 1_000, 2)], columns=frames[0].columns)
+    assert list(map(len, done.handleInputRows((7,), iter([more]), None))) == [500]
+    ended = []
+    for minute in range(40):
+        now = int(at(minute).replace(tzinfo=UTC).timestamp() * 1000)
+        for t in sorted(t for t in store.timers if t <= now):
+            store.timers.remove(t)
+            for f in done.handleExpiredTimer((7,), Clock(now), Clock(now, t)):
+                ended += [(minute, r) for r in f.to_dict("records")]
+    items = {(r["study_id"], r["channel"]): r["items"] for _, r in ended}
+    assert len(items) == len(ended) and sum(map(len, items.values())) == len(sent) + 500
+    assert {m for m, r in ended if int(r["study_id"][1:]) % 2 == 0} == {31} and max(m for m, r in ended if int(r["study_id"][1:]) % 2) == 5
+    assert not any(store.maps.values()) and not store.timers
