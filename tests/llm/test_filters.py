@@ -373,3 +373,13 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.9
+
+
+def test_lines_that_all_articles_of_a_host_share_stay(spark):
+    line, foot = "A line that stands in the article of every page", "Copyright all rights reserved by our little company"
+    own = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(12)]
+    rows = [(k, f"http://h.com/{k}", f"<div>{foot}</div><article><p>{own[k]}</p><p>{line}</p></article>") for k in range(10)]
+    rows += [(k, f"http://h.com/{k}", f"<div>{foot}</div><div>{own[k]}</div>") for k in (10, 11)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(df).collect()}
+    assert got == {k: f"{own[k]} {line}" if k < 10 else own[k] for k in range(12)}
